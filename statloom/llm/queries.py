@@ -6,19 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from statloom.llm.common import table
 from statloom.llm.fingerprint import fingerprints
+from statloom.llm.packing import pack_documents
 from statloom.llm.sharding import shard_documents
+from statloom.llm.tokens import count_edits, encode_documents, sample_edits
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_edits(table(spark, sf_dir, "documents").withColumn("edits", sample_edits()))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
+    "op2_bpe": op2_bpe,
+    "op3_token_counts": op3_token_counts,
     "op4_sharding": op4_sharding,
+    "op8_packing": op8_packing,
 }
 SQL: dict[str, str] = {}
