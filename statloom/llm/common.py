@@ -31,7 +31,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there and columns can be pruned."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    done_with = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(done_with, "false")
+    spark.conf.set(done_with, "true")  # the job's shuffle files go when the table is there
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(done_with, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

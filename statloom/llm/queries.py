@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from statloom.llm.common import table
 from statloom.llm.fingerprint import fingerprints
+from statloom.llm.jaccard import jaccard_components
 from statloom.llm.packing import pack_documents
 from statloom.llm.sharding import shard_documents
 from statloom.llm.tokens import count_edits, encode_documents, sample_edits
@@ -31,11 +32,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_bpe": op2_bpe,
     "op3_token_counts": op3_token_counts,
     "op4_sharding": op4_sharding,
     "op8_packing": op8_packing,
+    "op9_jaccard": op9_jaccard,
 }
 SQL: dict[str, str] = {}
