@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from statloom.llm import language, quality
 from statloom.llm.common import table
 from statloom.llm.fingerprint import fingerprints
 from statloom.llm.jaccard import jaccard_components
 from statloom.llm.packing import pack_documents
+from statloom.llm.search import top_k, whole_vectors
 from statloom.llm.sharding import shard_documents
 from statloom.llm.tokens import count_edits, encode_documents, sample_edits
 
@@ -28,6 +31,16 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(whole_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -36,12 +49,51 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", quality.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_bpe": op2_bpe,
     "op3_token_counts": op3_token_counts,
     "op4_sharding": op4_sharding,
+    "op6_quality": op6_quality,
+    "op7_top_k": op7_top_k,
     "op8_packing": op8_packing,
     "op9_jaccard": op9_jaccard,
+    "op10_language": op10_language,
 }
-SQL: dict[str, str] = {}
+#: Shards as in sharding.py; the CRC-32 comes from its 256-entry table, made by the usual rule, over the bytes of the text.
+SHARDING_SQL = """
+with crc as (
+  select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+), d as (
+  select doc_id, coalesce(cast(doc_id as varchar), 'null') as k, hex(encode(coalesce(text, ''))) as h from documents
+), drawn as (
+  select doc_id, octet_length(from_hex(h)) + 1 as size, k,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(h, '..'), lambda b: ('0x' || b)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as text_crc32,
+    list_transform(range(17), lambda s: -ln((('0x' || substr(md5(k || ':' || s), 1, 13))::bigint + 1) / 4503599627370496.0::double)) as cost,
+    (('0x' || substr(md5(k || ':slot'), 1, 13))::bigint + 1) / 4503599627370496.0::double as draw
+  from d, crc
+), placed as (
+  select *, list_position(cost[1:16], list_min(cost[1:16])) - 1 as shard, list_position(cost, list_min(cost)) - 1 as grown_shard from drawn
+)
+select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'key' as law, shard::int as shard,
+  row_number() over (partition by shard order by draw, doc_id, text_crc32, size) - 1 as slot, grown_shard::int as grown_shard
+from placed
+"""
+TOP_K_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, x.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i]))::bigint as score
+  from v q join v x on q.vec_id % 20 = 0 and x.vec_id <> q.vec_id
+)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+from scored qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20
+"""
+SQL: dict[str, str] = {"op4_sharding": SHARDING_SQL, "op7_top_k": TOP_K_SQL}

@@ -20,26 +20,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, words before each text (n + 1 numbers), and each word's first and last + 1 byte in its text."""
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes, a line break after each, and the first byte of each (n + 1 numbers)."""
     raw = [t.encode() for t in texts]
     size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
-    begin = np.cumsum(size) - size
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    return np.frombuffer(b"\n".join(raw) + b"\n" * bool(raw), np.uint8), np.r_[0, np.cumsum(size)]
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last + 1 byte of every word in bytes that end with a break."""
     gap = _BREAK[data]
-    start = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+    start = np.flatnonzero(~gap & np.r_[True, gap[:-1]][: len(gap)])
     if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), start, start
+        return np.zeros(0, np.uint64), start, start
     stop = np.flatnonzero(gap & np.r_[False, ~gap[:-1]])
     length = stop - start
-    at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
-    power = np.cumprod(np.r_[np.uint64(1), np.full(int(length.max()) - 1, _BASE, np.uint64)])
     first = np.cumsum(length) - length
-    within = np.arange(len(at)) - np.repeat(first, length)
-    value = np.add.reduceat((_LOWER[data[at]] + np.uint64(1)) * power[within], first)
-    before = np.searchsorted(start, np.r_[begin, len(data)])
-    own = np.repeat(begin, np.diff(before))
-    return mix(value + length.astype(np.uint64) * _MIX2), before, start - own, stop - own
+    within = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
+    power = np.cumprod(np.r_[np.uint64(1), np.full(int(length.max()) - 1, _BASE, np.uint64)])
+    value = np.add.reduceat((_LOWER[data[~gap]] + np.uint64(1)) * power[within], first)
+    return mix(value + length.astype(np.uint64) * _MIX2), start, stop
+
+
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, words before each text (n + 1 numbers), and each word's first and last + 1 byte in its text."""
+    data, begin = joined(texts)
+    word, start, stop = word_spans(data)
+    before = np.searchsorted(start, begin)
+    own = np.repeat(begin[:-1], np.diff(before))
+    return word, before, start - own, stop - own
 
 
 def shingles(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
