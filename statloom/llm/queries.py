@@ -10,6 +10,7 @@ from statloom.llm.common import table
 from statloom.llm.fingerprint import fingerprints
 from statloom.llm.jaccard import jaccard_components
 from statloom.llm.packing import pack_documents
+from statloom.llm.passages import repeated_passages
 from statloom.llm.search import top_k, whole_vectors
 from statloom.llm.sharding import shard_documents
 from statloom.llm.tokens import count_edits, encode_documents, sample_edits
@@ -31,6 +32,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -60,6 +65,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_token_counts": op3_token_counts,
     "op4_sharding": op4_sharding,
+    "op5_passages": op5_passages,
     "op6_quality": op6_quality,
     "op7_top_k": op7_top_k,
     "op8_packing": op8_packing,
