@@ -194,3 +194,17 @@ def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] =
     labelled = base.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     names = labelled.where("c is not null").groupBy("c").agg(F.min(key).alias("component_id"), F.count("*").alias("copies"))
     return labelled.join(names, "c", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"), "node", F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without those that are linked, directly or not, to a row of smaller key.
+
+    Of repeated rows of one key and text one stays. Rows with a null key or an empty set stay.
+    """
+    found = written(jaccard_components(docs, n, threshold, key, text), "found")
+    kept = docs.join(found.where(F.col("component_id") != F.col(key)).select(key).distinct(), key, "left_anti")
+    again = written(found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated")
+    if again.count():
+        alone = kept.join(again, key, "left_anti")
+        kept = alone.unionByName(kept.join(again, key, "left_semi").dropDuplicates([key, text]))
+    return kept.select(*docs.columns)

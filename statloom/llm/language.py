@@ -189,6 +189,13 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: st
     return fit([w.encode()[:WINDOW] for _, w, _ in got], [x for _, _, x in got])
 
 
+def decide(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    p = model.documents(texts)
+    best = p.argmax(axis=1)
+    known = np.array([_LETTER.search(t) is not None and model.languages != [UNKNOWN] for t in texts], bool)
+    return [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known)], np.where(known, np.clip(p[np.arange(len(texts)), best], 0, 1), 0.0)
+
+
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, lang_pred, score): the likeliest language of the whole text and its mean probability.
 
@@ -199,11 +206,21 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, body in text_blocks(batch.column(0), batch.column(1)):
-                p = model.documents(body)
-                best = p.argmax(axis=1)
-                known = [_LETTER.search(t) is not None and model.languages != [UNKNOWN] for t in body]
-                names = [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known)]
-                score = np.where(known, np.clip(p[np.arange(len(body)), best], 0, 1), 0.0)
+                names, score = decide(model, body)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[key, "lang_pred", "score"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, lang_pred string, score double")
+
+
+def keep_documents(docs: DataFrame, model: LanguageModel, least: float = 0.4, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a language with a score of at least ``least``; null and letterless texts go. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, i = batch.schema.get_field_index(text), 0
+            for _, body in text_blocks(batch.column(at), batch.column(at)):
+                names, score = decide(model, body)
+                yield batch.slice(i, len(body)).filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score.tolist())], pa.bool_()))
+                i += len(body)
+
+    return docs.mapInArrow(run, docs.schema)

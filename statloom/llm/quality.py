@@ -234,3 +234,17 @@ def score_documents(docs: DataFrame, model: QualityModel, key: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([keys, pa.array(model.scores(p, before, size)), pa.array(np.diff(before)), lists], names=[key, "score", "n_lines", "bad_lines"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, score double, n_lines bigint, bad_lines array<int>")
+
+
+def keep_documents(docs: DataFrame, model: QualityModel, least: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores at least ``least``; a null text is scored as an empty one. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, i = batch.schema.get_field_index(text), 0
+            for _, body in text_blocks(batch.column(at), batch.column(at)):
+                x, before, size = line_features(body)
+                yield batch.slice(i, len(body)).filter(pa.array(model.scores(model.marginals(x, before), before, size) >= least))
+                i += len(body)
+
+    return docs.mapInArrow(run, docs.schema)
