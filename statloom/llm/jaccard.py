@@ -4,8 +4,9 @@ Think of the 0/1 matrix of documents by n-grams; the overlaps of all pairs are i
 hashed into blocks, as many that a pair at the similarity threshold, whose sets differ in a bounded number of n-grams,
 must agree in a whole block: this size-derived bound leaves only pairs that share a block's content. Overlap counts
 are added up over the shared blocks; a pair that they lift over its bound is linked, others get the exact product of
-their rows. In a group of documents that share a block, rows are first multiplied by the group's first row alone; only rows
-that are still in different components afterwards are multiplied with each other.
+their rows. In a group of documents that share a block, rows are first multiplied by the group's first row alone. Rows that
+are still in different components afterwards are compared by their differences from that row, which bound what they share
+(see across_links), so a large group of near copies does not give all its pairs.
 """
 
 from __future__ import annotations
@@ -143,14 +144,55 @@ def set_rows(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, "node bigint, grams array<bigint>")
 
 
-def linked(pairs: DataFrame, base: DataFrame, docs: DataFrame, n: int, bounds: Bounds, key: str, text: str) -> DataFrame:
-    """Of the pairs (a, b) of nodes, those whose overlap, from the exact product of their rows, reaches the bound."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = base.join(ends, "node", "left_semi").groupBy("node").agg(F.min(key).alias(key)).select(key).distinct()
-    sets = written(set_rows(docs.join(chosen, key, "left_semi"), n, key, text).dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    need = F.ceil(F.lit(bounds.num) * (F.size("x") + F.size("y")) / F.lit(bounds.num + bounds.den))
-    return both.where((F.least(F.size("x"), F.size("y")) >= need) & (F.size(F.array_intersect("x", "y")) >= need)).select("a", "b")
+def sets_of(chosen: DataFrame, base: DataFrame, docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
+    """Rows (node, grams) of the nodes in ``chosen``, from one document of each."""
+    keys = base.join(chosen, "node", "left_semi").groupBy("node").agg(F.min(key).alias(key)).select(key).distinct()
+    return written(set_rows(docs.join(keys, key, "left_semi"), n, key, text).dropDuplicates(["node"]), "sets")
+
+
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+
+
+def changes(pairs: DataFrame, bounds: Bounds) -> DataFrame:
+    """Rows (lead, node, size, d, size_d, near): the n-grams in which a document differs from its group's first one, added ones first.
+
+    ``near``: they differ by no more than linked documents do. Added n-grams carry the sign bit, so an array of them is sorted as it has to be.
+    """
+    added = F.transform(F.array_except("x", "y"), lambda t: t.bitwiseOR(F.lit(-(2**63))))
+    gone = F.transform(F.array_except("y", "x"), lambda t: t.bitwiseAND(F.lit(2**63 - 1)))
+    rows = pairs.select(F.col("b").alias("lead"), F.col("a").alias("node"), F.size("x").alias("size"), F.size("y").alias("lead_size"), F.array_sort(F.concat(added, gone)).alias("d"))
+    rows = rows.withColumn("size_d", F.size("d"))
+    limit = (F.col("size") + F.col("lead_size")) * (bounds.den - bounds.num)
+    return rows.withColumn("near", F.col("size_d") * (bounds.den + bounds.num) <= limit)
+
+
+def across_links(diff: DataFrame, found: DataFrame, bounds: Bounds) -> DataFrame:
+    """Links (a, b) between documents of one group that its first document left in different components.
+
+    x and y differ exactly where their changes against the first document differ: |x ^ y| = |Dx ^ Dy|. Linked ones differ in at
+    most H = k (|x| + |y|) n-grams, so their changes share at least c = (|Dx| + |Dy| - H) / 2. One of them, y, is not near the
+    first document, |Dy| > k (|y| + |first|), and |Dy| >= |Dx| - H, which bounds c from below by x alone. In any common order, the first common
+    change is then among the first |Dx| - c + 1 of x. Added n-grams come first: they are rare, while copies
+    of one text often lose the same ones.
+    """
+    k = (bounds.den - bounds.num) / (bounds.den + bounds.num)
+    most = F.floor(F.col("size") * (k * (1 + bounds.den / bounds.num)) + 1e-6)  # H for the largest partner
+    other_far = F.ceil((F.col("size_d") + (F.col("lead_size") - F.col("size")) * k) / 2 - 1e-6)
+    both_far = F.greatest(F.lit(1), other_far, F.col("size_d") - most)
+    alone = F.greatest(F.lit(1), F.col("size_d") - most)
+    rows = diff.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = rows.withColumns({"short": F.greatest(F.col("size_d") - both_far + 1, F.lit(0)).cast("int"), "long": F.when(F.col("near"), 0).otherwise(F.col("size_d") - alone + 1).cast("int")})
+    tokens = rows.select("lead", "node", "component", "near", "short", F.posexplode(F.slice("d", 1, F.greatest("short", "long"))).alias("at", "token"))
+    side = lambda t, s: t.select("lead", "token", F.col("node").alias(f"{s}"), F.col("component").alias(f"component_{s}"))
+    early = tokens.where("at < short")
+    far = side(early.where("not near"), "a").join(side(early.where("not near"), "b"), ["lead", "token"]).where("a < b and component_a <> component_b")
+    mixed = side(early.where("near"), "a").join(side(tokens.where("not near"), "b"), ["lead", "token"]).where("component_a <> component_b")
+    pairs = far.unionByName(mixed).select("lead", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = lambda s: rows.select("lead", F.col("node").alias(s), F.col("d").alias(f"d_{s}"), F.col("size").alias(f"size_{s}"))
+    both = written(pairs, "across").join(one("a"), ["lead", "a"]).join(one("b"), ["lead", "b"])
+    differ = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
+    return both.where(differ * (bounds.den + bounds.num) <= (F.col("size_a") + F.col("size_b")) * (bounds.den - bounds.num)).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (85, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,26 +216,23 @@ def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] =
     shared = members.where("node <> lead").groupBy("node", "lead", "kind").agg(F.sum("n").alias("shared"), F.first("size").alias("size"), F.first("lead_size").alias("lead_size"))
     shared = shared.groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.max("shared").alias("shared"), F.first("size").alias("size"), F.first("lead_size").alias("lead_size"))
     need = F.ceil(F.lit(bounds.num) * (F.col("size") + F.col("lead_size")) / F.lit(bounds.num + bounds.den))
-    star = written(shared.where(F.least("size", "lead_size") >= need).select("a", "b", (F.col("shared") >= need).alias("sure")), "star")
-    links = star.where("sure").select("a", "b").unionByName(linked(star.where("not sure").select("a", "b"), base, docs, n, bounds, key, text))
+    state = F.when(F.col("shared") >= need, "sure").when(F.least("size", "lead_size") >= need, "open").otherwise("far")
+    star = written(shared.select("a", "b", state.alias("state")), "star")
+    unsure = star.where("state <> 'sure'").select(F.col("b").alias("lead")).distinct()
+    asked = star.join(unsure, star.b == F.col("lead"), "left_semi").select("a", "b")
+    sets = sets_of(asked.select(F.explode(F.array("a", "b")).alias("node")).distinct(), base, docs, n, key, text)
+    diff = written(changes(with_sets(asked, sets), bounds), "changes")
+    links = star.where("state = 'sure'").select("a", "b").unionByName(diff.where("near").select(F.col("node").alias("a"), F.col("lead").alias("b")))
     links = written(links, "links")
     found = written(components(links), "components")
-    placed = members.join(found, "node", "left").select("sig", "node", "size", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("sig")
-    rest = written(placed.join(mixed, "sig", "left_semi"), "unsettled")
-    x, y = (rest.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "component")]) for s in "xy")
-    fits = F.least("size_x", "size_y") >= F.ceil(F.lit(bounds.num) * (F.col("size_x") + F.col("size_y")) / F.lit(bounds.num + bounds.den))
-    across = x.join(y, "sig").where((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & fits)
-    across = across.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = written(across.join(tested, ["a", "b"], "left_anti"), "across")
-    if across.count():
-        more = written(linked(across, base, docs, n, bounds, key, text), "links")
-        if more.count():
-            found = written(components(links.unionByName(more)), "components")
-    labelled = base.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    names = labelled.where("c is not null").groupBy("c").agg(F.min(key).alias("component_id"), F.count("*").alias("copies"))
-    return labelled.join(names, "c", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"), "node", F.coalesce("copies", F.lit(1)).alias("copies"))
+    more = written(across_links(diff, found, bounds), "more-links")
+    if more.count():
+        found = written(components(links.unionByName(more)), "components")
+    copies = base.where("node is not null").groupBy("node").agg(F.min(key).alias("least"), F.count("*").alias("rows"))
+    placed = copies.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    names = placed.groupBy("c").agg(F.min("least").alias("component_id"), F.sum("rows").alias("copies"))
+    named = written(placed.join(names, "c").select("node", "component_id", "copies"), "named")
+    return base.join(named, "node", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"), "node", F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
