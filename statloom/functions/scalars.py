@@ -60,4 +60,4 @@ def metadata_text(columns: list[str], numeric: set[str]) -> Column:
 
 def timestamps(row_number: Column, base: str) -> Column:
     """base plus one second for each row."""
-    return F.timestamp_add("SECOND", row_number.cast("int"), F.lit(base).cast("timestamp")) if hasattr(F, "timestamp_add") else F.lit(base).cast("timestamp") + F.make_dt_interval(secs=row_number)
+    return F.timestamp_add("SECOND", row_number.cast("int"), F.lit(base).cast("timestamp"))
