@@ -86,12 +86,11 @@ def decoded(design: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFr
 
 
 def classified(design: DataFrame, x: list[str], tolerance: float = 0.1) -> DataFrame:
-    """Adds point_type: center, corner, axial, edge (some coordinate at -1 or 1) or interior."""
+    """Adds point_type: center, corner, axial (one coordinate at -1 or 1, the others 0), edge (some coordinate at -1 or 1) or interior."""
     near = lambda c, v: (F.abs(F.abs(F.col(c)) - v) <= tolerance).cast("int")
     ones, zeros = (reduce(lambda a, b: a + b, [near(c, v) for c in x]) for v in (1.0, 0.0))
-    beyond = reduce(lambda a, b: a + b, [(F.abs(F.col(c)) > tolerance).cast("int") for c in x])
     p = len(x)
-    kind = F.when(zeros == p, "center").when(ones == p, "corner").when((beyond == 1) & (zeros == p - 1), "axial").when(ones > 0, "edge").otherwise("interior")
+    kind = F.when(zeros == p, "center").when(ones == p, "corner").when((ones == 1) & (zeros == p - 1), "axial").when(ones > 0, "edge").otherwise("interior")
     return design.withColumn("point_type", kind)
 
 

@@ -133,7 +133,7 @@ def fit(df: DataFrame, y: str | list[str], terms: list[str]) -> Regression | lis
             beta = inverse @ g[:p, p + k]
             rss = g[p + k, p + k] - g[:p, p + k] @ beta
         centred = np.array([0.0 if t == "Intercept" else sx[inner.index(t), inner.index(t)] for t in terms])
-        out.append(Regression(name, terms, beta, inverse, m.n, max(float(rss), 0.0), syy / (m.n - 1) if m.n > 1 else 0.0, centred))
+        out.append(Regression(name, terms, beta, inverse, m.n, max(float(rss), 0.0), float(syy) / (m.n - 1) if m.n > 1 else 0.0, centred))
     return out[0] if isinstance(y, str) else out
 
 
@@ -149,7 +149,7 @@ def coefficients(model: Regression, df: DataFrame, level: float = 0.95) -> DataF
         if t is None or se == 0:
             rows.append((name, float(b), None, None, None, None, None, "", vif))
             continue
-        p = t_two_sided(b / se, model.dof)
+        p = float(t_two_sided(float(b / se), model.dof))
         rows.append((name, float(b), float(se), float(b / se), p, float(b - t * se), float(b + t * se), stars(p), vif))
     return df.sparkSession.createDataFrame(rows, "term string, coefficient double, std_error double, t double, p double, lower double, upper double, stars string, vif double")
 

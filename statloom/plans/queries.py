@@ -201,12 +201,12 @@ def _(spark, d):
     return rounded(ordered.differences(table(spark, d, "events").select("event_id", "value"), "event_id", ["value"], 2))
 
 
-@query("f_moving_average", f"select event_id, {r('avg(value) over w')} as value from events qualify count(value) over w = 5 window w as (order by event_id rows between 2 preceding and 2 following)")
+@query("f_moving_average", f"select event_id, {r('avg(value) over w')} as value from events window w as (order by event_id rows between 2 preceding and 2 following) qualify count(value) over w = 5")
 def _(spark, d):
     return rounded(ordered.moving_average(table(spark, d, "events").select("event_id", "value"), "event_id", ["value"], 5))
 
 
-@query("f_moving_average_by_user", f"select event_id, user_id, {r('avg(value) over w')} as value from events qualify count(value) over w = 4 window w as (partition by user_id order by event_id rows between 2 preceding and 1 following)")
+@query("f_moving_average_by_user", f"select event_id, user_id, {r('avg(value) over w')} as value from events window w as (partition by user_id order by event_id rows between 2 preceding and 1 following) qualify count(value) over w = 4")
 def _(spark, d):
     return rounded(ordered.moving_average(table(spark, d, "events").select("event_id", "user_id", "value"), "event_id", ["value"], 4, ["user_id"]))
 
@@ -223,7 +223,7 @@ def _(spark, d):
     return rounded(ordered.running_sum(table(spark, d, "events").select("event_id", "value"), "event_id", "value", "total").select("event_id", "total"), 3)
 
 
-@query("f_trajectory", "select event_id, user_id, value as x, user_id::double as y, lead(value) over w as x_next, lead(user_id::double) over w as y_next from events qualify lead(1) over w is not null window w as (partition by user_id order by event_id)")
+@query("f_trajectory", "select event_id, user_id, value as x, user_id::double as y, lead(value) over w as x_next, lead(user_id::double) over w as y_next from events window w as (partition by user_id order by event_id) qualify lead(1) over w is not null")
 def _(spark, d):
     return ordered.trajectory(table(spark, d, "events").select("event_id", "user_id", "value", F.col("user_id").cast("double").alias("u")), "event_id", "value", "u", ["user_id"])
 
@@ -302,11 +302,10 @@ _row_transform("savitzky_golay", _savgol_sql(), lambda a: rows.savgol(a, 64, 7,
 
 
 @query("l_auto_encode", """with c as (select o_orderpriority as level, count(*) as n, min(o_orderkey) as f from orders group by 1), ref as (select level from c order by n desc, f, level limit 1)
-select o_orderkey, """ + ", ".join(f"""case when '{x}' = (select level from ref) then null else (coalesce(o_orderpriority = '{x}', false))::int end as "{x}\"""" for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) + " from orders")
+select o_orderkey, 'o_orderpriority_' || level as dummy, (o_orderpriority = level)::int as value from orders, c where level <> (select level from ref)""")
 def _(spark, d):
     made, how = encode.auto_encoded(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority"], "o_orderkey")
-    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    return made.select("o_orderkey", *[(F.col(f"`o_orderpriority_{n}`") if n in how["o_orderpriority"]["levels"] else F.lit(None).cast("int")).alias(n) for n in names])
+    return made.unpivot(["o_orderkey"], [f"o_orderpriority_{n}" for n in how["o_orderpriority"]["levels"]], "dummy", "value")
 
 
 @query("l_two_level", "select l_orderkey, l_linenumber, case l_linestatus when 'F' then -1.0::double when 'O' then 1.0::double end as l_linestatus from lineitem")
