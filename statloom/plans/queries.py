@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from statloom.functions import scalars
 from statloom.operators import bivariate, charts, columns, doe, encode, mlr, monitor, multi, ordered, pareto, pca, rows, select, surface, univariate
 from statloom.operators.missing import filled_report, reconstructed
+from statloom.plans.catalog import Workspace
 from statloom.sources.readers import parse_clipboard
 from statloom.sources.writers import spectral_lines
 from statloom.streaming.monitoring import fault_counts
@@ -160,9 +161,9 @@ def _(spark, d):
     return rounded(select.mean_differences(*select.split(part, "p_partkey", part.where("p_size > 25")), ["p_size", "p_retailprice"]), 4)
 
 
-@query("c_transpose")
+@query("c_transpose", "select 'n_regionkey' as variable, " + ", ".join(f'max(n_regionkey::double) filter (n_nationkey = {i}) as "{i}"' for i in range(25)) + " from nation")
 def _(spark, d):
-    return select.transposed(table(spark, d, "supplier").orderBy("s_suppkey").limit(10), "s_suppkey", ["s_acctbal", "s_nationkey"])
+    return select.transposed(table(spark, d, "nation"), "n_nationkey", ["n_regionkey"])
 
 
 @query("d_label_alignment", "select o_orderkey, coalesce(c_mktsegment, 'Unknown') as segment from orders left join customer on o_custkey = c_custkey and c_acctbal > 0")
@@ -313,6 +314,11 @@ def _(spark, d):
     return encode.auto_encoded(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus"), ["l_linestatus"])[0]
 
 
+@query("l_design_coding", f"select p_partkey, {r('2.0 * (p_size - min(p_size) over ()) / (max(p_size) over () - min(p_size) over ()) - 1')} as p_size from part")
+def _(spark, d):
+    return rounded(encode.auto_encoded(table(spark, d, "part").select("p_partkey", "p_size"), ["p_size"], code_numeric=True)[0])
+
+
 # M: bivariate
 
 
@@ -416,6 +422,12 @@ def _(spark, d):
     return monitor.outlier_levels(monitor.faults(data, m, []), m)
 
 
+@query("o_limits")
+def _(spark, d):
+    data, m = _monitor(spark, d)
+    return monitor.limits_table(data, m)
+
+
 @query("o_contributions")
 def _(spark, d):
     data, m = _monitor(spark, d)
@@ -521,6 +533,12 @@ def _(spark, d):
     return rounded(multi.weighted_objective(table(spark, d, "part"), {"p_size": 0.7, "p_retailprice": 0.3}, {"p_size": "minimize", "p_retailprice": "maximize"}).select("p_partkey", "objective"))
 
 
+@query("t_predictions", f"with b as (select regr_slope(l_extendedprice, l_quantity) as b1, regr_intercept(l_extendedprice, l_quantity) as a1, regr_slope(l_discount, l_quantity) as b2, regr_intercept(l_discount, l_quantity) as a2 from lineitem) select l_orderkey, l_linenumber, {r('a1 + b1 * l_quantity', 4)} as l_extendedprice, {r('a2 + b2 * l_quantity', 4)} as l_discount from lineitem, b")
+def _(spark, d):
+    data = table(spark, d, "lineitem")
+    return rounded(multi.predictions(data, multi.fit_all(data, ["l_extendedprice", "l_discount"], ["Intercept", "l_quantity"]), ["l_orderkey", "l_linenumber"]), 4)
+
+
 # R: designs
 
 
@@ -551,6 +569,11 @@ def _(spark, d):
     return doe.classified(doe.full_factorial(spark, {"x1": [-1.0, 0.0, 1.0], "x2": [-1.0, 0.0, 1.0]}), ["x1", "x2"])
 
 
+@query("r_grid", f"select (a * 5 + b)::bigint as id, {r('10 + a * 2.5')} as x1, {r('-1 + b * 0.5')} as x2 from (select unnest(range(5)) as a), (select unnest(range(5)) as b)")
+def _(spark, d):
+    return rounded(doe.linspace_grid(spark, {"x1": (10.0, 20.0, 5), "x2": (-1.0, 1.0, 5)}))
+
+
 # S: surfaces
 
 
@@ -568,6 +591,12 @@ def _(spark, d):
     return rounded(surface.surface(spark, models["price"], "q", "t", {}, steps=20).drop("ci"), 3)
 
 
+@query("s_optimum", f"{_S} select ix::int as ix, iy::int as iy, {r('my + bq * (-1 + ix * 0.1 - mq) + bt * (-1 + iy * 0.1 - mt)', 3)} as z from b, (select unnest(range(21)) as ix), (select unnest(range(21)) as iy) order by my + bq * (-1 + ix * 0.1 - mq) + bt * (-1 + iy * 0.1 - mt) desc limit 1")
+def _(spark, d):
+    _, models = _surfaces(spark, d)
+    return rounded(surface.optimum(surface.surface(spark, models["price"], "q", "t", {}, steps=20)).select("ix", "iy", "z"), 3)
+
+
 @query("s_feasible_region")
 def _(spark, d):
     _, models = _surfaces(spark, d)
@@ -635,6 +664,24 @@ def _(spark, d):
     return charts.density(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag")
 
 
+@query("w_colours", f"select p_partkey, {r('(p_size - min(p_size) over ()) / (max(p_size) over () - min(p_size) over ())::double')} as shade, case when p_size is null then 'rgb(128,128,128)' else 'rgb(' || floor((p_size - 1) / 49.0::double * 255)::int || ',0,' || floor((1 - (p_size - 1) / 49.0::double) * 255)::int || ')' end as colour from part")
+def _(spark, d):
+    shaded = charts.scaled_colour(table(spark, d, "part").select("p_partkey", "p_size"), "p_size")
+    return rounded(shaded.select("p_partkey", "shade", scalars.blue_to_red(F.col("p_size").cast("double"), 1.0, 50.0).alias("colour")))
+
+
+# V: workspace
+
+
+@query("v_lineage", "select * from (values ('part', null, 'original', null), ('part_scaled', 'part', 'transform', 'autoscale'), ('part_Selected', 'part', 'split', 'Manual'), ('part_Remaining', 'part', 'split', 'Manual')) t(name, parent, kind, transform)")
+def _(spark, d):
+    w = Workspace(spark)
+    part = w.save("part", table(spark, d, "part"))
+    w.save("part_scaled", columns.autoscaled(part, ["p_size"]), "part", "transform", "autoscale")
+    w.split("part", "p_partkey", part.where("p_size > 25"))
+    return w.lineage().select("name", "parent", "kind", "transform")
+
+
 # A, B: text in and out
 
 _PASTE = "a b\ta b\tname\n1,5\t2\tx\n2,5\t\ty\n-1\t7,25\tz\n"
