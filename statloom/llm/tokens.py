@@ -17,7 +17,7 @@ from statloom.llm.bpe import SPACES, Bpe, default_path, loaded
 
 OUTPUTS = {"n_tokens": ("bigint", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 #: Texts of about so many characters are encoded in one go.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 1_500_000
 
 
 def text_blocks(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, list[str]]]:
