@@ -209,12 +209,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] =
     bounds = Bounds(*threshold)
     base = written(summaries(docs, n, key, text), "sets-of")
     sigs = signature_rows(docs, n, bounds, key, text)
-    firsts = sigs.groupBy("sig").agg(F.min(F.struct("node", "size")).alias("first"), F.max("node").alias("last")).where("first.node <> last")
-    firsts = written(firsts.select("sig", F.col("first.node").alias("lead"), F.col("first.size").alias("lead_size")), "groups")
-    members = sigs.join(firsts, "sig").groupBy("sig", "node").agg(*[F.first(c).alias(c) for c in ("size", "kind", "n", "lead", "lead_size")])
-    members = written(members, "members")
-    shared = members.where("node <> lead").groupBy("node", "lead", "kind").agg(F.sum("n").alias("shared"), F.first("size").alias("size"), F.first("lead_size").alias("lead_size"))
-    shared = shared.groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.max("shared").alias("shared"), F.first("size").alias("size"), F.first("lead_size").alias("lead_size"))
+    firsts = sigs.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").drop("last")
+    members = sigs.join(written(firsts, "groups"), "sig").where("node <> lead")
+    members = members.groupBy("sig", "node", "lead", "kind").agg(F.max("n").alias("n"), F.max("size").alias("size"))
+    shared = members.groupBy("node", "lead", "kind").agg(F.sum("n").alias("shared"), F.max("size").alias("size"))
+    shared = shared.groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.max("shared").alias("shared"), F.max("size").alias("size"))
+    sizes = base.where("node is not null").groupBy(F.col("node").alias("b")).agg(F.max("n_shingles").alias("lead_size"))
+    shared = written(shared, "shared").join(sizes, "b")
     need = F.ceil(F.lit(bounds.num) * (F.col("size") + F.col("lead_size")) / F.lit(bounds.num + bounds.den))
     state = F.when(F.col("shared") >= need, "sure").when(F.least("size", "lead_size") >= need, "open").otherwise("far")
     star = written(shared.select("a", "b", state.alias("state")), "star")
