@@ -16,11 +16,22 @@ from pyspark.sql.window import Window
 RANGES, BLOCK = 256, 1 << 20
 
 
+def _ranges_below(value: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are at most the value, by a two-step search; all for null."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    top, full = F.array(*[F.lit(b) for b in bounds[::step]]), F.array(*[F.lit(b) for b in bounds])
+    coarse = F.greatest(F.size(F.filter(top, lambda b: b <= value)) - 1, F.lit(0))
+    fine = F.size(F.filter(F.slice(full, coarse * step + 1, F.lit(step)), lambda b: b <= value))
+    return F.when(value.isNull(), len(bounds)).otherwise(coarse * step + fine)
+
+
 def with_position(df: DataFrame, order: str, name: str = "position", ranges: int = RANGES) -> DataFrame:
     """Adds the 0-based position of each row in ascending ``order`` (a column whose values are unique; nulls last)."""
     cuts = df.select(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], ranges * 20).alias("c")).first()[0] or []
     bounds = sorted(set(cuts))
-    piece = F.when(F.col(order).isNull(), len(bounds)).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order)))) if bounds else F.lit(0)
+    piece = _ranges_below(F.col(order), bounds)
     rows = df.withColumn("_piece", piece)
     counts = df.select(order).withColumn("_piece", piece).groupBy("_piece").agg(F.count("*").alias("_n"))
     offsets = counts.select("_piece", (F.sum("_n").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
