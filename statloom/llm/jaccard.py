@@ -4,9 +4,10 @@ Think of the 0/1 matrix of documents by n-grams; the overlaps of all pairs are i
 hashed into blocks, as many that a pair at the similarity threshold, whose sets differ in a bounded number of n-grams,
 must agree in a whole block: this size-derived bound leaves only pairs that share a block's content. Overlap counts
 are added up over the shared blocks; a pair that they lift over its bound is linked, others get the exact product of
-their rows. In a group of documents that share a block, rows are first multiplied by the group's first row alone. Rows that
-are still in different components afterwards are compared by their differences from that row, which bound what they share
-(see across_links), so a large group of near copies does not give all its pairs.
+their rows. In a group of documents that share a block, rows are only multiplied by the group's first row: first each row by
+the one it shares most with, then the pairs that are still in different components. Rows that a first row leaves
+apart are compared by their differences from it, which bound what they share (see across_links), so a large group of near
+copies does not give all its pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ from statloom.llm.shingles import mix, shingle_sets
 from statloom.llm.tokens import text_blocks
 
 
+#: Beyond so many pairs their rows are brought together in so many slices, one after the other, for the sake of the disk.
+SLICE_PAIRS, SLICES = 10_000, 4
+
+
 class Bounds:
     """Size classes and block numbers for Jaccard similarity >= num / den. Class i holds sizes low(i)..low(i + 1) - 1; a partner at least as large lies in class i or i + 1."""
 
@@ -211,24 +216,45 @@ def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] =
     sigs = signature_rows(docs, n, bounds, key, text)
     firsts = sigs.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").drop("last")
     members = sigs.join(written(firsts, "groups"), "sig").where("node <> lead")
-    members = members.groupBy("sig", "node", "lead", "kind").agg(F.max("n").alias("n"), F.max("size").alias("size"))
+    members = written(members.groupBy("sig", "node", "lead", "kind").agg(F.max("n").alias("n"), F.max("size").alias("size")), "members")
     shared = members.groupBy("node", "lead", "kind").agg(F.sum("n").alias("shared"), F.max("size").alias("size"))
     shared = shared.groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.max("shared").alias("shared"), F.max("size").alias("size"))
     sizes = base.where("node is not null").groupBy(F.col("node").alias("b")).agg(F.max("n_shingles").alias("lead_size"))
     shared = written(shared, "shared").join(sizes, "b")
     need = F.ceil(F.lit(bounds.num) * (F.col("size") + F.col("lead_size")) / F.lit(bounds.num + bounds.den))
     state = F.when(F.col("shared") >= need, "sure").when(F.least("size", "lead_size") >= need, "open").otherwise("far")
-    star = written(shared.select("a", "b", state.alias("state")), "star")
-    unsure = star.where("state <> 'sure'").select(F.col("b").alias("lead")).distinct()
-    asked = star.join(unsure, star.b == F.col("lead"), "left_semi").select("a", "b")
-    sets = sets_of(asked.select(F.explode(F.array("a", "b")).alias("node")).distinct(), base, docs, n, key, text)
-    diff = written(changes(with_sets(asked, sets), bounds), "changes")
-    links = star.where("state = 'sure'").select("a", "b").unionByName(diff.where("near").select(F.col("node").alias("a"), F.col("lead").alias("b")))
-    links = written(links, "links")
+    star = written(shared.select("a", "b", "shared", state.alias("state")), "star")
+    sure = star.where("state = 'sure'").select("a", "b")
+    best = star.where("state = 'open'").groupBy("a").agg(F.max(F.struct("shared", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    best = written(best, "best")
+    sets = sets_of(best.select(F.explode(F.array("a", "b")).alias("node")).distinct(), base, docs, n, key, text)
+    both = with_sets(best, sets)
+    need = F.ceil(F.lit(bounds.num) * (F.size("x") + F.size("y")) / F.lit(bounds.num + bounds.den))
+    links = written(sure.unionByName(both.where(F.size(F.array_intersect("x", "y")) >= need).select("a", "b")), "links")
     found = written(components(links), "components")
-    more = written(across_links(diff, found, bounds), "more-links")
-    if more.count():
-        found = written(components(links.unionByName(more)), "components")
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"component_{c}"))
+    apart = F.coalesce("component_a", "a") != F.coalesce("component_b", "b")
+    star = written(star.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", "state", apart.alias("apart")), "star")
+    crowds = members.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
+    crowd = members.join(crowds, "sig", "left_semi").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    crowd = written(crowd.join(star, ["a", "b"]).select("a", "b", "apart"), "crowd")
+    unsettled = crowd.where("apart").select("b").distinct()
+    asked = star.where("state = 'open' and apart").select("a", "b").join(best, ["a", "b"], "left_anti")
+    asked = written(asked.unionByName(crowd.join(unsettled, "b", "left_semi").select("a", "b")).distinct(), "asked")
+    pairs = asked.count()
+    if pairs:
+        sets = sets_of(asked.select(F.explode(F.array("a", "b")).alias("node")).distinct(), base, docs, n, key, text)
+        slices = SLICES if pairs > SLICE_PAIRS else 1
+        parts = [written(changes(with_sets(asked.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == i), sets), bounds), "changes") for i in range(slices)]
+        diff = parts[0]
+        for part in parts[1:]:
+            diff = diff.unionByName(part)
+        near = diff.where("near").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+        links = written(links.unionByName(near).distinct(), "links")
+        found = written(components(links), "components")
+        more = written(across_links(diff, found, bounds), "more-links")
+        if more.count():
+            found = written(components(links.unionByName(more)), "components")
     copies = base.where("node is not null").groupBy("node").agg(F.min(key).alias("least"), F.count("*").alias("rows"))
     placed = copies.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     names = placed.groupBy("c").agg(F.min("least").alias("component_id"), F.sum("rows").alias("copies"))
