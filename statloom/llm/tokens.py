@@ -121,12 +121,16 @@ class TokenTree:
 
     def edit(self, start: int, stop: int, new: str) -> None:
         """Replace characters start..stop by ``new``; positions beyond the text count as its end."""
+        plan = self.plan(start, stop, new)
+        self.apply(plan, self._count(plan[0]))
+
+    def plan(self, start: int, stop: int, new: str) -> tuple:
+        """The units to encode for an edit, and where they go: first leaf and unit, last leaf and unit."""
         size = self.chars[1]
         start = min(max(start, 0), size)
         stop = min(max(stop, start), size)
         if not size:
-            self._build(units := UNIT.findall(new), self._count(units))
-            return
+            return UNIT.findall(new), None
         leaf, unit, left = self._find(start - 1)
         last_leaf, last_unit, right = self._find(stop)
         right += len(self.units[last_leaf][last_unit])
@@ -142,8 +146,15 @@ class TokenTree:
         if leaf != last_leaf:
             touched = touched + [u for i in range(leaf + 1, last_leaf) for u in self.units[i]] + self.units[last_leaf][: last_unit + 1]
         old = "".join(touched)
-        units = UNIT.findall(old[: start - left] + new + old[stop - left :])
-        counts = self._count(units)
+        return UNIT.findall(old[: start - left] + new + old[stop - left :]), (leaf, unit, last_leaf, last_unit)
+
+    def apply(self, plan: tuple, counts: list[int]) -> None:
+        """Put a plan's units, now counted, into their place and correct the sums."""
+        units, place = plan
+        if place is None:
+            self._build(units, counts)
+            return
+        leaf, unit, last_leaf, last_unit = place
         tail_units, tail_counts = self.units[last_leaf][last_unit + 1 :], self.counts[last_leaf][last_unit + 1 :]
         self.units[leaf] = self.units[leaf][:unit] + units + (tail_units if leaf == last_leaf else [])
         self.counts[leaf] = self.counts[leaf][:unit] + counts + (tail_counts if leaf == last_leaf else [])
@@ -179,15 +190,21 @@ def count_edits(docs: DataFrame, edits: str = "edits", key: str = "doc_id", text
             for keys, body in text_blocks(batch.column(0), batch.column(1)):
                 units = [UNIT.findall(t) for t in body]
                 counts, i = bpe.encode([u for x in units for u in x])[1].tolist(), 0
-                out: list[tuple] = []
+                trees, todo = [], []
                 for k, own in enumerate(units):
-                    tree = TokenTree("", bpe, own, counts[i : i + len(own)])
+                    trees.append(TokenTree("", bpe, own, counts[i : i + len(own)]))
+                    todo.append(changes[at + k] or ())
                     i += len(own)
-                    before = tree.total
-                    for e in changes[at + k] or ():
-                        tree.edit(e["start"] or 0, e["stop"] or 0, e["new"] or "")
-                    edited = tree.text
-                    out.append((before, tree.total, len(edited), hashlib.sha256(edited.encode()).hexdigest(), tree.encoded_chars))
+                before = [t.total for t in trees]
+                for step in range(max(map(len, todo), default=0)):  # one edit of each text at a time, encoded together
+                    plans = [(t, t.plan(e[step]["start"] or 0, e[step]["stop"] or 0, e[step]["new"] or "")) for t, e in zip(trees, todo) if step < len(e)]
+                    fresh, j = bpe.encode([u for _, p in plans for u in p[0]])[1].tolist(), 0
+                    for t, p in plans:
+                        t.encoded_chars += sum(map(len, p[0]))
+                        t.apply(p, fresh[j : j + len(p[0])])
+                        j += len(p[0])
+                texts = [t.text for t in trees]
+                out = [(b, t.total, len(x), hashlib.sha256(x.encode()).hexdigest(), t.encoded_chars) for b, t, x in zip(before, trees, texts)]
                 at += len(body)
                 columns = list(zip(*out)) if out else [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
