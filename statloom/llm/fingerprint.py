@@ -3,7 +3,8 @@
 The lexicon holds the terms whose inverse document frequency ln(N / df) lies in a chosen band. A document's
 terms inside the band are sorted and hashed whole, and once for each random subset of the lexicon. Subsets come in
 ``SERIES`` nested chains: the first of a chain keeps one term in 2 ** ``FIRST_BITS``, each further one half of the last, ``DEPTH`` in all,
-so that short and very long documents both meet subsets in which they have a handful of terms. Built from DataFrame and SQL functions alone.
+so that short and very long documents both meet subsets in which they have a handful of terms. A document with fewer than ``FEW`` terms
+in the band is hashed over all its terms instead. Built from DataFrame and SQL functions alone.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from statloom.llm.common import written
 SERIES, DEPTH, FIRST_BITS = 6, 8, 3
 #: Idf band of the lexicon: a term of fewer than N * exp(-IDF_HIGH) documents is noise, of more than N * exp(-IDF_LOW) a stop word.
 IDF_LOW, IDF_HIGH = 1.6, 7.6
+#: A document with fewer terms in the band is fingerprinted over all its terms.
+FEW = 8
 #: A larger lexicon is joined by a shuffle instead of a broadcast.
 BROADCAST_TERMS = 2_000_000
 HEX = 8
@@ -28,13 +31,14 @@ def term_hashes(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text", idf_low: float = IDF_LOW, idf_high: float = IDF_HIGH) -> DataFrame:
-    """Hashes of the terms in the idf band, counted over all documents: rows (term).
+    """Hashes of the terms in the idf band, counted over all distinct texts, so that copies do not lift their terms out of it: rows (term).
 
-    Each document has each term once, so terms in at least N * exp(-idf_high) documents number at most
-    exp(idf_high) times the mean number of distinct terms of a document, however large the corpus is.
+    Each text has each term once, so terms in at least N * exp(-idf_high) texts number at most
+    exp(idf_high) times the mean number of distinct terms of a text, however large the corpus is.
     """
-    n = docs.count()
-    counts = docs.select(F.explode(term_hashes(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    n = docs.select(F.xxhash64(body), F.hash(body), F.octet_length(body)).distinct().count()
+    counts = docs.select(body.alias("body")).distinct().select(F.explode(term_hashes(F.col("body"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(float(max(n, 1))) / F.col("df"))
     return counts.where(idf.between(idf_low, idf_high)).select("term")
 
@@ -109,7 +113,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", piece
     """Fingerprint every text and its edited form, in which the last quarter gives way to the start of the next row's text.
 
     Rows: key, n_chars (code points), edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next
-    (likeness to the edited text's and to the next row's fingerprint). A null text counts as empty. A text without terms in the band
+    (likeness to the edited text's and to the next row's fingerprint). A null text counts as empty. A text with fewer than ``FEW`` terms in
+    the band is fingerprinted over all its terms, and near_edited compares all terms if that holds for either text; a text without terms
     is fingerprinted by its own hash, so equal texts agree and others do not. Repeated rows stay; a lone row is its own
     next; an empty table gives no rows; other columns are not carried. Null keys come last in the order.
 
@@ -135,15 +140,17 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", piece
     rows = rows.withColumn("t", F.explode(spread)).withColumns({"term": F.col("t.term"), "side": F.col("t.side")})
     head = lambda c: F.when(F.col("side") == 0, F.col(c)).alias(c)
     rows = rows.select("piece", "at", "guest", "term", "side", *[head(c) for c in ("key", "n_chars", "sha", "own_hash", "edited_hash")])
-    rows = rows.join(terms, "term", "left").where("side = 0 or known")
-    sets = rows.groupBy("piece", "at", "guest").agg(
-        *[F.max(c).alias(c) for c in ("key", "n_chars", "sha", "own_hash", "edited_hash")],
-        F.array_sort(F.collect_list(F.when(F.col("side").isin(1, 3), F.col("term")))).alias("own"),
-        F.array_sort(F.collect_list(F.when(F.col("side").isin(2, 3), F.col("term")))).alias("other"),
-    )
-    hashed = sets.withColumns({"own": subset_hashes(F.col("own")), "other": subset_hashes(F.col("other"))})
-    coded = hashed.withColumns({"fingerprint": encode(F.col("own"), F.col("own_hash")), "edited_fingerprint": encode(F.col("other"), F.col("edited_hash"))})
+    rows = rows.join(terms, "term", "left")
+    held = lambda name, sides: [F.collect_list(F.when(F.col("side").isin(*sides) & c, F.col("term"))).alias(n) for n, c in ((name, F.col("known")), (f"all_{name}", F.lit(True)))]
+    sets = rows.groupBy("piece", "at", "guest").agg(*[F.max(c).alias(c) for c in ("key", "n_chars", "sha", "own_hash", "edited_hash")], *held("own", (1, 3)), *held("other", (2, 3)))
+    sets = sets.withColumns({"own_few": F.size("own") < FEW, "other_few": F.size("other") < FEW})
+    #: All terms of the one text that is not fingerprinted over all of them, where the other one is.
+    rest = F.when(F.expr("own_few and not other_few"), F.col("all_other")).when(F.expr("other_few and not own_few"), F.col("all_own")).otherwise(F.slice("own", 1, 0))
+    chosen = lambda name: F.array_sort(F.when(F.col(f"{name}_few"), F.col(f"all_{name}")).otherwise(F.col(name)))
+    hashed = sets.withColumns({"own": subset_hashes(chosen("own")), "other": subset_hashes(chosen("other")), "rest": subset_hashes(F.array_sort(rest))})
+    coded = hashed.withColumns({"fingerprint": encode(F.col("own"), F.col("own_hash")), "edited_fingerprint": encode(F.col("other"), F.col("edited_hash")), "rest": encode(F.col("rest"), F.lit(0).cast("bigint"))})
+    near = likeness(F.when(F.expr("other_few and not own_few"), F.col("rest")).otherwise(F.col("fingerprint")), F.when(F.expr("own_few and not other_few"), F.col("rest")).otherwise(F.col("edited_fingerprint")))
     coded = coded.withColumn("next_fingerprint", F.expr("lead(fingerprint) over (partition by piece order by at)")).where("guest = 0")
     return coded.select(
-        F.col("key").alias(key), "n_chars", F.col("sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next")
+        F.col("key").alias(key), "n_chars", F.col("sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint", near.alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next")
     )

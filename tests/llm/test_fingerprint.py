@@ -56,3 +56,16 @@ def test_few_or_no_rows(spark):
     assert one.near_next == 1.0
     twice = fingerprints(df.where("doc_id = 4").unionByName(df.where("doc_id = 4"))).collect()
     assert len(twice) == 2 and all(r.near_next == 1.0 for r in twice)
+
+
+def test_text_of_a_third_of_the_rows_and_texts_of_rare_terms(spark):
+    hot = " ".join(f"hot{k}" for k in range(60))
+    other = [" ".join(f"w{i * 7 % 50 + k}" for k in range(40)) for i in range(80)]
+    near = hot.replace("hot30 ", "")
+    rows = [(i, t) for i, t in enumerate(other)] + [(1000 + i, hot) for i in range(40)] + [(2000, near)]
+    got = {r.doc_id: r for r in fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1039].near_next > 0.3 and got[1039].near_edited > 0.05 and got[2000].near_edited > 0.05
+    assert len({got[1000 + i].fingerprint for i in range(40)}) == 1
+    rare = [(i, t) for i, t in enumerate(other)] + [(3000, " ".join(f"rare{k}" for k in range(60))), (3001, " ".join(f"rare{k}" for k in range(59)) + " plain")]
+    got = {r.doc_id: r for r in fingerprints(spark.createDataFrame(rare, "doc_id long, text string"), idf_high=3.0).collect()}
+    assert got[3000].near_next > 0.3 and got[3001].near_edited > 0.05
