@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from statloom.dataset import Dataset
 from statloom.functions import dist, scalars
 from statloom.operators import bivariate, columns, doe, encode, mlr, monitor, multi, ordered, pareto, pca, rows, select, surface, univariate
-from statloom.operators.charts import quantile_pairs
+from statloom.operators.charts import normal_quantile_column, quantile_pairs
 from statloom.operators.missing import reconstructed
 from statloom.plans.catalog import Workspace
 from statloom.sources import readers, writers
@@ -299,3 +299,11 @@ def test_workspace(spark, tmp_path):
     w.write(str(tmp_path / "ws"))
     assert Workspace.read(spark, str(tmp_path / "ws")).frames["data"].count() == 5
     assert w.clear("split") == 2 and w.delete("data") and not w.delete("data")
+
+
+def test_normal_quantiles_at_any_size(spark):
+    places = [1e-300, 1e-12, 1e-5, 0.01, 0.074, 0.075, 0.2, 0.5, 0.7, 0.925, 0.926, 0.99, 1 - 1e-9]
+    rows = spark.createDataFrame([(p,) for p in places], "p double").select("p", normal_quantile_column(F.col("p")).alias("z")).collect()
+    assert all(abs(r.z - dist.normal_quantile(r.p)) <= 1e-13 * max(1, abs(r.z)) for r in rows)
+    big = quantile_pairs(spark.range(100_500).select(F.col("id").cast("double").alias("x")), "x").where("position % 1000 = 7").collect()
+    assert len(big) == 101 and all(abs(r.theoretical - dist.normal_quantile(r.p)) < 1e-13 for r in big)
