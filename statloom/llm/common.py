@@ -38,11 +38,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(done_with, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that no later step reads."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected ``links`` (a, b longs): rows (node, component), the smallest node reached.
+    """Connected components of undirected ``links`` (a, b of one orderable type): rows (node, component), the smallest node reached.
 
     Alternating large-star and small-star steps: each moves whole neighbourhoods to their smallest member, so
     the rounds grow with the logarithm of the longest path. Every round is an aggregation with map-side combine
@@ -66,7 +76,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        edges = written(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
+        before, edges = edges, written(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
+        discard(before)
         now = state(edges)
         if now == last:
             break

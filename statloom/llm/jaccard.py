@@ -1,13 +1,15 @@
 """Exact n-gram Jaccard join as a blocked sparse matrix product.
 
-Think of the 0/1 matrix of documents by n-grams; the overlaps of all pairs are its product with its transpose. The columns are
-hashed into blocks, as many that a pair at the similarity threshold, whose sets differ in a bounded number of n-grams,
-must agree in a whole block: this size-derived bound leaves only pairs that share a block's content. Overlap counts
-are added up over the shared blocks; a pair that they lift over its bound is linked, others get the exact product of
-their rows. In a group of documents that share a block, rows are only multiplied by the group's first row: first each row by
-the one it shares most with, then the pairs that are still in different components. Rows that a first row leaves
-apart are compared by their differences from it, which bound what they share (see across_links), so a large group of near
-copies does not give all its pairs.
+Think of the 0/1 matrix of documents by n-grams; the overlaps of all pairs are its product with its transpose. Most of that product is
+nothing, so the work goes in two steps.
+
+1. Rows are brought into families outside of which no link can be. The columns are hashed into blocks, as many that a
+   pair at the similarity threshold, whose sets differ in a bounded number of n-grams, must agree in a whole block:
+   this size-derived bound joins documents that share a block's content, and nothing else has to be multiplied.
+2. Families are cut into blocks of rows of bounded size, and a tile multiplies two blocks in numpy: it adds up overlap counts over blocks of
+   columns and discards rows all of whose pairs have fallen below what their sizes ask. A tile gives the links of
+   a spanning forest, never its pairs. Small families share tiles. In a large one every block is first multiplied by the family's first
+   block, which links most near copies; then by the other blocks, but for those that lie in one component already.
 """
 
 from __future__ import annotations
@@ -19,16 +21,18 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import components, written
+from statloom.llm.common import components, discard, written
 from statloom.llm.shingles import mix, shingle_sets
 from statloom.llm.tokens import text_blocks
 
-
-#: Beyond so many pairs their rows are brought together in so many slices, one after the other, for the sake of the disk.
-SLICE_PAIRS, SLICES = 10_000, 4
+#: Sets and n-grams of a block of rows: what a task holds at once. Their number only sets how many blocks there are.
+BLOCK_SETS, BLOCK_GRAMS = 512, 1_000_000
+#: Columns multiplied at once, and the sets up to which a column is added pair by pair instead.
+BLOCK_COLUMNS, LIGHT = 2048, 16
+NAME = "decimal(38,0)"
 
 
 class Bounds:
@@ -60,8 +64,8 @@ class Bounds:
         return differ, differ + 1 + empty, empty
 
 
-def signatures(values: np.ndarray, i: int, bounds: Bounds) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of one set (ascending hashes) as a member of class i, and the n-grams each stands for (0: not counted).
+def signatures(values: np.ndarray, i: int, bounds: Bounds) -> np.ndarray:
+    """Signatures of one set (ascending hashes) as a member of class i.
 
     A pair of the class at the threshold has a signature in common:
     - if it may differ in one n-gram, the whole set or the set without one n-gram;
@@ -71,195 +75,260 @@ def signatures(values: np.ndarray, i: int, bounds: Bounds) -> tuple[np.ndarray,
     differ, blocks, empty = bounds.blocks(i)
     tag = mix(np.array([i], np.uint64))[0]
     if differ == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     mixed = mix(values + tag)
-    total = mixed.sum(dtype=np.uint64)
     if differ == 1:
-        sig = mix(np.r_[total, total - mixed] ^ tag)
-        return sig, np.zeros(len(sig), np.int64)
+        total = mixed.sum(dtype=np.uint64)
+        return mix(np.r_[total, total - mixed] ^ tag)
     block = (values % np.uint64(blocks)).astype(np.int64)
     sums = np.zeros(blocks, np.uint64)
     np.add.at(sums, block, mixed)
-    count = np.bincount(block, minlength=blocks)
-    full = np.flatnonzero(count)
-    sig, n = mix(sums[full] + mix(full.astype(np.uint64) + tag)), count[full]
+    full = np.flatnonzero(np.bincount(block, minlength=blocks))
+    sig = mix(sums[full] + mix(full.astype(np.uint64) + tag))
     if blocks - len(full) > empty:
         first = values[: len(values) - ceil(bounds.num * len(values) / bounds.den) + 1]
-        sig, n = np.r_[sig, mix(mix(first) ^ ~tag)], np.r_[n, np.zeros(len(first), np.int64)]
-    return sig, n
+        sig = np.r_[sig, mix(mix(first) ^ ~tag)]
+    return sig
 
 
-def _columns(*arrays) -> list[pa.Array]:
-    return [a if isinstance(a, pa.Array) else pa.array(a) for a in arrays]
+def names_of(values: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """A 120-bit name of each set (null: empty), and its low 63 bits, by which sets are brought together."""
+    raw, full = memoryview(values.tobytes()), np.diff(ends) > 0
+    digest = b"".join(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=15).digest() + b"\0" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()))
+    low = np.frombuffer(digest, "<i8")[::2] & np.int64(2**63 - 1)
+    valid = pa.py_buffer(np.packbits(full, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(full), [valid, pa.py_buffer(digest)]), low
 
 
-def summaries(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """Rows (key, n_shingles, node): node names a set by 64 bits of its hash; equal sets share it; null for an empty set."""
+def _over_texts(docs: DataFrame, n: int, key: str, text: str, schema: str, rows) -> DataFrame:
+    """``rows(keys, values, ends)`` of each block of texts, their sets lying in ``values`` one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, body in text_blocks(batch.column(0), batch.column(1)):
-                values, ends = shingle_sets(body, n)
-                size = np.diff(ends)
-                yield pa.RecordBatch.from_arrays(_columns(keys, size, pa.array(nodes(values, ends), pa.int64())), names=[key, "n_shingles", "node"])
+                yield from rows(keys, *shingle_sets(body, n))
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_shingles bigint, node bigint")
+    return docs.select(key, text).mapInArrow(run, schema)
 
 
-def nodes(values: np.ndarray, ends: np.ndarray) -> list[int | None]:
-    raw = memoryview(values.tobytes())
-    return [int.from_bytes(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest(), "little", signed=True) if b > a else None for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+def summaries(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
+    """Rows (key, n_shingles, name, near) of every document; equal sets have one name, ``near`` is its low bits."""
 
+    def rows(keys, values, ends):
+        name, low = names_of(values, ends)
+        yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(ends)), name, pa.array(low)], names=[key, "n_shingles", "name", "near"])
 
-def signature_rows(docs: DataFrame, n: int, bounds: Bounds, key: str, text: str) -> DataFrame:
-    """Rows (sig, node, size, kind, n): signatures of every document's set, for its own class and the one before."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, body in text_blocks(batch.column(0), batch.column(1)):
-                values, ends = shingle_sets(body, n)
-                own = nodes(values, ends)
-                size = np.diff(ends)
-                out: list[tuple] = []
-                for d in np.flatnonzero(size).tolist():
-                    v = values[ends[d] : ends[d + 1]]
-                    i = int(bounds.classes(size[d]))
-                    for c in range(max(i - 1, 0), i + 1):
-                        sig, count = signatures(v, c, bounds)
-                        out.append((sig, np.full(len(sig), own[d]), np.full(len(sig), size[d]), np.full(len(sig), c, np.int16), count))
-                if out:
-                    sig, node, many, kind, count = (np.concatenate(x) for x in zip(*out))
-                    for a in range(0, len(sig), 100_000):
-                        b = a + 100_000
-                        yield pa.RecordBatch.from_arrays(_columns(sig[a:b].view(np.int64), node[a:b], many[a:b].astype(np.int32), kind[a:b], count[a:b].astype(np.int32)), names=["sig", "node", "size", "kind", "n"])
-
-    return docs.select(key, text).mapInArrow(run, "sig bigint, node bigint, size int, kind smallint, n int")
+    return _over_texts(docs, n, key, text, f"`{key}` {dict(docs.dtypes)[key]}, n_shingles bigint, name {NAME}, near bigint", rows)
 
 
-def set_rows(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """Rows (node, grams): each document's set."""
+def signature_rows(docs: DataFrame, n: int, bounds: Bounds, key: str, text: str) -> DataFrame:
+    """Rows (sig, near): signatures of every document's set, for its own class and the one before."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, body in text_blocks(batch.column(0), batch.column(1)):
-                values, ends = shingle_sets(body, n)
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays(_columns(pa.array(nodes(values, ends), pa.int64()), lists), names=["node", "grams"])
+    def rows(keys, values, ends):
+        low, size = names_of(values, ends)[1], np.diff(ends)
+        sigs, nears = [], []
+        for d in np.flatnonzero(size).tolist():
+            v, i = values[ends[d] : ends[d + 1]], int(bounds.classes(size[d]))
+            for c in range(max(i - 1, 0), i + 1):
+                sigs.append(signatures(v, c, bounds))
+                nears.append(np.full(len(sigs[-1]), low[d]))
+        if sigs:
+            sig, near = np.concatenate(sigs).view(np.int64), np.concatenate(nears)
+            for a in range(0, len(sig), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + 100_000]), pa.array(near[a : a + 100_000])], names=["sig", "near"])
 
-    return docs.select(key, text).mapInArrow(run, "node bigint, grams array<bigint>")
+    return _over_texts(docs, n, key, text, "sig bigint, near bigint", rows)
 
 
-def sets_of(chosen: DataFrame, base: DataFrame, docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """Rows (node, grams) of the nodes in ``chosen``, from one document of each."""
-    keys = base.join(chosen, "node", "left_semi").groupBy("node").agg(F.min(key).alias(key)).select(key).distinct()
-    return written(set_rows(docs.join(keys, key, "left_semi"), n, key, text).dropDuplicates(["node"]), "sets")
+def set_rows(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
+    """Rows (name, near, n, grams): each document's set, empty ones left out."""
 
+    def rows(keys, values, ends):
+        name, low = names_of(values, ends)
+        size = np.diff(ends)
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([name, pa.array(low), pa.array(size), lists], names=["name", "near", "n", "grams"]).filter(pa.array(size > 0))
 
-def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    return pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    return _over_texts(docs, n, key, text, f"name {NAME}, near bigint, n bigint, grams array<bigint>", rows)
 
 
-def changes(pairs: DataFrame, bounds: Bounds) -> DataFrame:
-    """Rows (lead, node, size, d, size_d, near): the n-grams in which a document differs from its group's first one, added ones first.
+def overlap_links(size: np.ndarray, values: np.ndarray, bounds: Bounds) -> np.ndarray:
+    """For each of some sets (sizes, n-grams one after the other) the first set of its component under the links between them.
 
-    ``near``: they differ by no more than linked documents do. Added n-grams carry the sign bit, so an array of them is sorted as it has to be.
+    Overlaps are added up over columns, those of few sets first. A set that can reach the threshold with no other one by
+    what it and the others have left is discarded on the way.
     """
-    added = F.transform(F.array_except("x", "y"), lambda t: t.bitwiseOR(F.lit(-(2**63))))
-    gone = F.transform(F.array_except("y", "x"), lambda t: t.bitwiseAND(F.lit(2**63 - 1)))
-    rows = pairs.select(F.col("b").alias("lead"), F.col("a").alias("node"), F.size("x").alias("size"), F.size("y").alias("lead_size"), F.array_sort(F.concat(added, gone)).alias("d"))
-    rows = rows.withColumn("size_d", F.size("d"))
-    limit = (F.col("size") + F.col("lead_size")) * (bounds.den - bounds.num)
-    return rows.withColumn("near", F.col("size_d") * (bounds.den + bounds.num) <= limit)
-
-
-def across_links(diff: DataFrame, found: DataFrame, bounds: Bounds) -> DataFrame:
-    """Links (a, b) between documents of one group that its first document left in different components.
-
-    x and y differ exactly where their changes against the first document differ: |x ^ y| = |Dx ^ Dy|. Linked ones differ in at
-    most H = k (|x| + |y|) n-grams, so their changes share at least c = (|Dx| + |Dy| - H) / 2. One of them, y, is not near the
-    first document, |Dy| > k (|y| + |first|), and |Dy| >= |Dx| - H, which bounds c from below by x alone. In any common order, the first common
-    change is then among the first |Dx| - c + 1 of x. Added n-grams come first: they are rare, while copies
-    of one text often lose the same ones.
+    num, den = bounds.num, bounds.den
+    _, column, held = np.unique(values, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(size)), size)
+    shared = held[column] > 1
+    while True:  # what is shared with others must be enough by the set's own size
+        own = np.bincount(row[shared], minlength=len(size))
+        alive = own * den >= num * size
+        now = shared & alive[row]
+        now[now] = np.bincount(column[now], minlength=len(held))[column[now]] > 1
+        if np.array_equal(now, shared):
+            break
+        shared = now
+    label = np.arange(len(size))
+    where = np.flatnonzero(alive & (own > 0))
+    if len(where) < 2:
+        return label
+    row, column = np.searchsorted(where, row[shared]), column[shared]
+    order = np.lexsort((row, np.bincount(column, minlength=len(held))[column] * np.int64(len(held)) + column))
+    row, column = row[order], column[order]
+    n, left, need = len(where), own[where], size[where]
+    need = -(-num * (need[:, None] + need[None, :]) // (num + den))
+    np.fill_diagonal(need, np.iinfo(np.int64).max)
+    start = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
+    held = np.diff(np.r_[start, len(column)])
+    light = int(start[np.searchsorted(held, LIGHT, side="right")]) if held[-1] > LIGHT else len(column)
+    counts = np.zeros((n, n), np.int64)
+    for step in range(1, LIGHT):
+        same = np.flatnonzero(column[step:light] == column[: max(light - step, 0)])
+        counts += np.bincount(row[same] * n + row[same + step], minlength=n * n).reshape(n, n)
+    counts += counts.T
+    left = left - np.bincount(row[:light], minlength=n)
+    first = int(np.searchsorted(start, light))
+    live = np.arange(n)
+    while first < len(start):
+        may = (counts[np.ix_(live, live)] + np.minimum(left[live][:, None], left[live]) >= need[np.ix_(live, live)]).any(1)
+        live = live[may]
+        if not len(live):
+            break
+        stop = min(first + BLOCK_COLUMNS, len(start))
+        a, b = start[first], start[stop] if stop < len(start) else len(column)
+        seat = np.full(n, -1)
+        seat[live] = np.arange(len(live))
+        r, c = seat[row[a:b]], np.repeat(np.arange(stop - first), held[first:stop])
+        block = np.zeros((len(live), stop - first), np.float32)
+        block[r[r >= 0], c[r >= 0]] = 1
+        counts[np.ix_(live, live)] += (block @ block.T).astype(np.int64)
+        left = left - np.bincount(row[a:b], minlength=n)
+        first = stop
+    linked = counts >= need  # what was discarded on the way has no link
+    lowest = np.arange(n)
+    while True:
+        now = np.minimum(lowest, np.where(linked, lowest[None, :], n).min(1))
+        now = now[now]
+        if np.array_equal(now, lowest):
+            break
+        lowest = now
+    label[where] = where[lowest]
+    return label
+
+
+def tile_links(rows: DataFrame, bounds: Bounds, by: list[str]) -> DataFrame:
+    """Links (a, b) that join the same sets as the links within each tile do. Rows: the columns ``by``, name, n, grams."""
+
+    def product(tile: pa.Table) -> pa.Table:
+        name, lists = tile.column("name").combine_chunks(), tile.column("grams").combine_chunks()
+        size = np.asarray(lists.value_lengths(), np.int64)
+        label = overlap_links(size, np.asarray(lists.flatten()), bounds)
+        a = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": name.take(pa.array(a)), "b": name.take(pa.array(label[a]))})
+
+    return rows.select(*by, "name", "n", "grams").groupBy(*by).applyInArrow(product, f"a {NAME}, b {NAME}").distinct()
+
+
+def blocks_for(sets: Column | str, grams: Column | str) -> Column:
+    """Blocks of rows for so many sets with so many n-grams, 1 at least."""
+    sets, grams = (F.col(x) if isinstance(x, str) else x for x in (sets, grams))
+    return F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(grams / BLOCK_GRAMS), F.lit(1)).cast("bigint")
+
+
+def block_of(name: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(F.col(name)), blocks)
+
+
+def first_links(sets: DataFrame, large: DataFrame, total: tuple[int, int], bounds: Bounds) -> DataFrame:
+    """Links within small families, and in large ones (family, blocks) those of each block and the family's first block."""
+    shares = max(1, ceil(2 * total[0] / BLOCK_SETS), ceil(2 * total[1] / BLOCK_GRAMS))
+    own = block_of("name", F.col("blocks"))
+    tiles = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("bigint"))).when(own == 0, F.sequence(F.lit(1).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(own))
+    rows = sets.join(large, "family", "left").withColumns({"tile": F.explode(tiles), "place": F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("family"), F.lit(shares))).otherwise(F.col("family"))})
+    return tile_links(rows.withColumn("whole", F.col("blocks").isNotNull()), bounds, ["whole", "place", "tile"])
+
+
+def further_links(sets: DataFrame, large: DataFrame, found: DataFrame, bounds: Bounds) -> DataFrame:
+    """Links of large families between blocks that do not lie in one component ``found`` already.
+
+    A component of at least a block's size has blocks of its own, the others of a family share blocks.
     """
-    k = (bounds.den - bounds.num) / (bounds.den + bounds.num)
-    most = F.floor(F.col("size") * (k * (1 + bounds.den / bounds.num)) + 1e-6)  # H for the largest partner
-    other_far = F.ceil((F.col("size_d") + (F.col("lead_size") - F.col("size")) * k) / 2 - 1e-6)
-    both_far = F.greatest(F.lit(1), other_far, F.col("size_d") - most)
-    alone = F.greatest(F.lit(1), F.col("size_d") - most)
-    rows = diff.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = rows.withColumns({"short": F.greatest(F.col("size_d") - both_far + 1, F.lit(0)).cast("int"), "long": F.when(F.col("near"), 0).otherwise(F.col("size_d") - alone + 1).cast("int")})
-    tokens = rows.select("lead", "node", "component", "near", "short", F.posexplode(F.slice("d", 1, F.greatest("short", "long"))).alias("at", "token"))
-    side = lambda t, s: t.select("lead", "token", F.col("node").alias(f"{s}"), F.col("component").alias(f"component_{s}"))
-    early = tokens.where("at < short")
-    far = side(early.where("not near"), "a").join(side(early.where("not near"), "b"), ["lead", "token"]).where("a < b and component_a <> component_b")
-    mixed = side(early.where("near"), "a").join(side(tokens.where("not near"), "b"), ["lead", "token"]).where("component_a <> component_b")
-    pairs = far.unionByName(mixed).select("lead", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one = lambda s: rows.select("lead", F.col("node").alias(s), F.col("d").alias(f"d_{s}"), F.col("size").alias(f"size_{s}"))
-    both = written(pairs, "across").join(one("a"), ["lead", "a"]).join(one("b"), ["lead", "b"])
-    differ = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
-    return both.where(differ * (bounds.den + bounds.num) <= (F.col("size_a") + F.col("size_b")) * (bounds.den - bounds.num)).select("a", "b").distinct()
+    small = sets.select("name", "family", "n").join(large.select("family"), "family").join(found.withColumnRenamed("node", "name"), "name", "left")
+    small = written(small.withColumn("component", F.coalesce("component", "name")), "large-families")
+    counts = small.groupBy("family", "component").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
+    counts = counts.withColumn("whole", F.when((F.col("sets") >= BLOCK_SETS) | (F.col("grams") >= BLOCK_GRAMS), F.col("component")))
+    parts = counts.groupBy("family", "whole").agg(F.sum("sets").alias("sets"), F.sum("grams").alias("grams"), F.count("*").alias("components"))
+    parts = written(parts.withColumn("blocks", blocks_for("sets", "grams")), "parts")
+    unit = parts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select("family", F.struct(F.col("whole").alias("whole"), F.col("block")).alias("block"), "components")
+    left, right = (unit.select("family", F.col("block").alias(c), F.col("components").alias(f"of_{c}")) for c in "xy")
+    apart = F.expr("not (x.whole <=> y.whole) or (x.whole is null and of_x > 1)")
+    pairs = left.join(right, "family").where("x <= y").where(apart)
+    alone = unit.groupBy("family").agg(F.count("*").alias("k"))
+    pairs = pairs.join(alone, "family").where("x <> y or k = 1").select("family", "x", "y")
+    tiles = pairs.withColumn("block", F.explode(F.array_distinct(F.array("x", "y")))).select("family", "block", F.xxhash64("x", "y").alias("tile"))
+    whole = F.when((F.col("sets") >= BLOCK_SETS) | (F.col("grams") >= BLOCK_GRAMS), F.col("component"))
+    seats = small.join(counts.drop("whole"), ["family", "component"]).withColumn("whole", whole).select("family", "name", "whole")
+    seats = seats.alias("s").join(parts.alias("p"), F.expr("s.family = p.family and s.whole <=> p.whole"))
+    seats = seats.select("s.family", "s.name", F.struct(F.col("s.whole").alias("whole"), block_of("s.name", F.col("p.blocks")).alias("block")).alias("block"))
+    seats = written(seats.join(tiles, ["family", "block"]).select("family", "tile", "name"), "tiles")
+    out = written(tile_links(seats.join(sets.drop("family"), "name"), bounds, ["family", "tile"]), "further-links")
+    discard(small, parts, seats)
+    return out
+
+
+def near_sets(docs: DataFrame, base: DataFrame, n: int, bounds: Bounds, key: str, text: str) -> DataFrame:
+    """Rows (name, near, family, n, grams) of the sets that share a signature with another one; no link leaves a family."""
+    sigs = signature_rows(docs, n, bounds, key, text)
+    groups = written(sigs.groupBy("sig").agg(F.min("near").alias("lead"), F.max("near").alias("last")).where("lead <> last").drop("last"), "groups")
+    edges = written(sigs.join(groups, "sig").where("near <> lead").select(F.col("near").alias("a"), F.col("lead").alias("b")).distinct(), "edges")
+    family = written(components(edges).select(F.col("node").alias("near"), F.col("component").alias("family")), "families")
+    chosen = base.where("name is not null").join(family, "near", "left_semi").groupBy("name").agg(F.min(key).alias("_key"))
+    kind = dict(docs.dtypes)[key]
+    least = F.lit({"tinyint": -(2**7), "smallint": -(2**15), "int": -(2**31)}.get(kind, -(2**63))).cast(kind)  # stands for a null key
+    keys = written(chosen.select(F.coalesce("_key", least).alias("_key")).distinct(), "keys")
+    some = docs.select(key, text).join(keys, F.coalesce(F.col(key), least) == F.col("_key"), "left_semi")
+    sets = written(set_rows(some, n, key, text).join(family, "near").dropDuplicates(["name"]), "sets")
+    discard(groups, edges, family, keys)
+    return sets
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (85, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Components of documents under links at threshold[0] / threshold[1] Jaccard similarity of their n-word shingle sets, exactly.
+    """Components of documents under links at threshold[0] / threshold[1] Jaccard similarity of their n-word shingle sets.
 
     Rows: key, n_shingles, component_id (smallest key reachable), node (equal for equal sets), copies (rows in the component).
     A text of fewer words is one shingle. Null and wordless texts have an empty set and are linked with nothing: they are
-    components of their own. Rows of equal key are one vertex of the graph only if their sets are equal. An empty table
-    gives no rows; other columns are not carried. The key must be a whole number.
+    components of their own. Rows of equal key are one vertex of the graph only if their sets are equal. Rows with a null key take part like others; a component
+    of these alone has no id. An empty table gives no rows; other columns are not carried. The key must be a whole number.
 
-    Equal sets are one node (64-bit hash of the set), so groups of copies never meet each other. Signature groups are
-    found by an aggregation with map-side combine and joined back by an equi-join that AQE may split; no group is gathered in a task.
+    Every link counts; shingles are told apart by 64 bits, sets by 120. Equal sets are one node, so groups of copies never meet each other. Signature
+    groups are found by an aggregation with map-side combine and joined back by an equi-join that AQE may split; no family
+    is gathered in a task, only bounded blocks of it.
     """
     bounds = Bounds(*threshold)
     base = written(summaries(docs, n, key, text), "sets-of")
-    sigs = signature_rows(docs, n, bounds, key, text)
-    firsts = sigs.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").drop("last")
-    members = sigs.join(written(firsts, "groups"), "sig").where("node <> lead")
-    members = written(members.groupBy("sig", "node", "lead", "kind").agg(F.max("n").alias("n"), F.max("size").alias("size")), "members")
-    shared = members.groupBy("node", "lead", "kind").agg(F.sum("n").alias("shared"), F.max("size").alias("size"))
-    shared = shared.groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.max("shared").alias("shared"), F.max("size").alias("size"))
-    sizes = base.where("node is not null").groupBy(F.col("node").alias("b")).agg(F.max("n_shingles").alias("lead_size"))
-    shared = written(shared, "shared").join(sizes, "b")
-    need = F.ceil(F.lit(bounds.num) * (F.col("size") + F.col("lead_size")) / F.lit(bounds.num + bounds.den))
-    state = F.when(F.col("shared") >= need, "sure").when(F.least("size", "lead_size") >= need, "open").otherwise("far")
-    star = written(shared.select("a", "b", "shared", state.alias("state")), "star")
-    sure = star.where("state = 'sure'").select("a", "b")
-    best = star.where("state = 'open'").groupBy("a").agg(F.max(F.struct("shared", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    best = written(best, "best")
-    sets = sets_of(best.select(F.explode(F.array("a", "b")).alias("node")).distinct(), base, docs, n, key, text)
-    both = with_sets(best, sets)
-    need = F.ceil(F.lit(bounds.num) * (F.size("x") + F.size("y")) / F.lit(bounds.num + bounds.den))
-    links = written(sure.unionByName(both.where(F.size(F.array_intersect("x", "y")) >= need).select("a", "b")), "links")
+    sets = near_sets(docs, base, n, bounds, key, text)
+    families = sets.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("grams")).withColumn("blocks", blocks_for("sets", "grams"))
+    families = written(families, "families")
+    total = families.where("blocks = 1").agg(F.coalesce(F.sum("sets"), F.lit(0)), F.coalesce(F.sum("grams"), F.lit(0))).first()
+    large = written(families.where("blocks > 1").select("family", "blocks"), "large")
+    links = written(first_links(sets, large, (total[0], total[1]), bounds), "links")
     found = written(components(links), "components")
-    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"component_{c}"))
-    apart = F.coalesce("component_a", "a") != F.coalesce("component_b", "b")
-    star = written(star.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", "state", apart.alias("apart")), "star")
-    crowds = members.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
-    crowd = members.join(crowds, "sig", "left_semi").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    crowd = written(crowd.join(star, ["a", "b"]).select("a", "b", "apart"), "crowd")
-    unsettled = crowd.where("apart").select("b").distinct()
-    asked = star.where("state = 'open' and apart").select("a", "b").join(best, ["a", "b"], "left_anti")
-    asked = written(asked.unionByName(crowd.join(unsettled, "b", "left_semi").select("a", "b")).distinct(), "asked")
-    pairs = asked.count()
-    if pairs:
-        sets = sets_of(asked.select(F.explode(F.array("a", "b")).alias("node")).distinct(), base, docs, n, key, text)
-        slices = SLICES if pairs > SLICE_PAIRS else 1
-        parts = [written(changes(with_sets(asked.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == i), sets), bounds), "changes") for i in range(slices)]
-        diff = parts[0]
-        for part in parts[1:]:
-            diff = diff.unionByName(part)
-        near = diff.where("near").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-        links = written(links.unionByName(near).distinct(), "links")
-        found = written(components(links), "components")
-        more = written(across_links(diff, found, bounds), "more-links")
+    if large.count():
+        more = further_links(sets, large, found, bounds)
         if more.count():
+            discard(found)
             found = written(components(links.unionByName(more)), "components")
-    copies = base.where("node is not null").groupBy("node").agg(F.min(key).alias("least"), F.count("*").alias("rows"))
-    placed = copies.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    names = placed.groupBy("c").agg(F.min("least").alias("component_id"), F.sum("rows").alias("copies"))
-    named = written(placed.join(names, "c").select("node", "component_id", "copies"), "named")
-    return base.join(named, "node", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"), "node", F.coalesce("copies", F.lit(1)).alias("copies"))
+        discard(more)
+    discard(sets, families, large, links)
+    copies = base.where("name is not null").groupBy("name").agg(F.min(key).alias("least"), F.count("*").alias("rows"))
+    placed = written(copies.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("c", F.coalesce("component", "name")), "placed")
+    groups = placed.groupBy("c").agg(F.min("least").alias("component_id"), F.sum("rows").alias("copies"))
+    named = written(placed.join(groups, "c").select("name", "component_id", "copies"), "named")
+    discard(found, placed)
+    named = base.join(named, "name", "left")
+    return named.select(key, "n_shingles", F.when(F.col("name").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"), F.col("name").alias("node"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100), key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,6 +20,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A random number for each byte, A-Z as a-z; a word's hash weighs it by another one for its place, so no two texts collide by their structure.
+_OF_BYTE = mix((_LOWER.astype(np.uint64) + np.uint64(1)) * _BASE)
+
+
+def place_weights(n: int) -> np.ndarray:
+    """Odd pseudo-random weights of the first ``n`` places of a word."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * _MIX1) | np.uint64(1)
+
+
 def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes, a line break after each, and the first byte of each (n + 1 numbers)."""
     raw = [t.encode() for t in texts]
@@ -37,8 +46,7 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     length = stop - start
     first = np.cumsum(length) - length
     within = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
-    power = np.cumprod(np.r_[np.uint64(1), np.full(int(length.max()) - 1, _BASE, np.uint64)])
-    value = np.add.reduceat((_LOWER[data[~gap]] + np.uint64(1)) * power[within], first)
+    value = np.add.reduceat(_OF_BYTE[data[~gap]] * place_weights(int(length.max()))[within], first)
     return mix(value + length.astype(np.uint64) * _MIX2), start, stop
 
 

@@ -6,7 +6,11 @@ from itertools import combinations
 
 import pytest
 
-from statloom.llm.jaccard import Bounds, jaccard_components, one_of_each
+import numpy as np
+
+from statloom.llm import jaccard
+from statloom.llm.jaccard import Bounds, jaccard_components, one_of_each, overlap_links
+from statloom.llm.shingles import shingle_sets, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -59,6 +63,42 @@ def test_components_equal_all_pairs(spark, seed, n, threshold):
     assert 5 < len({c for _, c in want.values()}) < len(rows)
 
 
+def test_large_families_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 400)
+    rows = near_copies(4, families=3, copies=40)
+    want = brute_force(rows, 4, 85, 100)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize(("light", "columns"), [(1, 1), (2, 8), (16, 2048)])
+def test_product_against_all_pairs(monkeypatch, light, columns):
+    monkeypatch.setattr(jaccard, "LIGHT", light)
+    monkeypatch.setattr(jaccard, "BLOCK_COLUMNS", columns)
+    rows = near_copies(5, families=4, copies=20)
+    want = brute_force([(i, t) for i, (_, t) in enumerate(rows)], 4, 85, 100)
+    values, ends = shingle_sets([t for _, t in rows], 4)
+    assert overlap_links(np.diff(ends), values, Bounds(85, 100)).tolist() == [c for _, c in want.values()]
+
+
+def test_words_of_one_polynomial_hash_are_told_apart(spark):
+    """Thue-Morse words have equal polynomial hashes modulo 2 ** 64 in any base."""
+    for size in (1024, 2048, 4096):
+        a = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+        b = a.translate({97: 98, 98: 97})
+        assert len(set(words([a, b])[0].tolist())) == 2
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame([(1, f"x {a}"), (2, f"x {b}")], "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2}
+
+
+def test_near_copies_of_rows_without_a_key(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, text), (5, text + " end"), (7, "the " + text), (None, "else " * 9)]
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0), (0, 5), (5, 5), (7, 5)]
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one TWO"), (6, "one"), (7, "é É"), (8, "a " * 3000), (9, "a " * 3000), (None, "one"), (10, None), (11, "x y z w v"), (11, "x y z w v")]
     df = spark.createDataFrame([(i, t, "s", 0) for i, t in rows], "doc_id long, text string, node string, size int")
