@@ -22,11 +22,13 @@ FEW = 8
 #: A larger lexicon is joined by a shuffle instead of a broadcast.
 BROADCAST_TERMS = 2_000_000
 HEX = 8
+#: Marks of a term in its low three bits, which no hash keeps.
+OWN, EDITED, KNOWN = 1, 2, 4
 
 
 def term_hashes(text: Column) -> Column:
     """Distinct 64-bit hashes of the lower-case words (runs of letters and digits) of a text."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
@@ -46,11 +48,12 @@ def lexicon(docs: DataFrame, text: str = "text", idf_low: float = IDF_LOW, idf_h
 def subset_hashes(terms: Column) -> Column:
     """Array of 1 + SERIES * DEPTH hashes of a sorted term array; null where a subset has no term of it."""
 
-    bits, mask = FIRST_BITS + DEPTH - 1, (1 << FIRST_BITS) - 1
+    bits = FIRST_BITS + DEPTH - 1
 
     def chain(first: int) -> Column:
         """Hashes of the nested subsets given by ``bits`` bits of each term, from bit ``first`` on."""
-        base = F.filter(terms, lambda t: F.shiftrightunsigned(t, first).bitwiseAND(F.lit(mask)) == mask)
+        mask = ((1 << FIRST_BITS) - 1) << first
+        base = F.filter(terms, lambda t: t.bitwiseAND(F.lit(mask)) == mask)
         halve = lambda acc, j: F.array_append(acc, F.filter(F.element_at(acc, -1), lambda t: F.getbit(t, j) == 1))
         steps = F.aggregate(F.sequence(F.lit(first + FIRST_BITS), F.lit(first + bits - 1)), F.array(base), halve)
         return F.transform(steps, lambda a: F.when(F.size(a) > 0, F.xxhash64(a)))
@@ -67,14 +70,12 @@ def encode(hashes: Column, fallback: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the subsets with a term of either document whose hashes agree; 1 for equal fingerprints."""
-    parts = F.transform(
-        F.sequence(F.lit(0), F.lit(SERIES * DEPTH - 1)),
-        lambda i: F.struct(F.substr(a, i * HEX + 17, F.lit(HEX)).alias("x"), F.substr(b, i * HEX + 17, F.lit(HEX)).alias("y")),
-    )
-    live = F.filter(parts, lambda p: (p["x"] != "-" * HEX) | (p["y"] != "-" * HEX))
-    agree = F.size(F.filter(live, lambda p: p["x"] == p["y"]))
-    return F.when(a == b, 1.0).when(F.size(live) == 0, 0.0).otherwise(agree / F.size(live))
+    """Share of the subsets with a term of either document whose hashes agree, for two arrays of ``subset_hashes``; 1 for arrays that agree in all."""
+    low = lambda h: h.bitwiseAND(F.lit((1 << 4 * HEX) - 1))
+    #: 2: both have the same, 1: one has none or they differ, 0: neither has any.
+    parts = F.zip_with(F.slice(a, 2, SERIES * DEPTH), F.slice(b, 2, SERIES * DEPTH), lambda x, y: F.when(low(x) == low(y), 2).when(F.coalesce(x, y).isNull(), 0).otherwise(1))
+    live, agree = SERIES * DEPTH - F.size(F.filter(parts, lambda p: p == 0)), F.size(F.filter(parts, lambda p: p == 2))
+    return F.when(live == 0, 0.0).otherwise(agree / live)
 
 
 def range_bounds(docs: DataFrame, key: str, pieces: int) -> list[int]:
@@ -122,7 +123,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", piece
     (a shuffled join beyond ``broadcast_terms``) and are gathered again within the same ranges.
     """
     bounds = range_bounds(docs, key, pieces) or [0]
-    terms = written(lexicon(docs, text, idf_low, idf_high), "lexicon").withColumn("known", F.lit(True))
+    terms = written(lexicon(docs, text, idf_low, idf_high).select(F.col("term").bitwiseAND(F.lit(-8)).alias("term")).distinct(), "lexicon").withColumn("known", F.lit(True))
     if terms.count() <= broadcast_terms:
         terms = F.broadcast(terms)
     n = F.char_length("text")
@@ -130,27 +131,31 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", piece
     edited = F.concat(F.substr("text", F.lit(1), n - cut), F.substr(F.coalesce("next_text", F.lit("")), F.lit(1), cut))
     rows = with_next(docs, bounds, key, text).withColumn("edited", edited)
     rows = rows.select(
-        "piece", "at", "guest", F.col(key).alias("key"), n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("sha"), F.xxhash64("text").alias("own_hash"), F.xxhash64("edited").alias("edited_hash"), term_hashes(F.col("text")).alias("own"), term_hashes(F.col("edited")).alias("other")
+        "at", "piece", "guest", F.col(key).alias("key"), n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("sha"), F.xxhash64("text").alias("own_hash"), F.xxhash64("edited").alias("edited_hash"), term_hashes(F.col("text")).alias("own"), term_hashes(F.col("edited")).alias("other")
     )
-    side = lambda hashes, s: F.transform(hashes, lambda h: F.struct(h.alias("term"), F.lit(s).alias("side")))
-    #: The first element, of side 0, carries the row's own columns; terms carry their sides: 1 own, 2 edited, 3 both.
+    #: A term with its marks in the low bits: OWN, EDITED, both. The first element has neither and carries the row's own columns.
+    side = lambda hashes, s: F.transform(hashes, lambda h: h.bitwiseAND(F.lit(-8)).bitwiseOR(F.lit(s)))
     spread = F.concat(
-        F.array(F.struct(F.lit(None).cast("bigint").alias("term"), F.lit(0).alias("side"))), side(F.array_intersect("own", "other"), 3), side(F.array_except("own", "other"), 1), side(F.array_except("other", "own"), 2)
+        F.array(F.lit(0).cast("bigint")), side(F.array_intersect("own", "other"), OWN | EDITED), side(F.array_except("own", "other"), OWN), side(F.array_except("other", "own"), EDITED)
     )
-    rows = rows.withColumn("t", F.explode(spread)).withColumns({"term": F.col("t.term"), "side": F.col("t.side")})
-    head = lambda c: F.when(F.col("side") == 0, F.col(c)).alias(c)
-    rows = rows.select("piece", "at", "guest", "term", "side", *[head(c) for c in ("key", "n_chars", "sha", "own_hash", "edited_hash")])
-    rows = rows.join(terms, "term", "left")
-    held = lambda name, sides: [F.collect_list(F.when(F.col("side").isin(*sides) & c, F.col("term"))).alias(n) for n, c in ((name, F.col("known")), (f"all_{name}", F.lit(True)))]
-    sets = rows.groupBy("piece", "at", "guest").agg(*[F.max(c).alias(c) for c in ("key", "n_chars", "sha", "own_hash", "edited_hash")], *held("own", (1, 3)), *held("other", (2, 3)))
-    sets = sets.withColumns({"own_few": F.size("own") < FEW, "other_few": F.size("other") < FEW})
+    rows = rows.withColumns({"head": F.struct("key", "n_chars", "sha", "own_hash", "edited_hash", "guest"), "t": spread})
+    rows = rows.select("at", "piece", "head", F.explode("t").alias("t"))
+    rows = rows.select("at", "piece", F.when(F.col("t") == 0, F.col("head")).alias("head"), "t", F.col("t").bitwiseAND(F.lit(-8)).alias("term"))
+    rows = rows.join(terms, "term", "left").select("at", "piece", "head", F.when(F.col("known"), F.col("t").bitwiseOR(F.lit(KNOWN))).otherwise(F.col("t")).alias("t"))
+    sets = rows.groupBy("at", "piece").agg(F.first("head", ignorenulls=True).alias("head"), F.array_sort(F.collect_list(F.when(F.col("t") != 0, F.col("t")))).alias("t"))
+    sets = sets.select("at", "piece", "head.*", "t")
+    with_marks = lambda m: F.transform(F.filter("t", lambda x: x.bitwiseAND(F.lit(m)) == m), lambda x: F.shiftright(x, 3))
+    sets = sets.withColumns({"own": with_marks(OWN | KNOWN), "other": with_marks(EDITED | KNOWN)}).withColumns({"own_few": F.size("own") < FEW, "other_few": F.size("other") < FEW})
     #: All terms of the one text that is not fingerprinted over all of them, where the other one is.
-    rest = F.when(F.expr("own_few and not other_few"), F.col("all_other")).when(F.expr("other_few and not own_few"), F.col("all_own")).otherwise(F.slice("own", 1, 0))
-    chosen = lambda name: F.array_sort(F.when(F.col(f"{name}_few"), F.col(f"all_{name}")).otherwise(F.col(name)))
-    hashed = sets.withColumns({"own": subset_hashes(chosen("own")), "other": subset_hashes(chosen("other")), "rest": subset_hashes(F.array_sort(rest))})
-    coded = hashed.withColumns({"fingerprint": encode(F.col("own"), F.col("own_hash")), "edited_fingerprint": encode(F.col("other"), F.col("edited_hash")), "rest": encode(F.col("rest"), F.lit(0).cast("bigint"))})
-    near = likeness(F.when(F.expr("other_few and not own_few"), F.col("rest")).otherwise(F.col("fingerprint")), F.when(F.expr("own_few and not other_few"), F.col("rest")).otherwise(F.col("edited_fingerprint")))
-    coded = coded.withColumn("next_fingerprint", F.expr("lead(fingerprint) over (partition by piece order by at)")).where("guest = 0")
+    rest = F.when(F.expr("own_few and not other_few"), with_marks(EDITED)).when(F.expr("other_few and not own_few"), with_marks(OWN)).otherwise(F.slice("own", 1, 0))
+    chosen = lambda name, mark: F.when(F.col(f"{name}_few"), with_marks(mark)).otherwise(F.col(name))
+    hashed = sets.withColumns({"own": subset_hashes(chosen("own", OWN)), "other": subset_hashes(chosen("other", EDITED)), "rest": subset_hashes(rest)})
+    #: Texts without terms have no hashes; their own hash tells them apart.
+    coded = hashed.withColumns({"fingerprint": encode(F.col("own"), F.col("own_hash")), "edited_fingerprint": encode(F.col("other"), F.col("edited_hash"))})
+    near = likeness(F.when(F.expr("other_few and not own_few"), F.col("rest")).otherwise(F.col("own")), F.when(F.expr("own_few and not other_few"), F.col("rest")).otherwise(F.col("other")))
+    coded = coded.withColumn("near", F.when(F.col("fingerprint") == F.col("edited_fingerprint"), 1.0).otherwise(near))
+    coded = coded.withColumn("next", F.expr("lead(struct(fingerprint, own)) over (partition by piece order by at)")).where("guest = 0")
+    near_next = F.when(F.col("fingerprint") == F.col("next.fingerprint"), 1.0).otherwise(F.coalesce(likeness(F.col("own"), F.col("next.own")), F.lit(0.0)))
     return coded.select(
-        F.col("key").alias(key), "n_chars", F.col("sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint", near.alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next")
+        F.col("key").alias(key), "n_chars", F.col("sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint", F.col("near").alias("near_edited"), near_next.alias("near_next")
     )
