@@ -15,6 +15,10 @@ from functools import lru_cache
 
 import numpy as np
 
+from statloom.llm.shingles import mix, place_weights
+
+#: A random number for each byte, from which words are hashed.
+BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 #: Unicode White_Space, as the pre-tokenizer's \\s has it.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -24,8 +28,6 @@ SHORT_ENDINGS, LONG_ENDINGS = "stmd", ("re", "ve", "ll")
 LONG_WORD = 1024
 #: Words after which the table of known words is emptied; text, in characters, that is worked on at once.
 TABLE_WORDS, SLICE_CHARS = 1_000_000, 1_000_000
-#: Multiplier of the word hash.
-HASH_BASE = 0x9E3779B97F4A7C15
 
 
 @lru_cache(maxsize=1)
@@ -75,6 +77,18 @@ def byte_letters() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(others)}}
 
 
+def equal_runs(a: np.ndarray, a_at: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_len: np.ndarray) -> np.ndarray:
+    """Whether each run of bytes of ``a``, given by its start and length, equals its run of ``b``."""
+    same = a_len == b_len
+    some = np.flatnonzero(same & (a_len > 0))
+    if len(some):
+        n = a_len[some]
+        first = np.cumsum(n) - n
+        step = np.arange(first[-1] + n[-1]) - np.repeat(first, n)
+        same[some] = np.logical_and.reduceat(a[np.repeat(a_at[some], n) + step] == b[np.repeat(b_at[some], n) + step], first)
+    return same
+
+
 class Bpe:
     """A tokenizer file's encoder and decoder."""
 
@@ -103,12 +117,14 @@ class Bpe:
         self.piece_len = np.array([len(p) for p in self.pieces], np.int64)
         self.piece_at = np.cumsum(self.piece_len) - self.piece_len
         self.piece_bytes = np.frombuffer(b"".join(self.pieces), np.uint8)
-        self.power = np.ones(1, np.uint64)
+        self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist()))
+        self.weight = np.zeros(0, np.uint64)
         self._forget()
 
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)  # hashes of known words, ascending; then where their ids are
         self.known_at, self.known_len, self.known_ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.word_at, self.word_len, self.word_bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)  # and their bytes
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, len(joined) where there is none."""
@@ -122,7 +138,7 @@ class Bpe:
         nxt, prv = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(int(r), i) for i, r in enumerate(self._rank(word[:-1], word[1:])) if r < none]
         heapq.heapify(heap)
-        pair = lambda i, j: int(self._rank(np.array([ids[i]]), np.array([ids[j]]))[0])
+        pair = lambda i, j: self.rank_of.get(ids[i] * self.size + ids[j], none)
         while heap:
             r, i = heapq.heappop(heap)
             j = nxt[i]
@@ -205,35 +221,43 @@ class Bpe:
             size = 1 + (cp > 0x7F).astype(np.int64) + (cp > 0x7FF) + (cp > 0xFFFF)
             at = (np.cumsum(size) - size)[at]
         length = np.diff(np.r_[at, len(raw)])
-        within = np.arange(len(raw)) - np.repeat(at, length)
-        top = max(64, int(length.max()))
-        if top > len(self.power):
-            self.power = np.cumprod(np.r_[np.uint64(1), np.full(top - 1, HASH_BASE, np.uint64)])
-        hashes = np.add.reduceat((raw + np.uint64(1)) * self.power[within], at)
-        hashes ^= hashes >> np.uint64(29)
-        long = np.flatnonzero(length > LONG_WORD)
-        hashes[long] = np.uint64(2**64 - 1) - np.arange(len(long), dtype=np.uint64)  # long words are not put into the table
+        top = int(length.max())
+        if top > len(self.weight):
+            self.weight = place_weights(max(64, top))
+        hashes = mix(np.add.reduceat(BYTE_HASH[raw] * self.weight[np.arange(len(raw)) - np.repeat(at, length)], at) + length.astype(np.uint64))
         unique, some, which = np.unique(hashes, return_index=True, return_inverse=True)
+        #: Words that are long, or share a hash with another word, are encoded apart from the table.
+        apart = (length > LONG_WORD) | ~equal_runs(raw, at, length, raw, at[some][which], length[some][which])
         if len(self.known) + len(unique) > TABLE_WORDS:
             self._forget()
         place = np.searchsorted(self.known, unique)
-        new = np.ones(len(unique), bool)
+        there = np.zeros(len(unique), bool)
         if len(self.known):
-            new = self.known[np.minimum(place, len(self.known) - 1)] != unique
-        if new.any():
-            buffer, a, n = raw.tobytes(), at[some[new]], length[some[new]]
-            ids, count = self.merge_words([buffer[i:j] for i, j in zip(a.tolist(), (a + n).tolist())])
-            self.known_at = np.insert(self.known_at, place[new], np.cumsum(count) - count + len(self.known_ids))
-            self.known_len = np.insert(self.known_len, place[new], count)
-            self.known = np.insert(self.known, place[new], unique[new])
+            there = self.known[np.minimum(place, len(self.known) - 1)] == unique
+            hit, word = np.flatnonzero(there), place[there]
+            other = hit[~equal_runs(raw, at[some[hit]], length[some[hit]], self.word_bytes, self.word_at[word], self.word_len[word])]
+            apart |= np.isin(which, other)
+        new = np.flatnonzero(~there & ~apart[some])
+        buffer = raw.tobytes()
+        if len(new):
+            a, n = at[some[new]], length[some[new]]
+            words = [buffer[i:j] for i, j in zip(a.tolist(), (a + n).tolist())]
+            ids, count = self.merge_words(words)
+            for name, value in (("known_at", np.cumsum(count) - count + len(self.known_ids)), ("known_len", count), ("word_at", np.cumsum(n) - n + len(self.word_bytes)), ("word_len", n), ("known", unique[new])):
+                setattr(self, name, np.insert(getattr(self, name), place[new], value))
             self.known_ids = np.concatenate([self.known_ids, ids])
+            self.word_bytes = np.concatenate([self.word_bytes, np.frombuffer(b"".join(words), np.uint8)])
             place = np.searchsorted(self.known, unique)
-        begin, n = self.known_at[place][which], self.known_len[place][which]
+        alone = np.flatnonzero(apart)
+        pool, begin, n = self.known_ids, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        usual = np.flatnonzero(~apart)
+        begin[usual], n[usual] = self.known_at[place[which[usual]]], self.known_len[place[which[usual]]]
+        if len(alone):
+            ids, count = self.merge_words([buffer[i:j] for i, j in zip(at[alone].tolist(), (at[alone] + length[alone]).tolist())])
+            begin[alone], n[alone] = np.cumsum(count) - count + len(pool), count
+            pool = np.concatenate([pool, ids])
         total = np.r_[0, np.cumsum(n)]
-        ids = self.known_ids[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
-        if len(long):
-            self._forget()
-        return ids, np.diff(total[owner])
+        return pool[np.repeat(begin - total[:-1], n) + np.arange(total[-1])], np.diff(total[owner])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many texts, one after the other, and how many each text has."""

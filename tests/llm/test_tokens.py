@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from statloom.llm import bpe
 from statloom.llm.bpe import default_path, loaded
 from statloom.llm.packing import hilbert_key, pack_documents
 from statloom.llm.sharding import shard_documents
@@ -142,3 +143,18 @@ def test_sharding_moves_rows_only_into_the_new_shard(spark, odd):
     assert moved.where("grown_shard <> 2").count() == 0 and abs(moved.count() / 8000 - 1) < 0.1
     assert shard_documents(odd.limit(0)).count() == 0
     assert shard_documents(spark.createDataFrame([(None, None), (None, "a")], "doc_id long, text string")).select("shard").distinct().count() == 1
+
+
+@pytest.mark.parametrize("hashes", ["usual", "all equal"])
+def test_words_that_share_a_hash(reference, monkeypatch, hashes):
+    """Thue-Morse words collide under any polynomial hash modulo 2 ** 64; with equal hashes only the bytes tell words of one length apart."""
+    if hashes == "all equal":
+        monkeypatch.setattr(bpe, "BYTE_HASH", np.zeros(256, np.uint64))
+    coder = bpe.Bpe(default_path())
+    for size in (1024, 2048):
+        a = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+        b = a.translate({97: 98, 98: 97})
+        for texts in ([a, b, "ab ba", "ba ab"], [b, a, *noise(300)], noise(300)):
+            ids, count = coder.encode(texts)
+            ends = np.cumsum(count)
+            assert [ids[i:j].tolist() for i, j in zip(ends - count, ends)] == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
