@@ -21,15 +21,16 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import components, discard, written
+from statloom.llm.common import components, discard, small_batches, written
 from statloom.llm.shingles import mix, shingle_sets
 from statloom.llm.tokens import text_blocks
 
 #: Sets and n-grams of a block of rows: what a task holds at once. Their number only sets how many blocks there are.
-BLOCK_SETS, BLOCK_GRAMS = 512, 1_000_000
+BLOCK_SETS, BLOCK_GRAMS = 512, 500_000
 #: Columns multiplied at once, and the sets up to which a column is added pair by pair instead.
 BLOCK_COLUMNS, LIGHT = 2048, 16
 NAME = "decimal(38,0)"
@@ -100,31 +101,44 @@ def names_of(values: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray
     return pa.Array.from_buffers(pa.decimal128(38, 0), len(full), [valid, pa.py_buffer(digest)]), low
 
 
-def _over_texts(docs: DataFrame, n: int, key: str, text: str, schema: str, rows) -> DataFrame:
-    """``rows(keys, values, ends)`` of each block of texts, their sets lying in ``values`` one after the other."""
+#: What tells a row of documents: its key, null or not, and two hashes of its text.
+ROW = ["no_key", "row_key", "h1", "h2"]
+
+
+def row_columns(key: str, text: str) -> list[Column]:
+    return [F.col(key).isNull().alias("no_key"), F.coalesce(F.col(key), F.lit(0)).cast("bigint").alias("row_key"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2")]
+
+
+def _over_texts(rows: DataFrame, n: int, text: str, schema: str, made) -> DataFrame:
+    """``made(columns, values, ends)`` of each block of texts: the other columns, and the texts' sets one after the other."""
+    at = rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, body in text_blocks(batch.column(0), batch.column(1)):
-                yield from rows(keys, *shingle_sets(body, n))
+            first = 0
+            for _, body in text_blocks(batch.column(at), batch.column(at)):
+                part = batch.slice(first, len(body))
+                first += len(body)
+                yield from made({c: part.column(c) for c in part.schema.names}, *shingle_sets(body, n))
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def summaries(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """Rows (key, n_shingles, name, near) of every document; equal sets have one name, ``near`` is its low bits."""
+    """Rows (key, n_shingles, name, near, ROW) of every document; equal sets have one name, ``near`` is its low bits."""
 
-    def rows(keys, values, ends):
+    def made(columns, values, ends):
         name, low = names_of(values, ends)
-        yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(ends)), name, pa.array(low)], names=[key, "n_shingles", "name", "near"])
+        yield pa.RecordBatch.from_arrays([columns[key], pa.array(np.diff(ends)), name, pa.array(low), *[columns[c] for c in ROW]], names=[key, "n_shingles", "name", "near", *ROW])
 
-    return _over_texts(docs, n, key, text, f"`{key}` {dict(docs.dtypes)[key]}, n_shingles bigint, name {NAME}, near bigint", rows)
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, n_shingles bigint, name {NAME}, near bigint, no_key boolean, row_key bigint, h1 bigint, h2 int"
+    return _over_texts(docs.select(key, text, *row_columns(key, text)), n, text, schema, made)
 
 
-def signature_rows(docs: DataFrame, n: int, bounds: Bounds, key: str, text: str) -> DataFrame:
+def signature_rows(docs: DataFrame, n: int, bounds: Bounds, text: str) -> DataFrame:
     """Rows (sig, near): signatures of every document's set, for its own class and the one before."""
 
-    def rows(keys, values, ends):
+    def made(columns, values, ends):
         low, size = names_of(values, ends)[1], np.diff(ends)
         sigs, nears = [], []
         for d in np.flatnonzero(size).tolist():
@@ -137,19 +151,25 @@ def signature_rows(docs: DataFrame, n: int, bounds: Bounds, key: str, text: str)
             for a in range(0, len(sig), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + 100_000]), pa.array(near[a : a + 100_000])], names=["sig", "near"])
 
-    return _over_texts(docs, n, key, text, "sig bigint, near bigint", rows)
+    return _over_texts(docs.select(text), n, text, "sig bigint, near bigint", made)
 
 
-def set_rows(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """Rows (name, near, n, grams): each document's set, empty ones left out."""
+def set_rows(docs: DataFrame, chosen: DataFrame, n: int, key: str, text: str) -> DataFrame:
+    """Rows (name, family, n, grams, further columns of ``chosen``): the sets of chosen rows (name, family, ROW), from one text each.
 
-    def rows(keys, values, ends):
-        name, low = names_of(values, ends)
-        size = np.diff(ends)
+    The texts are shuffled once; repeated rows go before that. A text that the hashes of ROW do not tell from the chosen one is left out by its set's name.
+    """
+    rows = docs.select(*row_columns(key, text), F.col(text).alias("text")).groupBy(*ROW).agg(F.first("text").alias("text")).join(chosen, ROW).drop(*ROW)
+    others = [c for c in rows.columns if c not in ("text", "name")]
+
+    def made(columns, values, ends):
+        name, size = names_of(values, ends)[0], np.diff(ends)
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([name, pa.array(low), pa.array(size), lists], names=["name", "near", "n", "grams"]).filter(pa.array(size > 0))
+        batch = pa.RecordBatch.from_arrays([name, pa.array(size), lists, *[columns[c] for c in others]], names=["name", "n", "grams", *others])
+        yield batch.filter(pc.fill_null(pc.equal(name, columns["name"]), False))
 
-    return _over_texts(docs, n, key, text, f"name {NAME}, near bigint, n bigint, grams array<bigint>", rows)
+    kinds = dict(rows.dtypes)
+    return _over_texts(rows, n, "text", f"name {NAME}, n bigint, grams array<bigint>, " + ", ".join(f"{c} {kinds[c]}" for c in others), made)
 
 
 def overlap_links(size: np.ndarray, values: np.ndarray, bounds: Bounds) -> np.ndarray:
@@ -241,57 +261,52 @@ def block_of(name: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(F.col(name)), blocks)
 
 
-def first_links(sets: DataFrame, large: DataFrame, total: tuple[int, int], bounds: Bounds) -> DataFrame:
+def first_links(chosen: DataFrame, large: DataFrame, total: tuple[int, int], sets_of, bounds: Bounds) -> DataFrame:
     """Links within small families, and in large ones (family, blocks) those of each block and the family's first block."""
     shares = max(1, ceil(2 * total[0] / BLOCK_SETS), ceil(2 * total[1] / BLOCK_GRAMS))
     own = block_of("name", F.col("blocks"))
     tiles = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("bigint"))).when(own == 0, F.sequence(F.lit(1).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(own))
-    rows = sets.join(large, "family", "left").withColumns({"tile": F.explode(tiles), "place": F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("family"), F.lit(shares))).otherwise(F.col("family"))})
-    return tile_links(rows.withColumn("whole", F.col("blocks").isNotNull()), bounds, ["whole", "place", "tile"])
+    place = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("family"), F.lit(shares))).otherwise(F.col("family"))
+    seats = chosen.join(large, "family", "left").withColumns({"tiles": tiles, "place": place, "whole": F.col("blocks").isNotNull()}).drop("blocks", "n", "near")
+    return tile_links(sets_of(seats).withColumn("tile", F.explode("tiles")), bounds, ["whole", "place", "tile"])
 
 
-def further_links(sets: DataFrame, large: DataFrame, found: DataFrame, bounds: Bounds) -> DataFrame:
+def further_links(chosen: DataFrame, large: DataFrame, found: DataFrame, sets_of, bounds: Bounds) -> DataFrame:
     """Links of large families between blocks that do not lie in one component ``found`` already.
 
     A component of at least a block's size has blocks of its own, the others of a family share blocks.
     """
-    small = sets.select("name", "family", "n").join(large.select("family"), "family").join(found.withColumnRenamed("node", "name"), "name", "left")
-    small = written(small.withColumn("component", F.coalesce("component", "name")), "large-families")
-    counts = small.groupBy("family", "component").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
-    counts = counts.withColumn("whole", F.when((F.col("sets") >= BLOCK_SETS) | (F.col("grams") >= BLOCK_GRAMS), F.col("component")))
+    sets = chosen.join(large.select("family"), "family", "left_semi").join(found.withColumnRenamed("node", "name"), "name", "left")
+    sets = written(sets.withColumn("component", F.coalesce("component", "name")), "large-sets")
+    counts = sets.groupBy("family", "component").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
+    counts = written(counts.withColumn("whole", F.when((F.col("sets") >= BLOCK_SETS) | (F.col("grams") >= BLOCK_GRAMS), F.col("component"))), "counts")
     parts = counts.groupBy("family", "whole").agg(F.sum("sets").alias("sets"), F.sum("grams").alias("grams"), F.count("*").alias("components"))
     parts = written(parts.withColumn("blocks", blocks_for("sets", "grams")), "parts")
-    unit = parts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select("family", F.struct(F.col("whole").alias("whole"), F.col("block")).alias("block"), "components")
+    unit = parts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select("family", F.struct("whole", "block").alias("block"), "components")
     left, right = (unit.select("family", F.col("block").alias(c), F.col("components").alias(f"of_{c}")) for c in "xy")
     apart = F.expr("not (x.whole <=> y.whole) or (x.whole is null and of_x > 1)")
-    pairs = left.join(right, "family").where("x <= y").where(apart)
-    alone = unit.groupBy("family").agg(F.count("*").alias("k"))
-    pairs = pairs.join(alone, "family").where("x <> y or k = 1").select("family", "x", "y")
-    tiles = pairs.withColumn("block", F.explode(F.array_distinct(F.array("x", "y")))).select("family", "block", F.xxhash64("x", "y").alias("tile"))
-    whole = F.when((F.col("sets") >= BLOCK_SETS) | (F.col("grams") >= BLOCK_GRAMS), F.col("component"))
-    seats = small.join(counts.drop("whole"), ["family", "component"]).withColumn("whole", whole).select("family", "name", "whole")
-    seats = seats.alias("s").join(parts.alias("p"), F.expr("s.family = p.family and s.whole <=> p.whole"))
-    seats = seats.select("s.family", "s.name", F.struct(F.col("s.whole").alias("whole"), block_of("s.name", F.col("p.blocks")).alias("block")).alias("block"))
-    seats = written(seats.join(tiles, ["family", "block"]).select("family", "tile", "name"), "tiles")
-    out = written(tile_links(seats.join(sets.drop("family"), "name"), bounds, ["family", "tile"]), "further-links")
-    discard(small, parts, seats)
+    number = unit.groupBy("family").agg(F.count("*").alias("k"))
+    pairs = left.join(right, "family").where("x <= y").where(apart).join(number, "family").where("x <> y or k = 1").select("family", "x", "y")
+    tiles = pairs.withColumn("block", F.explode(F.array_distinct(F.array("x", "y")))).groupBy("family", "block").agg(F.collect_list(F.xxhash64("x", "y")).alias("tiles"))
+    seats = sets.join(counts.select("family", "component", "whole"), ["family", "component"]).alias("s").join(parts.alias("p"), F.expr("s.family = p.family and s.whole <=> p.whole"))
+    seats = seats.select("s.family", "s.name", *[f"s.{c}" for c in ROW], F.struct(F.col("s.whole").alias("whole"), block_of("s.name", F.col("p.blocks")).alias("block")).alias("block"))
+    seats = written(seats.join(tiles, ["family", "block"]).drop("block"), "tiles")
+    out = written(tile_links(sets_of(seats).withColumn("tile", F.explode("tiles")), bounds, ["family", "tile"]), "further-links")
+    discard(sets, counts, parts, seats)
     return out
 
 
-def near_sets(docs: DataFrame, base: DataFrame, n: int, bounds: Bounds, key: str, text: str) -> DataFrame:
-    """Rows (name, near, family, n, grams) of the sets that share a signature with another one; no link leaves a family."""
-    sigs = signature_rows(docs, n, bounds, key, text)
+def near_sets(docs: DataFrame, base: DataFrame, n: int, bounds: Bounds, text: str) -> DataFrame:
+    """Rows (name, near, family, n, ROW) of the sets that share a signature with another one; no link leaves a family."""
+    sigs = signature_rows(docs, n, bounds, text)
     groups = written(sigs.groupBy("sig").agg(F.min("near").alias("lead"), F.max("near").alias("last")).where("lead <> last").drop("last"), "groups")
     edges = written(sigs.join(groups, "sig").where("near <> lead").select(F.col("near").alias("a"), F.col("lead").alias("b")).distinct(), "edges")
+    discard(groups)
     family = written(components(edges).select(F.col("node").alias("near"), F.col("component").alias("family")), "families")
-    chosen = base.where("name is not null").join(family, "near", "left_semi").groupBy("name").agg(F.min(key).alias("_key"))
-    kind = dict(docs.dtypes)[key]
-    least = F.lit({"tinyint": -(2**7), "smallint": -(2**15), "int": -(2**31)}.get(kind, -(2**63))).cast(kind)  # stands for a null key
-    keys = written(chosen.select(F.coalesce("_key", least).alias("_key")).distinct(), "keys")
-    some = docs.select(key, text).join(keys, F.coalesce(F.col(key), least) == F.col("_key"), "left_semi")
-    sets = written(set_rows(some, n, key, text).join(family, "near").dropDuplicates(["name"]), "sets")
-    discard(groups, edges, family, keys)
-    return sets
+    rows = base.where("name is not null").groupBy("name").agg(F.min(F.struct("near", *ROW)).alias("r"), F.max("n_shingles").alias("n"))
+    chosen = written(rows.select("name", "n", "r.*").join(family, "near"), "chosen")
+    discard(edges, family)
+    return chosen
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (85, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -306,22 +321,27 @@ def jaccard_components(docs: DataFrame, n: int = 4, threshold: tuple[int, int] =
     groups are found by an aggregation with map-side combine and joined back by an equi-join that AQE may split; no family
     is gathered in a task, only bounded blocks of it.
     """
-    bounds = Bounds(*threshold)
+    with small_batches(docs.sparkSession):
+        return _components(docs, n, Bounds(*threshold), key, text)
+
+
+def _components(docs: DataFrame, n: int, bounds: Bounds, key: str, text: str) -> DataFrame:
     base = written(summaries(docs, n, key, text), "sets-of")
-    sets = near_sets(docs, base, n, bounds, key, text)
-    families = sets.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("grams")).withColumn("blocks", blocks_for("sets", "grams"))
+    chosen = near_sets(docs, base, n, bounds, text)
+    sets_of = lambda rows: set_rows(docs, rows, n, key, text)
+    families = chosen.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("grams")).withColumn("blocks", blocks_for("sets", "grams"))
     families = written(families, "families")
     total = families.where("blocks = 1").agg(F.coalesce(F.sum("sets"), F.lit(0)), F.coalesce(F.sum("grams"), F.lit(0))).first()
     large = written(families.where("blocks > 1").select("family", "blocks"), "large")
-    links = written(first_links(sets, large, (total[0], total[1]), bounds), "links")
+    links = written(first_links(chosen, large, (total[0], total[1]), sets_of, bounds), "links")
     found = written(components(links), "components")
     if large.count():
-        more = further_links(sets, large, found, bounds)
+        more = further_links(chosen, large, found, sets_of, bounds)
         if more.count():
             discard(found)
             found = written(components(links.unionByName(more)), "components")
         discard(more)
-    discard(sets, families, large, links)
+    discard(chosen, families, large, links)
     copies = base.where("name is not null").groupBy("name").agg(F.min(key).alias("least"), F.count("*").alias("rows"))
     placed = written(copies.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("c", F.coalesce("component", "name")), "placed")
     groups = placed.groupBy("c").agg(F.min("least").alias("component_id"), F.sum("rows").alias("copies"))
