@@ -3,7 +3,7 @@
 Think of the 0/1 matrix of documents by n-grams; the overlaps of all pairs are its product with its transpose. Most of that product is
 nothing, so the work goes in two steps.
 
-1. Rows are brought into families outside of which no link can be. The columns are hashed into blocks, as many that a
+1. Rows are brought into families such that each link lies in one. The columns are hashed into blocks, as many that a
    pair at the similarity threshold, whose sets differ in a bounded number of n-grams, must agree in a whole block:
    this size-derived bound joins documents that share a block's content, and nothing else has to be multiplied.
 2. Families are cut into blocks of rows of bounded size, and a tile multiplies two blocks in numpy: it adds up overlap counts over blocks of
@@ -155,7 +155,7 @@ def signature_rows(docs: DataFrame, n: int, bounds: Bounds, text: str) -> DataFr
 
 
 def set_rows(docs: DataFrame, chosen: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """Rows (name, family, n, grams, further columns of ``chosen``): the sets of chosen rows (name, family, ROW), from one text each.
+    """Rows (name, n, grams, further columns of ``chosen``): the sets of chosen rows (name, ROW), from one text each.
 
     The texts are shuffled once; repeated rows go before that. A text that the hashes of ROW do not tell from the chosen one is left out by its set's name.
     """
@@ -238,8 +238,8 @@ def overlap_links(size: np.ndarray, values: np.ndarray, bounds: Bounds) -> np.nd
     return label
 
 
-def tile_links(rows: DataFrame, bounds: Bounds, by: list[str]) -> DataFrame:
-    """Links (a, b) that join the same sets as the links within each tile do. Rows: the columns ``by``, name, n, grams."""
+def tile_links(rows: DataFrame, bounds: Bounds) -> DataFrame:
+    """Links (a, b) that join the same sets as the links within each tile do. Rows: tile, name, n, grams."""
 
     def product(tile: pa.Table) -> pa.Table:
         name, lists = tile.column("name").combine_chunks(), tile.column("grams").combine_chunks()
@@ -248,7 +248,7 @@ def tile_links(rows: DataFrame, bounds: Bounds, by: list[str]) -> DataFrame:
         a = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": name.take(pa.array(a)), "b": name.take(pa.array(label[a]))})
 
-    return rows.select(*by, "name", "n", "grams").groupBy(*by).applyInArrow(product, f"a {NAME}, b {NAME}").distinct()
+    return rows.select("tile", "name", "n", "grams").groupBy("tile").applyInArrow(product, f"a {NAME}, b {NAME}").distinct()
 
 
 def blocks_for(sets: Column | str, grams: Column | str) -> Column:
@@ -267,8 +267,14 @@ def first_links(chosen: DataFrame, large: DataFrame, total: tuple[int, int], set
     own = block_of("name", F.col("blocks"))
     tiles = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("bigint"))).when(own == 0, F.sequence(F.lit(1).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(own))
     place = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("family"), F.lit(shares))).otherwise(F.col("family"))
-    seats = chosen.join(large, "family", "left").withColumns({"tiles": tiles, "place": place, "whole": F.col("blocks").isNotNull()}).drop("blocks", "n", "near")
-    return tile_links(sets_of(seats).withColumn("tile", F.explode("tiles")), bounds, ["whole", "place", "tile"])
+    tile = F.transform(tiles, lambda t: F.struct(F.col("blocks").isNotNull().alias("whole"), place.alias("place"), t.alias("tile")))
+    return tile_links(at_tiles(chosen.join(large, "family", "left").withColumn("tiles", tile), sets_of), bounds)
+
+
+def at_tiles(seats: DataFrame, sets_of) -> DataFrame:
+    """Each set once for every tile that its rows of ``seats`` name; it is made once."""
+    one = seats.groupBy("name", *ROW).agg(F.array_distinct(F.flatten(F.collect_list("tiles"))).alias("tiles"))
+    return sets_of(one).withColumn("tile", F.explode("tiles")).drop("tiles")
 
 
 def further_links(chosen: DataFrame, large: DataFrame, found: DataFrame, sets_of, bounds: Bounds) -> DataFrame:
@@ -287,25 +293,27 @@ def further_links(chosen: DataFrame, large: DataFrame, found: DataFrame, sets_of
     apart = F.expr("not (x.whole <=> y.whole) or (x.whole is null and of_x > 1)")
     number = unit.groupBy("family").agg(F.count("*").alias("k"))
     pairs = left.join(right, "family").where("x <= y").where(apart).join(number, "family").where("x <> y or k = 1").select("family", "x", "y")
-    tiles = pairs.withColumn("block", F.explode(F.array_distinct(F.array("x", "y")))).groupBy("family", "block").agg(F.collect_list(F.xxhash64("x", "y")).alias("tiles"))
+    tiles = pairs.withColumn("block", F.explode(F.array_distinct(F.array("x", "y")))).groupBy("family", "block").agg(F.collect_list(F.struct("family", F.xxhash64("x", "y").alias("tile"))).alias("tiles"))
     seats = sets.join(counts.select("family", "component", "whole"), ["family", "component"]).alias("s").join(parts.alias("p"), F.expr("s.family = p.family and s.whole <=> p.whole"))
     seats = seats.select("s.family", "s.name", *[f"s.{c}" for c in ROW], F.struct(F.col("s.whole").alias("whole"), block_of("s.name", F.col("p.blocks")).alias("block")).alias("block"))
     seats = written(seats.join(tiles, ["family", "block"]).drop("block"), "tiles")
-    out = written(tile_links(sets_of(seats).withColumn("tile", F.explode("tiles")), bounds, ["family", "tile"]), "further-links")
+    out = written(tile_links(at_tiles(seats, sets_of), bounds), "further-links")
     discard(sets, counts, parts, seats)
     return out
 
 
 def near_sets(docs: DataFrame, base: DataFrame, n: int, bounds: Bounds, text: str) -> DataFrame:
-    """Rows (name, near, family, n, ROW) of the sets that share a signature with another one; no link leaves a family."""
+    """Rows (name, near, family, n, ROW) of the sets that share a signature with another one, one for each family that they are in.
+
+    A family is all sets with a signature that one set, its first, leads; two sets with a common signature have its first set's family in common.
+    """
     sigs = signature_rows(docs, n, bounds, text)
-    groups = written(sigs.groupBy("sig").agg(F.min("near").alias("lead"), F.max("near").alias("last")).where("lead <> last").drop("last"), "groups")
-    edges = written(sigs.join(groups, "sig").where("near <> lead").select(F.col("near").alias("a"), F.col("lead").alias("b")).distinct(), "edges")
+    groups = written(sigs.groupBy("sig").agg(F.min("near").alias("family"), F.max("near").alias("last")).where("family <> last").drop("last"), "groups")
+    members = written(sigs.join(groups, "sig").select("near", "family").distinct(), "members")
     discard(groups)
-    family = written(components(edges).select(F.col("node").alias("near"), F.col("component").alias("family")), "families")
     rows = base.where("name is not null").groupBy("name").agg(F.min(F.struct("near", *ROW)).alias("r"), F.max("n_shingles").alias("n"))
-    chosen = written(rows.select("name", "n", "r.*").join(family, "near"), "chosen")
-    discard(edges, family)
+    chosen = written(rows.select("name", "n", "r.*").join(members, "near"), "chosen")
+    discard(members)
     return chosen
 
 
