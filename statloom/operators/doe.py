@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: First rows of the cyclic Plackett-Burman designs, from which the others follow by rotation.
-PLACKETT_BURMAN = {8: "+++-+--", 12: "++-+++---+-", 16: "++++-+-++--+---"}
+PLACKETT_BURMAN = {8: "+--+-++", 12: "++-+++---+-", 16: "++++-+-++--+---"}
 
 
 def full_factorial(spark: SparkSession, levels: dict[str, list]) -> DataFrame:
@@ -71,7 +71,7 @@ def central_composite(spark: SparkSession, k: int, alpha: str | float = "orthogo
     """Corners, axial points at ``alpha`` (orthogonal, rotatable, face or a number) and max(3, k) centre runs."""
     a, names = axial_distance(k, alpha), [f"x{i + 1}" for i in range(k)]
     corners = [[1 if i >> (k - 1 - b) & 1 else -1 for b in range(k)] for i in range(2**k)]
-    axial = [[s * a if j == i else 0 for j in range(k)] for i in range(k) for s in (-1, 1)]
+    axial = [[s * a if j == i else 0 for j in range(k)] for i in range(k) for s in (1, -1)]
     return _runs(spark, corners + axial + [[0] * k] * max(3, k), names)
 
 
@@ -85,12 +85,20 @@ def decoded(design: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFr
     return design.withColumns({n: low + (F.col(n) + 1) * (high - low) / 2 for n, (low, high) in ranges.items()})
 
 
-def classified(design: DataFrame, x: list[str], tolerance: float = 0.1) -> DataFrame:
-    """Adds point_type: center, corner, axial (one coordinate at -1 or 1, the others 0), edge (some coordinate at -1 or 1) or interior."""
+def classified(design: DataFrame, x: list[str], tolerance: float = 0.1, real: bool = False) -> DataFrame:
+    """Adds point_type: center, corner, axial (one coordinate at -1 or 1, the others 0), edge (some at -1 or 1, some at 0) or interior.
+
+    ``real``: the coordinates are first coded onto -1..1 by each one's range in the design; one of a single value is taken as it is.
+    """
+    if real:
+        ends = design.agg(*[f(c).cast("double") for c in x for f in (F.min, F.max)]).first()
+        ranges = {c: (ends[2 * i], ends[2 * i + 1]) for i, c in enumerate(x) if ends[2 * i] is not None and ends[2 * i] != ends[2 * i + 1]}
+        copy = design.withColumns({f"_{c}": F.col(c) for c in x})
+        return classified(coded(copy, ranges, None), x, tolerance).withColumns({c: F.col(f"_{c}") for c in x}).drop(*[f"_{c}" for c in x])
     near = lambda c, v: (F.abs(F.abs(F.col(c)) - v) <= tolerance).cast("int")
     ones, zeros = (reduce(lambda a, b: a + b, [near(c, v) for c in x]) for v in (1.0, 0.0))
     p = len(x)
-    kind = F.when(zeros == p, "center").when(ones == p, "corner").when((ones == 1) & (zeros == p - 1), "axial").when(ones > 0, "edge").otherwise("interior")
+    kind = F.when(zeros == p, "center").when(ones == p, "corner").when((ones == 1) & (zeros == p - 1), "axial").when((ones > 0) & (zeros > 0), "edge").otherwise("interior")
     return design.withColumn("point_type", kind)
 
 

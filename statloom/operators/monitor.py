@@ -35,10 +35,10 @@ class Monitor:
         return cls(PcaModel(**m), np.array(d["variance"]), tuple(d["alphas"]), d["t2_limits"], d["q_limits"])
 
 
-def q_limit_box(mean: float, var: float, alpha: float, fallback: float = 0.0) -> float:
-    """g * chi2_h with g = var / (2 mean) and h = 2 mean^2 / var."""
+def q_limit_box(mean: float, var: float, alpha: float) -> float:
+    """g * chi2_h with g = var / (2 mean) and h = 2 mean^2 / var; where all rows have one Q, each of its percentiles is that."""
     if mean <= 0 or var <= 0:
-        return fallback
+        return mean
     return var / (2 * mean) * chi2_quantile(alpha, 2 * mean * mean / var)
 
 

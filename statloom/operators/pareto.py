@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Local fronts of up to so many points are compared in one task.
-ONE_TASK = 200_000
+#: Tasks in which the points left by the partitions meet before the last one.
+MERGE_TASKS = 16
 
 
 def objective(name: str, kind: str, target: float | None = None, lower: str | None = None, upper: str | None = None) -> Column:
@@ -51,48 +51,69 @@ def front_mask(m: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _local(columns: list[str]):
+def peeled(m: np.ndarray, fronts: int) -> np.ndarray:
+    """Number of the front of each row, from 1; 0 beyond ``fronts``."""
+    rank, left = np.zeros(len(m), np.int64), np.arange(len(m))
+    for r in range(1, fronts + 1):
+        if not len(left):
+            break
+        best = front_mask(m[left])
+        rank[left[best]] = r
+        left = left[~best]
+    return rank
+
+
+def fronts_of(points: DataFrame, columns: list[str], fronts: int) -> DataFrame:
+    """Rows (columns, pareto_rank) of the distinct points in the first fronts.
+
+    A point's rank among some of the points is no higher than among all, so each partition keeps the first fronts of
+    its own points; these meet in fewer tasks and then in one, whose size depends on the fronts alone.
+    """
+    schema = ", ".join(f"`{c}` double" for c in columns)
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None
         for p in parts:
-            best = p if best is None else pd.concat([best, p])
-            best = best[front_mask(best[columns].to_numpy(float))]
+            best = p[columns] if best is None else pd.concat([best, p[columns]])
+            rank = peeled(best.to_numpy(float), fronts)
+            best, rank = best[rank > 0], rank[rank > 0]
         if best is not None:
-            yield best
+            yield best.assign(pareto_rank=rank)
 
-    return run
+    ranks = schema + ", pareto_rank bigint"
+    local = points.select(*columns).distinct().mapInPandas(run, ranks)
+    some = local.repartition(MERGE_TASKS).mapInPandas(run, ranks)
+    return some.repartition(1).mapInPandas(run, ranks).withColumn("pareto_rank", F.col("pareto_rank").cast("int"))
 
 
 def front(points: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows that none dominates; equal points are all kept. Each partition keeps its own front, whose distinct points then compete."""
-    local = points.select(*columns).distinct().mapInPandas(_local(columns), ", ".join(f"`{c}` double" for c in columns))
-    best = local.coalesce(1).mapInPandas(_local(columns), ", ".join(f"`{c}` double" for c in columns))
-    return points.join(best, columns, "left_semi")
+    """Rows that none dominates; equal points are all kept."""
+    return points.join(fronts_of(points, columns, 1).drop("pareto_rank"), columns, "left_semi")
 
 
 def ranked(df: DataFrame, objectives: dict[str, tuple], n_fronts: int = 3, keep: list[str] | None = None) -> DataFrame:
     """Adds pareto_rank (1..n_fronts, the rest n_fronts + 1), crowding_distance and is_dominated. Rows with a null objective count as the rest."""
     names = [f"_o{i}" for i in range(len(objectives))]
     made = df.withColumns({n: objective(c, *spec) for n, (c, spec) in zip(names, objectives.items())})
-    points = made.select(*names).dropna().distinct()
-    ranks = None
-    for r in range(1, n_fronts + 1):
-        best = front(points, names).withColumn("pareto_rank", F.lit(r))
-        ranks = best if ranks is None else ranks.unionByName(best)
-        points = points.join(best.drop("pareto_rank"), names, "left_anti")
+    ranks = fronts_of(made.select(*names).dropna(), names, n_fronts)
     out = made.join(ranks, names, "left").withColumn("pareto_rank", F.coalesce("pareto_rank", F.lit(n_fronts + 1)))
-    return out.withColumn("is_dominated", F.col("pareto_rank") > 1).withColumns({"crowding_distance": crowding(names, n_fronts)}).drop(*names)
+    out = out.withColumn("_spread", F.when(F.col("pareto_rank") > n_fronts, F.xxhash64(*names)))
+    return out.withColumn("is_dominated", F.col("pareto_rank") > 1).withColumns({"crowding_distance": crowding(names, n_fronts)}).drop(*names, "_spread")
 
 
 def crowding(columns: list[str], n_fronts: int) -> Column:
-    """Sum over objectives of the gap between a point's neighbours in its front over the front's range; ends are infinite. Null beyond the fronts."""
+    """Sum over objectives of the gap between a point's neighbours in its front over the front's range; null beyond the fronts.
+
+    The two ends of each objective are infinite, in a flat one too, so all points of a front of one or two are.
+    Rows beyond the fronts are spread over tasks by ``_spread``.
+    """
     parts = []
-    for c in columns:
-        w = Window.partitionBy("pareto_rank").orderBy(c)
-        all_ = Window.partitionBy("pareto_rank")
+    for i, c in enumerate(columns):
+        w = Window.partitionBy("pareto_rank", "_spread").orderBy(c, *columns[:i], *columns[i + 1 :])
+        all_ = Window.partitionBy("pareto_rank", "_spread")
         span = F.max(c).over(all_) - F.min(c).over(all_)
         gap = F.lead(c).over(w) - F.lag(c).over(w)
-        parts.append(F.when(span == 0, 0.0).when(gap.isNull(), float("inf")).otherwise(gap / span))
+        parts.append(F.when(gap.isNull(), float("inf")).when(span == 0, 0.0).otherwise(gap / span))
     total = reduce(lambda a, b: a + b, parts)
     return F.when(F.col("pareto_rank") <= n_fronts, total)
 

@@ -16,12 +16,17 @@ def _mean(a: Column) -> Column:
     return F.try_divide(F.aggregate(seen, F.lit(0.0), lambda s, x: s + x), F.size(seen))
 
 
+def _with(one: Column, then) -> Column:
+    """``then`` of the only element of an array, which is computed once and not for each element that ``then`` visits."""
+    return F.transform(one, then)[0]
+
+
 def snv(a: Column) -> Column:
     """(x - row mean) / row sample deviation; nulls are skipped and stay; a constant row becomes null."""
     seen = F.filter(a, lambda x: x.isNotNull())
     state = F.aggregate(seen, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s")), lambda t, x: F.struct((t["n"] + 1).alias("n"), (t["m"] + (x - t["m"]) / (t["n"] + 1)).alias("m"), (t["s"] + (x - t["m"]) * (x - t["m"]) * t["n"] / (t["n"] + 1)).alias("s")))
-    sd = F.sqrt(F.try_divide(state["s"], state["n"] - 1))
-    return F.transform(a, lambda x: F.try_divide(x - state["m"], sd))
+    found = F.transform(F.array(state), lambda t: F.struct(t["m"].alias("m"), F.sqrt(F.try_divide(t["s"], t["n"] - 1)).alias("sd")))
+    return _with(found, lambda t: F.transform(a, lambda x: F.try_divide(x - t["m"], t["sd"])))
 
 
 def first_derivative(a: Column) -> Column:
@@ -41,11 +46,16 @@ def moving_average(a: Column, window: int) -> Column:
 
 def sum_100(a: Column) -> Column:
     total = F.aggregate(F.filter(a, lambda x: x.isNotNull()), F.lit(0.0), lambda s, x: s + x)
-    return F.transform(a, lambda x: F.try_divide(x, total) * 100)
+    return _with(F.array(total), lambda t: F.transform(a, lambda x: F.try_divide(x, t) * 100))
 
 
 def binned(a: Column, width: int) -> Column:
-    """Means of ``width`` adjacent elements; nulls are skipped."""
+    """Means of ``width`` adjacent elements; nulls are skipped. Raises where the bins do not take up all elements."""
+    uneven = F.raise_error(F.concat(F.size(a).cast("string"), F.lit(f" variables do not divide into bins of {width}"))).cast("array<double>")
+    return F.when(F.size(a) % width != 0, uneven).otherwise(_bins(a, width))
+
+
+def _bins(a: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), (F.size(a) / width).cast("int") - 1), lambda i: _mean(F.slice(a, i * width + 1, F.lit(width))))
 
 

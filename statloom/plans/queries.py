@@ -549,12 +549,16 @@ def _(spark, d):
 
 
 @query("r_central_composite", f"""with c as (select row_number() over (order by a, b)::bigint as run, a::double as x1, b::double as x2 from (select unnest([-1, 1]) as a), (select unnest([-1, 1]) as b)), k as (select sqrt((sqrt(4 * 6) - 4) / 2) as k)
-select run, {r('x1')} as x1, {r('x2')} as x2 from (select * from c union all select 5, -k, 0 from k union all select 6, k, 0 from k union all select 7, 0, -k from k union all select 8, 0, k from k union all select unnest([9, 10, 11]), 0, 0)""")
+select run, {r('x1')} as x1, {r('x2')} as x2 from (select * from c union all select 5, k, 0 from k union all select 6, -k, 0 from k union all select 7, 0, k from k union all select 8, 0, -k from k union all select unnest([9, 10, 11]), 0, 0)""")
 def _(spark, d):
     return rounded(doe.central_composite(spark, 2))
 
 
-@query("r_plackett_burman")
+#: The published eight-run design.
+_PB8 = ["+--+-++", "++--+-+", "+++--+-", "-+++--+", "+-+++--", "-+-+++-", "--+-+++", "-------"]
+
+
+@query("r_plackett_burman", "select run::bigint as run, " + ", ".join(f"case substr(t, {i}, 1) when '+' then 1.0::double else -1.0::double end as x{i}" for i in range(1, 8)) + " from (values " + ", ".join(f"({i + 1}, '{t}')" for i, t in enumerate(_PB8)) + ") as d(run, t)")
 def _(spark, d):
     return doe.plackett_burman(spark, 7)
 
@@ -564,9 +568,11 @@ def _(spark, d):
     return doe.fractional_factorial(spark, 4)
 
 
-@query("r_point_types", "select row_number() over (order by a, b)::bigint as run, a::double as x1, b::double as x2, case when a = 0 and b = 0 then 'center' when a <> 0 and b <> 0 then 'corner' else 'axial' end as point_type from (select unnest([-1, 0, 1]) as a), (select unnest([-1, 0, 1]) as b)")
+@query("r_point_types", """with l as (select unnest([-1, -0.5, 0, 1])::double as v), d as (select row_number() over (order by a.v, b.v, c.v)::bigint as run, a.v as x1, b.v as x2, c.v as x3 from l a, l b, l c),
+n as (select *, len(list_filter([x1, x2, x3], lambda v: abs(v) = 1)) as ones, len(list_filter([x1, x2, x3], lambda v: v = 0)) as zeros from d)
+select run, x1, x2, x3, case when zeros = 3 then 'center' when ones = 3 then 'corner' when ones = 1 and zeros = 2 then 'axial' when ones > 0 and zeros > 0 then 'edge' else 'interior' end as point_type from n""")
 def _(spark, d):
-    return doe.classified(doe.full_factorial(spark, {"x1": [-1.0, 0.0, 1.0], "x2": [-1.0, 0.0, 1.0]}), ["x1", "x2"])
+    return doe.classified(doe.full_factorial(spark, {x: [-1.0, -0.5, 0.0, 1.0] for x in ("x1", "x2", "x3")}), ["x1", "x2", "x3"])
 
 
 @query("r_grid", f"select (a * 5 + b)::bigint as id, {r('10 + a * 2.5')} as x1, {r('-1 + b * 0.5')} as x2 from (select unnest(range(5)) as a), (select unnest(range(5)) as b)")
@@ -623,6 +629,17 @@ def _(spark, d):
     return ranked.select("p_partkey", "pareto_rank", "is_dominated")
 
 
+@query("u_crowding", f"""with p as (select distinct p_size as s, p_retailprice as v from part), a as materialized ({_DOM.format(c='*', t='p')}), p2 as materialized (select * from p anti join a using (s, v)),
+b as materialized ({_DOM.format(c='*', t='p2')}), f as (select *, 1 as pareto_rank from a union all select *, 2 from b),
+g as (select *, lead(s) over (partition by pareto_rank order by s) - lag(s) over (partition by pareto_rank order by s) as gs, lead(v) over (partition by pareto_rank order by v) - lag(v) over (partition by pareto_rank order by v) as gv,
+max(s) over (partition by pareto_rank) - min(s) over (partition by pareto_rank) as rs, max(v) over (partition by pareto_rank) - min(v) over (partition by pareto_rank) as rv from f)
+select s as p_size, v as p_retailprice, pareto_rank, case when gs is null or gv is null then -1 else round(gs / rs + gv / rv, 6) end as crowding from g""")
+def _(spark, d):
+    points = table(spark, d, "part").select("p_size", "p_retailprice").distinct()
+    ranked = pareto.ranked(points, {"p_size": ("minimize",), "p_retailprice": ("maximize",)}, 2).where("pareto_rank <= 2")
+    return ranked.select("p_size", "p_retailprice", "pareto_rank", F.when(F.col("crowding_distance") == float("inf"), -1.0).otherwise(F.round("crowding_distance", 6)).alias("crowding"))
+
+
 @query("u_dominance_count", "with p as (select p_partkey, p_size as s, p_retailprice as v from part) select p.p_partkey, count(o.p_partkey)::bigint as dominated_by from p left join p o on o.s <= p.s and o.v >= p.v and (o.s < p.s or o.v > p.v) group by 1")
 def _(spark, d):
     return pareto.dominance_count(table(spark, d, "part"), "p_partkey", {"p_size": ("minimize",), "p_retailprice": ("maximize",)})

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.functions.scalars import header_names
+from statloom.operators.ordered import with_position
 
 NA_TOKENS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "-", "--", "?")
 
@@ -42,18 +43,19 @@ def read_csv(spark: SparkSession, path: str | list[str], separator: str = ",", d
     raw = spark.read.csv(path, sep=separator, header=header and not skip_rows, quote=quote, encoding=encoding, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     if skip_rows:
         lines = spark.read.option("encoding", encoding).text(path).withColumn("_i", F.monotonically_increasing_id())
-        left = lines.orderBy("_i").offset(skip_rows)
-        first = left.first()
+        top = lines.orderBy("_i").limit(skip_rows + 1).collect()
+        first = top[-1]
+        left = lines.where(F.col("_i") >= first["_i"])
         names = [n.strip(quote) for n in first[0].split(separator)] if header else [f"_c{i}" for i in range(first[0].count(separator) + 1)]
         schema = ", ".join(f"`{n}` string" for n in names)
-        rows = left.offset(1) if header else left
+        rows = lines.where(F.col("_i") > first["_i"]) if header else left
         raw = rows.select(F.from_csv("value", schema, {"sep": separator, "quote": quote}).alias("r")).select("r.*")
     if skip_columns and not header:
         raw = raw.select(*raw.columns[skip_columns:])
     if index:
         raw = raw.withColumnRenamed(raw.columns[0], "row_id")
     else:
-        raw = raw.withColumn("row_id", F.monotonically_increasing_id() + 1)
+        raw = with_position(raw.withColumn("_i", F.monotonically_increasing_id()), "_i", "row_id").withColumn("row_id", F.col("row_id") + 1).drop("_i")
     return typed(raw, decimal, na, keep=("row_id",))
 
 

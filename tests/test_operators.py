@@ -307,3 +307,49 @@ def test_normal_quantiles_at_any_size(spark):
     assert all(abs(r.z - dist.normal_quantile(r.p)) <= 1e-13 * max(1, abs(r.z)) for r in rows)
     big = quantile_pairs(spark.range(100_500).select(F.col("id").cast("double").alias("x")), "x").where("position % 1000 = 7").collect()
     assert len(big) == 101 and all(abs(r.theoretical - dist.normal_quantile(r.p)) < 1e-13 for r in big)
+
+
+def test_crowding_ends_and_flat_objectives(spark):
+    rows = [(1, 1.0, 9.0, 5.0), (2, 2.0, 7.0, 5.0), (3, 4.0, 4.0, 5.0), (4, 8.0, 1.0, 5.0), (5, 0.5, 0.5, 5.0), (6, None, 1.0, 5.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double").repartition(3)
+    got = {r.id: r for r in pareto.ranked(df, {"a": ("maximize",), "b": ("maximize",), "c": ("maximize",)}, 2).collect()}
+    assert [got[i].pareto_rank for i in range(1, 7)] == [1, 1, 1, 1, 2, 3]
+    inf = float("inf")
+    assert got[1].crowding_distance == got[4].crowding_distance == got[5].crowding_distance == inf and got[6].crowding_distance is None
+    assert abs(got[2].crowding_distance - (3 / 7 + 5 / 8)) < 1e-12 and abs(got[3].crowding_distance - (6 / 7 + 6 / 8)) < 1e-12
+
+
+def test_fronts_equal_peeling_all_points_at_once(spark):
+    points = np.random.default_rng(3).integers(0, 30, (600, 3)).astype(float)
+    df = spark.createDataFrame(pd.DataFrame(points, columns=["a", "b", "c"])).repartition(7)
+    got = {(r.a, r.b, r.c): r.pareto_rank for r in pareto.ranked(df, {x: ("maximize",) for x in "abc"}, 3).collect()}
+    left = np.unique(points, axis=0)
+    for rank in (1, 2, 3, 4):
+        best = np.array([not ((left >= p).all(1) & (left > p).any(1)).any() for p in left]) if rank < 4 else np.ones(len(left), bool)
+        assert all(got[tuple(p)] == rank for p in left[best])
+        left = left[~best]
+
+
+def test_point_types_of_real_values(spark):
+    design = spark.createDataFrame([(10.0, 1.0), (20.0, 3.0), (15.0, 2.0), (20.0, 2.0), (20.0, 2.5)], "t double, q double")
+    got = {(r.t, r.q): r.point_type for r in doe.classified(design, ["t", "q"], real=True).collect()}
+    assert got == {(10.0, 1.0): "corner", (20.0, 3.0): "corner", (15.0, 2.0): "center", (20.0, 2.0): "axial", (20.0, 2.5): "interior"}
+
+
+def test_uneven_bins_raise(spark):
+    df = spark.range(1).select(F.array(*[F.lit(float(i)) for i in range(7)]).alias("a"))
+    with pytest.raises(Exception, match="do not divide"):
+        df.select(rows.binned(F.col("a"), 3)).collect()
+
+
+def test_rows_of_a_read_file_are_numbered_without_gaps(spark, tmp_path):
+    for part in range(3):
+        (tmp_path / f"{part}.csv").write_text("x,y\n" + "".join(f"{part},{i}\n" for i in range(4)))
+    got = readers.read_csv(spark, [str(tmp_path / f"{i}.csv") for i in range(3)])
+    assert sorted(r.row_id for r in got.collect()) == list(range(1, 13))
+    (tmp_path / "head.csv").write_text("note\nmore\nx,y\n1,2\n3,4\n")
+    assert [(r.row_id, r.x, r.y) for r in readers.read_csv(spark, str(tmp_path / "head.csv"), skip_rows=2).orderBy("row_id").collect()] == [(1, 1.0, 2.0), (2, 3.0, 4.0)]
+
+
+def test_limit_of_rows_with_one_q():
+    assert monitor.q_limit_box(2.5, 0.0, 0.95) == 2.5
