@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Decimal
 from itertools import combinations
-from math import erfc, sqrt
+from math import ceil, erfc, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from statloom.functions.dist import correlation_p
 
+#: Points of a range of values that a task orders at once.
+RANGE_POINTS = 500_000
 ROW = "v1 string, v2 string, r double, p double, n bigint"
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r as an aggregate over the rows that have both; null if one of them is constant there, where the built-in one raises."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    sd = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.try_divide(F.covar_pop(x, y), sd)
+
+
 def _pairs(df: DataFrame, variables: list[str], rows: list[tuple]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, ROW)
 
@@ -24,7 +35,7 @@ def pearson(df: DataFrame, variables: list[str], pairwise: bool = False) -> Data
     """Rows (v1, v2, r, p, n) of the upper triangle: over complete rows, or ``pairwise`` over each pair's complete rows. One pass."""
     data = df if pairwise else df.dropna(subset=variables)
     pairs = list(combinations(variables, 2))
-    exprs = [e for a, b in pairs for e in (F.corr(F.col(a).cast("double"), F.col(b).cast("double")), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()))]
+    exprs = [e for a, b in pairs for e in (correlation(a, b), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()))]
     row = data.agg(*exprs).first()
     out = [(a, b, row[2 * i], correlation_p(row[2 * i], row[2 * i + 1]), row[2 * i + 1]) for i, (a, b) in enumerate(pairs)]
     return _pairs(df, variables, out)
@@ -46,63 +57,85 @@ def spearman(df: DataFrame, variables: list[str]) -> DataFrame:
 
 
 def kendall(df: DataFrame, variables: list[str]) -> DataFrame:
-    """Tau-b over complete rows, from the counts of distinct value pairs; p by the normal law with tie corrections.
-
-    Discordant pairs are counted on the driver by merging over the table of distinct pairs, so it is meant for factors and rounded
-    measures; beyond five million distinct pairs it raises.
-    """
+    """Tau-b over complete rows, whatever the number of distinct values; p by the normal law with tie corrections."""
+    data = df.dropna(subset=variables)
     out = []
     for a, b in combinations(variables, 2):
-        counts = df.dropna(subset=variables).groupBy(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).agg(F.count("*").alias("n"))
-        table = counts.limit(5_000_001).toPandas()
-        if len(table) > 5_000_000:
-            raise ValueError("too many distinct pairs for Kendall's tau")
-        out.append((a, b, *tau_b(table.x.to_numpy(), table.y.to_numpy(), table.n.to_numpy())))
+        points = data.groupBy(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).agg(F.count("*").alias("n")).persist()
+        total = int(points.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        out.append((a, b, *_tau_b(total, concordant_pairs(points), _tie_sums(points, "x"), _tie_sums(points, "y"), _tie_sums(points, "x", "y")), total))
+        points.unpersist()
     return _pairs(df, variables, out)
 
 
-def tau_b(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float | None, float | None, int]:
-    """(tau, p, n) of weighted points: a Fenwick tree over y adds up what lies below as x grows."""
-    total = int(n.sum())
-    rank = np.unique(y, return_inverse=True)[1] + 1
-    order = np.lexsort((rank, x))
-    x, rank, n = x[order], rank[order], n[order].astype(np.int64)
-    tree = [0] * (int(rank.max(initial=0)) + 1)
-    seen, concordant, discordant, i = 0, 0, 0, 0
-
-    def below(k: int) -> int:
-        s = 0
-        while k > 0:
-            s += tree[k]
-            k -= k & -k
-        return s
-
-    while i < len(x):
-        j = i
-        while j < len(x) and x[j] == x[i]:
-            concordant += int(n[j]) * below(int(rank[j]) - 1)
-            discordant += int(n[j]) * (seen - below(int(rank[j])))
-            j += 1
-        for k in range(i, j):
-            at = int(rank[k])
-            while at < len(tree):
-                tree[at] += int(n[k])
-                at += at & -at
-            seen += int(n[k])
-        i = j
-    ties = lambda v: [int(n[v == u].sum()) for u in np.unique(v)] if len(np.unique(v)) < 5000 else np.bincount(np.unique(v, return_inverse=True)[1], weights=n).astype(np.int64).tolist()
-    tx, ty = ties(x), ties(rank)
-    pairs = total * (total - 1) // 2
-    nx, ny = (pairs - sum(t * (t - 1) // 2 for t in v) for v in (tx, ty))
+def _tie_sums(points: DataFrame, *by: str) -> list[int]:
+    """Sums over groups of t rows of t (t - 1), t (t - 1) (2 t + 5) and t (t - 1) (t - 2)."""
+    t = F.col("t")
+    groups = points.groupBy(*by).agg(F.sum("n").cast("decimal(38,0)").alias("t"))
+    pair = t * (t - 1)
+    terms = [e.cast("decimal(38,0)") for e in (pair, pair * (2 * t + 5), pair * (t - 2))]
+    return [int(v or 0) for v in groups.agg(*[F.sum(e) for e in terms]).first()]
+
+
+def _tau_b(n: int, concordant: int, tx: list[int], ty: list[int], both: list[int]) -> tuple[float | None, float | None]:
+    pairs = n * (n - 1)  # every pair counts twice here, as it does in the sums of ties
+    nx, ny = pairs - tx[0], pairs - ty[0]
     if not nx or not ny:
-        return None, None, total
-    s = concordant - discordant
-    v0 = total * (total - 1) * (2 * total + 5)
-    var = (v0 - sum(t * (t - 1) * (2 * t + 5) for t in tx) - sum(t * (t - 1) * (2 * t + 5) for t in ty)) / 18
-    var += sum(t * (t - 1) for t in tx) * sum(t * (t - 1) for t in ty) / (2 * total * (total - 1))
-    if total > 2:
-        var += sum(t * (t - 1) * (t - 2) for t in tx) * sum(t * (t - 1) * (t - 2) for t in ty) / (9 * total * (total - 1) * (total - 2))
-    return s / sqrt(nx) / sqrt(ny), (erfc(abs(s) / sqrt(var) / sqrt(2)) if var > 0 else None), total
+        return None, None
+    s = 2 * concordant - (pairs - tx[0] - ty[0] + both[0]) // 2  # concordant less discordant pairs
+    var = (pairs * (2 * n + 5) - tx[1] - ty[1]) / 18 + tx[0] * ty[0] / (2 * pairs)
+    if n > 2:
+        var += tx[2] * ty[2] / (9 * pairs * (n - 2))
+    return 2 * s / sqrt(nx) / sqrt(ny), (erfc(abs(s) / sqrt(var) / sqrt(2)) if var > 0 else None)
+
+
+def rising_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> int:
+    """Pairs of weighted points that rise in both x and y, counted bit by bit of the rank of y."""
+    order = np.lexsort((-y, x))  # of equal x the higher y goes first, so it never counts
+    rank, n, out = np.unique(y, return_inverse=True)[1][order], n[order].astype(np.int64), 0
+    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        order = np.argsort(rank >> (bit + 1), kind="stable")
+        group, high, weight = (rank >> (bit + 1))[order], (rank[order] >> bit & 1).astype(bool), n[order]
+        lower = np.cumsum(np.where(high, 0, weight))
+        start = np.searchsorted(group, group)
+        before = lower - np.where(start > 0, lower[start - 1], 0)
+        out += int((weight[high].astype(object) * before[high].astype(object)).sum())
+    return out
+
+
+def concordant_pairs(points: DataFrame, most: int = RANGE_POINTS) -> int:
+    """Pairs of rows that x and y order alike; points (x, y, n) are distinct and stand for n rows each.
+
+    Both axes are cut into ranges of about ``most`` points, a value at a cut being a range of its own, so a frequent value
+    swells no other range. A pair lies in one range of x, else in one range of y, else in two cells that differ in both:
+    ranges are counted in one task each, and the cells are points again, far fewer.
+    """
+    number = points.count()
+    ranges = min(ceil(number / most), int(sqrt(number / 8)))  # so there are at most half as many cells as points
+    if ranges < 2:
+        cuts = ([], [])
+    else:
+        shares = [i / ranges for i in range(1, ranges)]
+        cuts = tuple(sorted(set(c)) for c in points.agg(*[F.percentile_approx(c, shares, ranges * 20) for c in "xy"]).first())
+    x_cuts, y_cuts = (np.array(c, float) for c in cuts)
+
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:  # odd: the value of a cut, even: what lies between two cuts
+            yield p.assign(i=np.searchsorted(x_cuts, p.x, "left") + np.searchsorted(x_cuts, p.x, "right"), j=np.searchsorted(y_cuts, p.y, "left") + np.searchsorted(y_cuts, p.y, "right"))
+
+    placed = points.select("x", "y", "n").mapInPandas(place, "x double, y double, n bigint, i bigint, j bigint")
+
+    def counted(x: str):
+        return lambda g: pd.DataFrame({"pairs": [Decimal(rising_pairs(g[x].to_numpy(), g["y"].to_numpy(), g["n"].to_numpy()))]})
+
+    found = placed.where("i % 2 = 0").groupBy("i").applyInPandas(counted("x"), "pairs decimal(38,0)")
+    if ranges < 2:
+        return int(found.agg(F.sum("pairs")).first()[0] or 0)
+    found = found.unionByName(placed.where("j % 2 = 0").groupBy("j").applyInPandas(counted("i"), "pairs decimal(38,0)"))
+    cells = placed.groupBy(F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y")).agg(F.sum("n").alias("n")).persist()
+    out = int(found.agg(F.sum("pairs")).first()[0] or 0) + concordant_pairs(cells, most)
+    cells.unpersist()
+    return out
 
 
 def covariance(df: DataFrame, variables: list[str]) -> DataFrame:
@@ -123,6 +156,16 @@ def top_variables(pairs: DataFrame, n: int = 7) -> DataFrame:
     return ranked_.select("at", F.posexplode(F.array("v1", "v2")).alias("side", "variable")).groupBy("variable").agg(F.min(F.col("at") * 2 + F.col("side")).alias("at")).orderBy("at").limit(n).select("variable")
 
 
+def one_against_rest(df: DataFrame, variable: str, others: list[str], n: int = 10) -> DataFrame:
+    """(variable, r) of the n other variables of highest |r| with one variable, ties by name; pairs without an r go. One pass."""
+    rest = [v for v in others if v != variable]
+    if not rest:
+        return df.sparkSession.createDataFrame([], "variable string, r double")
+    row = df.agg(*[correlation(variable, v) for v in rest]).first()
+    found = sorted(((v, r) for v, r in zip(rest, row) if r is not None and r == r), key=lambda x: (-abs(x[1]), x[0]))
+    return df.sparkSession.createDataFrame(found[:n], "variable string, r double")
+
+
 def robust_covariance(df: DataFrame, variables: list[str], starts: int = 30, most_rows: int = 20_000, seed: int = 42) -> dict:
     """Minimum covariance determinant by concentration steps over a sample of at most ``most_rows`` complete rows."""
     x = df.dropna(subset=variables).select(*[F.col(c).cast("double") for c in variables]).orderBy(F.rand(seed)).limit(most_rows).toPandas().to_numpy()

@@ -23,16 +23,17 @@ class Monitor:
     alphas: tuple[float, ...]
     t2_limits: list[float]
     q_limits: list[float]
+    scaling: str = "auto"
 
     def to_json(self) -> str:
         m = {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in asdict(self.model).items()}
-        return json.dumps({"model": m, "variance": self.variance.tolist(), "alphas": list(self.alphas), "t2_limits": self.t2_limits, "q_limits": self.q_limits})
+        return json.dumps({"model": m, "variance": self.variance.tolist(), "alphas": list(self.alphas), "t2_limits": self.t2_limits, "q_limits": self.q_limits, "scaling": self.scaling})
 
     @classmethod
     def from_json(cls, text: str) -> Monitor:
         d = json.loads(text)
         m = {k: np.array(v) if k in ("mean", "scale", "loadings", "eigenvalues", "ratio") else v for k, v in d["model"].items()}
-        return cls(PcaModel(**m), np.array(d["variance"]), tuple(d["alphas"]), d["t2_limits"], d["q_limits"])
+        return cls(PcaModel(**m), np.array(d["variance"]), tuple(d["alphas"]), d["t2_limits"], d["q_limits"], d.get("scaling", "auto"))
 
 
 def q_limit_box(mean: float, var: float, alpha: float) -> float:
@@ -56,7 +57,7 @@ def fit(df: DataFrame, variables: list[str], components: int | float | None = No
     k = len(values) if components is None else int(np.searchsorted(np.cumsum(share), components) + 1) if isinstance(components, float) else components
     model = PcaModel(variables, m.mean, div, vectors[:, :k], values[:k], share[:k], m.n)
     mean, var = df.select(q_column(model).alias("q")).agg(F.avg("q"), F.var_pop("q") if q_ddof == 0 else F.var_samp("q")).first()
-    return Monitor(model, values[:k] / (m.n - 1), alphas, [t2_limit(m.n, k, a) for a in alphas], [q_limit_box(mean, var, a) for a in alphas])
+    return Monitor(model, values[:k] / (m.n - 1), alphas, [t2_limit(m.n, k, a) for a in alphas], [q_limit_box(mean, var, a) for a in alphas], scaling)
 
 
 def t2_of(monitor: Monitor) -> Column:
@@ -93,6 +94,23 @@ def limits_table(df: DataFrame, monitor: Monitor) -> DataFrame:
     return df.sparkSession.createDataFrame([(float(a), float(t), float(q)) for a, t, q in zip(monitor.alphas, monitor.t2_limits, monitor.q_limits)], "alpha double, t2_limit double, q_limit double")
 
 
+def summary(df: DataFrame, monitor: Monitor) -> DataFrame:
+    """One row: components, variables, training rows, explained share (whole and by component), scaling and limits."""
+    m = monitor.model
+    row = (len(m.ratio), len(m.variables), int(m.n), float(m.ratio.sum()), m.ratio.tolist(), monitor.scaling, list(monitor.alphas), [float(t) for t in monitor.t2_limits], [float(q) for q in monitor.q_limits])
+    return df.sparkSession.createDataFrame([row], "n_components int, n_variables int, n_rows bigint, explained double, explained_by_pc array<double>, scaling string, alphas array<double>, t2_limits array<double>, q_limits array<double>")
+
+
+def variable_shares(rows: DataFrame, monitor: Monitor, keep: list[str]) -> DataFrame:
+    """keep, variable, t2, q: a variable's loading times t^2 over the score's variance, summed over components, and its squared residual."""
+    m = monitor.model
+    x = m.prepared()
+    t = [dot(x, m.loadings[:, k]) for k in range(m.loadings.shape[1])]
+    squares = [s * s / float(v) for s, v in zip(t, np.maximum(monitor.variance, 1e-10))]
+    cells = [F.struct(F.lit(v).alias("variable"), dot(squares, m.loadings[i]).alias("t2"), F.pow(x[i] - dot(t, m.loadings[i]), 2).alias("q")) for i, v in enumerate(m.variables)]
+    return rows.select(*keep, F.inline(F.array(*cells)))
+
+
 def contribution_columns(monitor: Monitor) -> tuple[dict[str, Column], dict[str, Column]]:
     """Per variable the part in Q, sign(r) * r^2, and in T2, the row of X P diag(1 / sd) P' (sd: population, of the scores)."""
     m = monitor.model

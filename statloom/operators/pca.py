@@ -173,6 +173,17 @@ def contributions(model: PcaModel, df: DataFrame, k: int | None = None) -> DataF
     return df.sparkSession.createDataFrame([(model.variables[i], float(c[i]), float(t)) for i, t in zip(order, np.cumsum(c[order]))], "variable string, contribution double, cumulative double")
 
 
+def loading_lists(model: PcaModel, df: DataFrame) -> DataFrame:
+    """(pc, side, rank, variable, loading, share): loadings at least 0 from the largest, those below 0 from the least; share is % of the component's largest |loading|."""
+    out = []
+    for k, pc in enumerate(model.names):
+        of = sorted(zip(model.loadings[:, k].tolist(), model.variables), key=lambda x: (-abs(x[0]), x[1]))
+        most = abs(of[0][0]) or 1.0
+        for side, chosen in (("positive", [x for x in of if x[0] >= 0]), ("negative", [x for x in of if x[0] < 0])):
+            out += [(pc, side, i, v, x, round(abs(x) / most * 100, 1)) for i, (x, v) in enumerate(chosen, 1)]
+    return df.sparkSession.createDataFrame(out, "pc string, side string, rank int, variable string, loading double, share double")
+
+
 def leverage(df: DataFrame, model: PcaModel, keep: list[str]) -> DataFrame:
     """t (T'T)^-1 t' of each row, T'T being diagonal with the eigenvalues."""
     x = model.prepared()

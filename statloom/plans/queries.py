@@ -177,6 +177,11 @@ def _(spark, d):
     return rounded(bivariate.correlation_summary(bivariate.pearson(table(spark, d, "lineitem"), V)).select("v1", "v2", "r", "n"))
 
 
+@query("g_one_against_rest", union([f"select '{v}' as variable, {r(f'corr(l_quantity, {v})')} as r from lineitem" for v in V[1:]]))
+def _(spark, d):
+    return rounded(bivariate.one_against_rest(table(spark, d, "lineitem"), "l_quantity", V))
+
+
 @query("g_top_by_group", "select p_brand, p_partkey, p_retailprice, rank::int as rank from (select p_brand, p_partkey, p_retailprice, row_number() over (partition by p_brand order by abs(p_retailprice) desc, p_partkey) as rank from part) where rank <= 3")
 def _(spark, d):
     return select.top_by_magnitude(table(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice"), "p_retailprice", 3, ["p_brand"], "p_partkey")
@@ -342,6 +347,12 @@ def _(spark, d):
     return rounded(bivariate.kendall(data, ["p_size", "y"]).select("v1", "v2", "r", "n"))
 
 
+@query("m_kendall_values", f"""with s as (select sign(a.p_size - b.p_size) * sign(a.p_retailprice - b.p_retailprice) as s, a.p_size = b.p_size as tx, a.p_retailprice = b.p_retailprice as ty from part a, part b)
+select 'p_size' as v1, 'p_retailprice' as v2, {r('sum(s) / sqrt(count_if(not tx)::double) / sqrt(count_if(not ty)::double)')} as r, (select count(*) from part)::bigint as n from s""")
+def _(spark, d):
+    return rounded(bivariate.kendall(table(spark, d, "part"), ["p_size", "p_retailprice"]).select("v1", "v2", "r", "n"))
+
+
 @query("m_convex_hulls")
 def _(spark, d):
     return bivariate.convex_hulls(table(spark, d, "part"), "p_size", "p_retailprice", "p_brand")
@@ -396,9 +407,27 @@ def _(spark, d):
     return pca.contributions(pca.rotated(data, pca.fit(data, V, 3, scale=True)), data)
 
 
+@query("n_loading_lists")
+def _(spark, d):
+    data = table(spark, d, "lineitem")
+    return pca.loading_lists(pca.fit(data, V, 3, scale=True), data)
+
+
 _M = "with s as (select avg(l_quantity) as m1, stddev_pop(l_quantity) as s1, avg(l_extendedprice) as m2, stddev_pop(l_extendedprice) as s2, corr(l_quantity, l_extendedprice) as c, count(*)::double as n from lineitem), z as (select l_orderkey, l_linenumber, (l_quantity - m1) / s1 as a, (l_extendedprice - m2) / s2 as b, c, n from lineitem, s)"
 
 
+@query("o_variable_shares", union([f"{_M} select l_orderkey, l_linenumber, '{v}' as variable, {r('(a - sign(c) * b) ** 2 / 4', 5)} as q from z" for v in _TWO]).replace(f" union all {_M}", " union all"))
+def _(spark, d):
+    data = table(spark, d, "lineitem")
+    return rounded(monitor.variable_shares(data, monitor.fit(data, _TWO, 1), ["l_orderkey", "l_linenumber"]).drop("t2"), 5)
+
+
+@query("o_model_summary", f"{_M} select 1 as n_components, 2 as n_variables, count(*)::bigint as n_rows, {r('(1 + abs(any_value(c))) / 2')} as explained, 'auto' as scaling from z")
+def _(spark, d):
+    data = table(spark, d, "lineitem")
+    return rounded(monitor.summary(data, monitor.fit(data, _TWO, 1)).select("n_components", "n_variables", "n_rows", "explained", "scaling"))
+
+
 @query("o_monitor_t2", f"{_M} select l_orderkey, l_linenumber, {r('(a * a + b * b - 2 * c * a * b) / (1 - c * c) * (n - 1) / n', 5)} as t2 from z")
 def _(spark, d):
     data = table(spark, d, "lineitem")

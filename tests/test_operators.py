@@ -273,6 +273,61 @@ def test_bivariate(spark):
     assert quantile_pairs(df, "x").count() == 50
 
 
+@pytest.mark.parametrize("most", [1_000_000, 50, 11])
+def test_kendall_over_ranges(spark, most):
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 60, 400).astype(float), rng.integers(0, 50, 400).astype(float)
+    x[:200], y[100:250] = 7.0, 3.0  # values that hold a half and more than a third of the rows
+    points = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}).groupby(["x", "y"]).size().reset_index(name="n"))
+    assert bivariate.concordant_pairs(points, most) == ((x[:, None] < x) & (y[:, None] < y)).sum()
+
+
+def test_kendall_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "x double, y double")
+    flat = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (None, 1.0)], "x double, y double")
+    assert bivariate.kendall(empty, ["x", "y"]).first()[2:] == (None, None, 0)
+    assert bivariate.kendall(flat, ["x", "y"]).first()[2:] == (None, None, 2)
+    steep = spark.createDataFrame([(float(i), 2.0 * i) for i in range(5)], "x double, y double")
+    got = bivariate.kendall(steep, ["x", "y"]).first()
+    assert (got.r, got.n) == (1.0, 5) and got.p == pytest.approx(0.014305878, abs=1e-8)
+
+
+def test_correlation_with_a_constant_is_null(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 1.0, 5.0), (4.0, 7.0, 5.0), (None, 9.0, 5.0)], "x double, y double, k double")
+    for pairwise in (False, True):
+        got = {(a.v1, a.v2): (a.r, a.p, a.n) for a in bivariate.pearson(df, ["x", "y", "k"], pairwise).collect()}
+        assert got["x", "y"][0] == pytest.approx(np.corrcoef([1, 2, 4], [2, 1, 7])[0, 1])
+        assert got["x", "k"][:2] == (None, None) and got["y", "k"] == (None, None, 4 if pairwise else 3)
+
+
+def test_shares_lists_and_summary_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 4)) @ rng.standard_normal((4, 4))
+    x = np.c_[x, np.ones(60)]
+    df, names = matrix(spark, x)
+    watch = monitor.fit(df, names[:4], 2)
+    z = (x[:, :4] - x[:, :4].mean(0)) / x[:, :4].std(0)
+    p = watch.model.loadings
+    t = z @ p
+    got = monitor.variable_shares(df, watch, ["row_id"]).toPandas().sort_values(["row_id", "variable"])
+    assert got.t2.to_numpy().reshape(60, 4) == pytest.approx((t**2 / t.var(0, ddof=1)) @ p.T)
+    assert got.q.to_numpy().reshape(60, 4) == pytest.approx((z - t @ p.T) ** 2)
+    one = monitor.summary(df, watch).first()
+    assert (one.n_components, one.n_variables, one.n_rows, one.scaling) == (2, 4, 60, "auto")
+    assert monitor.Monitor.from_json(watch.to_json()).scaling == "auto"
+    r = np.corrcoef(x[:, :4].T)[1]
+    want = sorted((i for i in (0, 2, 3)), key=lambda i: -abs(r[i]))
+    rest = bivariate.one_against_rest(df, "c1", names, 2).collect()  # the constant column has no correlation
+    assert [a.variable for a in rest] == [f"c{i}" for i in want[:2]] and rest[0].r == pytest.approx(r[want[0]])
+    lists = pca.loading_lists(watch.model, df).toPandas()
+    assert len(lists) == 8 and (lists.groupby("pc").share.max() == 100).all()
+    for k, pc in enumerate(watch.model.names):
+        up = lists[(lists.pc == pc) & (lists.side == "positive")].sort_values("rank")
+        down = lists[(lists.pc == pc) & (lists.side == "negative")].sort_values("rank")
+        assert up.loading.tolist() == sorted([v for v in p[:, k] if v >= 0], reverse=True)
+        assert down.loading.tolist() == sorted(v for v in p[:, k] if v < 0)
+
+
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "t.csv").write_text("id;a;b\n1;1,5;x\n2;NA;y\n")
     df = readers.read(spark, str(tmp_path / "t.csv"), separator=";", decimal=",", index=True)
