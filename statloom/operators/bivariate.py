@@ -45,8 +45,9 @@ def ranked(df: DataFrame, variables: list[str]) -> DataFrame:
     """Each variable by its tie-averaged rank: counts of distinct values and their running sums over ranges, joined back by value."""
     from statloom.operators.ordered import running_sum
 
-    for c in variables:
-        counts = df.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_k"))
+    rows = df
+    for c in variables:  # counts come from the rows as they were, not from the joins so far
+        counts = rows.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_k"))
         upto = running_sum(counts, "_v", "_k", "_upto").select(F.col("_v").alias(c), (F.col("_upto") - (F.col("_k") - 1) / 2.0).alias(f"_r_{c}"))
         df = df.join(upto, c)
     return df.select(*[c for c in df.columns if c not in variables and not c.startswith("_r_")], *[F.col(f"_r_{c}").alias(c) for c in variables])
