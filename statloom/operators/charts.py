@@ -7,6 +7,7 @@ from math import pi, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.operators.bivariate import correlation
 from statloom.operators.ordered import running_sum
 
 
@@ -82,8 +83,8 @@ def scaled_colour(df: DataFrame, column: str) -> DataFrame:
 
 
 def fitted_vs_observed(diagnostics: DataFrame) -> DataFrame:
-    """Correlations and spreads of a regression's diagnostics: r of fitted and of left-out predictions, population sd and largest |residual|."""
-    return diagnostics.agg(F.corr("observed", "fitted").alias("r_fitted"), F.corr("observed", "cv_predicted").alias("r_cv"), F.stddev_pop("residual").alias("residual_sd"), F.max(F.abs("residual")).alias("largest_residual"))
+    """Correlations and spreads of a regression's diagnostics: r of fitted and of left-out predictions (null if constant), population sd and largest |residual|."""
+    return diagnostics.agg(correlation("observed", "fitted").alias("r_fitted"), correlation("observed", "cv_predicted").alias("r_cv"), F.stddev_pop("residual").alias("residual_sd"), F.max(F.abs("residual")).alias("largest_residual"))
 
 
 def high_leverage(diagnostics: DataFrame, n: int, terms: int, multi: bool = False) -> DataFrame:
