@@ -48,6 +48,34 @@ def blue_to_red(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNull(), "rgb(128,128,128)").otherwise(F.format_string("rgb(%d,0,%d)", F.floor(u * 255), F.floor((1 - u) * 255)))
 
 
+# Named colours of categories, in order of use, with their red, green and blue.
+NAMED_COLOURS = {
+    "black": (0, 0, 0), "red": (255, 0, 0), "green": (0, 128, 0), "blue": (0, 0, 255), "orange": (255, 165, 0), "purple": (128, 0, 128), "brown": (165, 42, 42),
+    "hotpink": (255, 105, 180), "gray": (128, 128, 128), "olive": (128, 128, 0), "cyan": (0, 255, 255), "magenta": (255, 0, 255), "gold": (255, 215, 0), "navy": (0, 0, 128),
+    "darkgreen": (0, 100, 0), "darkred": (139, 0, 0), "indigo": (75, 0, 130), "coral": (255, 127, 80), "teal": (0, 128, 128), "chocolate": (210, 105, 30),
+    "crimson": (220, 20, 60), "darkviolet": (148, 0, 211), "darkorange": (255, 140, 0), "darkslategray": (47, 79, 79), "royalblue": (65, 105, 225), "saddlebrown": (139, 69, 19),
+}
+
+
+def category_colour(rank: Column) -> Column:
+    """The colour of the rank-th category (from 0, in sorted order): a named one while they last, then golden-angle hues."""
+    return F.coalesce(F.get(F.array(*[F.lit(c) for c in NAMED_COLOURS]), rank.cast("int")), F.format_string("hsl(%d, 70%%, 50%%)", ((rank * 137) % 360).cast("int")))
+
+
+def rgba(name: Column, alpha: float = 0.5) -> Column:
+    """A named colour as rgba(r, g, b, alpha); grey for any other name."""
+    known = F.create_map(*[F.lit(x) for n, (r, g, b) in NAMED_COLOURS.items() for x in (n, f"rgba({r}, {g}, {b}, {alpha})")])
+    return F.coalesce(F.try_element_at(known, F.coalesce(F.lower(name), F.lit(""))), F.lit(f"rgba(128, 128, 128, {alpha})"))
+
+
+def order_colour(position: Column, n: int) -> Column:
+    """Blue to red by place among n rows (position from 0); blue for a single row."""
+    if n <= 1:
+        return F.lit("rgb(0, 0, 255)")
+    u = position / (n - 1)
+    return F.format_string("rgb(%d,0,%d)", F.floor(u * 255), F.floor((1 - u) * 255))
+
+
 def hue(rank: Column) -> Column:
     """A colour for the rank-th category: golden-angle steps round the wheel."""
     return F.format_string("hsl(%d,70%%,50%%)", (rank * 137) % 360)

@@ -7,8 +7,13 @@ from math import pi, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.functions import scalars
 from statloom.operators.bivariate import correlation
-from statloom.operators.ordered import running_sum
+from statloom.operators.encode import levels
+from statloom.operators.monitor import Monitor, faults
+from statloom.operators.ordered import running_sum, with_position
+from statloom.operators.select import sampled
+from statloom.operators.univariate import unpivoted
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -95,3 +100,69 @@ def high_leverage(diagnostics: DataFrame, n: int, terms: int, multi: bool = Fals
 def axis_range(df: DataFrame, columns: list[str], margin: float = 0.05) -> DataFrame:
     cells = [F.struct(F.lit(c).alias("variable"), (F.min(c) - (F.max(c) - F.min(c)) * margin).cast("double").alias("low"), (F.max(c) + (F.max(c) - F.min(c)) * margin).cast("double").alias("high")) for c in columns]
     return df.agg(F.array(*cells).alias("r")).select(F.inline("r"))
+
+
+def category_colours(df: DataFrame, column: str) -> DataFrame:
+    """(category, colour): levels in sorted order with their colours; nulls are no level."""
+    found = [(v, i) for i, v in enumerate(sorted(v for v, _ in levels(df, column)))]
+    return df.sparkSession.createDataFrame(found, "category string, _rank int").select("category", scalars.category_colour(F.col("_rank")).alias("colour"))
+
+
+def trajectory_style(path: DataFrame, n: int) -> DataFrame:
+    """Adds colour, width and size to rows with a position from 0: blue to red and growing up to the last segment; the last point is red of size 6."""
+    u = F.least(F.col("position") / max(1, n - 2), F.lit(1.0))
+    last = F.col("position") >= n - 1
+    rgb = F.format_string("rgb(%d,0,%d)", F.floor(u * 255), F.floor((1 - u) * 255))
+    return path.withColumns({"colour": F.when(last, "rgb(255,0,0)").otherwise(rgb), "width": F.when(~last | F.lit(n == 1), 1.5 + u * 1.5), "size": F.when(last, 6.0).otherwise(3 + u * 3)})
+
+
+def shaded_profiles(df: DataFrame, row_id: str, variables: list[str], colour: str | None = None, notes: list[str] | None = None) -> DataFrame:
+    """(row_id, variable, value, shade or category, text): profiles with the colour column on 0..1 if it is a number, else as a category; ``notes`` as text."""
+    kept = dict.fromkeys([row_id, *(notes or []), *([colour] if colour else [])])
+    rows = df.select(*kept, *[c for c in variables if c not in kept])
+    numeric = {f for f, t in rows.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal")}
+    if colour:
+        rows = scaled_colour(rows, colour) if colour in numeric else rows.withColumn("category", F.coalesce(F.col(colour).cast("string"), F.lit("Unknown")))
+    if notes:
+        rows = rows.withColumn("text", scalars.metadata_text(notes, numeric))
+    added = [c for c in ("shade", "category", "text") if c in rows.columns and c not in kept]
+    return unpivoted(rows, variables, [row_id, *added])
+
+
+def contribution_bars(table: DataFrame) -> DataFrame:
+    """Adds colour: red where the magnitude of the contribution exceeds 1, else blue."""
+    return table.withColumn("colour", F.when(F.abs("contribution") > 1, "red").otherwise("blue"))
+
+
+def correlation_scatter(train: DataFrame, rows: DataFrame, x: str, y: str, n: int = 1000, seed: int = 42) -> DataFrame:
+    """(x, y, highlighted): a random cloud of n training rows (the feature) and all of ``rows``."""
+    cloud = sampled(train.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), n, seed)
+    return cloud.withColumn("highlighted", F.lit(False)).unionByName(rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.lit(True).alias("highlighted")))
+
+
+def scatter_points(df: DataFrame, x: str, y: str, colour: str, most_levels: int = 20) -> DataFrame:
+    """Rows with both numbers, with x, y, colour and whether the colour is a category: text, or at most ``most_levels`` values."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(colour).alias("colour"))
+    text = dict(rows.dtypes)["colour"] in ("string", "boolean")
+    few = text or rows.select("colour").distinct().limit(most_levels + 2).where("colour is not null").count() <= most_levels
+    return rows.withColumn("categorical", F.lit(few))
+
+
+def pair_ranges(df: DataFrame, variables: list[str]) -> DataFrame:
+    """Axis ranges, 5 % wider on both sides, over rows complete in all variables."""
+    return axis_range(df.dropna(subset=variables), variables)
+
+
+def residuals_by_order(diagnostics: DataFrame, order: str) -> DataFrame:
+    """(order, position from 1, residual, low, high, largest): residuals in run order with one population deviation about 0 and the largest magnitude."""
+    sd, largest = diagnostics.agg(F.stddev_pop("residual"), F.max(F.abs("residual"))).first()
+    lines = {n: F.lit(v).cast("double") for n, v in (("low", None if sd is None else -sd), ("high", sd), ("largest", largest))}
+    return with_position(diagnostics.select(order, "residual"), order).select(order, (F.col("position") + 1).alias("position"), "residual", *[e.alias(n) for n, e in lines.items()])
+
+
+def control_series(df: DataFrame, monitor: Monitor, order: str, base: str | None = None, start: int = 1) -> DataFrame:
+    """(order, sample, t2, q, fault, and a column for each limit): statistics in row order, numbered from ``start``; with ``base`` a time, one second a row."""
+    placed = with_position(faults(df, monitor, [order]), order).withColumn("sample", F.col("position") + start)
+    limits = {f"{n}_limit_{i}": F.lit(float(v)) for n, of in (("t2", monitor.t2_limits), ("q", monitor.q_limits)) for i, v in enumerate(of, 1)}
+    out = placed.select(order, "sample", "position", "t2", "q", "fault").withColumns(limits)
+    return (out.withColumn("time", scalars.timestamps(F.col("position"), base)) if base else out).drop("position")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A column of more levels is not a factor; its levels are not brought to the driver.
@@ -28,6 +28,17 @@ def dummies(column: str, names: list[str]) -> dict[str, Column]:
     return {f"{column}_{n}": F.coalesce((F.col(column).cast("string") == n).cast("int"), F.lit(0)) for n in names}
 
 
+def dummies_but_last(column: str, names: list[str]) -> dict[str, Column]:
+    """The same without the last level, which is the reference."""
+    return dummies(column, names[:-1])
+
+
+def coding_table(spark: SparkSession, ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """(variable, real_min, real_max, real_center, real_range, coded_min, coded_max): how real values map to -1..1; real_range is half the span."""
+    rows = [(v, float(low), float(high), (high + low) / 2, (high - low) / 2, -1.0, 1.0) for v, (low, high) in ranges.items()]
+    return spark.createDataFrame(rows, "variable string, real_min double, real_max double, real_center double, real_range double, coded_min double, coded_max double")
+
+
 def auto_encoded(df: DataFrame, columns: list[str], order: str | None = None, code_numeric: bool = False, references: dict[str, str] | None = None) -> tuple[DataFrame, dict]:
     """Encode columns by their levels and tell how.
 

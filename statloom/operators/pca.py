@@ -149,6 +149,13 @@ def q_limit_lognormal(df: DataFrame, model: PcaModel, alpha: float) -> float:
     return 10 ** (m + t_quantile(alpha, n - 1) * (s or 0.0))
 
 
+def limits(df: DataFrame, model: PcaModel, joint: bool = False) -> DataFrame:
+    """(alpha, t2_limit, q_limit) at the levels for one statistic alone or for both together (fixed values)."""
+    a = len(model.eigenvalues)
+    rows = [(alpha, float(t2_limit(model.n, a, alpha)), float(q_limit_lognormal(df, model, alpha))) for alpha in ((0.974679, 0.994987, 0.9995) if joint else (0.95, 0.99, 0.999))]
+    return df.sparkSession.createDataFrame(rows, "alpha double, t2_limit double, q_limit double")
+
+
 def diagnostics(df: DataFrame, model: PcaModel, keep: list[str]) -> DataFrame:
     return df.select(*keep, t2_column(model).alias("t2"), q_column(model).alias("q"))
 
@@ -184,6 +191,33 @@ def loading_lists(model: PcaModel, df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "pc string, side string, rank int, variable string, loading double, share double")
 
 
+def strong_loadings(model: PcaModel, x: int, y: int, threshold: float = 0.4) -> list[tuple[str, float, float, float]]:
+    """(variable, loading on x, loading on y, larger magnitude) of variables that reach the threshold on either component, strongest first."""
+    found = [(v, float(a), float(b), float(max(abs(a), abs(b)))) for v, a, b in zip(model.variables, model.loadings[:, x], model.loadings[:, y])]
+    return sorted((f for f in found if f[3] >= threshold), key=lambda f: -f[3])
+
+
+def loading_contributions(df: DataFrame, model: PcaModel, x: int = 0, y: int = 1, threshold: float = 0.4) -> DataFrame:
+    return df.sparkSession.createDataFrame(strong_loadings(model, x, y, threshold), "variable string, x double, y double, magnitude double")
+
+
+def interpreted(df: DataFrame, model: PcaModel, row_id: str, x: int = 0, y: int = 1, threshold: float = 0.4) -> DataFrame:
+    """(row_id, side_x, side_y, text): on which side of both components a row lies, and the variables whose loadings there exceed the threshold."""
+    strong, names = strong_loadings(model, x, y, threshold), (model.names[x], model.names[y])
+    rows = scores(df, model, [row_id])
+    if not strong:
+        return rows.select(row_id, F.lit(None).cast("string").alias("side_x"), F.lit(None).cast("string").alias("side_y"), F.concat(F.lit("Sample "), F.col(row_id).cast("string"), F.lit(f" has no strong variable associations (threshold={threshold}).")).alias("text"))
+    rest = ""
+    for at, name in enumerate(names, 1):
+        for level, sign in (("HIGH", 1), ("LOW", -1)):
+            listed = [s[0] for s in strong if s[at] * sign > threshold]
+            rest += f"\nOn {name}, this sample has {level} levels of: {', '.join(listed)}." if listed else ""
+    side = {n: F.when(F.col(n) > 0, "HIGH").otherwise("LOW") for n in names}
+    place = " and ".join([f"%s on {n} (score=%.2f)" for n in names])
+    text = F.format_string(f"Sample %s is positioned {place}.", F.col(row_id).cast("string"), side[names[0]], F.col(names[0]), side[names[1]], F.col(names[1]))
+    return rows.select(row_id, side[names[0]].alias("side_x"), side[names[1]].alias("side_y"), F.concat(text, F.lit(rest)).alias("text"))
+
+
 def leverage(df: DataFrame, model: PcaModel, keep: list[str]) -> DataFrame:
     """t (T'T)^-1 t' of each row, T'T being diagonal with the eigenvalues."""
     x = model.prepared()

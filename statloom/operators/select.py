@@ -64,6 +64,14 @@ def mean_differences(selected: DataFrame, rest: DataFrame, variables: list[str])
     return both.withColumn("difference", F.col("selected_mean") - F.col("rest_mean")).orderBy(F.desc(F.abs("difference")), "variable")
 
 
+def overall_summary(selected: DataFrame, variables: list[str]) -> DataFrame:
+    """One row: rows, mean of the variables' means and of their deviations, least and largest value of all."""
+    stats = selected.agg(F.count("*").alias("count"), *[f(c).cast("double").alias(f"{n}{i}") for i, c in enumerate(variables) for n, f in (("m", F.avg), ("s", F.stddev_samp), ("l", F.min), ("h", F.max))])
+    of = lambda n: F.array_compact(F.array(*[F.col(f"{n}{i}") for i in range(len(variables))]))
+    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda t, v: t + v), F.size(a))
+    return stats.select("count", mean(of("m")).alias("mean"), mean(of("s")).alias("std"), F.array_min(of("l")).alias("min"), F.array_max(of("h")).alias("max"))
+
+
 def shuffled(df: DataFrame, seed: int) -> DataFrame:
     return df.orderBy(F.rand(seed))
 

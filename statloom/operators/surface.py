@@ -96,3 +96,38 @@ def feasible_rectangle(cells: DataFrame) -> dict | None:
     if not area:
         return None
     return {"points": area, "x": (xs[left], xs[right]), "y": (ys[top], ys[bottom]), "feasible_percent": 100.0 * mask.mean(), "coverage_percent": 100.0 * area / max(mask.sum(), 1)}
+
+
+def with_interval(df: DataFrame, model: Regression, level: float = 0.95, s: float | None = None, dof: int | None = None, s_exp: float | None = None, dof_exp: int | None = None, n_exp: int = 1) -> DataFrame:
+    """Adds <y>_predicted, <y>_leverage, <y>_ci_model, <y>_ci_semiwidth, <y>_predicted_lower and <y>_predicted_upper to points of the model's variables.
+
+    With ``s_exp`` the half-width of n_exp experiments (its own degrees of freedom, the model's if none are given) is added in squares.
+    """
+    s, dof = s or model.s, dof or model.dof
+    if not s or dof <= 0:
+        raise ValueError("an interval needs degrees of freedom")
+    extra = t_quantile(0.5 + level / 2, dof_exp or dof) * s_exp * sqrt(1 / n_exp) if s_exp else 0.0
+    y = model.y
+    out = df.withColumns({f"{y}_predicted": model.fitted(), f"{y}_leverage": F.greatest(model.leverage(), F.lit(0.0))})
+    out = out.withColumn(f"{y}_ci_model", F.sqrt(F.col(f"`{y}_leverage`")) * (t_quantile(0.5 + level / 2, dof) * s))
+    out = out.withColumn(f"{y}_ci_semiwidth", F.sqrt(F.pow(F.col(f"`{y}_ci_model`"), 2) + extra * extra))
+    return out.withColumns({f"{y}_predicted_lower": F.col(f"`{y}_predicted`") - F.col(f"`{y}_ci_semiwidth`"), f"{y}_predicted_upper": F.col(f"`{y}_predicted`") + F.col(f"`{y}_ci_semiwidth`")})
+
+
+def target_share(rows: DataFrame, low: float, high: float) -> DataFrame:
+    """One row: cells, those whose whole interval lies within low..high, and their percentage."""
+    inside = (F.col("z") - F.col("ci") >= low) & (F.col("z") + F.col("ci") <= high)
+    return rows.agg(F.count("*").alias("n"), F.count_if(inside).alias("n_inside")).withColumn("percent", F.try_divide(F.col("n_inside") * 100.0, F.col("n")))
+
+
+def interpretation(rows: DataFrame, criteria: dict[str, tuple[str, float, float]]) -> DataFrame:
+    """(response, objective, x, y, z, ci): each response's best cell: largest, smallest, or nearest the middle of its target; the first in grid order among equals."""
+    spec = F.lit(None).cast("string")
+    loss = F.lit(None).cast("double")
+    for name, (kind, low, high) in criteria.items():
+        own = F.col("response") == name
+        spec = F.when(own, kind).otherwise(spec)
+        loss = F.when(own, -F.col("z") if kind in ("Maximize", "Threshold_Above") else F.col("z") if kind in ("Minimize", "Threshold_Below") else F.abs(F.col("z") - (low + high) / 2)).otherwise(loss)
+    cell = F.struct(loss.alias("loss"), "iy", "ix", "x", "y", "z", "ci")
+    best = rows.where(F.col("response").isin(*criteria)).groupBy("response", spec.alias("objective")).agg(F.min(cell).alias("b"))
+    return best.select("response", "objective", "b.x", "b.y", "b.z", "b.ci")

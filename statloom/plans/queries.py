@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statloom.functions import scalars
-from statloom.operators import bivariate, charts, columns, doe, encode, mlr, monitor, multi, ordered, pareto, pca, rows, select, surface, univariate
+from statloom.functions.dist import t_quantile
+from statloom.operators import bivariate, charts, columns, doe, encode, mlr, monitor, multi, ordered, pareto, pca, rows, select, surface, univariate, validation
 from statloom.operators.missing import filled_report, reconstructed
 from statloom.plans.catalog import Workspace
 from statloom.sources.readers import parse_clipboard
+from statloom.sources import reports
 from statloom.sources.writers import spectral_lines
 from statloom.streaming.monitoring import fault_counts
 
@@ -741,3 +743,175 @@ def _(spark, d):
 @query("b_spectral_lines", "select n_nationkey || chr(9) || n_name || chr(9) || coalesce(nullif(n_regionkey, 0)::varchar, '0.0') as value from nation")
 def _(spark, d):
     return spectral_lines(table(spark, d, "nation").selectExpr("n_nationkey", "n_name", "nullif(n_regionkey, 0) as n_regionkey"))
+
+
+# Validation of regressions, intervals at points, chart tables
+
+
+_LQ = "with x as (select l_orderkey * 10 + l_linenumber as row_id, l_quantity as q, l_extendedprice as y, l_linenumber = 7 as out from lineitem)"
+
+
+@query("q_design_analysis", f"""with s as (select count(*)::double as n, avg(p_size) as m, sum((p_size - (select avg(p_size) from part)) ** 2) as sxx from part)
+select p_partkey, {r('1 / n + (p_size - m) ** 2 / sxx', 8)} as leverage, 1 / n + (p_size - m) ** 2 / sxx > 4 / n as high from part, s""")
+def _(spark, d):
+    data = table(spark, d, "part")
+    return rounded(validation.leverages(data, validation.design(data, ["Intercept", "p_size"]), ["p_partkey"]).drop("half_width"), 8)
+
+
+@query("q_design_summary", f"""with s as (select count(*)::double as n, avg(p_size) as m, sum((p_size - (select avg(p_size) from part)) ** 2) as sxx from part), h as (select 1 / n + (p_size - m) ** 2 / sxx as h, n, m, sxx from part, s)
+select count(*)::bigint as n, 2 as n_terms, (count(*) - 2)::bigint as dof, {r('any_value(1 / n + m * m / sxx + 1 / sxx)', 8)} as trace, {r('avg(h)', 8)} as mean_leverage, {r('max(h)', 8)} as max_leverage, count_if(h > 4 / n)::bigint as n_high, 1.0::double as max_vif from h""")
+def _(spark, d):
+    data = table(spark, d, "part")
+    return rounded(validation.design_summary(data, validation.design(data, ["Intercept", "p_size"])).drop("determinant"), 8)
+
+
+@query("q_dispersion", f"""with s as (select count(*)::double as n, avg(p_size) as m, sum((p_size - (select avg(p_size) from part)) ** 2) as sxx from part)
+select 'Intercept' as term, 'Intercept' as other, {r('1 / n + m * m / sxx', 9)} as value from s union all select 'Intercept', 'p_size', {r('-m / sxx', 9)} from s union all select 'p_size', 'Intercept', {r('-m / sxx', 9)} from s union all select 'p_size', 'p_size', {r('1 / sxx', 9)} from s""")
+def _(spark, d):
+    data = table(spark, d, "part")
+    return rounded(validation.dispersion(data, validation.design(data, ["Intercept", "p_size"])), 9)
+
+
+@query("q_replicate_rows", f"""with g as (select l_quantity, l_tax, count(*)::bigint as n, avg(l_extendedprice) as mean from lineitem group by all having count(*) > 1)
+select l_orderkey, l_linenumber, l_extendedprice, g.n, {r('g.mean', 3)} as mean, {r('l_extendedprice - g.mean', 3)} as deviation from lineitem join g using (l_quantity, l_tax)""")
+def _(spark, d):
+    return rounded(validation.replicate_rows(table(spark, d, "lineitem"), ["l_quantity", "l_tax"], "l_extendedprice", ["l_orderkey", "l_linenumber"]), 3)
+
+
+@query("q_left_out", f"""{_LQ}, f as (select regr_slope(y, q) as b, regr_intercept(y, q) as a, avg(q) as m, regr_sxx(y, q) as sxx, count(*)::double as n from x where not out)
+select q, count(*)::bigint as n, {r('any_value(a + b * q)', 3)} as predicted, {r('avg(y)', 3)} as mean, {r('coalesce(stddev_samp(y), 0)', 3)} as std, {r('sqrt(avg((y - a - b * q) ** 2))', 3)} as rmse, {r('any_value(1 / f.n + (q - m) ** 2 / sxx)', 8)} as leverage from x, f where out group by q""")
+def _(spark, d):
+    data = table(spark, d, "lineitem").selectExpr("l_linenumber", "l_quantity as q", "l_extendedprice as y")
+    m = mlr.fit(data.where("l_linenumber <> 7"), "y", ["Intercept", "q"])
+    found = validation.left_out(data.where("l_linenumber = 7"), m, "y", 1000.0, 50, ["q"])
+    return found.select("q", "n", *[(F.round(c, 8 if c == "leverage" else 3) + 0.0).alias(c) for c in ("predicted", "mean", "std", "rmse", "leverage")])
+
+
+@query("q_error_comparison", f"""{_FIT}, m as (select sqrt(sum((y - f) ** 2) / (any_value(n) - 2)) as rmse from e), g as (select count(*) - 1 as d, var_samp(l_extendedprice) as v from lineitem group by l_quantity having count(*) > 1), p as (select sqrt(sum(v * d) / sum(d)) as pure from g)
+select {r('rmse', 3)} as rmse, {r('pure', 3)} as experimental, {r('rmse / pure')} as ratio, case when rmse / pure < 1.2 then 'close' when rmse / pure < 2 then 'reasonable' else 'exceeds' end as verdict from m, p""")
+def _(spark, d):
+    data, m = _simple(spark, d)
+    found = validation.error_comparison(mlr.replicates(data, ["l_quantity"], "l_extendedprice"), m)
+    return found.select((F.round("rmse", 3) + 0.0).alias("rmse"), (F.round("experimental", 3) + 0.0).alias("experimental"), (F.round("ratio", 6) + 0.0).alias("ratio"), "verdict")
+
+
+@query("q_term_table", "select * from (values ('Intercept', 'intercept', '#808080'), ('a', 'linear', '#DC143C'), ('b', 'linear', '#DC143C'), ('a*b', 'interaction', '#32CD32'), ('a^2', 'quadratic', '#00CED1'), ('b^2', 'quadratic', '#00CED1')) t(term, kind, colour)")
+def _(spark, d):
+    return validation.term_table(spark.range(1), mlr.term_names(["a", "b"]))
+
+
+@query("t_interval_at_points", f"""{_FIT}, s as (select sqrt(sum((y - f) ** 2) / (any_value(n) - 2)) as s from e)
+select p_partkey, p_size as l_quantity, {r('a + b * p_size', 3)} as predicted, {r('s * sqrt(1 / n + (p_size - m) ** 2 / sxx)', 3)} as std_error from part, f, s""")
+def _(spark, d):
+    _, m = _simple(spark, d)
+    points = surface.with_interval(table(spark, d, "part").selectExpr("p_partkey", "p_size as l_quantity"), m)
+    t = float(t_quantile(0.975, m.dof))
+    return rounded(points.select("p_partkey", "l_quantity", F.col("l_extendedprice_predicted").alias("predicted"), (F.col("l_extendedprice_ci_semiwidth") / t).alias("std_error")), 3)
+
+
+@query("t_target_share")
+def _(spark, d):
+    _, models = _surfaces(spark, d)
+    return surface.target_share(surface.surface(spark, models["price"], "q", "t", {}, steps=20), 20000.0, 30000.0)
+
+
+@query("t_interpretation", f"""{_S}, g as (select 'price' as response, ix, iy, -1 + ix * 0.1 as x, -1 + iy * 0.1 as y, my + bq * (-1 + ix * 0.1 - mq) + bt * (-1 + iy * 0.1 - mt) as z from b, (select unnest(range(21)) as ix), (select unnest(range(21)) as iy))
+select response, 'Maximize' as objective, {r('arg_max(x, z)', 3)} as x, {r('arg_max(y, z)', 3)} as y, {r('max(z)', 3)} as z from g group by response""")
+def _(spark, d):
+    _, models = _surfaces(spark, d)
+    both = surface.surfaces(spark, models, "q", "t", {}, steps=20)
+    return rounded(surface.interpretation(both, {"price": ("Maximize", 0.0, 0.0)}).drop("ci"), 3)
+
+
+@query("n_loading_contributions", f"with c as (select corr(l_quantity, l_extendedprice) as c from lineitem) select variable, {r('1 / sqrt(2.0)', 2)} as magnitude from (values ('l_quantity'), ('l_extendedprice')) t(variable), c")
+def _(spark, d):
+    data = table(spark, d, "lineitem")
+    return rounded(pca.loading_contributions(data, pca.fit(data, _TWO, 2, scale=True)).select("variable", "magnitude"), 2)
+
+
+@query("n_interpretation")
+def _(spark, d):
+    data = table(spark, d, "lineitem").withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return pca.interpreted(data, pca.fit(data, V, 2, scale=True), "row_id")
+
+
+@query("n_limits")
+def _(spark, d):
+    data = table(spark, d, "lineitem")
+    return pca.limits(data, pca.fit(data, V, 2, scale=True), joint=True)
+
+
+@query("o_control_series", f"""with s as (select avg(p_size) as m1, stddev_pop(p_size) as s1, avg(p_retailprice) as m2, stddev_pop(p_retailprice) as s2, corr(p_size, p_retailprice) as c, count(*)::double as n from part), z as (select p_partkey, (p_size - m1) / s1 as a, (p_retailprice - m2) / s2 as b, c, n from part, s)
+select p_partkey, row_number() over (order by p_partkey)::bigint as sample, {r('(a * a + b * b - 2 * c * a * b) / (1 - c * c) * (n - 1) / n', 5)} as t2 from z""")
+def _(spark, d):
+    data = table(spark, d, "part")
+    return rounded(charts.control_series(data, monitor.fit(data, ["p_size", "p_retailprice"], 2), "p_partkey").select("p_partkey", "sample", "t2"), 5)
+
+
+@query("e_overall_summary", f"select count(*)::bigint as count, {r('list_avg([' + ', '.join(f'avg({c})' for c in V) + '])', 4)} as mean, {r('list_avg([' + ', '.join(f'stddev_samp({c})' for c in V) + '])', 4)} as std, {r('least(' + ', '.join(f'min({c})' for c in V) + ')', 4)} as min, {r('greatest(' + ', '.join(f'max({c})' for c in V) + ')', 4)} as max from lineitem where l_returnflag = 'R'")
+def _(spark, d):
+    return rounded(select.overall_summary(table(spark, d, "lineitem").where("l_returnflag = 'R'"), V), 4)
+
+
+@query("l_dummies_but_last", "select o_orderkey, " + ", ".join(f"""(o_orderstatus is not null and o_orderstatus = '{s}')::int as "o_orderstatus_{s}\"""" for s in ("F", "O")) + " from orders")
+def _(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", *[e.alias(n) for n, e in encode.dummies_but_last("o_orderstatus", ["F", "O", "P"]).items()])
+
+
+@query("i_coding_table", "select * from (values ('x1', 10.0::double, 30.0::double, 20.0::double, 10.0::double, -1.0::double, 1.0::double), ('x2', -2.0, 3.0, 0.5, 2.5, -1.0, 1.0)) t(variable, real_min, real_max, real_center, real_range, coded_min, coded_max)")
+def _(spark, d):
+    return encode.coding_table(spark, {"x1": (10.0, 30.0), "x2": (-2.0, 3.0)})
+
+
+_COLOURS = list(scalars.NAMED_COLOURS)
+
+
+@query("i_category_colours", f"select category, coalesce([{', '.join(repr(c) for c in _COLOURS)}][n], 'hsl(' || ((n - 1) * 137 % 360) || ', 70%, 50%)') as colour from (select p_type as category, row_number() over (order by p_type) as n from (select distinct p_type from part where p_type is not null))")
+def _(spark, d):
+    return charts.category_colours(table(spark, d, "part"), "p_type")
+
+
+@query("i_rgba", "select n_name, case when n_nationkey % 2 = 0 then 'rgba(0, 0, 128, 0.5)' else 'rgba(128, 128, 128, 0.5)' end as colour from nation")
+def _(spark, d):
+    return table(spark, d, "nation").select("n_name", scalars.rgba(F.when(F.col("n_nationkey") % 2 == 0, "Navy").otherwise(F.col("n_name"))).alias("colour"))
+
+
+@query("i_order_colours", "select n_nationkey, 'rgb(' || floor(n_nationkey / 24.0::double * 255)::int || ',0,' || floor((1 - n_nationkey / 24.0::double) * 255)::int || ')' as colour from nation")
+def _(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", scalars.order_colour(F.col("n_nationkey"), 25).alias("colour"))
+
+
+@query("w_trajectory_style", f"select n_nationkey as position, {r('case when n_nationkey < 24 then 1.5 + n_nationkey / 23.0::double * 1.5 end')} as width, {r('case when n_nationkey = 24 then 6 else 3 + n_nationkey / 23.0::double * 3 end')} as size from nation")
+def _(spark, d):
+    return rounded(charts.trajectory_style(table(spark, d, "nation").selectExpr("n_nationkey as position"), 25).select("position", "width", "size"))
+
+
+@query("w_shaded_profiles", f"""with s as (select p_partkey, p_size, p_retailprice, (p_size - min(p_size) over ()) / (max(p_size) over () - min(p_size) over ())::double as shade from part)
+select p_partkey, {r('shade')} as shade, 'p_size' as variable, p_size::double as value from s union all select p_partkey, {r('shade')}, 'p_retailprice', p_retailprice from s""")
+def _(spark, d):
+    found = charts.shaded_profiles(table(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"], "p_size")
+    return rounded(found.select("p_partkey", "shade", "variable", F.col("value").cast("double").alias("value")))
+
+
+@query("w_scatter_points", "select o_orderkey as x, o_totalprice as y, o_orderstatus as colour, true as categorical from orders where o_totalprice is not null")
+def _(spark, d):
+    return charts.scatter_points(table(spark, d, "orders"), "o_orderkey", "o_totalprice", "o_orderstatus")
+
+
+@query("w_pair_ranges", union([f"select '{c}' as variable, {r(f'min({c}) - (max({c}) - min({c})) * 0.05', 4)} as low, {r(f'max({c}) + (max({c}) - min({c})) * 0.05', 4)} as high from lineitem where {' and '.join(f'{v} is not null' for v in V)}" for c in V]))
+def _(spark, d):
+    return rounded(charts.pair_ranges(table(spark, d, "lineitem"), V), 4)
+
+
+@query("w_residuals_by_order", f"""with f as (select regr_slope(p_retailprice, p_size) as b, regr_intercept(p_retailprice, p_size) as a from part), e as (select p_partkey, p_retailprice - a - b * p_size as e from part, f)
+select p_partkey, row_number() over (order by p_partkey)::bigint as position, {r('e', 4)} as residual, {r('-stddev_pop(e) over ()', 4)} as low, {r('stddev_pop(e) over ()', 4)} as high, {r('max(abs(e)) over ()', 4)} as largest from e""")
+def _(spark, d):
+    data = table(spark, d, "part")
+    found = mlr.diagnostics(data, mlr.fit(data, "p_retailprice", ["Intercept", "p_size"]), ["p_partkey"])
+    return rounded(charts.residuals_by_order(found, "p_partkey"), 4)
+
+
+@query("b_loadings")
+def _(spark, d):
+    data = table(spark, d, "lineitem")
+    return reports.pca_tables(data, pca.fit(data, V, 2, scale=True), ["l_orderkey", "l_linenumber"])["Loadings"]
