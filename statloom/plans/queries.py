@@ -812,7 +812,7 @@ def _(spark, d):
 @query("t_target_share")
 def _(spark, d):
     _, models = _surfaces(spark, d)
-    return surface.target_share(surface.surface(spark, models["price"], "q", "t", {}, steps=20), 20000.0, 30000.0)
+    return surface.target_share(surface.surface(spark, models["price"], "q", "t", {}, steps=20), 52500.0, 53700.0)
 
 
 @query("t_interpretation", f"""{_S}, g as (select 'price' as response, ix, iy, -1 + ix * 0.1 as x, -1 + iy * 0.1 as y, my + bq * (-1 + ix * 0.1 - mq) + bt * (-1 + iy * 0.1 - mt) as z from b, (select unnest(range(21)) as ix), (select unnest(range(21)) as iy))
