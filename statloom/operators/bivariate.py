@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statloom.functions.dist import correlation_p
+from statloom.functions.dist import chi2_quantile, correlation_p
+from statloom.operators.gram import moments
 
 #: Points of a range of values that a task orders at once.
 RANGE_POINTS = 500_000
@@ -167,33 +168,69 @@ def one_against_rest(df: DataFrame, variable: str, others: list[str], n: int = 1
     return df.sparkSession.createDataFrame(found[:n], "variable string, r double")
 
 
-def robust_covariance(df: DataFrame, variables: list[str], starts: int = 30, most_rows: int = 20_000, seed: int = 42) -> dict:
-    """Minimum covariance determinant by concentration steps over a sample of at most ``most_rows`` complete rows."""
-    x = df.dropna(subset=variables).select(*[F.col(c).cast("double") for c in variables]).orderBy(F.rand(seed)).limit(most_rows).toPandas().to_numpy()
+def order_statistic(rows: DataFrame, column: str, k: int, n: int) -> float:
+    """The k-th smallest (from 1) of n values without nulls: counted below a narrow bracket of approximate quantiles, sorted within it."""
+    low, high = rows.agg(F.percentile_approx(column, [max(0.0, (k - 1) / n - 2e-4), min(1.0, k / n + 2e-4)], 10_000)).first()[0]
+    below = rows.where(F.col(column) < low).count()
+    return rows.where(F.col(column).between(low, high)).select(column).orderBy(column).offset(k - 1 - below).limit(1).first()[0]
+
+
+def _concentrated(x: np.ndarray, h: int, starts: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Location and covariance of the h rows of least determinant that concentration steps reach from random starts."""
     n, p = x.shape
-    h, rng, best = (n + p + 1) // 2, np.random.default_rng(seed), None
+    best = None
     for _ in range(starts):
-        pick = rng.choice(n, p + 1, replace=False)
+        pick = rng.choice(n, min(n, p + 1), replace=False)
         for _ in range(100):
             mean, cov = x[pick].mean(0), np.cov(x[pick].T).reshape(p, p)
             d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.pinv(cov), x - mean)
             new = np.sort(np.argsort(d, kind="stable")[:h])
-            if len(new) == len(pick) and (new == pick).all():
+            if np.array_equal(new, pick):
                 break
             pick = new
-        det = np.linalg.det(np.cov(x[pick].T).reshape(p, p))
-        if best is None or det < best[0]:
-            best = (det, pick)
-    mean, cov = x[best[1]].mean(0), np.cov(x[best[1]].T).reshape(p, p)
-    from statloom.functions.dist import chi2_quantile
-
-    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.pinv(cov), x - mean)
-    cov = cov * np.median(d) / chi2_quantile(0.5, p)
-    d = d * chi2_quantile(0.5, p) / np.median(d)
-    keep = d <= chi2_quantile(0.975, p)
-    mean, cov = x[keep].mean(0), np.cov(x[keep].T).reshape(p, p)
+        mean, cov = x[pick].mean(0), np.cov(x[pick].T).reshape(p, p)
+        if best is None or np.linalg.det(cov) < best[0]:
+            best = (np.linalg.det(cov), mean, cov)
+    return best[1:]
+
+
+def robust_covariance(df: DataFrame, variables: list[str], starts: int = 30, most_rows: int = 20_000, seed: int = 42, steps: int = 50) -> dict:
+    """Minimum covariance determinant of all complete rows: location, covariance, correlation, outliers.
+
+    A random sample of at most ``most_rows`` rows only gives the start; concentration steps (until the determinant falls no more, ``steps`` at most),
+    the reweighting and the count of outliers are aggregates over all rows. Rows at the distance of the last one taken in are taken in too.
+    """
+    data = df.dropna(subset=variables).select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(variables)])
+    names, p, n = data.columns, len(variables), data.count()
+    if n < p + 2:
+        raise ValueError("too few complete rows")
+    share = min(1.0, most_rows / n * 1.1)
+    x = (data.sample(share, seed) if share < 1 else data).orderBy(F.rand(seed)).limit(most_rows).toPandas().to_numpy()
+    mean, cov = _concentrated(x, (len(x) + p + 1) // 2, starts, np.random.default_rng(seed))
+
+    def distances(mean: np.ndarray, cov: np.ndarray) -> DataFrame:
+        inverse, c = np.linalg.pinv(cov), [F.col(v) - float(m) for v, m in zip(names, mean)]
+        terms = [c[i] * c[j] * float(inverse[i, j] * (1 if i == j else 2)) for i in range(p) for j in range(i, p)]
+        return data.withColumn("d", sum(terms[1:], terms[0]))
+
+    def of(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        m = moments(rows, names)
+        return m.mean, m.scatter / (m.n - 1)
+
+    h, least = (n + p + 1) // 2, np.inf
+    for _ in range(steps):
+        rows = distances(mean, cov)
+        new = of(rows.where(F.col("d") <= order_statistic(rows, "d", h, n)))
+        det = np.linalg.det(new[1])
+        if det >= least * (1 - 1e-12):
+            break
+        (mean, cov), least = new, det
+    rows = distances(mean, cov)
+    median = (order_statistic(rows, "d", (n + 1) // 2, n) + order_statistic(rows, "d", n // 2 + 1, n)) / 2
+    cut = F.col("d") * (chi2_quantile(0.5, p) / median) <= chi2_quantile(0.975, p) if median > 0 else F.col("d") <= 0
+    mean, cov = of(rows.where(cut))
     sd = np.sqrt(np.diag(cov))
-    return {"location": mean, "covariance": cov, "correlation": cov / np.outer(sd, sd), "outliers": int((~keep).sum())}
+    return {"location": mean, "covariance": cov, "correlation": cov / np.outer(sd, sd), "outliers": rows.where(~cut).count()}
 
 
 def hull(points: pd.DataFrame) -> pd.DataFrame:
