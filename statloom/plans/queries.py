@@ -915,3 +915,10 @@ def _(spark, d):
 def _(spark, d):
     data = table(spark, d, "lineitem")
     return reports.pca_tables(data, pca.fit(data, V, 2, scale=True), ["l_orderkey", "l_linenumber"])["Loadings"]
+
+
+@query("m_robust_correlation")
+def _(spark, d):
+    names = ["p_size", "p_retailprice"]
+    found = bivariate.robust_covariance(table(spark, d, "part"), names)
+    return spark.createDataFrame([(*names, float(found["correlation"][0, 1]), found["outliers"])], "v1 string, v2 string, r double, outliers bigint")
