@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import language, quality
+from statloom.llm.bytefold import fold_documents
 from statloom.llm.common import table
 from statloom.llm.fingerprint import fingerprints
 from statloom.llm.jaccard import jaccard_components
@@ -60,6 +61,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold_documents(table(spark, sf_dir, "documents"), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_bpe": op2_bpe,
@@ -71,6 +76,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_jaccard": op9_jaccard,
     "op10_language": op10_language,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 #: Shards as in sharding.py; the CRC-32 comes from its 256-entry table, made by the usual rule, over the bytes of the text.
 SHARDING_SQL = """
