@@ -149,21 +149,28 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : nxt[i]]] for i in range(n) if alive[i]]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes]]]:
-    """Blocks of (key, text) rows with a number made of what they hold; nulls are empty texts."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch], list[bytes]]]:
+    """Blocks of a task's (key, text) rows, however they come in batches, with a number made of what they hold; nulls are empty texts."""
+
+    def numbered(rows: list[pa.RecordBatch], texts: list[bytes]) -> tuple[int, list[pa.RecordBatch], list[bytes]]:
+        digest = hashlib.blake2b(digest_size=8)
+        for t in texts:
+            digest.update(len(t).to_bytes(8, "little") + t)
+        return int.from_bytes(digest.digest(), "little", signed=True), rows, texts
+
+    rows, texts, size = [], [], 0
     for batch in batches:
-        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        i = 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and j - i < BLOCK_ROWS and (j == i or size + len(texts[j]) <= BLOCK_CHARS):
-                size += len(texts[j])
-                j += 1
-            rows, digest = batch.slice(i, j - i), hashlib.blake2b(digest_size=8)
-            for t in texts[i:j]:
-                digest.update(len(t).to_bytes(8, "little") + t)
-            yield int.from_bytes(digest.digest(), "little", signed=True), rows, texts[i:j]
-            i = j
+        first = 0
+        for i, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+            t = t or b""
+            if texts and (len(texts) == BLOCK_ROWS or size + len(t) > BLOCK_CHARS):
+                yield numbered([*rows, batch.slice(first, i - first)], texts)
+                rows, texts, size, first = [], [], 0, i
+            texts.append(t)
+            size += len(t)
+        rows.append(batch.slice(first))
+    if texts:
+        yield numbered(rows, texts)
 
 
 def block_words(docs: DataFrame) -> DataFrame:
@@ -185,8 +192,9 @@ def packed_blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows, _ in _blocks(batches):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(rows)
+            with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in rows:
+                    out.write_batch(part)
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "body"])
 
     return docs.mapInArrow(run, "block bigint, body binary")
@@ -208,7 +216,7 @@ def fold_documents(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids
     """
     path = path or default_path()
     body = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    with small_batches(docs.sparkSession, BLOCK_ROWS):
+    with small_batches(docs.sparkSession):
         pairs = written(block_words(body), "block-words")
         tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # folding is work by the word, so few bytes are not few tasks
         vocabulary = written(fold_words(pairs.select("word").repartition(tasks, "word").distinct(), path), "vocabulary")
@@ -225,9 +233,9 @@ def fold_documents(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids
         place = {b"".join(spelled[a:b]): k for k, (a, b) in enumerate(zip(at, at[1:]))}
         made: list[pa.Table] = []
         for packed in bodies.column("body").to_pylist():
-            rows = pa.ipc.open_stream(packed).read_all().combine_chunks()
+            rows = pa.ipc.open_stream(packed).read_all()
             found, count = words_of([t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()])
-            for w in set(w for w in found if len(w) > LONG_WORD):
+            for w in {w for w in found if w not in place}:  # long words; and any, should another split of the input have made other blocks
                 ids = merge_long(w, rank_of(path))
                 place[w], flat, ends = len(ends) - 1, np.r_[flat, np.array(ids, np.int32)], np.r_[ends, len(flat) + len(ids)]
             which = np.array([place[w] for w in found], np.int64)
