@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from statloom.functions.dist import chi2_quantile, correlation_p
 from statloom.operators.gram import moments
+from statloom.operators.quantiles import exact_quantiles
 
 #: Points of a range of values that a task orders at once.
 RANGE_POINTS = 500_000
@@ -169,10 +170,8 @@ def one_against_rest(df: DataFrame, variable: str, others: list[str], n: int = 1
 
 
 def order_statistic(rows: DataFrame, column: str, k: int, n: int) -> float:
-    """The k-th smallest (from 1) of n values without nulls: counted below a narrow bracket of approximate quantiles, sorted within it."""
-    low, high = rows.agg(F.percentile_approx(column, [max(0.0, (k - 1) / n - 2e-4), min(1.0, k / n + 2e-4)], 10_000)).first()[0]
-    below = rows.where(F.col(column) < low).count()
-    return rows.where(F.col(column).between(low, high)).select(column).orderBy(column).offset(k - 1 - below).limit(1).first()[0]
+    """The k-th smallest (from 1) of n values without nulls, by selection: equal values are counted, never sorted."""
+    return exact_quantiles(rows, [], column, [(k - 1) / max(n - 1, 1)], n, [k - 1]).first().q[0]
 
 
 def _concentrated(x: np.ndarray, h: int, starts: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from statloom.functions.dist import chi2_quantile
 from statloom.operators.gram import moments
 from statloom.operators.pca import PcaModel, dot, prepared_gram, q_column, t2_limit
+from statloom.operators.quantiles import exact_quantiles
 
 ALPHAS = (0.975, 0.995, 0.9995)
 
@@ -126,10 +127,11 @@ def contribution_columns(monitor: Monitor) -> tuple[dict[str, Column], dict[str,
 def contribution_table(train: DataFrame, rows: DataFrame, monitor: Monitor, row_id: str, statistic: str = "q") -> DataFrame:
     """(row_id, variable, value, training_mean, difference, contribution, flagged): contributions over the training rows' 95th percentile of |contribution|."""
     made = contribution_columns(monitor)[0 if statistic == "q" else 1]
-    norm = train.select(*[F.abs(e).alias(v) for v, e in made.items()]).agg(*[F.percentile(v, F.lit(0.95)).alias(v) for v in made]).first()
+    sizes = train.select(F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), F.abs(e).alias("size")) for v, e in made.items()])))
+    norm = {r.variable: r.q[0] for r in exact_quantiles(sizes, ["variable"], "size", [0.95], train.count()).collect()}  # one row a variable
     mean = dict(zip(monitor.model.variables, monitor.model.mean))
     cells = [
-        F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value"), F.lit(float(mean[v])).alias("training_mean"), (F.col(v) - float(mean[v])).alias("difference"), (e / float(norm[v] or 1.0)).alias("contribution")) for v, e in made.items()
+        F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value"), F.lit(float(mean[v])).alias("training_mean"), (F.col(v) - float(mean[v])).alias("difference"), (e / float(norm.get(v) or 1.0)).alias("contribution")) for v, e in made.items()
     ]
     return rows.select(row_id, F.inline(F.array(*cells))).withColumn("flagged", F.abs("contribution") > 1)
 

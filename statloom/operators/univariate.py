@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.operators.quantiles import exact_quantiles
 
-def percentile(c: str | Column, p: float) -> Column:
-    return F.percentile(c, F.lit(p))
+QUARTILES = [0.25, 0.5, 0.75]
 
 
 def geometric_mean(c: str) -> Column:
@@ -19,12 +19,8 @@ def rsd(c: str) -> Column:
     return F.try_divide(F.stddev_samp(c), F.abs(F.avg(c))) * 100
 
 
-def iqr(c: str) -> Column:
-    return percentile(c, 0.75) - percentile(c, 0.25)
-
-
 def descriptive(c: str) -> dict[str, Column]:
-    return {"mean": F.avg(c), "geometric_mean": geometric_mean(c), "median": F.median(c), "n": F.count(c), "n_missing": F.count_if(F.col(c).isNull())}
+    return {"mean": F.avg(c), "geometric_mean": geometric_mean(c), "n": F.count(c), "n_missing": F.count_if(F.col(c).isNull())}
 
 
 def dispersion(c: str) -> dict[str, Column]:
@@ -32,25 +28,40 @@ def dispersion(c: str) -> dict[str, Column]:
 
 
 def robust(df: DataFrame, variables: list[str]) -> DataFrame:
-    """Rows (variable, iqr, mad, robust_cv, q1, q3, median): two passes, the medians of the first go into the second."""
-    first = df.agg(*[F.median(c).alias(c) for c in variables]).first()
-    named = [f"named_struct('variable', '{c}', 'median', median(`{c}`), 'q1', percentile(`{c}`, 0.25), 'q3', percentile(`{c}`, 0.75), 'mad', percentile(abs(`{c}` - ({'null' if first[c] is None else repr(float(first[c])) + 'D'})), 0.5))" for c in variables]
-    rows = df.agg(F.expr(f"array({', '.join(named)})").alias("r")).selectExpr("inline(r)")
-    return rows.selectExpr("variable", "q3 - q1 as iqr", "mad", "try_divide(mad, abs(median)) * 100 as robust_cv", "q1", "q3", "median")
+    """Rows (variable, iqr, mad, robust_cv, q1, q3, median): quartiles of all variables at once, then the medians of the distances from the medians."""
+    rows, cells = df.count(), unpivoted(df, variables)
+    found = exact_quantiles(cells, ["variable"], "value", QUARTILES, rows).collect()  # one row a variable
+    quartiles = df.sparkSession.createDataFrame([(r.variable, *r.q) for r in found], "variable string, q1 double, median double, q3 double")
+    apart = cells.join(F.broadcast(quartiles), "variable").select("variable", F.abs(F.col("value") - F.col("median")).alias("value"))
+    mad = exact_quantiles(apart, ["variable"], "value", [0.5], rows).select("variable", F.col("q")[0].alias("mad"))
+    names = df.sparkSession.createDataFrame([(v,) for v in variables], "variable string")
+    return names.join(quartiles.join(mad, "variable"), "variable", "left").selectExpr("variable", "q3 - q1 as iqr", "mad", "try_divide(mad, abs(median)) * 100 as robust_cv", "q1", "q3", "median")
 
 
 def summary(df: DataFrame, variables: list[str]) -> DataFrame:
-    """Rows (variable, descriptive and dispersion statistics), all from one pass."""
+    """Rows (variable, descriptive and dispersion statistics): one pass for what adds up, one selection for all medians."""
     structs = [F.struct(F.lit(c).alias("variable"), *[e.cast("double" if n not in ("n", "n_missing") else "bigint").alias(n) for n, e in {**descriptive(c), **dispersion(c)}.items()]) for c in variables]
-    return df.agg(F.array(*structs).alias("r")).select(F.inline("r"))
+    sums = df.agg(F.array(*structs).alias("r")).select(F.inline("r"))
+    medians = exact_quantiles(unpivoted(df, variables), ["variable"], "value", [0.5], df.count()).select("variable", F.col("q")[0].alias("median"))
+    joined = sums.join(medians, "variable", "left")
+    return joined.select("variable", "mean", "geometric_mean", "median", *[c for c in sums.columns if c not in ("variable", "mean", "geometric_mean")])
+
+
+def with_quartiles(sums: DataFrame, cells: DataFrame, groups: list[str], value: str, names: tuple[str, str, str], rows: int | None = None) -> DataFrame:
+    """Adds the exact quartiles of each group's values to one row a group."""
+    found = exact_quantiles(cells, groups, value, QUARTILES, rows).select(*[F.col(g).alias(f"_own{i}") for i, g in enumerate(groups)], *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    if not groups:
+        return sums.withColumn("_one", F.lit(1)).join(found.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    return sums.join(found, [sums[g].eqNullSafe(F.col(f"_own{i}")) for i, g in enumerate(groups)], "left").drop(*[f"_own{i}" for i in range(len(groups))])
 
 
 def by_category(df: DataFrame, variable: str, category: str) -> DataFrame:
     """Count, Mean, Median, Std, Min, Max, Q1, Q3, IQR of each category; rows without a category or value do not count."""
     v = F.col(variable)
-    return df.where(F.col(category).isNotNull() & v.isNotNull()).groupBy(category).agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), percentile(v, 0.25).alias("q1"), percentile(v, 0.75).alias("q3"), iqr(variable).alias("iqr")
-    )
+    rows = df.where(F.col(category).isNotNull() & v.isNotNull())
+    sums = rows.groupBy(category).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    both = with_quartiles(sums, rows, [category], variable, ("q1", "median", "q3"))
+    return both.select(category, "count", "mean", "median", "std", "min", "max", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 def by_batch(df: DataFrame, batch: str, variables: list[str]) -> DataFrame:
@@ -60,9 +71,9 @@ def by_batch(df: DataFrame, batch: str, variables: list[str]) -> DataFrame:
 
 def batch_profile(df: DataFrame, batch: str, value, variables: list[str]) -> DataFrame:
     """Mean, std, min, max, q1, median, q3 of each variable within one batch."""
-    return unpivoted(df.where(F.col(batch) == value), variables).groupBy("variable").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), percentile("value", 0.25).alias("q1"), F.median("value").alias("median"), percentile("value", 0.75).alias("q3")
-    )
+    cells = unpivoted(df.where(F.col(batch) == value), variables)
+    sums = cells.groupBy("variable").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return with_quartiles(sums, cells, ["variable"], "value", ("q1", "median", "q3"), df.count())
 
 
 def unpivoted(df: DataFrame, variables: list[str], ids: list[str] | None = None) -> DataFrame:
@@ -71,13 +82,17 @@ def unpivoted(df: DataFrame, variables: list[str], ids: list[str] | None = None)
 
 def grand(df: DataFrame, variables: list[str]) -> DataFrame:
     """Mean, median, std (population), min and max over all cells of the block."""
-    return unpivoted(df, variables).agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    cells = unpivoted(df, variables)
+    sums = cells.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    median = exact_quantiles(cells, [], "value", [0.5], df.count() * len(variables)).select(F.col("q")[0].alias("median"))
+    one = F.lit(1).alias("_one")
+    return sums.select("*", one).join(median.select("*", one), "_one", "left").select("mean", "median", "std", "min", "max")
 
 
 def describe(df: DataFrame, variables: list[str]) -> DataFrame:
-    return unpivoted(df, variables).groupBy("variable").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), *[percentile("value", p / 100).alias(f"p{p}") for p in (25, 50, 75)], F.max("value").alias("max")
-    )
+    cells = unpivoted(df, variables)
+    sums = cells.groupBy("variable").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return with_quartiles(sums, cells, ["variable"], "value", ("p25", "p50", "p75"), df.count()).select("variable", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def value_counts(df: DataFrame, column: str, n: int = 10) -> DataFrame:
