@@ -1,9 +1,16 @@
-"""Pareto fronts: objectives turned to maximisation, local fronts per partition, then a check of the survivors against each other."""
+"""Pareto fronts and dominance counts: objectives turned to maximisation, distinct points with their counts, and counting by ranges.
+
+How many points are at least as good as one in all objectives is counted by ranges of each objective. A point in a higher range is better there without a
+look at its value, so points higher in all objectives come from a table of cell counts. For each set of objectives, points that share the ranges in
+these meet in a group and are compared by value in these and by range in the others. A range of a single value needs no look either, so frequent values
+make no large group. No points are broadcast and none go to the driver, only counts of cells.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -11,8 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Tasks in which the points left by the partitions meet before the last one.
-MERGE_TASKS = 16
+#: Points that a task peels at once, and points of which the fronts are peeled in one task.
+CHUNK, ONE_TASK = 8192, 30_000
+#: Points of a group that shares one range, as far as MOST_CELLS cells allow, and comparisons up to which a group is compared pair by pair.
+GROUP, MOST_CELLS, PAIRS = 20_000, 1 << 20, 1 << 28
 
 
 def objective(name: str, kind: str, target: float | None = None, lower: str | None = None, upper: str | None = None) -> Column:
@@ -63,27 +72,143 @@ def peeled(m: np.ndarray, fronts: int) -> np.ndarray:
     return rank
 
 
+def _above(ga: np.ndarray, a: np.ndarray, w: np.ndarray, gq: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each row of ``q`` the weight of the rows of ``a`` of its group that are at least as large in all columns.
+
+    Two rows in order by the first column differ first in some bit of their places; for each bit, those with it meet
+    those without in groups of equal higher bits, compared by the other columns. One column is counted by a search.
+    """
+    if not len(a) or not len(q):
+        return np.zeros(len(q), w.dtype)
+    _, key = np.unique(np.r_[ga, gq], return_inverse=True)
+    if a.shape[1] == 1:
+        _, at = np.unique(np.r_[a[:, 0], q[:, 0]], return_inverse=True)
+        place = key * np.int64(at.max() + 1) + at
+        own, asked = place[: len(a)], place[len(a) :]
+        order = np.argsort(own, kind="stable")
+        total = np.r_[np.zeros(1, w.dtype), np.cumsum(w[order])]
+        ends = (key[len(a) :] + 1) * np.int64(at.max() + 1)
+        return total[np.searchsorted(own[order], ends)] - total[np.searchsorted(own[order], asked)]
+    order = np.lexsort((np.r_[np.zeros(len(a)), np.ones(len(q))], -np.r_[a[:, 0], q[:, 0]]))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    out = np.zeros(len(q), w.dtype)
+    pa, pq, ka, kq = place[: len(a)], place[len(a) :], key[: len(a)], key[len(a) :]
+    for k in range(int(len(order) - 1).bit_length()):
+        some, more = (pa >> k & 1) == 0, (pq >> k & 1) == 1
+        blocks = np.int64((len(order) >> (k + 1)) + 1)
+        out[more] += _above(ka[some] * blocks + (pa[some] >> (k + 1)), a[some, 1:], w[some], kq[more] * blocks + (pq[more] >> (k + 1)), q[more, 1:])
+    return out
+
+
+def weight_above(a: np.ndarray, w: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each row of ``q`` the weight of the rows of ``a`` that are at least as large in all columns."""
+    if a.shape[1] < 3 or len(a) * len(q) > PAIRS:
+        return _above(np.zeros(len(a), np.int64), a, w, np.zeros(len(q), np.int64), q)
+    out = np.zeros(len(q), w.dtype)
+    for i in range(0, len(a), 1024):
+        part = a[i : i + 1024]
+        at_least = part[:, None, 0] >= q[None, :, 0]
+        for j in range(1, a.shape[1]):
+            at_least &= part[:, None, j] >= q[None, :, j]
+        out += w[i : i + 1024] @ at_least
+    return out
+
+
+def dominators(points: DataFrame, names: list[str], weight: str = "k") -> DataFrame:
+    """Rows (names, dominated_by): for each of some distinct points, without nulls, the weight of the points that dominate it."""
+    d, n = len(names), points.count()
+    ranges = max(1, min(int(MOST_CELLS ** (1 / d)), n // GROUP))
+    bounds = []
+    for cuts in points.agg(*[F.percentile_approx(c, [i / ranges for i in range(1, ranges)] or [0.5], ranges * 100) for c in names]).first():
+        cuts = np.array(cuts if ranges > 1 and cuts else [], float)
+        value, times = np.unique(cuts, return_counts=True)
+        bounds.append(np.unique(np.r_[value, np.nextafter(value[times > 1], np.inf)]))  # a frequent value is a range of its own
+    cells, at = [f"_r{i}" for i in range(d)], [len(b) + 1 for b in bounds]
+
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in parts:
+            yield g.assign(**{c: np.searchsorted(b, g[x].to_numpy(float), side="right") for c, x, b in zip(cells, names, bounds)})
+
+    columns = ", ".join(f"`{c}` double" for c in names)
+    placed = points.select(*names, F.col(weight).cast("bigint").alias("_w")).mapInPandas(place, f"{columns}, _w bigint, " + ", ".join(f"{c} bigint" for c in cells)).persist()
+    alone = []
+    for x, c, size in zip(names, cells, at):  # one row a range
+        same = np.zeros(size, bool)
+        for r in placed.groupBy(c).agg((F.min(x) == F.max(x)).alias("same")).collect():
+            same[r[c]] = r.same
+        alone.append(same)
+    table = np.zeros([size + 1 for size in at], np.int64)  # how much lies in a cell or higher ones
+    for r in placed.groupBy(*cells).agg(F.sum("_w").alias("w")).collect():  # one row a cell, MOST_CELLS or so at most
+        table[tuple(r[c] for c in cells)] = r.w
+    for axis in range(d):
+        table = np.flip(np.cumsum(np.flip(table, axis), axis), axis)
+    sent = placed.sparkSession.sparkContext.broadcast((table, alone))
+    subsets = [s for k in range(1, d + 1) for s in combinations(range(d), k)]
+
+    def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        higher, single = sent.value
+        for g in parts:
+            place = g[cells].to_numpy(np.int64)
+            lone = np.stack([single[i][place[:, i]] for i in range(d)], 1)
+            least = place + ~lone  # the ranges from which on another point is as good
+            found = higher[tuple(least.T)] - g["_w"].to_numpy(np.int64)
+            yield g[names].assign(_w=found, _s=-1, _g=0, **{c: least[:, i] for i, c in enumerate(cells)}, **{f"_l{i}": least[:, i] for i in range(d)})
+            for k, s in enumerate(subsets):
+                some = ~lone[:, s].any(1)
+                key = np.zeros(int(some.sum()), np.int64)
+                for i in s:
+                    key = key * at[i] + place[some][:, i]
+                yield g[names][some].assign(_w=g["_w"][some], _s=k, _g=key, **{c: place[some][:, i] for i, c in enumerate(cells)}, **{f"_l{i}": least[some][:, i] for i in range(d)})
+
+    dealt = placed.mapInPandas(deal, f"{columns}, _w bigint, _s int, _g bigint, " + ", ".join(f"{c} bigint" for c in (*cells, *[f"_l{i}" for i in range(d)])))
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        inside = subsets[int(g["_s"].iloc[0])]
+        a = np.stack([g[names[i] if i in inside else cells[i]].to_numpy(float) for i in range(d)], 1)
+        q = np.stack([g[names[i] if i in inside else f"_l{i}"].to_numpy(float) for i in range(d)], 1)
+        return g[names].assign(_w=weight_above(a, g["_w"].to_numpy(np.int64), q))
+
+    whole = dealt.where("_s < 0").select(*names, "_w")
+    met = dealt.where("_s >= 0").groupBy("_s", "_g").applyInPandas(meet, f"{columns}, _w bigint")
+    return whole.unionByName(met).groupBy(*names).agg(F.sum("_w").alias("dominated_by"))
+
+
 def fronts_of(points: DataFrame, columns: list[str], fronts: int) -> DataFrame:
     """Rows (columns, pareto_rank) of the distinct points in the first fronts.
 
-    A point's rank among some of the points is no higher than among all, so each partition keeps the first fronts of
-    its own points; these meet in fewer tasks and then in one, whose size depends on the fronts alone.
+    A point's rank among some of the points is no higher than among all, so tasks first drop what lies beyond the first fronts of the
+    points they hold, CHUNK or so at a time. What is left is peeled in one task if it is at most ONE_TASK points; else each front
+    is what no point left dominates, counted by ranges, so the work stays spread however many objectives are in conflict.
     """
     schema = ", ".join(f"`{c}` double" for c in columns)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def drop(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None
         for p in parts:
             best = p[columns] if best is None else pd.concat([best, p[columns]])
-            rank = peeled(best.to_numpy(float), fronts)
-            best, rank = best[rank > 0], rank[rank > 0]
+            best = best[peeled(best.to_numpy(float), fronts) > 0]
+            if len(best) > CHUNK:
+                yield best
+                best = None
         if best is not None:
-            yield best.assign(pareto_rank=rank)
+            yield best
+
+    def peel(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [p[columns] for p in parts]
+        if held:
+            every = pd.concat(held)
+            yield every.assign(pareto_rank=peeled(every.to_numpy(float), fronts)).query("pareto_rank > 0")
 
-    ranks = schema + ", pareto_rank bigint"
-    local = points.select(*columns).distinct().mapInPandas(run, ranks)
-    some = local.repartition(MERGE_TASKS).mapInPandas(run, ranks)
-    return some.repartition(1).mapInPandas(run, ranks).withColumn("pareto_rank", F.col("pareto_rank").cast("int"))
+    left = points.select(*columns).distinct().mapInPandas(drop, schema).persist()
+    if left.count() <= ONE_TASK:
+        return left.repartition(1).mapInPandas(peel, schema + ", pareto_rank int")
+    found = []
+    for rank in range(1, fronts + 1):
+        counts = dominators(left.withColumn("k", F.lit(1)), columns).persist()
+        found.append(counts.where("dominated_by = 0").select(*columns, F.lit(rank).alias("pareto_rank")))
+        left = counts.where("dominated_by > 0").select(*columns)
+    return reduce(DataFrame.unionByName, found)
 
 
 def front(points: DataFrame, columns: list[str]) -> DataFrame:
@@ -118,22 +243,9 @@ def crowding(columns: list[str], n_fronts: int) -> Column:
     return F.when(F.col("pareto_rank") <= n_fronts, total)
 
 
-def dominance_count(df: DataFrame, row_id: str, objectives: dict[str, tuple], most: int = 100_000) -> DataFrame:
-    """(row_id, dominated_by): how many rows dominate each; over distinct points with their counts, block by block."""
+def dominance_count(df: DataFrame, row_id: str, objectives: dict[str, tuple]) -> DataFrame:
+    """(row_id, dominated_by): how many rows dominate each; rows with a null objective neither count nor are listed."""
     names = [f"o{i}" for i in range(len(objectives))]
     made = df.select(row_id, *[objective(c, *spec).alias(n) for n, (c, spec) in zip(names, objectives.items())]).dropna()
-    points = made.groupBy(*names).agg(F.count("*").alias("k")).limit(most + 1).toPandas()
-    if len(points) > most:
-        raise ValueError(f"dominance counts need at most {most} distinct points")
-    sent = made.sparkSession.sparkContext.broadcast((points[names].to_numpy(float), points.k.to_numpy(np.int64)))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, k = sent.value
-        for g in parts:
-            x, out = g[names].to_numpy(float), np.zeros(len(g), np.int64)
-            for i in range(0, len(p), 2048):
-                q = p[i : i + 2048]
-                out += (((q[:, None] >= x[None]).all(2) & (q[:, None] > x[None]).any(2)) * k[i : i + 2048, None]).sum(0)
-            yield pd.DataFrame({row_id: g[row_id], "dominated_by": out})
-
-    return made.mapInPandas(run, f"`{row_id}` {dict(df.dtypes)[row_id]}, dominated_by bigint")
+    counts = dominators(made.groupBy(*names).agg(F.count("*").alias("k")), names)
+    return made.join(counts, names).select(row_id, "dominated_by")

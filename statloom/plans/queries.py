@@ -676,6 +676,21 @@ def _(spark, d):
     return pareto.dominance_count(table(spark, d, "part"), "p_partkey", {"p_size": ("minimize",), "p_retailprice": ("maximize",)})
 
 
+@query("u_dominance_three", """with c as (select l_quantity as a, l_discount as b, l_tax as t, count(*) as k from lineitem group by all),
+n as (select p.a, p.b, p.t, coalesce(sum(o.k), 0)::bigint as dominated_by from c p left join c o on o.a >= p.a and o.b >= p.b and o.t <= p.t and (o.a > p.a or o.b > p.b or o.t < p.t) group by all)
+select l_orderkey, l_linenumber, dominated_by from lineitem join n on a = l_quantity and b = l_discount and t = l_tax""")
+def _(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("row", F.struct("l_orderkey", "l_linenumber"))
+    return pareto.dominance_count(rows, "row", {"l_quantity": ("maximize",), "l_discount": ("maximize",), "l_tax": ("minimize",)}).select("row.*", "dominated_by")
+
+
+@query("u_fronts_in_conflict")
+def _(spark, d):
+    four = {"l_quantity": ("maximize",), "l_extendedprice": ("minimize",), "l_discount": ("maximize",), "l_tax": ("minimize",)}
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *four)
+    return pareto.ranked(rows, four, 2).select("l_orderkey", "l_linenumber", "pareto_rank", "is_dominated")
+
+
 # W: chart tables
 
 
@@ -707,9 +722,25 @@ def _(spark, d):
     return charts.quantile_pairs(table(spark, d, "orders"), "o_totalprice")
 
 
-@query("w_density")
+def _density_sql(category: str) -> str:
+    return f"""with v as (select {category} as category, l_extendedprice as v from lineitem),
+s as (select category, count(*) as n, min(v) as lo, max(v) as hi, stddev_pop(v) as sd, stddev_samp(v) * pow(count(*), -0.2) as h from v group by category),
+g as (select s.*, point, lo - sd + point * (hi - lo + 2 * sd) / 199 as x from s, range(200) as t(point))
+select g.category, point::int as point, {r('any_value(x)', 4)} as x, {r('sum(exp(-pow((x - v) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())) * 1e6', 6)} as density from g join v on g.category = v.category group by g.category, point"""
+
+
+def _density(found):
+    return found.select("category", "point", F.round("x", 4).alias("x"), (F.round(F.col("density") * 1e6, 6) + 0.0).alias("density"))
+
+
+@query("w_density", _density_sql("l_returnflag"))
+def _(spark, d):
+    return _density(charts.density(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag"))
+
+
+@query("w_density_whole", _density_sql("''"))
 def _(spark, d):
-    return charts.density(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag")
+    return _density(charts.density(table(spark, d, "lineitem"), "l_extendedprice"))
 
 
 @query("w_colours", f"select p_partkey, {r('(p_size - min(p_size) over ()) / (max(p_size) over () - min(p_size) over ())::double')} as shade, case when p_size is null then 'rgb(128,128,128)' else 'rgb(' || floor((p_size - 1) / 49.0::double * 255)::int || ',0,' || floor((1 - (p_size - 1) / 49.0::double) * 255)::int || ')' end as colour from part")
