@@ -5,7 +5,9 @@ nothing, so the work goes in two steps.
 
 1. Rows are brought into families such that each link lies in one. The columns are hashed into blocks, as many that a
    pair at the similarity threshold, whose sets differ in a bounded number of n-grams, must agree in a whole block:
-   this size-derived bound joins documents that share a block's content, and nothing else has to be multiplied.
+   this size-derived bound joins documents that share a block's content, and nothing else has to be multiplied. N-grams that a sample shows
+   to be common take no part in blocks, so that common lines and passages join nobody; sets with few others also give their first
+   n-grams, the common ones last. Whichever n-grams count as common, no link is lost.
 2. Families are cut into blocks of rows of bounded size, and a tile multiplies two blocks in numpy: it adds up overlap counts over blocks of
    columns and discards rows all of whose pairs have fallen below what their sizes ask. A tile gives the links of
    a spanning forest, never its pairs. Small families share tiles. In a large one every block is first multiplied by the family's first
@@ -33,6 +35,8 @@ from statloom.llm.tokens import text_blocks
 BLOCK_SETS, BLOCK_GRAMS = 512, 500_000
 #: Columns multiplied at once, and the sets up to which a column is added pair by pair instead.
 BLOCK_COLUMNS, LIGHT = 2048, 16
+#: Texts in the sample that tells common n-grams, and the share of them that have such a one.
+SAMPLE, COMMON = 40_000, 0.0005
 NAME = "decimal(38,0)"
 
 
@@ -53,6 +57,10 @@ class Bounds:
         """Least overlap of sets of sizes a and b at the threshold."""
         return -(-self.num * (a + b) // (self.num + self.den))
 
+    def needed_of(self, size: int) -> int:
+        """Least overlap of a set of a size with any other one at the threshold."""
+        return -(-self.num * size // self.den)
+
     @lru_cache(maxsize=None)  # noqa: B019
     def blocks(self, i: int) -> tuple[int, int, int]:
         """For class i: most n-grams in which a pair differs, column blocks, and how many of these may be empty in a document."""
@@ -65,13 +73,14 @@ class Bounds:
         return differ, differ + 1 + empty, empty
 
 
-def signatures(values: np.ndarray, i: int, bounds: Bounds) -> np.ndarray:
-    """Signatures of one set (ascending hashes) as a member of class i.
+def signatures(values: np.ndarray, i: int, bounds: Bounds, is_common: np.ndarray) -> np.ndarray:
+    """Signatures of one set (ascending hashes) as a member of class i; ``is_common`` marks n-grams that are common in all sets that have them.
 
     A pair of the class at the threshold has a signature in common:
     - if it may differ in one n-gram, the whole set or the set without one n-gram;
-    - else a column block with n-grams in it; documents with more empty blocks than allowed for also give the first n-grams
-      by hash, of which such a pair shares one.
+    - else a column block of n-grams that are not common, with at least one in it. The pair's sets of these differ in no more n-grams than the whole ones;
+      so if one of the two has as few empty blocks as are allowed for, one of its blocks is not touched. Two with more empty blocks
+      both give their first n-grams, the common ones last and by hash otherwise, of which such a pair shares one.
     """
     differ, blocks, empty = bounds.blocks(i)
     tag = mix(np.array([i], np.uint64))[0]
@@ -81,13 +90,14 @@ def signatures(values: np.ndarray, i: int, bounds: Bounds) -> np.ndarray:
     if differ == 1:
         total = mixed.sum(dtype=np.uint64)
         return mix(np.r_[total, total - mixed] ^ tag)
-    block = (values % np.uint64(blocks)).astype(np.int64)
+    rare = ~is_common
+    block = (values[rare] % np.uint64(blocks)).astype(np.int64)
     sums = np.zeros(blocks, np.uint64)
-    np.add.at(sums, block, mixed)
+    np.add.at(sums, block, mixed[rare])
     full = np.flatnonzero(np.bincount(block, minlength=blocks))
     sig = mix(sums[full] + mix(full.astype(np.uint64) + tag))
     if blocks - len(full) > empty:
-        first = values[: len(values) - ceil(bounds.num * len(values) / bounds.den) + 1]
+        first = np.r_[values[rare], values[is_common]][: len(values) - bounds.needed_of(len(values)) + 1]
         sig = np.r_[sig, mix(mix(first) ^ ~tag)]
     return sig
 
@@ -135,16 +145,35 @@ def summaries(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
     return _over_texts(docs.select(key, text, *row_columns(key, text)), n, text, schema, made)
 
 
-def signature_rows(docs: DataFrame, n: int, bounds: Bounds, text: str) -> DataFrame:
+def common_grams(docs: DataFrame, n: int, text: str, sample: int = SAMPLE, share: float = COMMON) -> np.ndarray:
+    """N-grams (ascending) that at least ``share`` of about ``sample`` texts have, 10 texts at least: no more than the sets' mean size / share.
+
+    The texts are taken by hash. Only speed depends on what is found.
+    """
+    total = docs.count()
+    some = docs.where(F.pmod(F.xxhash64(F.col(text), F.lit("sample")), F.lit(max(1, total // sample))) == 0)
+
+    def made(columns, values, ends):
+        for a in range(0, len(values), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(values[a : a + 100_000].view(np.int64))], names=["gram"])
+
+    rows = _over_texts(some.select(text), n, text, "gram bigint", made).groupBy("gram").count().where(F.col("count") >= max(10, int(share * min(total, sample)))).select("gram").collect()
+    return np.sort(np.array([r.gram for r in rows], np.int64).view(np.uint64))
+
+
+def signature_rows(docs: DataFrame, n: int, bounds: Bounds, text: str, common: np.ndarray) -> DataFrame:
     """Rows (sig, near): signatures of every document's set, for its own class and the one before."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def made(columns, values, ends):
         low, size = names_of(values, ends)[1], np.diff(ends)
+        known = sent.value
+        is_common = known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
         sigs, nears = [], []
         for d in np.flatnonzero(size).tolist():
-            v, i = values[ends[d] : ends[d + 1]], int(bounds.classes(size[d]))
+            v, hot, i = values[ends[d] : ends[d + 1]], is_common[ends[d] : ends[d + 1]], int(bounds.classes(size[d]))
             for c in range(max(i - 1, 0), i + 1):
-                sigs.append(signatures(v, c, bounds))
+                sigs.append(signatures(v, c, bounds, hot))
                 nears.append(np.full(len(sigs[-1]), low[d]))
         if sigs:
             sig, near = np.concatenate(sigs).view(np.int64), np.concatenate(nears)
@@ -157,9 +186,11 @@ def signature_rows(docs: DataFrame, n: int, bounds: Bounds, text: str) -> DataFr
 def set_rows(docs: DataFrame, chosen: DataFrame, n: int, key: str, text: str) -> DataFrame:
     """Rows (name, n, grams, further columns of ``chosen``): the sets of chosen rows (name, ROW), from one text each.
 
-    The texts are shuffled once; repeated rows go before that. A text that the hashes of ROW do not tell from the chosen one is left out by its set's name.
+    The texts are shuffled once, to meet the chosen rows; repeated rows go after that. A text that the hashes of ROW do not tell from the chosen one is left out by its set's name.
     """
-    rows = docs.select(*row_columns(key, text), F.col(text).alias("text")).groupBy(*ROW).agg(F.first("text").alias("text")).join(chosen, ROW).drop(*ROW)
+    both = docs.select(*row_columns(key, text), F.col(text).alias("text")).join(chosen, ROW)
+    carried = [c for c in both.columns if c not in (*ROW, "name")]
+    rows = both.groupBy(*ROW, "name").agg(*[F.first(c).alias(c) for c in carried]).drop(*ROW)
     others = [c for c in rows.columns if c not in ("text", "name")]
 
     def made(columns, values, ends):
@@ -307,7 +338,7 @@ def near_sets(docs: DataFrame, base: DataFrame, n: int, bounds: Bounds, text: st
 
     A family is all sets with a signature that one set, its first, leads; two sets with a common signature have its first set's family in common.
     """
-    sigs = signature_rows(docs, n, bounds, text)
+    sigs = signature_rows(docs, n, bounds, text, common_grams(docs, n, text))
     groups = written(sigs.groupBy("sig").agg(F.min("near").alias("family"), F.max("near").alias("last")).where("family <> last").drop("last"), "groups")
     members = written(sigs.join(groups, "sig").select("near", "family").distinct(), "members")
     discard(groups)

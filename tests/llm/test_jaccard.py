@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from statloom.llm import jaccard
 from statloom.llm.jaccard import Bounds, jaccard_components, one_of_each, overlap_links
@@ -121,3 +122,47 @@ def test_bounds_hold():
             if b.needed(a, c) <= a:
                 assert int(b.classes(c)) in (i, i + 1)
                 assert a + c - 2 * b.needed(a, c) <= b.blocks(i)[0]
+
+
+def probe(spark, n, seed=0):
+    """Documents of 100 common words and 100 of their own: far from any link."""
+    common = " ".join(f"boiler{i}" for i in range(100))
+    return spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(common + " "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("w"), F.col("id") * 100 + i)), " ")).alias("text"))
+
+
+def test_boilerplate_makes_no_families(spark):
+    """Common shingles join nobody: no copy of a set is sent, at twice the documents as well."""
+    bounds = jaccard.Bounds(85, 100)
+    for n in (300, 600):
+        docs = probe(spark, n)
+        assert len(jaccard.common_grams(docs, 4, "text")) == 97
+        base = jaccard.summaries(docs, 4, "doc_id", "text")
+        assert jaccard.near_sets(docs, base, 4, bounds, "text").count() == 0
+
+
+@pytest.mark.parametrize("share", [0.0005, 0.9])
+def test_links_do_not_depend_on_what_is_common(spark, share, monkeypatch):
+    rng = random.Random(8)
+    lines = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 30)) for _ in range(14)) for _ in range(12)]
+    texts = []
+    for i in range(160):
+        words = " ".join(rng.sample(lines, rng.randint(1, 6))).split()
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = f"new{i}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {}
+    for held in (np.zeros(0, np.uint64), jaccard.common_grams(docs, 4, "text", share=share), jaccard.common_grams(docs, 4, "text", share=0.05)):
+        monkeypatch.setattr(jaccard, "common_grams", lambda *a, held=held: held)
+        found = sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs, 4, (80, 100)).collect())
+        rows.setdefault("links", found)
+        assert found == rows["links"]
+        monkeypatch.undo()
+    grams = [{tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(grams[i] & grams[j]) >= 80 * len(grams[i] | grams[j]) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert rows["links"] == list(enumerate(label))
