@@ -43,16 +43,26 @@ def pearson(df: DataFrame, variables: list[str], pairwise: bool = False) -> Data
     return _pairs(df, variables, out)
 
 
-def ranked(df: DataFrame, variables: list[str]) -> DataFrame:
-    """Each variable by its tie-averaged rank: counts of distinct values and their running sums over ranges, joined back by value."""
-    from statloom.operators.ordered import running_sum
-
-    rows = df
-    for c in variables:  # counts come from the rows as they were, not from the joins so far
-        counts = rows.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_k"))
-        upto = running_sum(counts, "_v", "_k", "_upto").select(F.col("_v").alias(c), (F.col("_upto") - (F.col("_k") - 1) / 2.0).alias(f"_r_{c}"))
-        df = df.join(upto, c)
-    return df.select(*[c for c in df.columns if c not in variables and not c.startswith("_r_")], *[F.col(f"_r_{c}").alias(c) for c in variables])
+def ranked(df: DataFrame, variables: list[str], ranges: int = 64) -> DataFrame:
+    """Each variable by its tie-averaged rank, of all variables at once, so that the shuffles do not grow with the variables.
+
+    Rows become cells (row, variable, value); counts of distinct values are summed up within ranges of each variable's values and over the ranges
+    before, joined back by variable and value, and gathered by row. A frequent value is one count; its cells are split by AQE. Nulls must be gone.
+    """
+    others = [c for c in df.columns if c not in variables]
+    head = F.struct(*others) if others else F.lit(0)
+    cells = [F.struct(F.lit(i).alias("_i"), F.col(c).cast("double").alias("_v"), (head if i == 0 else F.lit(None)).alias("_head")) for i, c in enumerate(variables)]
+    cells = df.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.inline(F.array(*cells)))
+    cuts = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [i / ranges for i in range(1, ranges)], ranges * 100).alias(f"_c{i}") for i, c in enumerate(variables)]).first()
+    bounds = F.array(*[F.array(*[F.lit(float(x)) for x in sorted(set(c or [0.0]))]) for c in cuts])
+    counts = cells.groupBy("_i", "_v").agg(F.count("*").alias("_k"))
+    counts = counts.withColumn("_piece", F.size(F.filter(F.get(bounds, F.col("_i")), lambda x: x <= F.col("_v"))))
+    inside = F.sum("_k").over(Window.partitionBy("_i", "_piece").orderBy("_v"))
+    totals = counts.groupBy("_i", "_piece").agg(F.sum("_k").alias("_t"))  # one row a variable and range
+    before = totals.select("_i", "_piece", (F.sum("_t").over(Window.partitionBy("_i").orderBy("_piece")) - F.col("_t")).alias("_before"))
+    ranks = counts.withColumn("_in", inside).join(F.broadcast(before), ["_i", "_piece"]).select("_i", "_v", (F.col("_before") + F.col("_in") - (F.col("_k") - 1) / 2.0).alias("_r"))
+    rows = cells.join(ranks, ["_i", "_v"]).groupBy("_row").agg(F.max("_head").alias("_head"), *[F.max(F.when(F.col("_i") == i, F.col("_r"))).alias(c) for i, c in enumerate(variables)])
+    return rows.select(*[F.col("_head")[c].alias(c) for c in others], *variables)
 
 
 def spearman(df: DataFrame, variables: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.dist import f_cdf, f_quantile, t_quantile, t_two_sided
 from statloom.operators.gram import moments
+from statloom.settled import settled
 
 
 def term_names(x: list[str], interactions: bool = True, squares: bool = True, intercept: bool = True, allowed: np.ndarray | None = None) -> list[str]:
@@ -184,9 +185,53 @@ def predicted(df: DataFrame, model: Regression, keep: list[str], y: str | None =
     return rows.withColumn("residual", F.col("predicted") - F.col("_y")).drop("_y") if y else rows
 
 
-def replicates(df: DataFrame, x: list[str], y: str) -> DataFrame:
-    """Groups of rows with equal coded x (to 10 decimals): (x..., n, mean, variance, dof), of two rows or more."""
-    return df.groupBy(*[F.round(F.col(c).cast("double"), 10).alias(c) for c in x]).agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.var_samp(y).alias("variance")).where("n > 1").withColumn("dof", F.col("n") - 1)
+#: Width of a cell of ``near_groups`` in tolerances.
+CELL_WIDTH = 16
+
+
+def near_groups(df: DataFrame, x: list[str], order: str | None = None, absolute: float = 1e-10, relative: float = 1e-5) -> DataFrame:
+    """Rows (x..., leader): the distinct points of complete rows, each with the number of the group it is in.
+
+    Points are taken in ``order`` (by x without it; a point's first row counts). The first one without a group leads a new one, and takes with it all later ones without a
+    group whose coordinates b all have |a - b| <= absolute + relative * |b|. The leader is known by its point.
+
+    A coordinate's cells are as wide as CELL_WIDTH tolerances there. A point lies in one cell, and is also sent to the neighbours it is near to;
+    so each close pair meets, and only those do. Then all points whose earlier neighbours are decided are decided at once, round by round.
+    """
+    scale = absolute / relative
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in x], *([F.col(order).alias("_order")] if order else [])).dropna(subset=x)
+    points = rows.groupBy(*x).agg((F.min("_order") if order else F.struct(*x)).alias("_first")).withColumn("_first", F.struct("_first", *x))
+    place = [F.signum(c) * F.log1p(F.abs(F.col(c)) / scale) / (relative * CELL_WIDTH) for c in x]
+    edge = 1.01 / CELL_WIDTH
+    homes = points.select(F.struct(*x).alias("a"), F.col("_first").alias("a_first"), F.array(*[F.floor(p) for p in place]).alias("cell"))
+    beside = [F.array_distinct(F.array(F.floor(p - edge), F.floor(p), F.floor(p + edge))) for p in place]
+    spread = points.select(F.struct(*x).alias("b"), F.col("_first").alias("b_first"), *[s.alias(f"_s{i}") for i, s in enumerate(beside)])
+    for i in range(len(x)):
+        spread = spread.withColumn(f"_s{i}", F.explode(f"_s{i}"))
+    spread = spread.select("b", "b_first", F.array(*[f"_s{i}" for i in range(len(x))]).alias("cell"))
+    close = F.lit(True)
+    for c in x:
+        close = close & (F.abs(F.col("a")[c] - F.col("b")[c]) <= absolute + relative * F.abs(F.col("b")[c]))
+    pairs = settled(homes.join(spread, "cell").where((F.col("a_first") < F.col("b_first")) & close).select("a", "a_first", "b"))
+    decided = points.select(F.struct(*x).alias("p")).join(pairs.select(F.col("b").alias("p")), "p", "left_anti").withColumn("leader", F.col("p"))
+    left = pairs.count()
+    decided = settled(decided) if left else decided
+    while left:
+        seen = pairs.join(decided.select(F.col("p").alias("a"), "leader"), "a", "left").join(decided.select(F.col("p").alias("b")), "b", "left_anti")
+        #: What leads among the earlier neighbours, the first of these; undecided ones have no leader yet.
+        found = settled(seen.groupBy("b").agg(F.count_if(F.col("leader").isNull()).alias("open"), F.min(F.when(F.col("leader") == F.col("a"), F.struct("a_first", "a"))).alias("first")))
+        fresh = found.where("open = 0").select(F.col("b").alias("p"), F.coalesce("first.a", "b").alias("leader"))
+        decided = settled(decided.unionByName(fresh))
+        left = found.where("open > 0").count()
+    return decided.select("p.*", "leader")
+
+
+def replicates(df: DataFrame, x: list[str], y: str, order: str | None = None) -> DataFrame:
+    """Groups of rows with equal or nearly equal x (``near_groups``): (x... of the leader, n, mean, variance, dof), of two rows or more."""
+    named = {c: F.col(c).cast("double") for c in x}
+    rows = df.select(*[e.alias(c) for c, e in named.items()], F.col(y).alias("_y")).join(near_groups(df, x, order), x)
+    groups = rows.groupBy("leader").agg(F.count("*").alias("n"), F.avg("_y").alias("mean"), F.var_samp("_y").alias("variance"))
+    return groups.where("n > 1").select("leader.*", "n", "mean", "variance", (F.col("n") - 1).alias("dof"))
 
 
 def pooled(groups: DataFrame) -> DataFrame:

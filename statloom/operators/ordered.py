@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES, BLOCK = 256, 1 << 20
+#: Ranges of the order, from the rows: one for RANGE_ROWS rows, no fewer and no more than these. Rows of a block.
+RANGE_ROWS, FEWEST_RANGES, MOST_RANGES, BLOCK = 1_000_000, 16, 4096, 1 << 20
 
 
 def _ranges_below(value: Column, bounds: list) -> Column:
@@ -27,16 +28,34 @@ def _ranges_below(value: Column, bounds: list) -> Column:
     return F.when(value.isNull(), len(bounds)).otherwise(coarse * step + fine)
 
 
-def with_position(df: DataFrame, order: str, name: str = "position", ranges: int = RANGES) -> DataFrame:
-    """Adds the 0-based position of each row in ascending ``order`` (a column whose values are unique; nulls last)."""
-    cuts = df.select(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], ranges * 20).alias("c")).first()[0] or []
-    bounds = sorted(set(cuts))
-    piece = _ranges_below(F.col(order), bounds)
+def range_bounds(df: DataFrame, order: str, range_rows: int = RANGE_ROWS) -> list:
+    """Values that cut the rows into ranges of about equal size, as many as their number asks for."""
+    shares = ", ".join(f"{i / MOST_RANGES}D" for i in range(1, MOST_RANGES))
+    row = df.select(order).agg(F.expr(f"percentile_approx(`{order}`, array({shares}), {MOST_RANGES * 10})"), F.count(order)).first()
+    ranges = min(MOST_RANGES, max(FEWEST_RANGES, -(-row[1] // range_rows)))
+    cuts = row[0] or []
+    return sorted({cuts[i * MOST_RANGES // ranges - 1] for i in range(1, ranges)}) if cuts else []
+
+
+def with_position(df: DataFrame, order: str, name: str = "position", by: list[str] | None = None) -> DataFrame:
+    """Adds the 0-based position of each row in ascending ``order`` (a column whose values are unique; nulls last), with ``by`` within each group.
+
+    Rows are numbered within a range of the order, and of the group, by one task each; the rows of a group's ranges before it are added up from counts.
+    """
+    by = by or []
+    piece = _ranges_below(F.col(order), range_bounds(df, order))
+    keys = [*by, "_piece"]
     rows = df.withColumn("_piece", piece)
-    counts = df.select(order).withColumn("_piece", piece).groupBy("_piece").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_piece", (F.sum("_n").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    at = F.row_number().over(Window.partitionBy("_piece").orderBy(F.col(order).asc_nulls_last())) - 1
-    return rows.withColumn("_at", at).join(F.broadcast(offsets), "_piece").withColumn(name, (F.col("_before") + F.col("_at")).cast("bigint")).drop("_piece", "_at", "_before")
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last())) - 1
+    counts = df.select(*dict.fromkeys([*by, order])).withColumn("_piece", piece).groupBy(*keys).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0))
+    offsets = counts.select(*keys, (upto - F.col("_n")).alias("_before"))
+    if not by:  # one row a range
+        placed = rows.withColumn("_at", at).join(F.broadcast(offsets), "_piece")
+        return placed.withColumn(name, (F.col("_before") + F.col("_at")).cast("bigint")).drop("_piece", "_at", "_before")
+    offsets = offsets.withColumnsRenamed({k: f"_own{i}" for i, k in enumerate(keys)})
+    placed = rows.withColumn("_at", at).join(offsets, [F.col(k).eqNullSafe(F.col(f"_own{i}")) for i, k in enumerate(keys)])
+    return placed.withColumn(name, (F.col("_before") + F.col("_at")).cast("bigint")).drop("_piece", "_at", "_before", *[f"_own{i}" for i in range(len(keys))])
 
 
 def over_rows(df: DataFrame, order: str, columns: Callable[[], dict[str, Column]], before: int = 0, after: int = 0, by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
@@ -44,11 +63,8 @@ def over_rows(df: DataFrame, order: str, columns: Callable[[], dict[str, Column]
 
     ``columns`` takes the window and gives name to expression. With ``by`` the order runs within each group.
     """
-    if by:
-        made = columns(Window.partitionBy(*by).orderBy(order))
-        return df.withColumns(made)
     block = max(block, before + after + 1)
-    rows = with_position(df, order, "_pos")
+    rows = with_position(df, order, "_pos", by)
     own, at = F.floor(F.col("_pos") / block), F.col("_pos") % block
     seats = [F.struct(own.alias("b"), F.lit(True).alias("own"))]
     guest = lambda d, need: F.when(need, F.struct((own + d).alias("b"), F.lit(False).alias("own")))
@@ -57,7 +73,7 @@ def over_rows(df: DataFrame, order: str, columns: Callable[[], dict[str, Column]
     if after:
         seats.append(guest(-1, at < after))
     spread = rows.withColumn("_seat", F.explode(F.filter(F.array(*seats), lambda s: s.isNotNull())))
-    made = columns(Window.partitionBy("_seat.b").orderBy("_pos"))
+    made = columns(Window.partitionBy(*(by or []), "_seat.b").orderBy("_pos"))
     return spread.withColumns(made).where("_seat.own").drop("_seat", "_pos")
 
 
