@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from statloom.functions import scalars
 from statloom.functions.dist import t_quantile
-from statloom.operators import bivariate, charts, columns, doe, encode, mlr, monitor, multi, ordered, pareto, pca, rows, select, surface, univariate, validation
+from statloom.operators import bivariate, charts, columns, contours, doe, encode, mlr, monitor, multi, ordered, pareto, pca, rows, select, surface, univariate, validation
 from statloom.operators.missing import filled_report, reconstructed
 from statloom.plans.catalog import Workspace
 from statloom.sources.readers import parse_clipboard
@@ -647,6 +647,13 @@ def _(spark, d):
     return surface.bounds(surface.surfaces(spark, models, "q", "t", {}, steps=20), ["response"])
 
 
+@query("s_contours")
+def _(spark, d):
+    _, models = _surfaces(spark, d)
+    rows = surface.surfaces(spark, models, "q", "t", {}, steps=20).where("response = 'price'")
+    return contours.contours(rows, contours.levels_between(rows))
+
+
 # U: Pareto fronts
 
 _DOM = "select {c} from {t} p where not exists (select 1 from {t} o where o.s <= p.s and o.v >= p.v and (o.s < p.s or o.v > p.v))"
