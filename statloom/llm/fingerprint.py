@@ -115,7 +115,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", piece
 
     Rows: key, n_chars (code points), edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next
     (likeness to the edited text's and to the next row's fingerprint). A null text counts as empty. A text with fewer than ``FEW`` terms in
-    the band is fingerprinted over all its terms, and near_edited compares all terms if that holds for either text; a text without terms
+    the band is fingerprinted over all its terms; a text without terms
     is fingerprinted by its own hash, so equal texts agree and others do not. Repeated rows stay; a lone row is its own
     next; an empty table gives no rows; other columns are not carried. Null keys come last in the order.
 
@@ -146,13 +146,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", piece
     sets = sets.select("at", "piece", "head.*", "t")
     with_marks = lambda m: F.transform(F.filter("t", lambda x: x.bitwiseAND(F.lit(m)) == m), lambda x: F.shiftright(x, 3))
     sets = sets.withColumns({"own": with_marks(OWN | KNOWN), "other": with_marks(EDITED | KNOWN)}).withColumns({"own_few": F.size("own") < FEW, "other_few": F.size("other") < FEW})
-    #: All terms of the one text that is not fingerprinted over all of them, where the other one is.
-    rest = F.when(F.expr("own_few and not other_few"), with_marks(EDITED)).when(F.expr("other_few and not own_few"), with_marks(OWN)).otherwise(F.slice("own", 1, 0))
     chosen = lambda name, mark: F.when(F.col(f"{name}_few"), with_marks(mark)).otherwise(F.col(name))
-    hashed = sets.withColumns({"own": subset_hashes(chosen("own", OWN)), "other": subset_hashes(chosen("other", EDITED)), "rest": subset_hashes(rest)})
+    hashed = sets.withColumns({"own": subset_hashes(chosen("own", OWN)), "other": subset_hashes(chosen("other", EDITED))})
     #: Texts without terms have no hashes; their own hash tells them apart.
     coded = hashed.withColumns({"fingerprint": encode(F.col("own"), F.col("own_hash")), "edited_fingerprint": encode(F.col("other"), F.col("edited_hash"))})
-    near = likeness(F.when(F.expr("other_few and not own_few"), F.col("rest")).otherwise(F.col("own")), F.when(F.expr("own_few and not other_few"), F.col("rest")).otherwise(F.col("other")))
+    near = likeness(F.col("own"), F.col("other"))
     coded = coded.withColumn("near", F.when(F.col("fingerprint") == F.col("edited_fingerprint"), 1.0).otherwise(near))
     coded = coded.withColumn("next", F.expr("lead(struct(fingerprint, own)) over (partition by piece order by at)")).where("guest = 0")
     near_next = F.when(F.col("fingerprint") == F.col("next.fingerprint"), 1.0).otherwise(F.coalesce(likeness(F.col("own"), F.col("next.own")), F.lit(0.0)))

@@ -48,6 +48,28 @@ def test_whole_table(spark, sf):
     assert set(map(tuple, shuffled.values)) == set(map(tuple, rows.values))
 
 
+def agreement(a, b):
+    """Likeness by the two fingerprint texts alone."""
+    if a == b:
+        return 1.0
+    parts = lambda f: [f[i : i + fingerprint.HEX] for i in range(16, len(f), fingerprint.HEX)]
+    pairs = [(x, y) for x, y in zip(parts(a), parts(b)) if x != "-" * fingerprint.HEX or y != "-" * fingerprint.HEX]
+    return sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+
+
+def test_likeness_is_that_of_the_returned_fingerprints(spark, sf):
+    """Every row of the table, and texts of few terms of which the edited one has more, or fewer."""
+    whole = op1_fingerprint(spark, sf).toPandas().sort_values("doc_id")
+    body = " ".join(f"w{k}" for k in range(30))
+    few = [(i, f"{body} x{i}") for i in range(40)] + [(50, "rare1 rare2 rare3"), (51, body), (52, "rare4 w1 w2 w3 w4 w5 w6 w7 rare5 rare6 rare7 rare8"), (53, "")]
+    small = fingerprints(spark.createDataFrame(few, "doc_id long, text string"), idf_high=3.0).toPandas().sort_values("doc_id")
+    for rows in (whole, small):
+        following = rows.fingerprint.tolist()[1:] + rows.fingerprint.tolist()[:1]
+        for r, after in zip(rows.itertuples(), following):
+            assert abs(r.near_edited - agreement(r.fingerprint, r.edited_fingerprint)) < 1e-12, r.doc_id
+            assert abs(r.near_next - agreement(r.fingerprint, after)) < 1e-12, r.doc_id
+
+
 def test_few_or_no_rows(spark):
     df = spark.createDataFrame([(None, "a b"), (4, "c d")], "doc_id long, text string")
     assert fingerprints(df.limit(0)).count() == 0
@@ -68,4 +90,5 @@ def test_text_of_a_third_of_the_rows_and_texts_of_rare_terms(spark):
     assert len({got[1000 + i].fingerprint for i in range(40)}) == 1
     rare = [(i, t) for i, t in enumerate(other)] + [(3000, " ".join(f"rare{k}" for k in range(60))), (3001, " ".join(f"rare{k}" for k in range(59)) + " plain")]
     got = {r.doc_id: r for r in fingerprints(spark.createDataFrame(rare, "doc_id long, text string"), idf_high=3.0).collect()}
-    assert got[3000].near_next > 0.3 and got[3001].near_edited > 0.05
+    #: The edited text has enough terms in the band, the text has not: their fingerprints are over other terms, and only these count.
+    assert got[3000].near_next > 0.3 and got[3001].near_edited == agreement(got[3001].fingerprint, got[3001].edited_fingerprint) == 0.0
