@@ -15,7 +15,8 @@ from statloom.functions import scalars
 from statloom.functions.dist import t_quantile
 from statloom.operators import bivariate, charts, columns, contours, doe, encode, mlr, monitor, multi, ordered, pareto, pca, rows, select, surface, univariate, validation
 from statloom.operators.missing import filled_report, reconstructed
-from statloom.plans.catalog import Workspace
+from statloom.plans.shared import SharedWorkspace
+from statloom.settled import shared_folder
 from statloom.sources.readers import parse_clipboard
 from statloom.sources import reports
 from statloom.sources.writers import spectral_lines
@@ -759,13 +760,16 @@ def _(spark, d):
 # V: workspace
 
 
-@query("v_lineage", "select * from (values ('part', null, 'original', null), ('part_scaled', 'part', 'transform', 'autoscale'), ('part_Selected', 'part', 'split', 'Manual'), ('part_Remaining', 'part', 'split', 'Manual')) t(name, parent, kind, transform)")
+@query("v_lineage", """select name, parent, kind, transform, n::bigint as n_rows from (values ('part', null, 'original', null), ('part_scaled', 'part', 'transform', 'autoscale'), ('part_Selected', 'part', 'split', 'Manual'), ('part_Remaining', 'part', 'split', 'Manual'),
+('sizes', 'part_Selected', 'results', 'summary')) t(name, parent, kind, transform), lateral (select case name when 'part_Selected' then count(*) filter (p_size > 25) when 'part_Remaining' then count(*) filter (not (p_size > 25) or p_size is null) when 'sizes' then count(distinct p_size) filter (p_size > 25) else count(*) end as n from part) c""")
 def _(spark, d):
-    w = Workspace(spark)
-    part = w.save("part", table(spark, d, "part"))
+    w = SharedWorkspace(spark, shared_folder(spark, "workspace"))
+    w.save("part", table(spark, d, "part"))
+    part = w.dataset("part")
     w.save("part_scaled", columns.autoscaled(part, ["p_size"]), "part", "transform", "autoscale")
     w.split("part", "p_partkey", part.where("p_size > 25"))
-    return w.lineage().select("name", "parent", "kind", "transform")
+    w.save_result("sizes", w.dataset("part_Selected").groupBy("p_size").count(), "part_Selected", "summary")
+    return SharedWorkspace(spark, w.path).entries().select("name", "parent", "kind", "transform", "n_rows")
 
 
 # A, B: text in and out
