@@ -442,35 +442,96 @@ def _monitor(spark, d):
     return data, monitor.fit(data, V, 2)
 
 
-@query("o_faults")
+def _component_sql(name: str, start: str) -> str:
+    """First eigenvector (v) and eigenvalue (l) of the 4 x 4 matrix in ``start``: its column in a high power of the matrix, by squaring."""
+    square = ", ".join(" + ".join(f"m[{4 * i + k + 1}] * m[{4 * k + j + 1}]" for k in range(4)) for i in range(4) for j in range(4))
+    column = f"[{', '.join(f'm[{4 * i} + j]' for i in range(4))}]"
+    value = " + ".join(f"v[{i + 1}] * v[{j + 1}] * c.m[{4 * i + j + 1}]" for i in range(4) for j in range(4))
+    return f"""{name}_p(k, m) as (select 0, m from {start} union all select k + 1, list_transform(q, lambda x: x / list_max(q)) from (select k, [{square}] as q from {name}_p where k < 34)),
+{name}_c as (select {column} as v from (select m, list_position([m[1], m[6], m[11], m[16]], list_max([m[1], m[6], m[11], m[16]])) as j from {name}_p where k = 34)),
+{name}_v as (select list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda w: w * w)))) as v from {name}_c), {name} as (select v, {value} as l from {name}_v, {start} c)"""
+
+
+#: Two components of the four variables, T2 and Q of every row (d), and the limits (lim). F with 2 degrees of freedom has a closed quantile; chi-square's comes by halving over its series.
+_PLANE = f"""with recursive s as (select count(*)::double as n, {', '.join(f'avg({c}) as m{i}, stddev_pop({c}) as s{i}' for i, c in enumerate(V))} from lineitem),
+c0 as (select [{', '.join('1.0' if a == b else f'corr({a}, {b})' for a in V for b in V)}] as m from lineitem),
+{_component_sql('e1', 'c0')},
+c1 as (select [{', '.join(f'm[{4 * i + j + 1}] - l * v[{i + 1}] * v[{j + 1}]' for i in range(4) for j in range(4))}] as m from c0, e1),
+{_component_sql('e2', 'c1')},
+z as (select l_orderkey, l_linenumber, l_shipdate, n, e1.l as l1, e2.l as l2, {', '.join(f'({c} - m{i}) / s{i} as z{i}' for i, c in enumerate(V))}, {' + '.join(f'({c} - m{i}) / s{i} * e1.v[{i + 1}]' for i, c in enumerate(V))} as t1, {' + '.join(f'({c} - m{i}) / s{i} * e2.v[{i + 1}]' for i, c in enumerate(V))} as t2, e1.v as v1, e2.v as v2 from lineitem, s, e1, e2),
+d as (select *, (t1 * t1 / l1 + t2 * t2 / l2) * (n - 1) / n as ht, greatest({' + '.join(f'z{i} * z{i}' for i in range(4))} - t1 * t1 - t2 * t2, 0) as q from z),
+a as (select any_value(n) as n, avg(q) as mq, var_pop(q) as vq from d), levels(alpha) as (values {', '.join(f'({x!r}::double)' for x in monitor.ALPHAS)}),
+half(i, alpha, h, lo, hi) as (select 0, alpha, mq * mq / vq, 0.0::double, 2 * mq * mq / vq + 40 * sqrt(mq * mq / vq) + 100 from a, levels
+  union all select i + 1, alpha, h, case when p < alpha then mid else lo end, case when p < alpha then hi else mid end from (
+    select *, list_sum(list_transform(range(400), lambda k: exp(-mid / 2 + (h + k) * ln(mid / 2) - lgamma(h + k + 1)))) as p from (select *, (lo + hi) / 2 as mid from half where i < 70))),
+lim as (select alpha, (n - 1) * 2 / (n - 2) * (n - 2) / 2 * (pow(1 - alpha, -2 / (n - 2)) - 1) as t2_limit, vq / (2 * mq) * lo as q_limit from half, a where i = 70),
+f as (select d.*, case when ht > t2_limit and q > q_limit then 'both' when ht > t2_limit then 't2' when q > q_limit then 'q' else 'none' end as fault from d, lim where alpha = {min(monitor.ALPHAS)!r})"""
+
+
+@query("o_faults", f"{_PLANE} select l_orderkey, l_linenumber, {r('ht', 5)} as t2, {r('q', 5)} as q, fault from f")
 def _(spark, d):
     data, m = _monitor(spark, d)
-    return monitor.faults(data, m, ["l_orderkey", "l_linenumber"])
+    return rounded(monitor.faults(data, m, ["l_orderkey", "l_linenumber"]), 5)
 
 
-@query("o_outlier_levels")
+@query("o_outlier_levels", f"""{_PLANE}, b as (select *, lead(t2_limit) over (order by alpha) as t_next, lead(q_limit) over (order by alpha) as q_next from lim)
+select 't2' as statistic, alpha, count(*) filter (ht > t2_limit) as independent, count(*) filter (ht > t2_limit and not coalesce(ht > t_next, false)) as joint from d, b group by alpha
+union all select 'q', alpha, count(*) filter (q > q_limit), count(*) filter (q > q_limit and not coalesce(q > q_next, false)) from d, b group by alpha
+union all select 't2 or q', alpha, count(*) filter (ht > t2_limit or q > q_limit), count(*) filter ((ht > t2_limit or q > q_limit) and not coalesce(ht > t_next or q > q_next, false)) from d, b group by alpha""")
 def _(spark, d):
     data, m = _monitor(spark, d)
     return monitor.outlier_levels(monitor.faults(data, m, []), m)
 
 
-@query("o_limits")
+@query("o_limits", f"{_PLANE} select alpha, {r('t2_limit')} as t2_limit, {r('q_limit')} as q_limit from lim")
 def _(spark, d):
     data, m = _monitor(spark, d)
-    return monitor.limits_table(data, m)
+    return rounded(monitor.limits_table(data, m))
 
 
-@query("o_contributions")
+@query("o_contributions", f"""{_PLANE}, r as ({union([f"select l_orderkey, l_linenumber, '{c}' as variable, z{i} * s{i} + m{i} as value, m{i} as training_mean, z{i} * s{i} as difference, z{i} - t1 * v1[{i + 1}] - t2 * v2[{i + 1}] as e from d, s" for i, c in enumerate(V)])}),
+norm as (select variable, quantile_cont(e * e, 0.95) as top from r group by variable)
+select l_orderkey * 10 + l_linenumber as row_id, variable, {r('value', 3)} as value, {r('training_mean', 4)} as training_mean, {r('difference', 3)} as difference, {r('sign(e) * e * e / top', 5)} as contribution from r join norm using (variable) where e * e > top""")
 def _(spark, d):
     data, m = _monitor(spark, d)
     rows_ = data.withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return monitor.contribution_table(data, rows_, m, "row_id").where("flagged")
+    found = monitor.contribution_table(data, rows_, m, "row_id").where("flagged")
+    return found.select("row_id", "variable", *[(F.round(c, {"contribution": 5, "training_mean": 4}.get(c, 3)) + 0.0).alias(c) for c in ("value", "training_mean", "difference", "contribution")])
 
 
-@query("o_fault_windows")
+@query("o_fault_windows", f"{_PLANE}, w as (select fault, floor(epoch(l_shipdate) / 2592000)::bigint as k from f) select strftime(make_timestamp(k * 2592000000000), '%Y-%m-%d') as start, strftime(make_timestamp((k + 1) * 2592000000000), '%Y-%m-%d') as until, fault, count(*) as n from w group by k, fault")
 def _(spark, d):
     data, m = _monitor(spark, d)
-    return fault_counts(data.withColumn("ts", F.col("l_shipdate").cast("timestamp")), m, "ts", "30 days")
+    counts = fault_counts(data.withColumn("ts", F.col("l_shipdate").cast("timestamp")), m, "ts", "30 days")
+    return counts.select(F.date_format("start", "yyyy-MM-dd").alias("start"), F.date_format("end", "yyyy-MM-dd").alias("until"), "fault", "n")
+
+
+#: Four variables, three components, sample deviations; each loading's first number is positive.
+_THREE = f"""with recursive s as (select {', '.join(f'avg({c}) as m{i}, stddev_samp({c}) as s{i}' for i, c in enumerate(V))} from lineitem),
+c0 as (select [{', '.join('1.0' if a == b else f'corr({a}, {b})' for a in V for b in V)}] as m from lineitem),
+{_component_sql('e1', 'c0')}, c1 as (select [{', '.join(f'm[{4 * i + j + 1}] - l * v[{i + 1}] * v[{j + 1}]' for i in range(4) for j in range(4))}] as m from c0, e1),
+{_component_sql('e2', 'c1')}, c2 as (select [{', '.join(f'm[{4 * i + j + 1}] - l * v[{i + 1}] * v[{j + 1}]' for i in range(4) for j in range(4))}] as m from c1, e2),
+{_component_sql('e3', 'c2')}, p as (select 1 as k, list_transform(v, lambda x: x * sign(v[1])) as v, l from e1 union all select 2, list_transform(v, lambda x: x * sign(v[1])), l from e2 union all select 3, list_transform(v, lambda x: x * sign(v[1])), l from e3)"""
+
+
+def _converged(spark, d):
+    data = table(spark, d, "lineitem")
+    return data, pca.fit(data, V, 3, scale=True, max_steps=300_000, threshold=1e-26)
+
+
+@query("n_scores_converged", f"""{_THREE}, w as (select max(v) filter (k = 1) as a, max(v) filter (k = 2) as b, max(v) filter (k = 3) as c from p)
+select l_orderkey, l_linenumber, {', '.join(r(' + '.join(f'({c} - m{i}) / s{i} * {w}[{i + 1}]' for i, c in enumerate(V)), 4) + f' as PC{k}' for k, w in enumerate('abc', 1))} from lineitem, s, w""")
+def _(spark, d):
+    data, model = _converged(spark, d)
+    return rounded(pca.scores(data, model, ["l_orderkey", "l_linenumber"]), 4)
+
+
+@query("n_loadings_converged", union([f"select '{c}' as variable, 'PC' || k as pc, {r(f'v[{i + 1}]', 5)} as loading, {r('l / 4', 6)} as ratio from p" for i, c in enumerate(V)]).join((f"{_THREE} ", "")))
+def _(spark, d):
+    data, model = _converged(spark, d)
+    rows_ = [(v, f"PC{k + 1}", float(model.loadings[i, k]), float(model.ratio[k])) for i, v in enumerate(V) for k in range(3)]  # 12 numbers of the model
+    found = data.sparkSession.createDataFrame(rows_, "variable string, pc string, loading double, ratio double")
+    return found.select("variable", "pc", (F.round("loading", 5) + 0.0).alias("loading"), (F.round("ratio", 6) + 0.0).alias("ratio"))
 
 
 def _gaps(spark, d):
@@ -522,12 +583,52 @@ def _(spark, d):
     return mlr.coefficients(mlr.fit(data, "l_extendedprice", mlr.term_names(["l_quantity", "l_discount", "l_tax"])), data)
 
 
+#: Student's quantile at 0.975 for many degrees of freedom v, by its expansion in 1 / v about the normal one (a fixed value).
+_T975 = "(1.959963984540054 + (pow(1.959963984540054, 3) + 1.959963984540054) / (4 * v) + (5 * pow(1.959963984540054, 5) + 16 * pow(1.959963984540054, 3) + 3 * 1.959963984540054) / (96 * v * v))"
+_X3 = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _cofactor(i: int, j: int) -> str:
+    a, b = [k for k in range(3) if k != i], [k for k in range(3) if k != j]
+    return f"{'-' if (i + j) % 2 else ''}(g{a[0]}{b[0]} * g{a[1]}{b[1]} - g{a[0]}{b[1]} * g{a[1]}{b[0]})"
+
+
+_OLS3 = f"""with m as (select count(*)::double as n, avg(l_extendedprice) as my, var_pop(l_extendedprice) as gyy, {', '.join(f'avg({c}) as m{i}, covar_pop({c}, l_extendedprice) as y{i}' for i, c in enumerate(_X3))},
+{', '.join(f'covar_pop({a}, {b}) as g{i}{j}' for i, a in enumerate(_X3) for j, b in enumerate(_X3))} from lineitem),
+dt as (select *, {' + '.join(f'g0{j} * ({_cofactor(0, j)})' for j in range(3))} as det from m),
+i as (select *, {', '.join(f'({_cofactor(i, j)}) / det as i{i}{j}' for i in range(3) for j in range(3))} from dt),
+b as (select *, {', '.join(' + '.join(f'i{i}{j} * y{j}' for j in range(3)) + f' as b{i}' for i in range(3))} from i),
+e as (select *, n - 4 as v, n * (gyy - b0 * y0 - b1 * y1 - b2 * y2) / (n - 4) as s2, ({' + '.join(f'm{i} * m{j} * i{i}{j}' for i in range(3) for j in range(3))}) as mm from b),
+c as (select 'Intercept' as term, my - b0 * m0 - b1 * m1 - b2 * m2 as coefficient, sqrt(s2 * (1 + mm) / n) as std_error, null::double as vif, v from e
+  {' '.join(f"union all select '{c}', b{i}, sqrt(s2 * i{i}{i} / n), g{i}{i} * i{i}{i}, v from e" for i, c in enumerate(_X3))})"""
+
+
+@query("q_multiple_coefficients", f"{_OLS3} select term, {r('coefficient', 4)} as coefficient, {r('std_error', 4)} as std_error, {r('coefficient / std_error', 5)} as t, {r(f'coefficient - std_error * {_T975}', 4)} as lower, {r(f'coefficient + std_error * {_T975}', 4)} as upper, {r('vif', 8)} as vif from c")
+def _(spark, d):
+    data = table(spark, d, "lineitem")
+    found = mlr.coefficients(mlr.fit(data, "l_extendedprice", ["Intercept", *_X3]), data)
+    digits = {"t": 5, "vif": 8}
+    return found.select("term", *[(F.round(c, digits.get(c, 4)) + 0.0).alias(c) for c in ("coefficient", "std_error", "t", "lower", "upper", "vif")])
+
+
 @query("q_predictions")
 def _(spark, d):
     data = table(spark, d, "lineitem")
     return mlr.predicted(data, mlr.fit(data, "l_extendedprice", mlr.term_names(["l_quantity", "l_tax"])), ["l_orderkey", "l_linenumber"], "l_extendedprice")
 
 
+@query("q_predictions_linear", f"""with m as (select count(*)::double as n, avg(l_extendedprice) as my, avg(l_quantity) as mq, avg(l_tax) as mt, var_pop(l_extendedprice) as yy, var_pop(l_quantity) as qq, var_pop(l_tax) as tt, covar_pop(l_quantity, l_tax) as qt, covar_pop(l_quantity, l_extendedprice) as qy, covar_pop(l_tax, l_extendedprice) as ty from lineitem),
+b as (select *, qq * tt - qt * qt as det, (tt * qy - qt * ty) / (qq * tt - qt * qt) as bq, (qq * ty - qt * qy) / (qq * tt - qt * qt) as bt, n - 3 as v from m),
+p as (select l_orderkey, l_linenumber, l_extendedprice as y, my + bq * (l_quantity - mq) + bt * (l_tax - mt) as predicted, sqrt(n * (yy - bq * qy - bt * ty) / (n - 3)) as s, v,
+  (1 + (tt * (l_quantity - mq) * (l_quantity - mq) - 2 * qt * (l_quantity - mq) * (l_tax - mt) + qq * (l_tax - mt) * (l_tax - mt)) / det) / n as leverage from lineitem, b)
+select l_orderkey, l_linenumber, {r('predicted', 3)} as predicted, {r('leverage', 9)} as leverage, {r('s * sqrt(leverage)', 4)} as std_error, {r(f'predicted - s * sqrt(leverage) * {_T975}', 3)} as lower, {r(f'predicted + s * sqrt(leverage) * {_T975}', 3)} as upper, {r('predicted - y', 3)} as residual from p""")
+def _(spark, d):
+    data = table(spark, d, "lineitem")
+    found = mlr.predicted(data, mlr.fit(data, "l_extendedprice", ["Intercept", "l_quantity", "l_tax"]), ["l_orderkey", "l_linenumber"], "l_extendedprice")
+    digits = {"leverage": 9, "std_error": 4}
+    return found.select("l_orderkey", "l_linenumber", *[(F.round(c, digits.get(c, 3)) + 0.0).alias(c) for c in ("predicted", "leverage", "std_error", "lower", "upper", "residual")])
+
+
 _REP = "select round(l_quantity, 10) + 0.0 as l_quantity, round(l_tax, 10) + 0.0 as l_tax, count(*)::bigint as n, avg(l_extendedprice) as mean, var_samp(l_extendedprice) as variance from lineitem group by 1, 2 having count(*) > 1"
 
 
