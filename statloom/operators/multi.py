@@ -26,6 +26,15 @@ def summaries(df: DataFrame, models: dict[str, Regression | None]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "response string, r2_adjusted double, rmse double, dof bigint, q2 double, rmsecv double, status string")
 
 
+def diagnostics(df: DataFrame, models: dict[str, Regression | None], keep: list[str]) -> DataFrame:
+    """The diagnostics of every response's model in one table with a column ``response``; failed models have no rows."""
+    parts = [mlr.diagnostics(df, m, keep).select(F.lit(n).alias("response"), *keep, "observed", "fitted", "residual", "leverage", "cv_predicted", "cv_residual") for n, m in models.items() if m is not None]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def comparison(df: DataFrame, models: dict[str, Regression | None]) -> DataFrame:
     """(term, response, coefficient, relative): relative to the largest |coefficient| of the response without the intercept."""
     rows = [(t, n, float(b)) for n, m in models.items() if m is not None for t, b in zip(m.terms, m.beta)]

@@ -66,6 +66,15 @@ def feasible(rows: DataFrame, criteria: dict[str, tuple[str, float, float]], use
     return rows.withColumn("_ok", ok).groupBy("ix", "iy", "x", "y").agg(F.bool_and("_ok").alias("feasible"))
 
 
+def overlay(rows: DataFrame, criteria: dict[str, tuple[str, float, float]], use_ci: bool = True) -> DataFrame:
+    """(ix, iy, x, y, met, of, failing): how many of the criteria each grid point meets, of how many, and the first response, by name, that fails."""
+    each = [feasible(rows.where(F.col("response") == name), {name: spec}, use_ci).select("ix", "iy", "x", "y", F.lit(name).alias("response"), "feasible") for name, spec in criteria.items()]
+    out = each[0]
+    for p in each[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("ix", "iy", "x", "y").agg(F.count_if("feasible").alias("met"), F.count("*").alias("of"), F.min(F.when(~F.col("feasible"), F.col("response"))).alias("failing"))
+
+
 def largest_rectangle(mask: np.ndarray) -> tuple[int, int, int, int, int]:
     """(area, row, row, column, column), bounds included, of the largest block of ones; the first found among equals."""
     best, height = (0, 0, -1, 0, -1), np.zeros(mask.shape[1], int)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from statloom.functions import scalars
 from statloom.functions.dist import t_quantile
-from statloom.operators import bivariate, charts, columns, contours, doe, encode, mlr, monitor, multi, ordered, pareto, pca, rows, select, surface, univariate, validation
+from statloom.operators import bivariate, charts, columns, contours, doe, encode, mlr, monitor, multi, ordered, pareto, pca, rows, select, surface, univariate, validation, writeback
 from statloom.operators.missing import filled_report, reconstructed
 from statloom.plans.shared import SharedWorkspace
 from statloom.settled import shared_folder
@@ -649,6 +649,14 @@ def _(spark, d):
     return mlr.central_points(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax"), ["l_quantity", "l_tax"], 0.6).select("l_orderkey", "l_linenumber")
 
 
+@query("t_diagnostics", union([f"""select '{y}' as response, l_orderkey, l_linenumber, {r('f', 4)} as fitted, {r('y - f', 4)} as residual, {r('h', 9)} as leverage, {r('(y - f) / (1 - h)', 4)} as cv_residual from (select l_orderkey, l_linenumber, {y}::double as y, a + b * l_quantity as f, 1 / n + (l_quantity - m) * (l_quantity - m) / (n * v) as h
+from lineitem, (select regr_slope({y}, l_quantity) as b, regr_intercept({y}, l_quantity) as a, avg(l_quantity) as m, var_pop(l_quantity) as v, count(*)::double as n from lineitem))""" for y in ("l_extendedprice", "l_discount")]))
+def _(spark, d):
+    data = table(spark, d, "lineitem")
+    found = multi.diagnostics(data, multi.fit_all(data, ["l_extendedprice", "l_discount"], ["Intercept", "l_quantity"]), ["l_orderkey", "l_linenumber"])
+    return found.select("response", "l_orderkey", "l_linenumber", *[(F.round(c, 9 if c == "leverage" else 4) + 0.0).alias(c) for c in ("fitted", "residual", "leverage", "cv_residual")])
+
+
 @query("t_comparison", union([f"""select '{t}' as term, '{y}' as response, {r(e, 4)} as coefficient, {r('1.0 * sign(b)' if t != 'Intercept' else e, 4)} as relative from (select regr_slope({y}, l_quantity) as b, regr_intercept({y}, l_quantity) as a from lineitem)""" for y in ("l_extendedprice", "l_discount") for t, e in (("Intercept", "a"), ("l_quantity", "b"))]))
 def _(spark, d):
     data = table(spark, d, "lineitem")
@@ -749,6 +757,36 @@ def _(spark, d):
     return surface.bounds(surface.surfaces(spark, models, "q", "t", {}, steps=20), ["response"])
 
 
+@query("s_overlay")
+def _(spark, d):
+    _, models = _surfaces(spark, d)
+    both = surface.surfaces(spark, models, "q", "t", {}, steps=20)
+    return surface.overlay(both, {"price": ("Threshold_Above", 30000.0, 0.0), "l_discount": ("Threshold_Below", 0.0, 0.06)})
+
+
+_BLOCK = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("k_write_back", f"select l_orderkey, l_partkey, l_suppkey, l_linenumber, {', '.join(r(f'{b} - {a}', 4) + f' as {a}' for a, b in zip(_BLOCK, _BLOCK[1:]))}, l_returnflag, l_linestatus from lineitem")
+def _(spark, d):
+    data = rows.as_array(table(spark, d, "lineitem").drop("l_shipdate"), _BLOCK)
+    made = data.withColumn("spectrum", rows.first_derivative(F.col("spectrum")))
+    return rounded(writeback.array_written_back(made, "spectrum", _BLOCK, 3), 4)
+
+
+@query("k_before_after", union([f"select l_orderkey, {i + 1} as position, '{c}' as variable, {r(f'{c}::double', 4)} as before, {r(f'{_BLOCK[i + 1]} - {c}', 4) if i < 3 else 'null::double'} as after from lineitem" for i, c in enumerate(_BLOCK)]))
+def _(spark, d):
+    data = rows.as_array(table(spark, d, "lineitem").select("l_orderkey", *_BLOCK), _BLOCK)
+    return rounded(writeback.before_and_after(data.withColumn("spectrum", rows.first_derivative(F.col("spectrum"))), "l_orderkey", _BLOCK, "spectrum"), 4)
+
+
+@query("k_joined_back", f"select p_partkey, p_name, p_brand, p_type, {r('(p_size - (select avg(p_size) from part)) / (select stddev_samp(p_size) from part)', 6)} as p_size, {r('(p_retailprice - (select avg(p_retailprice) from part)) / (select stddev_samp(p_retailprice) from part)', 6)} as p_retailprice from part where p_partkey % 2 = 0")
+def _(spark, d):
+    part = table(spark, d, "part")
+    made = columns.autoscaled(part.withColumns({c: F.col(c).cast("double") for c in ("p_size", "p_retailprice")}), ["p_size", "p_retailprice"]).where("p_partkey % 2 = 0")
+    return rounded(writeback.written_back(part, made, "p_partkey", ["p_size", "p_retailprice"], ["p_size", "p_retailprice"]))
+
+
 @query("s_contours")
 def _(spark, d):
     _, models = _surfaces(spark, d)
