@@ -7,6 +7,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: First rows of the cyclic Plackett-Burman designs, from which the others follow by rotation.
 PLACKETT_BURMAN = {8: "+--+-++", 12: "++-+++---+-", 16: "++++-+-++--+---"}
@@ -25,6 +26,37 @@ def full_factorial(spark: SparkSession, levels: dict[str, list]) -> DataFrame:
     return runs.select((F.col("id") + 1).alias("run"), *columns)
 
 
+def factorial_of(df: DataFrame, factors: list[str]) -> DataFrame:
+    """All combinations of the levels that a table's columns have, in their order, the last factor fastest, with run numbers from 1; nulls are no level.
+
+    Each run's number tells its level of each factor; levels come by joins on their places, so the runs are never crossed.
+    """
+    levels, size = [], []
+    for i, f in enumerate(factors):
+        found = df.select(F.col(f).alias(f)).where(F.col(f).isNotNull()).distinct()
+        placed = found.withColumn(f"_p{i}", F.row_number().over(Window.orderBy(f)) - 1)  # one row a level
+        levels.append(placed)
+        size.append(placed.count())
+    total = int(np.prod(size)) if size else 0
+    runs, step = df.sparkSession.range(total), total
+    for i, k in enumerate(size):
+        step //= max(k, 1)
+        runs = runs.withColumn(f"_p{i}", (F.floor(F.col("id") / step) % k).cast("int")).join(levels[i], f"_p{i}")
+    return runs.select((F.col("id") + 1).alias("run"), *factors)
+
+
+def over_groups(design: DataFrame, x: list[str], rows: DataFrame, by: list[str], factors: list[str]) -> DataFrame:
+    """(by..., run, factors...): a design of coded points for every group of a table, each coordinate put onto the group's own range of its factor.
+
+    The design's runs, small by construction, go along as a literal, so each group spreads where it is. A group without a value of a factor has nulls there.
+    """
+    runs = [(r[0], *map(float, r[1:])) for r in design.select("run", *x).collect()]
+    points = F.array(*[F.struct(F.lit(r[0]).cast("bigint").alias("run"), *[F.lit(v).alias(f"_x{i}") for i, v in enumerate(r[1:])]) for r in runs])
+    ranges = rows.groupBy(*by).agg(*[f(c).cast("double").alias(f"_{n}{i}") for i, c in enumerate(factors) for n, f in (("l", F.min), ("h", F.max))])
+    spread = ranges.select(*by, *[f"_{n}{i}" for i in range(len(factors)) for n in "lh"], F.explode(points).alias("_p"))
+    return spread.select(*by, "_p.run", *[(F.col(f"_l{i}") + (F.col("_p")[f"_x{i}"] + 1) * (F.col(f"_h{i}") - F.col(f"_l{i}")) / 2).alias(c) for i, c in enumerate(factors)])
+
+
 def linspace_grid(spark: SparkSession, ranges: dict[str, tuple[float, float, int]]) -> DataFrame:
     """A grid of evenly spaced points (low, high, number) for each factor; the points come from whole numbers, so none is lost to rounding."""
     size = [n for _, _, n in ranges.values()]

@@ -683,42 +683,56 @@ def _(spark, d):
 # R: designs
 
 
-@query("r_full_factorial", """select row_number() over (order by a, b, c)::bigint as run, case a when 0 then 10.0 else 20.0 end::double as temperature, case b when 0 then 'A' when 1 then 'B' else 'C' end as catalyst, c::double as time
-from (select unnest([0, 1]) as a), (select unnest([0, 1, 2]) as b), (select unnest([1, 2, 3]) as c)""")
+@query("r_full_factorial", """select row_number() over (order by l_returnflag, l_linestatus, l_linenumber) as run, l_returnflag, l_linestatus, l_linenumber
+from (select distinct l_returnflag from lineitem where l_returnflag is not null), (select distinct l_linestatus from lineitem where l_linestatus is not null), (select distinct l_linenumber from lineitem where l_linenumber is not null)""")
 def _(spark, d):
-    return doe.full_factorial(spark, {"temperature": [10.0, 20.0], "catalyst": ["A", "B", "C"], "time": [1.0, 2.0, 3.0]})
+    return doe.factorial_of(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"])
 
 
-@query("r_central_composite", f"""with c as (select row_number() over (order by a, b)::bigint as run, a::double as x1, b::double as x2 from (select unnest([-1, 1]) as a), (select unnest([-1, 1]) as b)), k as (select sqrt((sqrt(4 * 6) - 4) / 2) as k)
-select run, {r('x1')} as x1, {r('x2')} as x2 from (select * from c union all select 5, k, 0 from k union all select 6, -k, 0 from k union all select 7, 0, k from k union all select 8, 0, -k from k union all select unnest([9, 10, 11]), 0, 0)""")
+def _groups_sql(coded: str, source: str, by: str, factors: list[str], digits: int = 4) -> str:
+    """A coded design (run, x1, x2, ...) on every group's own ranges."""
+    ranges = ", ".join(f"min({c})::double as l{i}, max({c})::double as h{i}" for i, c in enumerate(factors))
+    return f"with d as ({coded}), g as (select {by}, {ranges} from {source} group by {by}) select {by}, run, " + ", ".join(r(f"l{i} + (x{i + 1} + 1) * (h{i} - l{i}) / 2", digits) + f" as {c}" for i, c in enumerate(factors)) + " from g, d"
+
+
+_COMPOSITE = """with c as (select row_number() over (order by a, b)::bigint as run, a::double as x1, b::double as x2 from (select unnest([-1, 1]) as a), (select unnest([-1, 1]) as b)), k as (select sqrt((sqrt(4 * 6) - 4) / 2) as k)
+select run, x1, x2 from (select * from c union all select 5, k, 0 from k union all select 6, -k, 0 from k union all select 7, 0, k from k union all select 8, 0, -k from k union all select unnest([9, 10, 11]), 0, 0)"""
+_PART_FACTORS = ["p_size", "p_retailprice"]
+
+
+@query("r_central_composite", _groups_sql(_COMPOSITE, "part", "p_brand", _PART_FACTORS))
 def _(spark, d):
-    return rounded(doe.central_composite(spark, 2))
+    return rounded(doe.over_groups(doe.central_composite(spark, 2), ["x1", "x2"], table(spark, d, "part"), ["p_brand"], _PART_FACTORS), 4)
 
 
 #: The published eight-run design.
 _PB8 = ["+--+-++", "++--+-+", "+++--+-", "-+++--+", "+-+++--", "-+-+++-", "--+-+++", "-------"]
 
 
-@query("r_plackett_burman", "select run::bigint as run, " + ", ".join(f"case substr(t, {i}, 1) when '+' then 1.0::double else -1.0::double end as x{i}" for i in range(1, 8)) + " from (values " + ", ".join(f"({i + 1}, '{t}')" for i, t in enumerate(_PB8)) + ") as d(run, t)")
+@query("r_plackett_burman", _groups_sql("select run::bigint as run, " + ", ".join(f"case substr(t, {i}, 1) when '+' then 1.0::double else -1.0::double end as x{i}" for i in range(1, 8)) + " from (values " + ", ".join(f"({i + 1}, '{t}')" for i, t in enumerate(_PB8)) + ") as d(run, t)", "lineitem", "l_suppkey", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_orderkey"]))
 def _(spark, d):
-    return doe.plackett_burman(spark, 7)
+    factors = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_orderkey"]
+    return rounded(doe.over_groups(doe.plackett_burman(spark, 7), [f"x{i}" for i in range(1, 8)], table(spark, d, "lineitem"), ["l_suppkey"], factors), 4)
 
 
-@query("r_half_fraction", "select (1 + (a + 1) / 2 + (b + 1) + (c + 1) * 2)::bigint as run, a::double as x1, b::double as x2, c::double as x3, (a * b * c)::double as x4 from (select unnest([-1, 1]) as a), (select unnest([-1, 1]) as b), (select unnest([-1, 1]) as c)")
+@query("r_half_fraction", _groups_sql("select (1 + (a + 1) / 2 + (b + 1) + (c + 1) * 2)::bigint as run, a::double as x1, b::double as x2, c::double as x3, (a * b * c)::double as x4 from (select unnest([-1, 1]) as a), (select unnest([-1, 1]) as b), (select unnest([-1, 1]) as c)", "lineitem", "l_suppkey", V))
 def _(spark, d):
-    return doe.fractional_factorial(spark, 4)
+    return rounded(doe.over_groups(doe.fractional_factorial(spark, 4), [f"x{i}" for i in range(1, 5)], table(spark, d, "lineitem"), ["l_suppkey"], V), 4)
 
 
-@query("r_point_types", """with l as (select unnest([-1, -0.5, 0, 1])::double as v), d as (select row_number() over (order by a.v, b.v, c.v)::bigint as run, a.v as x1, b.v as x2, c.v as x3 from l a, l b, l c),
-n as (select *, len(list_filter([x1, x2, x3], lambda v: abs(v) = 1)) as ones, len(list_filter([x1, x2, x3], lambda v: v = 0)) as zeros from d)
-select run, x1, x2, x3, case when zeros = 3 then 'center' when ones = 3 then 'corner' when ones = 1 and zeros = 2 then 'axial' when ones > 0 and zeros > 0 then 'edge' else 'interior' end as point_type from n""")
+@query("r_point_types", f"""with s as (select min(l_discount) as a, max(l_discount) as b, min(l_tax) as c, max(l_tax) as e, min(l_quantity) as f, max(l_quantity) as g from lineitem),
+d as (select l_orderkey, l_linenumber, [2 * (l_discount - a) / (b - a) - 1, 2 * (l_tax - c) / (e - c) - 1, 2 * (l_quantity - f) / (g - f) - 1] as x from lineitem, s),
+n as (select *, len(list_filter(x, lambda v: abs(abs(v) - 1) <= 0.1)) as ones, len(list_filter(x, lambda v: abs(v) <= 0.1)) as zeros from d)
+select l_orderkey, l_linenumber, case when zeros = 3 then 'center' when ones = 3 then 'corner' when ones = 1 and zeros = 2 then 'axial' when ones > 0 and zeros > 0 then 'edge' else 'interior' end as point_type from n""")
 def _(spark, d):
-    return doe.classified(doe.full_factorial(spark, {x: [-1.0, -0.5, 0.0, 1.0] for x in ("x1", "x2", "x3")}), ["x1", "x2", "x3"])
+    data = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity")
+    return doe.classified(data, ["l_discount", "l_tax", "l_quantity"], real=True).select("l_orderkey", "l_linenumber", "point_type")
 
 
-@query("r_grid", f"select (a * 5 + b)::bigint as id, {r('10 + a * 2.5')} as x1, {r('-1 + b * 0.5')} as x2 from (select unnest(range(5)) as a), (select unnest(range(5)) as b)")
+@query("r_grid", _groups_sql("select (a * 5 + b)::bigint as run, -1 + a * 0.5 as x1, -1 + b * 0.5 as x2 from (select unnest(range(5)) as a), (select unnest(range(5)) as b)", "part", "p_brand", _PART_FACTORS))
 def _(spark, d):
-    return rounded(doe.linspace_grid(spark, {"x1": (10.0, 20.0, 5), "x2": (-1.0, 1.0, 5)}))
+    grid = doe.linspace_grid(spark, {"x1": (-1.0, 1.0, 5), "x2": (-1.0, 1.0, 5)}).withColumnRenamed("id", "run")
+    return rounded(doe.over_groups(grid, ["x1", "x2"], table(spark, d, "part"), ["p_brand"], _PART_FACTORS), 4)
 
 
 # S: surfaces
@@ -1039,9 +1053,11 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", *[e.alias(n) for n, e in encode.dummies_but_last("o_orderstatus", ["F", "O", "P"]).items()])
 
 
-@query("i_coding_table", "select * from (values ('x1', 10.0::double, 30.0::double, 20.0::double, 10.0::double, -1.0::double, 1.0::double), ('x2', -2.0, 3.0, 0.5, 2.5, -1.0, 1.0)) t(variable, real_min, real_max, real_center, real_range, coded_min, coded_max)")
+@query("i_coding_table", union([f"select '{c}' as variable, min({c})::double as real_min, max({c})::double as real_max, {r(f'(min({c}) + max({c})) / 2', 6)} as real_center, {r(f'(max({c}) - min({c})) / 2', 6)} as real_range, -1.0::double as coded_min, 1.0::double as coded_max from lineitem" for c in V]))
 def _(spark, d):
-    return encode.coding_table(spark, {"x1": (10.0, 30.0), "x2": (-2.0, 3.0)})
+    data = table(spark, d, "lineitem")
+    ends = data.agg(*[f(c) for c in V for f in (F.min, F.max)]).first()
+    return rounded(encode.coding_table(spark, {c: (ends[2 * i], ends[2 * i + 1]) for i, c in enumerate(V)}))
 
 
 _COLOURS = list(scalars.NAMED_COLOURS)
