@@ -663,10 +663,28 @@ def _(spark, d):
     return rounded(multi.comparison(data, multi.fit_all(data, ["l_extendedprice", "l_discount"], ["Intercept", "l_quantity"])), 4)
 
 
-@query("t_summaries")
+def _plane_of(y: str, a: str, b: str, source: str) -> str:
+    """A response's regression on two terms: one row with its sums (n, my, ma, mb, ...), slopes p and q, residual deviation s and degrees of freedom v."""
+    return f"""select *, (bb * ay - ab * by_) / det as p, (aa * by_ - ab * ay) / det as q, sqrt(greatest(n * (yy - (bb * ay - ab * by_) / det * ay - (aa * by_ - ab * ay) / det * by_), 0) / (n - 3)) as s, n - 3 as v from (
+select *, aa * bb - ab * ab as det from (select count(*)::double as n, avg({y}) as my, avg({a}) as ma, avg({b}) as mb, var_pop({y}) as yy, var_pop({a}) as aa, var_pop({b}) as bb, covar_pop({a}, {b}) as ab, covar_pop({a}, {y}) as ay, covar_pop({b}, {y}) as by_ from {source}))"""
+
+
+def _leverage(x: str, y: str) -> str:
+    return f"((1 + (bb * ({x} - ma) * ({x} - ma) - 2 * ab * ({x} - ma) * ({y} - mb) + aa * ({y} - mb) * ({y} - mb)) / det) / n)"
+
+
+_CODED = "(select 2 * (l_quantity - 1) / 49.0::double - 1 as q, 2 * l_tax / 0.08::double - 1 as t, l_extendedprice as price, l_discount from lineitem)"
+_CELLS2 = union([f"select '{y}' as response, ix, iy, -1 + ix * 0.1 as x, -1 + iy * 0.1 as y, my + p * (-1 + ix * 0.1 - ma) + q * (-1 + iy * 0.1 - mb) as z, {_T975} * s * sqrt{_leverage('(-1 + ix * 0.1)', '(-1 + iy * 0.1)')} as ci from ({_plane_of(y, 'q', 't', _CODED)}), (select unnest(range(21)) as ix), (select unnest(range(21)) as iy)" for y in ("price", "l_discount")])
+_MEETS = "case when response = 'price' then z - ci >= 30000 else z + ci <= 0.06 end"
+
+
+@query("t_summaries", union([f"""select '{y}' as response, {r('1 - s * s / (yy * n / (n - 1))', 8)} as r2_adjusted, {r('s', 5)} as rmse, v::bigint as dof, {r('1 - press / (yy * n / (n - 1) * n)', 7)} as q2, {r('sqrt(press / n)', 5)} as rmsecv, 'ok' as status from (
+select any_value(s) as s, any_value(v) as v, any_value(n) as n, any_value(yy) as yy, sum(pow((y - my - p * (a - ma) - q * (b - mb)) / (1 - {_leverage('a', 'b')}), 2)) as press from (select {y} as y, l_quantity as a, l_quantity * l_quantity as b from lineitem), ({_plane_of(y, 'l_quantity', 'l_quantity * l_quantity', 'lineitem')}))""" for y in ("l_extendedprice", "l_discount", "l_tax")]))
 def _(spark, d):
     data = table(spark, d, "lineitem")
-    return multi.summaries(data, multi.fit_all(data, ["l_extendedprice", "l_discount", "l_tax"], ["Intercept", "l_quantity", "l_quantity^2"]))
+    found = multi.summaries(data, multi.fit_all(data, ["l_extendedprice", "l_discount", "l_tax"], ["Intercept", "l_quantity", "l_quantity^2"]))
+    digits = {"r2_adjusted": 8, "q2": 7}
+    return found.select("response", *[(F.round(c, digits.get(c, 5)) + 0.0).alias(c) if c not in ("dof", "status") else F.col(c) for c in ("r2_adjusted", "rmse", "dof", "q2", "rmsecv", "status")])
 
 
 @query("t_weighted_objective", f"select p_partkey, {r('0.7 * (1 - (p_size - min(p_size) over ()) / (max(p_size) over () - min(p_size) over ())::double) + 0.3 * (p_retailprice - min(p_retailprice) over ()) / (max(p_retailprice) over () - min(p_retailprice) over ())')} as objective from part")
@@ -758,24 +776,24 @@ def _(spark, d):
     return rounded(surface.optimum(surface.surface(spark, models["price"], "q", "t", {}, steps=20)).select("ix", "iy", "z"), 3)
 
 
-@query("s_feasible_region")
+@query("s_feasible_region", f"select ix::int as ix, iy::int as iy, {r('any_value(x)')} as x, {r('any_value(y)')} as y, bool_and({_MEETS}) as feasible from ({_CELLS2}) group by ix, iy")
 def _(spark, d):
     _, models = _surfaces(spark, d)
     both = surface.surfaces(spark, models, "q", "t", {}, steps=20)
-    return surface.feasible(both, {"price": ("Threshold_Above", 30000.0, 0.0), "l_discount": ("Threshold_Below", 0.0, 0.06)})
+    return rounded(surface.feasible(both, {"price": ("Threshold_Above", 30000.0, 0.0), "l_discount": ("Threshold_Below", 0.0, 0.06)}))
 
 
-@query("s_bounds")
+@query("s_bounds", f"select response, {r('min(z)', 4)} as z_min, {r('max(z)', 4)} as z_max, {r('max(z) - min(z)', 4)} as z_range, {r('min(ci)', 4)} as ci_min, {r('max(ci)', 4)} as ci_max from ({_CELLS2}) group by response")
 def _(spark, d):
     _, models = _surfaces(spark, d)
-    return surface.bounds(surface.surfaces(spark, models, "q", "t", {}, steps=20), ["response"])
+    return rounded(surface.bounds(surface.surfaces(spark, models, "q", "t", {}, steps=20), ["response"]), 4)
 
 
-@query("s_overlay")
+@query("s_overlay", f"select ix::int as ix, iy::int as iy, {r('any_value(x)')} as x, {r('any_value(y)')} as y, count(*) filter ({_MEETS}) as met, count(*) as of, min(case when not ({_MEETS}) then response end) as failing from ({_CELLS2}) group by ix, iy")
 def _(spark, d):
     _, models = _surfaces(spark, d)
     both = surface.surfaces(spark, models, "q", "t", {}, steps=20)
-    return surface.overlay(both, {"price": ("Threshold_Above", 30000.0, 0.0), "l_discount": ("Threshold_Below", 0.0, 0.06)})
+    return rounded(surface.overlay(both, {"price": ("Threshold_Above", 30000.0, 0.0), "l_discount": ("Threshold_Below", 0.0, 0.06)}))
 
 
 _BLOCK = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -1004,10 +1022,10 @@ def _(spark, d):
     return rounded(points.select("p_partkey", "l_quantity", F.col("l_extendedprice_predicted").alias("predicted"), (F.col("l_extendedprice_ci_semiwidth") / t).alias("std_error")), 3)
 
 
-@query("t_target_share")
+@query("t_target_share", f"select count(*) as n, count(*) filter (z - ci >= 52500 and z + ci <= 53700) as n_inside, {r('100.0 * count(*) filter (z - ci >= 52500 and z + ci <= 53700) / count(*)')} as percent from ({_CELLS2}) where response = 'price'")
 def _(spark, d):
     _, models = _surfaces(spark, d)
-    return surface.target_share(surface.surface(spark, models["price"], "q", "t", {}, steps=20), 52500.0, 53700.0)
+    return rounded(surface.target_share(surface.surface(spark, models["price"], "q", "t", {}, steps=20), 52500.0, 53700.0))
 
 
 @query("t_interpretation", f"""{_S}, g as (select 'price' as response, ix, iy, -1 + ix * 0.1 as x, -1 + iy * 0.1 as y, my + bq * (-1 + ix * 0.1 - mq) + bt * (-1 + iy * 0.1 - mt) as z from b, (select unnest(range(21)) as ix), (select unnest(range(21)) as iy))
