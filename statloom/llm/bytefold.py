@@ -29,7 +29,7 @@ BUCKETS = 1 << 13
 #: Longer words, in bytes, are merged through a heap by the worker that cuts them, as a fold copies the whole word at each step.
 LONG_WORD = 256
 #: Characters of a block of texts, and its rows at most: what is put together at once.
-BLOCK_CHARS, BLOCK_ROWS = 4_000_000, 4096
+BLOCK_CHARS, BLOCK_ROWS = 8_000_000, 8192
 #: No rank, and the mark of a pair that has been joined.
 NONE, GONE = 2**31 - 1, -1
 # Letters and numbers that Unicode has had since version 14, up to version 16; a JVM may know fewer.
@@ -126,6 +126,22 @@ def fold_words(words: DataFrame, path: str, word: str = "word") -> DataFrame:
     return words.withColumn("ids", with_table(table, "int", lambda rank: fold_word(F.col(word), rank)))
 
 
+#: Bytes of an id on its way to the blocks.
+ID_BYTES = 3
+
+
+def packed_ids(ids: str) -> Column:
+    """Ids one after the other, each in ID_BYTES bytes, the highest first."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 2 * ID_BYTES, "0")), ""))
+
+
+def unpacked_ids(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of many words, one word after the other, and where each begins and the last ends."""
+    size = np.array([len(x) for x in packed.to_pylist()], np.int64) // ID_BYTES
+    raw = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(-1, ID_BYTES).astype(np.int32)
+    return raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2], np.r_[0, np.cumsum(size)]
+
+
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of a long word, pair by pair through a heap over a linked list of its parts."""
     if word in ranks:
@@ -150,10 +166,13 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch], list[bytes]]]:
-    """Blocks of a task's (key, text) rows, however they come in batches, with a number made of what they hold; nulls are empty texts."""
+    """Blocks of a task's (key, text) rows, however they come in batches, with a number made of what they hold; nulls are empty texts.
+
+    Blocks of one number share their words, which does no harm.
+    """
 
     def numbered(rows: list[pa.RecordBatch], texts: list[bytes]) -> tuple[int, list[pa.RecordBatch], list[bytes]]:
-        digest = hashlib.blake2b(digest_size=8)
+        digest = hashlib.blake2b(digest_size=4)
         for t in texts:
             digest.update(len(t).to_bytes(8, "little") + t)
         return int.from_bytes(digest.digest(), "little", signed=True), rows, texts
@@ -173,17 +192,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Re
         yield numbered(rows, texts)
 
 
-def block_words(docs: DataFrame) -> DataFrame:
-    """Rows (block, word): the distinct words of each block of texts, without the long ones. Rows in: key, text."""
+def block_words(docs: DataFrame, path: str) -> DataFrame:
+    """Rows (block, word): the distinct words of each block of texts, without the long ones and those that are tokens. Rows in: key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = rank_of(path)
         for block, _, texts in _blocks(batches):
-            words = [w for w in dict.fromkeys(words_of(texts)[0]) if len(w) <= LONG_WORD]
+            words = [w for w in dict.fromkeys(words_of(texts)[0]) if len(w) <= LONG_WORD and w not in ranks]
             for i in range(0, len(words), 20_000):
                 part = pa.array(words[i : i + 20_000], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), part], names=["block", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), part], names=["block", "word"])
 
-    return docs.mapInArrow(run, "block bigint, word binary")
+    return docs.mapInArrow(run, "block int, word binary")
 
 
 def packed_blocks(docs: DataFrame) -> DataFrame:
@@ -195,9 +215,9 @@ def packed_blocks(docs: DataFrame) -> DataFrame:
             with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 for part in rows:
                     out.write_batch(part)
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "body"])
 
-    return docs.mapInArrow(run, "block bigint, body binary")
+    return docs.mapInArrow(run, "block int, body binary")
 
 
 OUTPUTS = {"n_tokens": "bigint", "ids": "array<int>", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
@@ -208,7 +228,7 @@ def fold_documents(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids
 
     Rows: key and the asked ``OUTPUTS``: n_tokens, ids, decoded (bytes), ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_sha256. A null
     text counts as empty and has no ids; repeated rows stay; an empty table gives no rows; other columns are not carried.
-    The file must rank every single byte. A word is its bytes, whatever it is; words beyond LONG_WORD bytes are merged through a heap.
+    The file must rank every single byte. A word that is a token is that one; words beyond LONG_WORD bytes are merged through a heap.
 
     Each task emits the distinct words of its blocks of texts, of at most BLOCK_CHARS bytes (or one text) each; distinct words are folded once; two joins
     bring their ids to the blocks that have them. So rows that move grow with the blocks' distinct words, and texts move once, compressed, to meet their words.
@@ -217,27 +237,29 @@ def fold_documents(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids
     path = path or default_path()
     body = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     with small_batches(docs.sparkSession):
-        pairs = written(block_words(body), "block-words")
+        pairs = written(block_words(body, path), "block-words")
         tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # folding is work by the word, so few bytes are not few tasks
-        vocabulary = written(fold_words(pairs.select("word").repartition(tasks, "word").distinct(), path), "vocabulary")
+        folded = fold_words(pairs.select("word").repartition(tasks, "word").distinct(), path)
+        vocabulary = written(folded.select("word", packed_ids("ids").alias("ids")), "vocabulary")
         known = written(pairs.join(vocabulary, "word").select("block", "ids"), "block-ids")
         discard(pairs, vocabulary)
     kind = dict(docs.dtypes)[key]
 
     def put_together(bodies: pa.Table, words: pa.Table) -> pa.Table:
-        pieces = token_bytes(path)
-        lists = words.column("ids").combine_chunks()
-        ends = np.r_[0, np.cumsum(np.asarray(lists.value_lengths(), np.int64))] if len(lists) else np.zeros(1, np.int64)
-        flat = np.asarray(lists.flatten(), np.int32) if len(lists) else np.zeros(0, np.int32)
+        pieces, ranks = token_bytes(path), rank_of(path)
+        flat, ends = unpacked_ids(words.column("ids"))
         spelled, at = [pieces[i] for i in flat.tolist()], ends.tolist()
         place = {b"".join(spelled[a:b]): k for k, (a, b) in enumerate(zip(at, at[1:]))}
         made: list[pa.Table] = []
         for packed in bodies.column("body").to_pylist():
             rows = pa.ipc.open_stream(packed).read_all()
             found, count = words_of([t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()])
-            for w in {w for w in found if w not in place}:  # long words; and any, should another split of the input have made other blocks
-                ids = merge_long(w, rank_of(path))
-                place[w], flat, ends = len(ends) - 1, np.r_[flat, np.array(ids, np.int32)], np.r_[ends, len(flat) + len(ids)]
+            # Tokens, long words; and any, should another split of the input have made other blocks.
+            others = {w: merge_long(w, ranks) for w in dict.fromkeys(found) if w not in place}
+            sizes = np.fromiter(map(len, others.values()), np.int64, len(others))
+            place |= {w: len(ends) - 1 + k for k, w in enumerate(others)}
+            flat = np.r_[flat, np.array([i for x in others.values() for i in x], np.int32)]
+            ends = np.r_[ends, ends[-1] + np.cumsum(sizes)]
             which = np.array([place[w] for w in found], np.int64)
             n = ends[which + 1] - ends[which]
             total = np.r_[0, np.cumsum(n)]
