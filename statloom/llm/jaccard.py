@@ -29,14 +29,15 @@ from pyspark.sql import functions as F
 
 from statloom.llm.common import components, discard, small_batches, written
 from statloom.llm.shingles import mix, shingle_sets
-from statloom.llm.tokens import text_blocks
 
 #: Sets and n-grams of a block of rows: what a task holds at once. Their number only sets how many blocks there are.
 BLOCK_SETS, BLOCK_GRAMS = 512, 500_000
 #: Columns multiplied at once, and the sets up to which a column is added pair by pair instead.
 BLOCK_COLUMNS, LIGHT = 2048, 16
 #: Texts in the sample that tells common n-grams, and the share of them that have such a one.
-SAMPLE, COMMON = 40_000, 0.0005
+SAMPLE, COMMON = 10_000, 0.001
+#: Characters of the texts whose sets are made at once.
+TEXT_CHARS = 300_000
 NAME = "decimal(38,0)"
 
 
@@ -125,11 +126,15 @@ def _over_texts(rows: DataFrame, n: int, text: str, schema: str, made) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = 0
-            for _, body in text_blocks(batch.column(at), batch.column(at)):
-                part = batch.slice(first, len(body))
-                first += len(body)
-                yield from made({c: part.column(c) for c in part.schema.names}, *shingle_sets(body, n))
+            texts, i = [t or "" for t in batch.column(at).to_pylist()], 0
+            while i < len(texts):
+                j, chars = i, 0
+                while j < len(texts) and (j == i or chars + len(texts[j]) <= TEXT_CHARS):
+                    chars += len(texts[j])
+                    j += 1
+                part = batch.slice(i, j - i)
+                yield from made({c: part.column(c) for c in part.schema.names}, *shingle_sets(texts[i:j], n))
+                i = j
 
     return rows.mapInArrow(run, schema)
 
