@@ -6,7 +6,8 @@ nodes of the Cartesian tree over the hashes whose span is that wide; their roots
 window of that length, so the tree is built over these positions alone. Windows of two texts with one least hash group passages
 that share this signature. Each window meets the first window of its group; windows of one pair of texts are joined by
 overlap across the hash functions, and stretches that enough functions share are compared shingle by shingle.
-Windows that the first of their group leaves without a word-for-word repeat are grouped again by all their shingles.
+Windows that the first of their group leaves without a word-for-word repeat are grouped again by all their shingles, and by signatures of several
+least hashes at once, which separate what shares only a frequent shingle.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from statloom.llm.tokens import text_blocks
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 #: Hash functions, and how many of them must group two stretches before they are compared.
 HASHES, HASHES_NEEDED = 4, 1
+#: Signatures by which windows that meet nothing near meet again, and the least hashes that make one.
+BANDS, BAND_HASHES = 8, 4
 
 
 def compact_windows(value: np.ndarray, ends: np.ndarray, least: int, function: int) -> tuple[np.ndarray, ...]:
@@ -101,6 +104,22 @@ def window_hashes(value: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+def band_signatures(value: np.ndarray, least: int, bands: int = BANDS, depth: int = BAND_HASHES) -> np.ndarray:
+    """For each band and each run of ``least`` tokens one hash of the run's least hashes under ``depth`` functions."""
+    n = max(len(value) - least + 1, 0)
+    out = np.zeros((bands, n), np.uint64)
+    for band in range(bands if n else 0):
+        for k in range(depth):
+            m, width = mix(value.view(np.uint64) ^ mix(np.array([1000 + band * depth + k], np.uint64))[0]), 1
+            while 2 * width <= least:
+                m = np.minimum(m[:-width], m[width:])
+                width *= 2
+            if width < least:
+                m = np.minimum(m[:n], m[least - width : n + least - width])
+            out[band] = mix(out[band] + m)
+    return out
+
+
 def worth_comparing(g: np.ndarray, g_ends: np.ndarray, s: np.ndarray, s_ends: np.ndarray, least: int, similarity: float) -> np.ndarray:
     """Which of many pairs of stretches (shingles one after the other) can hold similar ones: those with enough common shingles, or with repeated ones."""
     of_g, of_s = (np.repeat(np.arange(len(e) - 1), np.diff(e)) for e in (g_ends, s_ends))
@@ -214,43 +233,86 @@ def shared_stretches(g: np.ndarray, s: np.ndarray, shingle: int, least: int, sim
     return out
 
 
-def exact_again(body: DataFrame, members: DataFrame, exact: DataFrame, shingle: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Word-for-word repeats among the members of the groups that their lead leaves unmatched: rows as of the passages, and the table that they are read from.
+def _starts(spans: list[dict] | None, n: int) -> np.ndarray:
+    """Which of ``n`` positions lie in one of the spans (low, high)."""
+    edge = np.zeros(n + 1, np.int64)
+    for span in spans or []:
+        if span["high"] >= span["low"]:
+            edge[min(span["low"], n)] += 1
+            edge[min(span["high"] + 1, n)] -= 1
+    return np.cumsum(edge)[:n] > 0
+
+
+def unmatched_windows(body: DataFrame, members: DataFrame, spans: DataFrame, shingle: int, least: int) -> DataFrame:
+    """Rows (band, window, doc, at, open) of the windows of ``least`` shingles that may meet again: band 0 has hashes of whole
+    windows, the bands from 1 on have signatures, one row for a run of equal ones. ``open``: no passage that was found holds the window.
 
-    body: (of, text). members: (doc, begins), the first shingles of the windows of ``least`` shingles whose least hash, under the first function, put
-    the row into a group; all but each group's lead row. exact: (doc, start_word, stop_word), what repeats the leads word for word.
+    body: (of, text). members: (doc, begins, bit), the first shingles of the windows whose least hash, under the function of ``bit``, put the row
+    into a group of more than two; all but each group's lead row. spans: (doc, start_word, stop_word, exact), what was found so far.
 
-    Windows that are equal have one least hash, so they are in one group. If its lead row has the window, all others are in
-    ``exact``; else the first text that has it is here, as it repeats nothing earlier, and so is each other that is not in ``exact``.
+    Windows that repeat a lead word for word are left out of all bands: the text they repeat stands for them. Others are in
+    the bands from 1 on even where a passage holds them, as they may lead texts that nothing else is near.
     """
     words = least + shingle - 1
-    todo = members.groupBy("doc").agg(F.collect_set("begins").alias("begins"))
-    done = exact.groupBy("doc").agg(F.collect_set(F.struct(F.col("start_word").alias("low"), (F.col("stop_word") - words).alias("high"))).alias("done"))
-    asked = body.withColumnRenamed("of", "doc").join(todo.join(done, "doc", "left"), "doc").select("doc", "text", "begins", "done")
+    todo = members.groupBy("doc").agg(F.collect_set(F.when(F.col("bit") == 1, F.col("begins"))).alias("begins"), F.collect_set("begins").alias("wider"))
+    span = F.struct(F.col("start_word").alias("low"), (F.col("stop_word") - words).alias("high"))
+    done = spans.groupBy("doc").agg(F.collect_set(F.when(F.col("exact"), span)).alias("done"), F.collect_set(span).alias("held"))
+    asked = body.withColumnRenamed("of", "doc").join(todo.join(done, "doc", "left"), "doc").select("doc", "text", "begins", "wider", "done", "held")
+    names = ["band", "window", "doc", "at", "open"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                doc, text, begins, done = (batch.column(j)[i].as_py() for j in range(4))
-                n = max(b["high"] for b in begins) + 1
-                edge = np.zeros(n + 1, np.int64)
-                np.add.at(edge, np.array([b["low"] for b in begins]), 1)
-                np.add.at(edge, np.array([b["high"] + 1 for b in begins]), -1)
-                need = np.cumsum(edge)[:n] > 0
-                for b in done or []:
-                    need[b["low"] : b["high"] + 1] = False
-                if not need.any():
+                doc, text, begins, wider, done, held = (batch.column(j)[i].as_py() for j in range(6))
+                n = max(b["high"] for b in wider) + 1
+                fresh, is_open = ~_starts(done, n), ~_starts(held, n)
+                whole, near = _starts(begins, n) & fresh, _starts(wider, n) & fresh
+                if not (whole.any() or near.any()):
                     continue
-                h = window_hashes(shingles([text], shingle)[0], least)
-                at = np.flatnonzero(need[: len(h)])
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), doc, np.int64)), pa.array(at)], names=["window", "doc", "at"])
-
-    left = written(asked.mapInArrow(run, "window bigint, doc bigint, at bigint"), "unmatched")
+                value = shingles([text], shingle)[0]
+                room = max(len(value) - least + 1, 0)  # rows of one key may have other texts
+                fresh, is_open, whole, near = fresh[:room], is_open[:room], whole[:room], near[:room]
+                found = []
+                at = np.flatnonzero(whole)
+                if len(at):
+                    found.append((0, window_hashes(value, least)[at], at))
+                edge = np.flatnonzero(np.diff(np.r_[False, near, False].astype(np.int8)))
+                for low, high in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                    for band, h in enumerate(band_signatures(value[low : high + least - 1], least), 1):
+                        new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (is_open[low + 1 : high] != is_open[low : high - 1])])
+                        found.append((band, h[new], low + new))
+                for band, h, at in found:
+                    columns = [np.full(len(at), band, np.int32), h.view(np.int64), np.full(len(at), doc, np.int64), at, is_open[at]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return asked.mapInArrow(run, "band int, window bigint, doc bigint, at bigint, open boolean")
+
+
+def exact_again(left: DataFrame, shingle: int, least: int) -> DataFrame:
+    """Word-for-word repeats among unmatched windows, rows as of the passages.
+
+    Windows that are equal have one least hash, so they are in one group. If its lead row has the window, all others are
+    found already; else the first text that has it is here, as it repeats nothing earlier, and so is each other.
+    """
+    words = least + shingle - 1
+    left = left.where("band = 0").select("window", "doc", "at")
     first = left.groupBy("window").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source <> last").drop("last")
     met = left.join(first, "window").where("doc <> source").select("doc", "source", "at").distinct()
     met = met.withColumn("run", F.expr("at - row_number() over (partition by doc, source order by at)"))
     runs = met.groupBy("doc", "source", "run").agg(F.min("at").alias("start_word"), (F.max("at") + words).alias("stop_word"))
-    return runs.select("doc", "start_word", "stop_word", "source", F.lit(1.0).alias("likeness")), left
+    return runs.select("doc", "start_word", "stop_word", "source", F.lit(1.0).alias("likeness"))
+
+
+def near_again(left: DataFrame, least: int) -> DataFrame:
+    """Pairs of stretches (doc, source, a, b, sa, sb, bit) of open windows and the first window that shares a band's signature.
+
+    A signature takes several hashes to agree, so windows that share only a frequent shingle are apart here.
+    """
+    left = left.where("band > 0")
+    groups = left.groupBy("band", "window").agg(F.min(F.struct("doc", "at")).alias("lead"), F.max("doc").alias("last"), F.bool_or("open").alias("any"))
+    groups = groups.where("any and lead.doc <> last").select("band", "window", F.col("lead.doc").alias("source"), F.col("lead.at").alias("sa"))
+    met = left.where("open").join(groups, ["band", "window"]).where("doc <> source")
+    return met.selectExpr("doc", "source", "at as a", f"at + {least - 1} as b", "sa", f"sa + {least - 1} as sb", "1L as bit").distinct()
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, shingle: int = SHINGLE, hashes: int = HASHES, needed: int = HASHES_NEEDED, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,7 +325,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
 
     Every window meets one other, the first of its group, so the pairs grow with the text and not with the square of a group.
     What that leaves unmatched meets again by hashes of whole windows (``exact_again``), so no word-for-word repeat is lost if
-    ``needed`` is 1; a near copy is found only if a first window of one of its groups is in a passage that it is near.
+    ``needed`` is 1, and by signatures of several least hashes (``near_again``), so that near copies whose shingles are
+    frequent elsewhere are found too, with a probability that the tests measure.
     Groups are found by an aggregation with map-side combine, joined back by an equi-join that AQE may split.
     """
     with small_batches(docs.sparkSession):
@@ -287,18 +350,12 @@ def group_members(docs: DataFrame, key: str, text: str, shingle: int, least: int
     return members
 
 
-def _repeated(docs: DataFrame, min_words: int, similarity: float, shingle: int, hashes: int, needed: int, key: str, text: str) -> tuple[DataFrame, list[DataFrame]]:
-    """The passages, and the tables to discard when they are written."""
-    least = min_words - shingle + 1
-    same = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), F.octet_length(text).alias("n"))
-    twins = written(same.groupBy("h1", "h2", "n").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source <> last").drop("last"), "texts")
-    twins = written(same.join(twins, ["h1", "h2", "n"]).where("doc <> source").select("doc", "source").distinct(), "twins")
-    every = group_members(docs, key, text, shingle, least, hashes)
-    group = every.join(twins.select("doc"), "doc", "left_anti")
-    near = group.withColumns({"low": F.least("before", "source_before"), "high": F.least("after", "source_after"), "bit": F.expr("1L << cast(sig & 7 as int)")})
-    begins = F.struct(F.greatest(F.col("at") - F.col("before"), F.col("at") - (least - 1)).alias("low"), F.least(F.col("at") + F.col("after") - (least - 1), F.col("at")).alias("high"))
-    members = near.where("bit = 1 and windows > 2").select("doc", begins.alias("begins"))
-    near = near.where("doc <> source").selectExpr("doc", "source", "at - low as a", "at + high as b", "source_at - low as sa", "source_at + high as sb", "bit")
+def compared(body: DataFrame, near: DataFrame, similarity: float, shingle: int, least: int, needed: int) -> DataFrame:
+    """Passages that the pairs of stretches in ``near`` (doc, source, a, b, sa, sb, bit: first and last shingle in either text) hold, as a written table.
+
+    Pairs of two texts that overlap are one stretch, which is compared if ``needed`` bits are among its pairs. kind: 0 near, 1 word for word, 2 word for
+    word within one of kind 0.
+    """
     order = "partition by doc, source order by a, b, sa, sb, bit"
     near = near.withColumn("new", F.expr(f"case when a > max(b) over ({order} rows between unbounded preceding and 1 preceding) then 1 else 0 end"))
     near = near.withColumn("stretch", F.expr(f"sum(new) over ({order} rows between unbounded preceding and current row)"))
@@ -306,7 +363,6 @@ def _repeated(docs: DataFrame, min_words: int, similarity: float, shingle: int,
     cand = written(cand.selectExpr("doc", "source", "stretch", f"greatest(a - {least}, 0) as a", f"b + {least} as b", f"greatest(sa - {least}, 0) as sa", f"sb + {least} as sb"), "stretches")
     own = cand.select("doc", "source", "stretch", "a", F.col("doc").alias("of"), F.col("a").alias("start"), F.col("b").alias("stop"), F.lit(0).alias("side"))
     other = cand.select("doc", "source", "stretch", "a", F.col("source").alias("of"), F.col("sa").alias("start"), F.col("sb").alias("stop"), F.lit(1).alias("side"))
-    body = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("of"), F.col(text).alias("text"))
     asked = body.join(own.unionByName(other), "of").select("text", "doc", "source", "stretch", "a", "side", "start", "stop")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,10 +394,28 @@ def _repeated(docs: DataFrame, min_words: int, similarity: float, shingle: int,
     at = ["doc", "source", "stretch", "a"]
     both = pieces.where("side = 0").select(*at, F.col("piece").alias("g")).join(pieces.where("side = 1").select(*at, F.col("piece").alias("s")), at)
     spans = both.select("doc", "source", "a", "g", "s").mapInArrow(compare, "doc bigint, start_word bigint, stop_word bigint, source bigint, likeness double, kind bigint")
-    spans_table = written(spans, "spans")
+    spans = written(spans, "spans")
     discard(pieces, cand)
-    again, left = exact_again(body, members, spans_table.where("kind > 0").select("doc", "start_word", "stop_word"), shingle, least)
-    spans = spans_table.where("kind < 2").drop("kind").unionByName(again)
+    return spans
+
+
+def _repeated(docs: DataFrame, min_words: int, similarity: float, shingle: int, hashes: int, needed: int, key: str, text: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The passages, and the tables to discard when they are written."""
+    least = min_words - shingle + 1
+    same = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), F.octet_length(text).alias("n"))
+    twins = written(same.groupBy("h1", "h2", "n").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source <> last").drop("last"), "texts")
+    twins = written(same.join(twins, ["h1", "h2", "n"]).where("doc <> source").select("doc", "source").distinct(), "twins")
+    every = group_members(docs, key, text, shingle, least, hashes)
+    group = every.join(twins.select("doc"), "doc", "left_anti")
+    near = group.withColumns({"low": F.least("before", "source_before"), "high": F.least("after", "source_after"), "bit": F.expr("1L << cast(sig & 7 as int)")})
+    begins = F.struct(F.greatest(F.col("at") - F.col("before"), F.col("at") - (least - 1)).alias("low"), F.least(F.col("at") + F.col("after") - (least - 1), F.col("at")).alias("high"))
+    members = near.where("windows > 2").select("doc", begins.alias("begins"), "bit")
+    near = near.where("doc <> source").selectExpr("doc", "source", "at - low as a", "at + high as b", "source_at - low as sa", "source_at + high as sb", "bit")
+    body = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("of"), F.col(text).alias("text"))
+    first = compared(body, near, similarity, shingle, least, needed)
+    left = written(unmatched_windows(body, members, first.selectExpr("doc", "start_word", "stop_word", "kind > 0 as exact"), shingle, least), "unmatched")
+    second = compared(body, near_again(left, least), similarity, shingle, least, 1)
+    spans = first.unionByName(second).where("kind < 2").drop("kind").unionByName(exact_again(left, shingle, least))
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,7 +424,7 @@ def _repeated(docs: DataFrame, min_words: int, similarity: float, shingle: int,
 
     copies = body.withColumnRenamed("of", "doc").join(twins, "doc").select("doc", "text", "source").mapInArrow(lengths, "doc bigint, stop_word bigint, source bigint").where(F.col("stop_word") >= min_words)
     whole = copies.select("doc", F.lit(0).cast("bigint").alias("start_word"), "stop_word", "source", F.lit(1.0).alias("likeness"))
-    return spans.unionByName(whole).distinct().withColumnRenamed("doc", key), [twins, every, spans_table, left]
+    return spans.unionByName(whole).distinct().withColumnRenamed("doc", key), [twins, every, first, second, left]
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

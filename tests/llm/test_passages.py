@@ -5,8 +5,9 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
-from statloom.llm.passages import compact_windows, repeated_passages, shared_stretches, window_hashes, without_passages
+from statloom.llm.passages import band_signatures, compact_windows, repeated_passages, shared_stretches, window_hashes, without_passages
 from statloom.llm.shingles import shingles, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -217,3 +218,39 @@ def test_pairs_that_one_function_groups_are_compared(spark):
             docs += [(len(docs), " ".join(p)), (len(docs) + 1, " ".join(c))]
     found = {(r.doc_id, r.source) for r in repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert found == {(i + 1, i) for i in range(0, 16, 2)}
+
+
+def test_band_signatures_are_of_the_window_alone():
+    rng = random.Random(10)
+    p = grams(text(rng, 60))
+    long = np.r_[grams(text(rng, 30)), p, grams(text(rng, 30))]
+    at = 26
+    assert (long[at : at + len(p)] == p).all()
+    for least in (1, 5, 46):
+        a, b = band_signatures(p, least), band_signatures(long, least)
+        assert a.shape == (8, len(p) - least + 1) and (b[:, at : at + a.shape[1]] == a).all()
+        assert len({int(x) for x in a[:, 0]}) == 8
+    assert band_signatures(p[:3], 46).shape == (8, 0)
+
+
+@pytest.mark.parametrize("pool", [40, 80, 200, 20000])
+def test_near_copies_of_formulaic_text_are_found(spark, pool):
+    rng = random.Random(pool)
+    stock = [text(rng, 8) for _ in range(pool)]
+    phrases = lambda n: [w for _ in range(n) for w in rng.choice(stock)]
+    docs, want = [(i, " ".join(phrases(25))) for i in range(600)], set()
+    for i in range(150):
+        p = phrases(8)[:60]
+        c = [*p[:30], f"changed{i}", *p[31:]]
+        docs += [(1000 + 2 * i, " ".join(text(rng, 40) + p + text(rng, 40))), (1001 + 2 * i, " ".join(text(rng, 40) + c + text(rng, 40)))]
+        if likeness(p, c) >= 0.8:
+            want.add((1001 + 2 * i, 1000 + 2 * i))
+    rows = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.source) for r in rows}
+    print(pool, len(want), len(want & found), len({d for d, _ in want} & {r.doc_id for r in rows}))
+    assert len(want) > 100 and len(want & found) >= 0.95 * len(want)
+
+
+def likeness(a, b):
+    a, b = set(grams(a).tolist()), set(grams(b).tolist())
+    return len(a & b) / len(a | b)
