@@ -104,20 +104,22 @@ def window_hashes(value: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def band_signatures(value: np.ndarray, least: int, bands: int = BANDS, depth: int = BAND_HASHES) -> np.ndarray:
-    """For each band and each run of ``least`` tokens one hash of the run's least hashes under ``depth`` functions."""
+def band_signatures(value: np.ndarray, least: int, bands: int = BANDS, depth: int = BAND_HASHES) -> Iterator[np.ndarray]:
+    """For each band one hash a run of ``least`` tokens: of the run's least hashes under ``depth`` functions."""
     n = max(len(value) - least + 1, 0)
-    out = np.zeros((bands, n), np.uint64)
-    for band in range(bands if n else 0):
-        for k in range(depth):
-            m, width = mix(value.view(np.uint64) ^ mix(np.array([1000 + band * depth + k], np.uint64))[0]), 1
+    value = mix(value.view(np.uint64))
+    seeds = mix(np.arange(1, 2 * bands * depth + 1, dtype=np.uint64)).reshape(bands, depth, 2)
+    for band in range(bands):
+        out = np.zeros(n, np.uint64)
+        for flip, factor in seeds[band] if n else ():
+            m, width = (value ^ flip) * (factor | np.uint64(1)), 1
             while 2 * width <= least:
                 m = np.minimum(m[:-width], m[width:])
                 width *= 2
             if width < least:
                 m = np.minimum(m[:n], m[least - width : n + least - width])
-            out[band] = mix(out[band] + m)
-    return out
+            out = out * np.uint64(0x9E3779B97F4A7C15) + m
+        yield mix(out)
 
 
 def worth_comparing(g: np.ndarray, g_ends: np.ndarray, s: np.ndarray, s_ends: np.ndarray, least: int, similarity: float) -> np.ndarray:
@@ -233,14 +235,14 @@ def shared_stretches(g: np.ndarray, s: np.ndarray, shingle: int, least: int, sim
     return out
 
 
-def _starts(spans: list[dict] | None, n: int) -> np.ndarray:
-    """Which of ``n`` positions lie in one of the spans (low, high)."""
-    edge = np.zeros(n + 1, np.int64)
-    for span in spans or []:
-        if span["high"] >= span["low"]:
-            edge[min(span["low"], n)] += 1
-            edge[min(span["high"] + 1, n)] -= 1
-    return np.cumsum(edge)[:n] > 0
+def _covered(spans: pa.ListArray, ends: np.ndarray) -> np.ndarray:
+    """Which positions of texts one after the other lie in one of their text's spans (low, high)."""
+    row = np.repeat(np.arange(len(spans)), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat = spans.flatten()
+    low, high = (flat.field(name).to_numpy(zero_copy_only=False) for name in ("low", "high"))
+    size = np.diff(ends)[row]
+    first, last = (ends[row] + np.minimum(x, size) for x in (low, np.maximum(high + 1, low)))
+    return np.cumsum(np.bincount(first, minlength=ends[-1] + 1) - np.bincount(last, minlength=ends[-1] + 1))[:-1] > 0
 
 
 def unmatched_windows(body: DataFrame, members: DataFrame, spans: DataFrame, shingle: int, least: int) -> DataFrame:
@@ -262,28 +264,34 @@ def unmatched_windows(body: DataFrame, members: DataFrame, spans: DataFrame, shi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                doc, text, begins, wider, done, held = (batch.column(j)[i].as_py() for j in range(6))
-                n = max(b["high"] for b in wider) + 1
-                fresh, is_open = ~_starts(done, n), ~_starts(held, n)
-                whole, near = _starts(begins, n) & fresh, _starts(wider, n) & fresh
-                if not (whole.any() or near.any()):
-                    continue
-                value = shingles([text], shingle)[0]
-                room = max(len(value) - least + 1, 0)  # rows of one key may have other texts
-                fresh, is_open, whole, near = fresh[:room], is_open[:room], whole[:room], near[:room]
-                found = []
-                at = np.flatnonzero(whole)
-                if len(at):
-                    found.append((0, window_hashes(value, least)[at], at))
-                edge = np.flatnonzero(np.diff(np.r_[False, near, False].astype(np.int8)))
-                for low, high in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    for band, h in enumerate(band_signatures(value[low : high + least - 1], least), 1):
-                        new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (is_open[low + 1 : high] != is_open[low : high - 1])])
-                        found.append((band, h[new], low + new))
-                for band, h, at in found:
-                    columns = [np.full(len(at), band, np.int32), h.view(np.int64), np.full(len(at), doc, np.int64), at, is_open[at]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+            value, ends = shingles(batch.column(1).to_pylist(), shingle)
+            if len(value) < least:
+                continue
+            begins, wider, done, held = (_covered(batch.column(j), ends) for j in range(2, 6))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            room = np.zeros(len(value), bool)
+            room[: len(value) - least + 1] = row[: len(value) - least + 1] == row[least - 1 :]
+            doc = batch.column(0).to_numpy()
+
+            def rows(band: int, h: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+                columns = [np.full(len(p), band, np.int32), h.view(np.int64), doc[row[p]], p - ends[row[p]], ~held[p]]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+            p = np.flatnonzero(begins & room & ~done)
+            if len(p):
+                yield rows(0, window_hashes(value, least)[p], p)
+            p = np.flatnonzero(wider & room & ~done)
+            if not len(p):
+                continue
+            edge = np.bincount(p, minlength=len(value) + 1) - np.bincount(p + least, minlength=len(value) + 1)[: len(value) + 1]
+            token = np.cumsum(edge)[:-1] > 0  # the tokens of these windows alone are hashed
+            place = (np.cumsum(token) - 1)[p]
+            apart = np.r_[True, (np.diff(p) != 1) | (row[p[1:]] != row[p[:-1]]) | (held[p[1:]] != held[p[:-1]])]
+            for band, h in enumerate(band_signatures(value[token], least), 1):
+                h = h[place]
+                new = apart.copy()
+                new[1:] |= h[1:] != h[:-1]
+                yield rows(band, h[new], p[new])
 
     return asked.mapInArrow(run, "band int, window bigint, doc bigint, at bigint, open boolean")
 

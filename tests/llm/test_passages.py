@@ -227,10 +227,10 @@ def test_band_signatures_are_of_the_window_alone():
     at = 26
     assert (long[at : at + len(p)] == p).all()
     for least in (1, 5, 46):
-        a, b = band_signatures(p, least), band_signatures(long, least)
+        a, b = (np.array(list(band_signatures(x, least))) for x in (p, long))
         assert a.shape == (8, len(p) - least + 1) and (b[:, at : at + a.shape[1]] == a).all()
         assert len({int(x) for x in a[:, 0]}) == 8
-    assert band_signatures(p[:3], 46).shape == (8, 0)
+    assert np.array(list(band_signatures(p[:3], 46))).shape == (8, 0)
 
 
 @pytest.mark.parametrize("pool", [40, 80, 200, 20000])
@@ -247,7 +247,6 @@ def test_near_copies_of_formulaic_text_are_found(spark, pool):
             want.add((1001 + 2 * i, 1000 + 2 * i))
     rows = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     found = {(r.doc_id, r.source) for r in rows}
-    print(pool, len(want), len(want & found), len({d for d, _ in want} & {r.doc_id for r in rows}))
     assert len(want) > 100 and len(want & found) >= 0.95 * len(want)
 
 
