@@ -48,14 +48,27 @@ def prepared_gram(m: Moments, center: bool, scale: bool) -> tuple[np.ndarray, np
     shift = m.mean if center else np.zeros_like(m.mean)
     sd = m.std
     div = np.where(sd > 0, sd, 1.0) if scale else np.ones_like(sd)
-    return shift, div, (m.scatter if center else m.raw) / np.outer(div, div)
+    gram = (m.scatter if center else m.raw) / np.outer(div, div)
+    if center and scale:  # n - 1 by definition; a last digit there would turn the loadings of nearly equal components
+        np.fill_diagonal(gram, np.where(sd > 0, m.n - 1.0, np.diag(gram)))
+    return shift, div, gram
+
+
+def settled(g: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Where the iteration from ``p`` leads: its part in the space of the largest eigenvalue of ``g``, of norm 1."""
+    values, vectors = np.linalg.eigh(g)
+    top = vectors[:, values >= values[-1] - 1e-14 * abs(values[-1])]
+    part = top @ (top.T @ p)
+    size = np.linalg.norm(part)
+    return part / size if size > 0 else p
 
 
 def nipals_gram(gram: np.ndarray, k: int, max_steps: int = 5000, threshold: float = 1e-6) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """NIPALS on the cross products alone: the same loadings, signs and step counts as on the rows.
 
     The start is the first column of the residual, or the first of largest norm if that is zero. Scores never appear: their squared change is
-    a quadratic form in the residual's cross products.
+    a quadratic form in the residual's cross products. Components of nearly equal variance need more than ``max_steps``, the more the nearer; what
+    is still moving then is taken to its limit, since the last step may be far from any component.
     """
     g = gram.copy()
     loadings, values, steps = [], [], []
@@ -72,6 +85,8 @@ def nipals_gram(gram: np.ndarray, k: int, max_steps: int = 5000, threshold: floa
             new /= np.linalg.norm(new)
             change = (new - p) @ g @ (new - p)
             p, count = new, count + 1
+        if change > threshold:
+            p = settled(g, p)
         v = g @ p
         value = p @ v
         loadings.append(p)

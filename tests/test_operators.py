@@ -408,3 +408,21 @@ def test_rows_of_a_read_file_are_numbered_without_gaps(spark, tmp_path):
 
 def test_limit_of_rows_with_one_q():
     assert monitor.q_limit_box(2.5, 0.0, 0.95) == 2.5
+
+
+def nearly_uncorrelated(spark, c):
+    """Rows (row_id, a, b) whose correlation is c, with means and deviations of any size."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((600, 2))
+    q = np.linalg.qr(x - x.mean(0))[0]
+    pair = np.stack([q[:, 0], c * q[:, 0] + np.sqrt(1 - c * c) * q[:, 1]], 1) * np.sqrt(599)
+    df, names = matrix(spark, pair * [3.0, 500.0] + [20.0, 4000.0])
+    return df, names, pair
+
+
+@pytest.mark.parametrize("c", [2e-4, -2e-4])
+def test_leverage_of_nearly_equal_components(spark, c):
+    df, names, pair = nearly_uncorrelated(spark, c)
+    a, b = pair.T
+    got = pca.leverage(df, pca.fit(df, names, 2, scale=True, threshold=1e-24), ["row_id"]).orderBy("row_id").toPandas()
+    np.testing.assert_allclose(got.leverage, (a * a + b * b - 2 * c * a * b) / (1 - c * c) / 599, rtol=1e-9)
