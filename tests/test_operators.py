@@ -426,3 +426,10 @@ def test_leverage_of_nearly_equal_components(spark, c):
     a, b = pair.T
     got = pca.leverage(df, pca.fit(df, names, 2, scale=True, threshold=1e-24), ["row_id"]).orderBy("row_id").toPandas()
     np.testing.assert_allclose(got.leverage, (a * a + b * b - 2 * c * a * b) / (1 - c * c) / 599, rtol=1e-9)
+
+
+def test_loadings_of_nearly_equal_components(spark):
+    df, names, _ = nearly_uncorrelated(spark, 2e-4)
+    got = pca.loading_contributions(df, pca.fit(df, names, 2, scale=True)).toPandas()
+    assert set(got.variable) == set(names)
+    np.testing.assert_allclose(got.magnitude, np.sqrt(0.5), rtol=1e-9)
