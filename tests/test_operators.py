@@ -433,3 +433,10 @@ def test_loadings_of_nearly_equal_components(spark):
     got = pca.loading_contributions(df, pca.fit(df, names, 2, scale=True)).toPandas()
     assert set(got.variable) == set(names)
     np.testing.assert_allclose(got.magnitude, np.sqrt(0.5), rtol=1e-9)
+
+
+def test_q_of_nearly_equal_components(spark):
+    df, names, (a, b) = (*(made := nearly_uncorrelated(spark, -2e-4))[:2], made[2].T)
+    model = pca.fit(df, names, 1, scale=True, threshold=1e-24)
+    got = df.select("row_id", pca.q_column(model).alias("q")).orderBy("row_id").toPandas()
+    np.testing.assert_allclose(got.q, (a + b) ** 2 / 2, atol=1e-9)
