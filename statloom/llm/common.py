@@ -46,15 +46,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
-    """Python workers get so many rows at once meanwhile, as each holds a whole text."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> Iterator[None]:
+    """Python workers get so many rows and bytes (or one row) at once meanwhile, as each row holds a whole text."""
+    names = {f"spark.sql.execution.arrow.{n}": str(v) for n, v in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size))}
+    usual = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
     try:
         yield
     finally:
-        spark.conf.set(name, usual)
+        for n, v in usual.items():
+            spark.conf.set(n, v)
 
 
 def discard(*tables: DataFrame) -> None:

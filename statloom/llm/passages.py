@@ -352,9 +352,9 @@ def group_members(docs: DataFrame, key: str, text: str, shingle: int, least: int
     groups = written(groups, "groups")
     met = written(windows.join(groups, "sig"), "met")
     leads = met.where("doc = source").groupBy("sig").agg(F.min(F.struct("at", "before", "after")).alias("lead"))
-    leads = leads.select("sig", *[F.col(f"lead.{c}").alias(f"source_{c}") for c in ("at", "before", "after")])
+    leads = written(leads.select("sig", *[F.col(f"lead.{c}").alias(f"source_{c}") for c in ("at", "before", "after")]), "leads")
     members = written(met.join(leads, "sig").where("doc <> source or (sig & 7 = 0 and at <> source_at)"), "members")
-    discard(groups, met)
+    discard(groups, met, leads)
     return members
 
 
@@ -371,7 +371,7 @@ def compared(body: DataFrame, near: DataFrame, similarity: float, shingle: int,
     cand = written(cand.selectExpr("doc", "source", "stretch", f"greatest(a - {least}, 0) as a", f"b + {least} as b", f"greatest(sa - {least}, 0) as sa", f"sb + {least} as sb"), "stretches")
     own = cand.select("doc", "source", "stretch", "a", F.col("doc").alias("of"), F.col("a").alias("start"), F.col("b").alias("stop"), F.lit(0).alias("side"))
     other = cand.select("doc", "source", "stretch", "a", F.col("source").alias("of"), F.col("sa").alias("start"), F.col("sb").alias("stop"), F.lit(1).alias("side"))
-    asked = body.join(own.unionByName(other), "of").select("text", "doc", "source", "stretch", "a", "side", "start", "stop")
+    asked = own.unionByName(other).join(body, "of").select("text", "doc", "source", "stretch", "a", "side", "start", "stop")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, data, edge = None, None, None

@@ -5,8 +5,11 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from statloom.llm.common import small_batches
 from statloom.llm.passages import band_signatures, compact_windows, repeated_passages, shared_stretches, window_hashes, without_passages
 from statloom.llm.shingles import shingles, words
 
@@ -253,3 +256,15 @@ def test_near_copies_of_formulaic_text_are_found(spark, pool):
 def likeness(a, b):
     a, b = set(grams(a).tolist()), set(grams(b).tolist())
     return len(a & b) / len(a | b)
+
+
+def test_long_texts_come_in_few_bytes(spark):
+    rows = spark.range(600, numPartitions=1).select("id", F.repeat(F.lit("word and "), 14_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    with small_batches(spark):
+        n, most = rows.mapInArrow(sizes, "n bigint, bytes bigint").agg(F.sum("n"), F.max("bytes")).first()
+    assert n == 600 and most < 5 << 20, most
