@@ -28,6 +28,8 @@ SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 HASHES, HASHES_NEEDED = 4, 1
 #: Signatures by which windows that meet nothing near meet again, and the least hashes that make one.
 BANDS, BAND_HASHES = 8, 4
+#: Texts that are cut at once.
+TEXTS = 256
 
 
 def compact_windows(value: np.ndarray, ends: np.ndarray, least: int, function: int) -> tuple[np.ndarray, ...]:
@@ -445,7 +447,7 @@ def without_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id",
     rows = docs.join(cuts, docs[key].cast("bigint") == F.col("_of"), "left").drop("_of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
             at, cut_at = batch.schema.get_field_index(text), batch.schema.get_field_index("_cuts")
             texts, cuts = batch.column(at).to_pylist(), batch.column(cut_at).to_pylist()
             for i, c in enumerate(cuts):

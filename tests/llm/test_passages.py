@@ -268,3 +268,10 @@ def test_long_texts_come_in_few_bytes(spark):
     with small_batches(spark):
         n, most = rows.mapInArrow(sizes, "n bigint, bytes bigint").agg(F.sum("n"), F.max("bytes")).first()
     assert n == 600 and most < 5 << 20, most
+
+
+def test_many_passages_are_cut_over_several_blocks(spark):
+    docs = spark.range(700, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d "), F.col("id").cast("string")).alias("text"))
+    spans = docs.selectExpr("doc_id", "1L as start_word", "3L as stop_word", "0L as source", "1D as likeness").where("doc_id % 7 <> 0")
+    got = {r.doc_id: r.text for r in without_passages(docs, spans).collect()}
+    assert got == {i: f"a d {i}" if i % 7 else f"a b c d {i}" for i in range(700)}
