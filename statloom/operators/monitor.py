@@ -112,28 +112,37 @@ def variable_shares(rows: DataFrame, monitor: Monitor, keep: list[str]) -> DataF
     return rows.select(*keep, F.inline(F.array(*cells)))
 
 
-def contribution_columns(monitor: Monitor) -> tuple[dict[str, Column], dict[str, Column]]:
-    """Per variable the part in Q, sign(r) * r^2, and in T2, the row of X P diag(1 / sd) P' (sd: population, of the scores)."""
+def contributed(rows: DataFrame, monitor: Monitor, statistic: str = "q", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns and ``_c0``, ``_c1`` ...: each variable's part in Q, sign(r) * r^2, or in T2, the row of X P diag(1 / sd) P' (sd: population, of the scores).
+
+    Prepared values, scores and residuals are columns of their own: one expression of them all repeats each score for every variable that
+    uses it, in a generated method too large to be compiled.
+    """
     m = monitor.model
-    x = m.prepared()
-    t = [dot(x, m.loadings[:, k]) for k in range(m.loadings.shape[1])]
+    keep, p, a = keep or [], range(len(m.variables)), range(m.loadings.shape[1])
+    x, t, r = ([F.col(f"_{name}{i}") for i in of] for name, of in (("x", p), ("t", a), ("r", p)))
+    made = rows.select(*keep, *[c.alias(f"_x{i}") for i, c in enumerate(m.prepared())])
+    made = made.select(*keep, *x, *[dot(x, m.loadings[:, k]).alias(f"_t{k}") for k in a])
+    if statistic == "q":
+        made = made.select(*keep, *[(x[i] - dot(t, m.loadings[i])).alias(f"_r{i}") for i in p])
+        return made.select(*keep, *[(F.signum(r[i]) * r[i] * r[i]).alias(f"_c{i}") for i in p])
     sd = np.sqrt(m.eigenvalues / m.n)
-    rest = [c - dot(t, m.loadings[i]) for i, c in enumerate(x)]
-    q = {v: F.signum(r) * r * r for v, r in zip(m.variables, rest)}
-    t2 = {v: dot(t, m.loadings[i] / np.where(sd > 0, sd, 1.0)) for i, v in enumerate(m.variables)}
-    return q, t2
+    return made.select(*keep, *[dot(t, m.loadings[i] / np.where(sd > 0, sd, 1.0)).alias(f"_c{i}") for i in p])
 
 
 def contribution_table(train: DataFrame, rows: DataFrame, monitor: Monitor, row_id: str, statistic: str = "q") -> DataFrame:
     """(row_id, variable, value, training_mean, difference, contribution, flagged): contributions over the training rows' 95th percentile of |contribution|."""
-    made = contribution_columns(monitor)[0 if statistic == "q" else 1]
-    sizes = train.select(F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), F.abs(e).alias("size")) for v, e in made.items()])))
+    variables = monitor.model.variables
+    sizes = contributed(train, monitor, statistic).select(F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), F.abs(f"_c{i}").alias("size")) for i, v in enumerate(variables)])))
     norm = {r.variable: r.q[0] for r in exact_quantiles(sizes, ["variable"], "size", [0.95], train.count()).collect()}  # one row a variable
-    mean = dict(zip(monitor.model.variables, monitor.model.mean))
+    mean = dict(zip(variables, monitor.model.mean))
     cells = [
-        F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value"), F.lit(float(mean[v])).alias("training_mean"), (F.col(v) - float(mean[v])).alias("difference"), (e / float(norm.get(v) or 1.0)).alias("contribution")) for v, e in made.items()
+        F.struct(F.lit(v).alias("variable"), F.col(f"_v{i}").alias("value"), F.lit(float(mean[v])).alias("training_mean"), (F.col(f"_v{i}") - float(mean[v])).alias("difference"), (F.col(f"_c{i}") / float(norm.get(v) or 1.0)).alias("contribution"))
+        for i, v in enumerate(variables)
     ]
-    return rows.select(row_id, F.inline(F.array(*cells))).withColumn("flagged", F.abs("contribution") > 1)
+    values = [f"_v{i}" for i in range(len(variables))]
+    made = contributed(rows.withColumns({n: F.col(v).cast("double") for n, v in zip(values, variables)}), monitor, statistic, [row_id, *values])
+    return made.select(row_id, F.inline(F.array(*cells))).withColumn("flagged", F.abs("contribution") > 1)
 
 
 def ellipse(n: int, share: float, p: int, alpha: float, at: int = 100) -> tuple[float, float]:

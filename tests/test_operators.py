@@ -440,3 +440,13 @@ def test_q_of_nearly_equal_components(spark):
     model = pca.fit(df, names, 1, scale=True, threshold=1e-24)
     got = df.select("row_id", pca.q_column(model).alias("q")).orderBy("row_id").toPandas()
     np.testing.assert_allclose(got.q, (a + b) ** 2 / 2, atol=1e-9)
+
+
+def test_contributions_are_compiled(spark):
+    """HotSpot compiles no method of more than 8000 bytes; the largest one of the generated code must be smaller."""
+    df, names = matrix(spark, np.random.default_rng(5).standard_normal((50, 4)))
+    found = monitor.contribution_table(df, df, monitor.fit(df, names, 2), "row_id").where("flagged")
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    parts = debug.codegenStringSeq(found._jdf.queryExecution().executedPlan())
+    sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+    assert sizes and max(sizes) < 8000, sizes
