@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -43,21 +44,30 @@ def objective(name: str, kind: str, target: float | None = None, lower: str | No
     raise ValueError(f"unknown objective {kind}")
 
 
+def under(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Table of which rows of ``p`` (down) are at least as large as rows of ``q`` (across) in all columns."""
+    out = p[:, None, 0] >= q[None, :, 0]
+    for j in range(1, p.shape[1]):
+        out &= p[:, None, j] >= q[None, :, j]
+    return out
+
+
 def front_mask(m: np.ndarray) -> np.ndarray:
     """Which rows no other row dominates (at least as good in all, better in one). Rows are taken by falling sum, so only front rows can dominate later ones."""
-    order = np.lexsort((*m.T[::-1], -m.sum(1)))
-    keep, front = np.zeros(len(m), bool), np.zeros((0, m.shape[1]))
-    for i in range(0, len(m), 512):
-        part = m[order[i : i + 512]]
-        pool = np.concatenate([front, part])
+    points, place = np.unique(m, axis=0, return_inverse=True)  # of distinct rows one that is as large in all dominates
+    order = np.lexsort((*-points.T[::-1], -points.sum(1)))
+    keep, front = np.zeros(len(points), bool), np.zeros((0, m.shape[1]))
+    for i in range(0, len(points), 512):
+        part = points[order[i : i + 512]]
         alive = np.ones(len(part), bool)
-        for j in range(0, len(pool), 4096):
-            p = pool[j : j + 4096]
-            ge = (p[:, None, :] >= part[None, :, :]).all(2)
-            alive &= ~(ge & (p[:, None, :] > part[None, :, :]).any(2)).any(0)
+        for j in range(0, len(front), 4096):
+            alive &= ~under(front[j : j + 4096], part).any(0)
+        above = under(part[alive], part[alive])
+        np.fill_diagonal(above, False)
+        alive[alive] = ~above.any(0)
         keep[order[i : i + 512]] = alive
-        front = np.unique(np.concatenate([front, part[alive]]), axis=0)
-    return keep
+        front = np.concatenate([front, part[alive]])
+    return keep[place.ravel()]
 
 
 def peeled(m: np.ndarray, fronts: int) -> np.ndarray:
@@ -178,21 +188,28 @@ def fronts_of(points: DataFrame, columns: list[str], fronts: int) -> DataFrame:
     """Rows (columns, pareto_rank) of the distinct points in the first fronts.
 
     A point's rank among some of the points is no higher than among all, so tasks first drop what lies beyond the first fronts of the
-    points they hold, CHUNK or so at a time. What is left is peeled in one task if it is at most ONE_TASK points; else each front
-    is what no point left dominates, counted by ranges, so the work stays spread however many objectives are in conflict.
+    points they hold, CHUNK or so at a time; whatever a point of the last of these fronts dominates lies beyond, without a look at the
+    others. That is done again with ONE_TASK points a task while it halves them. What is left is peeled in one task if it is at most ONE_TASK points;
+    else each front is what no point left dominates, counted by ranges, so the work stays spread however many objectives are in conflict.
     """
     schema = ", ".join(f"`{c}` double" for c in columns)
 
     def drop(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for p in parts:
-            best = p[columns] if best is None else pd.concat([best, p[columns]])
-            best = best[peeled(best.to_numpy(float), fronts) > 0]
+        best = beyond = np.zeros((0, len(columns)))
+        pieces = (p[columns].to_numpy(float)[i:j] for p in parts for i, j in ((0, 1024), (1024, None)))
+        for m in pieces:
+            for i in range(0, len(beyond), 32):  # points are distinct
+                m = m[~under(beyond[i : i + 32], m).any(0)]
+            if not len(m):
+                continue
+            best = np.concatenate([best, m])
+            rank = peeled(best, fronts)
+            last = best[rank == fronts]
+            beyond, best = last[np.argsort(-last.sum(1), kind="stable")[:256]], best[rank > 0]
             if len(best) > CHUNK:
-                yield best
-                best = None
-        if best is not None:
-            yield best
+                yield pd.DataFrame(best, columns=columns)
+                best = best[:0]
+        yield pd.DataFrame(best, columns=columns)
 
     def peel(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [p[columns] for p in parts]
@@ -201,7 +218,12 @@ def fronts_of(points: DataFrame, columns: list[str], fronts: int) -> DataFrame:
             yield every.assign(pareto_rank=peeled(every.to_numpy(float), fronts)).query("pareto_rank > 0")
 
     left = points.select(*columns).distinct().mapInPandas(drop, schema).persist()
-    if left.count() <= ONE_TASK:
+    n, before = left.count(), None
+    while n > ONE_TASK and (before is None or n <= before / 2):
+        held, left = left, left.repartition(ceil(n / ONE_TASK)).mapInPandas(drop, schema).persist()
+        before, n = n, left.count()
+        held.unpersist()
+    if n <= ONE_TASK:
         return left.repartition(1).mapInPandas(peel, schema + ", pareto_rank int")
     found = []
     for rank in range(1, fronts + 1):

@@ -81,3 +81,23 @@ def test_density_is_exact(spark, kind):
     want = np.array([np.exp(-(((p - v) / h) ** 2) / 2).sum() for p in x]) / (len(v) * h * np.sqrt(2 * np.pi))
     np.testing.assert_allclose(found.x, x, rtol=1e-9, atol=1e-9)
     np.testing.assert_allclose(found.density, want, atol=1e-11 * want.max() + 1e-300, rtol=1e-9 if kind != "outlier" else 1e-6)
+
+
+def test_sums_that_round_alike_hide_no_dominance():
+    points = np.stack([np.full(1500, 1e16), np.arange(1500) * 1e-4], 1)
+    assert pareto.front_mask(points).tolist() == [False] * 1499 + [True]
+
+
+def test_survivors_of_many_tasks_are_dropped_again(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    points = rng.random((8000, 3))
+    df = spark.createDataFrame(points.tolist(), "a double, b double, c double").repartition(8)
+    monkeypatch.setattr(pareto, "ONE_TASK", 500)
+
+    def unused(*_):
+        raise AssertionError("the fronts fit into one task")
+
+    monkeypatch.setattr(pareto, "dominators", unused)
+    got = {(r.a, r.b, r.c): r.pareto_rank for r in pareto.fronts_of(df, ["a", "b", "c"], 3).collect()}
+    want = pareto.peeled(points, 3)
+    assert got == {tuple(p): r for p, r in zip(points.tolist(), want.tolist()) if r}
