@@ -1,5 +1,7 @@
 """Operators against numpy, published tables and small worked cases."""
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,6 +11,7 @@ from statloom.dataset import Dataset
 from statloom.functions import dist, scalars
 from statloom.operators import bivariate, columns, doe, encode, mlr, monitor, multi, ordered, pareto, pca, rows, select, surface, univariate
 from statloom.operators.charts import normal_quantile_column, quantile_pairs
+from statloom.operators.gram import moments
 from statloom.operators.missing import reconstructed
 from statloom.plans.catalog import Workspace
 from statloom.sources import readers, writers
@@ -455,6 +458,20 @@ def test_q_of_nearly_equal_components(spark):
     np.testing.assert_allclose(got.q, (a + b) ** 2 / 2, atol=1e-9)
 
 
+def test_moments_of_many_rows_keep_their_last_digits(spark):
+    """Sums over many rows against whole numbers: no error that grows with the rows."""
+    n = 2_000_000
+    i = F.col("id")
+    cents = (i * 7919 + 13) % 10_409_911 + 90_000
+    df = spark.range(0, n, 1, 1).select((i * i % 50 + 1).cast("double").alias("a"), (cents / 100).cast("double").alias("b"), cents.alias("c"), (i * i % 50 + 1).alias("q"))
+    q, qq, c, cc, qc = (int(v) for v in df.agg(*[F.sum(x.cast("decimal(38,0)")) for x in (F.col("q"), F.col("q") * F.col("q"), F.col("c"), F.col("c") * F.col("c"), F.col("q") * F.col("c"))]).first())
+    got = moments(df, ["a", "b"])
+    want = np.array([[qq - Fraction(q * q, n), (qc - Fraction(q * c, n)) / 100], [(qc - Fraction(q * c, n)) / 100, (cc - Fraction(c * c, n)) / 10_000]], float)
+    np.testing.assert_allclose(got.mean, [q / n, float(Fraction(c, 100 * n))], rtol=5e-16)
+    np.testing.assert_allclose(np.diag(got.scatter), np.diag(want), rtol=1e-15)
+    np.testing.assert_allclose(got.scatter[0, 1] / np.sqrt(want[0, 0] * want[1, 1]), want[0, 1] / np.sqrt(want[0, 0] * want[1, 1]), atol=1e-15)
+
+
 def test_contributions_are_compiled(spark):
     """HotSpot compiles no method of more than 8000 bytes; the largest one of the generated code must be smaller."""
     df, names = matrix(spark, np.random.default_rng(5).standard_normal((50, 4)))
