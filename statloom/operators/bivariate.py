@@ -19,6 +19,8 @@ from statloom.operators.quantiles import exact_quantiles
 
 #: Points of a range of values that a task orders at once.
 RANGE_POINTS = 500_000
+#: Values that one of so many rows has are frequent; there are at most so many of a variable.
+FREQUENT = 4096
 ROW = "v1 string, v2 string, r double, p double, n bigint"
 
 
@@ -43,26 +45,49 @@ def pearson(df: DataFrame, variables: list[str], pairwise: bool = False) -> Data
     return _pairs(df, variables, out)
 
 
-def ranked(df: DataFrame, variables: list[str], ranges: int = 64) -> DataFrame:
-    """Each variable by its tie-averaged rank, of all variables at once, so that the shuffles do not grow with the variables.
-
-    Rows become cells (row, variable, value); counts of distinct values are summed up within ranges of each variable's values and over the ranges
-    before, joined back by variable and value, and gathered by row. A frequent value is one count; its cells are split by AQE. Nulls must be gone.
-    """
-    others = [c for c in df.columns if c not in variables]
-    head = F.struct(*others) if others else F.lit(0)
-    cells = [F.struct(F.lit(i).alias("_i"), F.col(c).cast("double").alias("_v"), (head if i == 0 else F.lit(None)).alias("_head")) for i, c in enumerate(variables)]
-    cells = df.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.inline(F.array(*cells)))
-    cuts = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [i / ranges for i in range(1, ranges)], ranges * 100).alias(f"_c{i}") for i, c in enumerate(variables)]).first()
-    bounds = F.array(*[F.array(*[F.lit(float(x)) for x in sorted(set(c or [0.0]))]) for c in cuts])
+def value_ranks(cells: DataFrame, cuts: list[list[float]]) -> DataFrame:
+    """Rows (_i, _v, _k, _r): each distinct value of each variable, its count and tie-averaged rank, summed up within the ranges that the cuts make and over those before."""
+    bounds = F.array(*[F.array(*[F.lit(x) for x in c]) for c in cuts])
     counts = cells.groupBy("_i", "_v").agg(F.count("*").alias("_k"))
     counts = counts.withColumn("_piece", F.size(F.filter(F.get(bounds, F.col("_i")), lambda x: x <= F.col("_v"))))
     inside = F.sum("_k").over(Window.partitionBy("_i", "_piece").orderBy("_v"))
     totals = counts.groupBy("_i", "_piece").agg(F.sum("_k").alias("_t"))  # one row a variable and range
     before = totals.select("_i", "_piece", (F.sum("_t").over(Window.partitionBy("_i").orderBy("_piece")) - F.col("_t")).alias("_before"))
-    ranks = counts.withColumn("_in", inside).join(F.broadcast(before), ["_i", "_piece"]).select("_i", "_v", (F.col("_before") + F.col("_in") - (F.col("_k") - 1) / 2.0).alias("_r"))
-    rows = cells.join(ranks, ["_i", "_v"]).groupBy("_row").agg(F.max("_head").alias("_head"), *[F.max(F.when(F.col("_i") == i, F.col("_r"))).alias(c) for i, c in enumerate(variables)])
-    return rows.select(*[F.col("_head")[c].alias(c) for c in others], *variables)
+    return counts.withColumn("_in", inside).join(F.broadcast(before), ["_i", "_piece"]).select("_i", "_v", "_k", (F.col("_before") + F.col("_in") - (F.col("_k") - 1) / 2.0).alias("_r"))
+
+
+def ranked(df: DataFrame, variables: list[str], ranges: int = 64, frequent: int = FREQUENT) -> DataFrame:
+    """Each variable by its tie-averaged rank, of all variables at once, so that the shuffles do not grow with the variables. Nulls must be gone.
+
+    Values that at least one of ``frequent`` rows has are few, and their ranks are broadcast, so rows of few values never move. What is left has no
+    frequent value: rows of one such variable are joined with its ranks; cells of several, as (row, variable, value), are joined and gathered by row.
+    """
+    others = [c for c in df.columns if c not in variables]
+    cuts = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [i / ranges for i in range(1, ranges)], ranges * 100).alias(f"_c{i}") for i, c in enumerate(variables)]).first()
+    cuts = [sorted({float(x) for x in c or [0.0]}) for c in cuts]
+    cell = lambda i: F.struct(F.lit(i).alias("_i"), F.col(variables[i]).cast("double").alias("_v"))
+    n = df.count()
+    known = value_ranks(df.select(F.inline(F.array(*map(cell, range(len(variables)))))), cuts).where(F.col("_k") >= n / frequent).toPandas()
+    rest = [i for i in range(len(variables)) if known[known["_i"] == i]["_k"].sum() < n]
+    rows = df
+    for i, c in enumerate(variables):
+        few = df.sparkSession.createDataFrame(known[known["_i"] == i][["_v", "_r"]].values.tolist(), f"_v{i} double, _r{i} double")
+        rows = rows.join(F.broadcast(few), F.col(c).cast("double") == F.col(f"_v{i}"), "left").drop(f"_v{i}")
+    of = lambda i: F.col(f"_r{i}").alias(variables[i])
+    if not rest:
+        return rows.select(*others, *map(of, range(len(variables))))
+    ranks = value_ranks(df.select(F.inline(F.array(*map(cell, rest)))), cuts).where(F.col("_k") < n / frequent)
+    if len(rest) == 1:
+        c = variables[rest[0]]
+        rows = rows.join(ranks.select("_v", F.col("_r").alias("_rest")), F.when(F.col(f"_r{rest[0]}").isNull(), F.col(c).cast("double")) == F.col("_v"), "left")
+        return rows.withColumn(f"_r{rest[0]}", F.coalesce(f"_r{rest[0]}", "_rest")).select(*others, *map(of, range(len(variables))))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    head = F.struct(*others, *[f"_r{i}" for i in range(len(variables))])
+    open_ = F.filter(F.array(*[F.when(F.col(f"_r{i}").isNull(), cell(i)) for i in rest]), lambda x: x.isNotNull())
+    cells = rows.select("_row", F.posexplode_outer(open_).alias("_at", "_cell"), head.alias("_head")).select("_row", "_cell._i", "_cell._v", F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_head")).alias("_head"))
+    joined = cells.join(ranks, ["_i", "_v"], "left").groupBy("_row").agg(F.max("_head").alias("_head"), *[F.max(F.when(F.col("_i") == i, F.col("_r"))).alias(f"_open{i}") for i in rest])
+    found = lambda i: F.coalesce(F.col(f"_head._r{i}"), F.col(f"_open{i}")) if i in rest else F.col(f"_head._r{i}")
+    return joined.select(*[F.col("_head")[c].alias(c) for c in others], *[found(i).alias(c) for i, c in enumerate(variables)])
 
 
 def spearman(df: DataFrame, variables: list[str]) -> DataFrame:

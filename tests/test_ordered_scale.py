@@ -52,6 +52,26 @@ def test_ranks_and_their_exchanges(spark):
         assert abs(r.r - want.loc[r.v1, r.v2]) < 1e-12
 
 
+@pytest.mark.parametrize("frequent", [3, 20, 100_000])
+@pytest.mark.parametrize("columns", ["abcd", "ab", "bd"])
+def test_ranks_of_rare_and_frequent_values(spark, frequent, columns):
+    rng = np.random.default_rng(2)
+    frame = pd.DataFrame({"row": range(900), "a": rng.normal(size=900), "b": rng.integers(0, 5, 900) * -0.0 + rng.integers(0, 5, 900), "c": np.where(np.arange(900) % 3 == 0, 2.5, rng.normal(size=900)), "d": rng.integers(0, 300, 900)})
+    frame.loc[frame.b == 0, "b"] = np.where(rng.random((frame.b == 0).sum()) < 0.5, -0.0, 0.0)
+    got = bivariate.ranked(spark.createDataFrame(frame), list(columns), frequent=frequent).toPandas().sort_values("row")
+    assert len(got) == 900
+    for c in columns:
+        np.testing.assert_allclose(got[c], frame[c].rank())
+
+
+def test_rows_of_frequent_values_do_not_move(spark):
+    df = spark.range(20_000).select((F.col("id") % 11).alias("a"), (F.col("id") % 7).alias("b"), F.hash("id").alias("c"))
+    plan = bivariate.ranked(df.select("a", "b"), ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    plan = bivariate.ranked(df, ["a", "b", "c"])._jdf.queryExecution().executedPlan().toString()
+    assert "_row" not in plan
+
+
 def greedy(m, absolute=1e-10, relative=1e-5):
     lead = np.full(len(m), -1)
     for i in range(len(m)):
