@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.bpe import pretoken_starts
+from statloom.llm.bpe import BYTE_HASH, pretoken_starts
 from statloom.llm.common import discard, small_batches, written
+from statloom.llm.shingles import mix
 
 #: Buckets of the rank literal.
 BUCKETS = 1 << 13
@@ -30,6 +31,8 @@ BUCKETS = 1 << 13
 LONG_WORD = 256
 #: Characters of a block of texts, and its rows at most: what is put together at once.
 BLOCK_CHARS, BLOCK_ROWS = 8_000_000, 8192
+#: Weights of a byte's place in its word, and bytes that are hashed at once.
+WEIGHTS, HASH_BYTES = mix(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1), 1 << 20
 #: No rank, and the mark of a pair that has been joined.
 NONE, GONE = 2**31 - 1, -1
 # Letters and numbers that Unicode has had since version 14, up to version 16; a JVM may know fewer.
@@ -37,14 +40,14 @@ NEW_LETTERS = [(0x870, 0x887), (0x889, 0x88E), (0x8B5, 0x8B5), (0x8C8, 0x8C9), (
 NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x11F50, 0x11F59), (0x16130, 0x16139), (0x16AC0, 0x16AC9), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1D2C0, 0x1D2D3), (0x1E4F0, 0x1E4F9), (0x1E5F1, 0x1E5FA)]
 
 
-def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The words of UTF-8 texts, one text after the other, and how many each text has."""
+def _cut(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """UTF-8 texts one after the other, where each of their words begins and the last ends, and how many each text has."""
     body = [t.decode("utf-8", "replace") for t in texts]
     chars = np.fromiter(map(len, body), np.int64, len(body))
     whole = "".join(body)
     cp = np.frombuffer(whole.encode("utf-32-le"), np.uint32).copy()
     if not len(cp):
-        return [], chars
+        return b"", np.zeros(1, np.int64), chars
     begin = np.cumsum(chars) - chars
     first = np.zeros(len(cp), bool)
     first[begin[chars > 0]] = True
@@ -59,8 +62,38 @@ def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
         cp = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         size = 1 + (cp > 0x7F).astype(np.int64) + (cp > 0x7FF) + (cp > 0xFFFF)
         at = (np.cumsum(size) - size)[at]
-    cuts = [*at.tolist(), len(data)]
-    return [data[i:j] for i, j in zip(cuts, cuts[1:])], np.diff(owner)
+    return data, np.r_[at, len(data)], np.diff(owner)
+
+
+def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The words of UTF-8 texts, one text after the other, and how many each text has."""
+    data, cuts, count = _cut(texts)
+    cuts = cuts.tolist()
+    return [data[i:j] for i, j in zip(cuts, cuts[1:])], count
+
+
+def distinct_words(texts: list[bytes], weights: np.ndarray = WEIGHTS) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of UTF-8 texts, which of them each word is, one text after the other, and how many words each text has.
+
+    Words meet by a hash and are compared byte by byte; where two of one hash differ, all are told apart by a dictionary. Only distinct words become objects.
+    """
+    data, cuts, count = _cut(texts)
+    n, raw = len(cuts) - 1, np.frombuffer(data, np.uint8)
+    size, parts = np.diff(cuts), np.unique(np.r_[np.searchsorted(cuts, np.arange(0, len(data), HASH_BYTES)), n]) if len(data) else []
+    hashes = np.empty(n, np.uint64)
+    for i, j in zip(parts, parts[1:]):
+        place = np.arange(cuts[j] - cuts[i]) - np.repeat(cuts[i:j] - cuts[i], size[i:j])
+        hashes[i:j] = np.add.reduceat(BYTE_HASH[raw[cuts[i] : cuts[j]]] * weights[place % len(weights)], cuts[i:j] - cuts[i])
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    for i, j in zip(parts, parts[1:]):
+        lead = first[which[i:j]]
+        same = np.array_equal(size[lead], size[i:j])
+        if not same or not np.array_equal(raw[np.repeat(cuts[lead] - cuts[i:j], size[i:j]) + np.arange(cuts[i], cuts[j])], raw[cuts[i] : cuts[j]]):
+            at = cuts.tolist()
+            number: dict[bytes, int] = {}
+            which = np.array([number.setdefault(data[a:b], len(number)) for a, b in zip(at, at[1:])], np.int64)
+            return list(number), which, count
+    return [data[a:b] for a, b in zip(cuts[first].tolist(), cuts[first + 1].tolist())], which, count
 
 
 @lru_cache(maxsize=2)
@@ -198,7 +231,7 @@ def block_words(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = rank_of(path)
         for block, _, texts in _blocks(batches):
-            words = [w for w in dict.fromkeys(words_of(texts)[0]) if len(w) <= LONG_WORD and w not in ranks]
+            words = [w for w in distinct_words(texts)[0] if len(w) <= LONG_WORD and w not in ranks]
             for i in range(0, len(words), 20_000):
                 part = pa.array(words[i : i + 20_000], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), part], names=["block", "word"])
@@ -253,14 +286,14 @@ def fold_documents(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids
         made: list[pa.Table] = []
         for packed in bodies.column("body").to_pylist():
             rows = pa.ipc.open_stream(packed).read_all()
-            found, count = words_of([t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()])
+            found, each, count = distinct_words([t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()])
             # Tokens, long words; and any, should another split of the input have made other blocks.
-            others = {w: merge_long(w, ranks) for w in dict.fromkeys(found) if w not in place}
+            others = {w: merge_long(w, ranks) for w in found if w not in place}
             sizes = np.fromiter(map(len, others.values()), np.int64, len(others))
             place |= {w: len(ends) - 1 + k for k, w in enumerate(others)}
             flat = np.r_[flat, np.array([i for x in others.values() for i in x], np.int32)]
             ends = np.r_[ends, ends[-1] + np.cumsum(sizes)]
-            which = np.array([place[w] for w in found], np.int64)
+            which = np.array([place[w] for w in found], np.int64)[each]
             n = ends[which + 1] - ends[which]
             total = np.r_[0, np.cumsum(n)]
             ids = flat[np.repeat(ends[which] - total[:-1], n) + np.arange(total[-1])].astype("<u4")

@@ -69,3 +69,17 @@ def test_query(spark, sf, library):
     for r in rows:
         ids = library.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
+def test_distinct_words_are_those_of_the_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ab  c\n1é字'"), int(n))).encode() for n in rng.integers(0, 60, 300)] + [b"", b"x" * 3000, b""]
+    words, count = bytefold.words_of(texts)
+    for step, weights in ((1 << 20, bytefold.WEIGHTS), (50, bytefold.WEIGHTS), (50, np.ones(1, np.uint64))):  # the last: words of one hash differ
+        monkeypatch.setattr(bytefold, "HASH_BYTES", step)
+        found, which, each = bytefold.distinct_words(texts, weights)
+        assert len(set(found)) == len(found) < len(words)
+        assert [found[i] for i in which] == words
+        np.testing.assert_array_equal(each, count)
+    for none in ([], [b"", b""]):
+        assert bytefold.distinct_words(none)[0] == []
