@@ -13,6 +13,7 @@ least hashes at once, which separate what shares only a frequent shingle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm.common import discard, small_batches, written
-from statloom.llm.shingles import joined, mix, shingles, word_spans
+from statloom.llm.shingles import joined, mix, shingles, word_starts
 from statloom.llm.tokens import text_blocks
 
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
@@ -51,28 +52,40 @@ def compact_windows(value: np.ndarray, ends: np.ndarray, least: int, function: i
         width *= 2
     if width < least:
         m = np.minimum(m[: n - least + 1], m[least - width : n - width + 1])
-    text = np.repeat(np.arange(len(size)), size)
-    inside = text[: n - least + 1] == text[least - 1 :]
-    c = (m[inside] & low).astype(np.int64)
+    inside = np.ones(n + least, bool)
+    for end in ends[1:].tolist():
+        inside[max(end - least + 1, 0) : end] = False
+    c = (m[inside[: len(m)]] & low).astype(np.int64)
     c = c[np.r_[True, c[1:] != c[:-1]]]
-    owner = text[c]
-    rank, who = (h[c] & ~low).tolist(), owner.tolist()
-    before, after, stack, last = [-1] * len(c), [-1] * len(c), [], -1
-    for i, v in enumerate(rank):  # Cartesian tree: the stack is its right spine
-        if who[i] != last:
-            stack, last = [], who[i]
-        while stack and rank[stack[-1]] > v:
-            after[stack.pop()] = i
-        if stack:
-            before[i] = stack[-1]
-        stack.append(i)
-    before, after = np.array(before), np.array(after)
+    owner = np.searchsorted(ends, c, side="right") - 1
+    rank = h[c] & ~low
+    before, after = _smaller(rank, owner)
     left = np.where(before >= 0, c[before] + 1, ends[owner])
     right = np.where(after >= 0, c[after] - 1, ends[owner + 1] - 1)
     base = ends[owner]
     return owner, h[c], left - base, c - base, right - base
 
 
+def _smaller(rank: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the last one before it whose rank is no greater, and the first one behind it whose rank is smaller, of the same owner; else -1.
+
+    These are the turns of the Cartesian tree. All places skip greater ranks at once: what a neighbour has skipped, its neighbour skips too.
+    """
+    n = len(rank)
+    near = np.flatnonzero(owner[1:] == owner[:-1])
+    before, after = np.full(n, -1), np.full(n, -1)
+    before[near + 1], after[near] = near, near + 1
+    for to, wrong in ((before, np.greater), (after, np.greater_equal)):
+        open_ = np.flatnonzero(to >= 0)
+        while len(open_):
+            seen = to[open_]
+            skip = wrong(rank[seen], rank[open_])
+            open_, seen = open_[skip], seen[skip]
+            to[open_] = to[seen]
+            open_ = open_[to[open_] >= 0]
+    return before, after
+
+
 def window_rows(docs: DataFrame, key: str, text: str, shingle: int, least: int, hashes: int) -> DataFrame:
     """Rows (sig, doc, at, before, after): signature with the hash function in its low bits, position c, c - l and r - c."""
 
@@ -124,119 +137,193 @@ def band_signatures(value: np.ndarray, least: int, bands: int = BANDS, depth: in
         yield mix(out)
 
 
-def worth_comparing(g: np.ndarray, g_ends: np.ndarray, s: np.ndarray, s_ends: np.ndarray, least: int, similarity: float) -> np.ndarray:
-    """Which of many pairs of stretches (shingles one after the other) can hold similar ones: those with enough common shingles, or with repeated ones."""
-    of_g, of_s = (np.repeat(np.arange(len(e) - 1), np.diff(e)) for e in (g_ends, s_ends))
-    tagged = lambda v, of: v ^ mix(of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    a, b = tagged(g, of_g), tagged(s, of_s)
-    pairs = len(g_ends) - 1
-    (mine, first_g), (other, first_s) = np.unique(a, return_index=True), np.unique(b, return_index=True)
-    repeats = (np.bincount(of_g[first_g], minlength=pairs) < np.diff(g_ends)) | (np.bincount(of_s[first_s], minlength=pairs) < np.diff(s_ends))
-    common = np.bincount(of_g[first_g][np.isin(mine, other, assume_unique=True)], minlength=pairs)
-    enough = int(np.ceil(2 * least * similarity / (1 + similarity) - 1e-9))
-    return repeats | (common >= min(enough, least))
-
-
-def exact_runs(g: np.ndarray, s: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Stretches (first, last + 1 shingle) of ``g`` of which each window of ``least`` shingles is one of ``s``."""
-    if min(len(g), len(s)) < least or np.count_nonzero(np.isin(g, s)) < least:
-        return []
-    hit = np.flatnonzero(np.isin(window_hashes(g, least), window_hashes(s, least)))
-    if not len(hit):
-        return []
-    step = np.flatnonzero(np.diff(hit) > 1)
-    return list(zip(hit[np.r_[0, step + 1]].tolist(), (hit[np.r_[step, len(hit) - 1]] + least).tolist()))
-
-
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    mine, other = np.unique(a), np.unique(b)
-    common = len(np.intersect1d(mine, other, assume_unique=True))
-    return common / (len(mine) + len(other) - common)
-
-
-def _aligned(g: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of ``g`` whose shingle ``s`` has, and for each the place in ``s`` nearest to where the last shingle that ``s`` has once leads."""
-    value, back, count = np.unique(s, return_inverse=True, return_counts=True)
-    if not len(value):
-        return (np.zeros(0, np.int64),) * 2
-    u = np.minimum(np.searchsorted(value, g), len(value) - 1)
-    where = np.flatnonzero(value[u] == g)
-    u = u[where]
-    room = len(s) + 1
-    places = np.sort(back * room + np.arange(len(s)))
-    low = np.searchsorted(places, u * room)
-    first = places[low] - u * room
-    sure = np.flatnonzero(count[u] == 1)
-    if not len(sure):
-        sure = np.arange(min(1, len(where)))
-    lead = sure[np.maximum(np.searchsorted(sure, np.arange(len(where)), side="right") - 1, 0)]
-    guess = np.clip(first[lead] + where - where[lead], 0, len(s) - 1)
-    up = np.clip(np.searchsorted(places, u * room + guess), low, low + count[u] - 1)
-    down = np.maximum(up - 1, low)
-    up, down = places[up] - u * room, places[down] - u * room
-    return where, np.where(np.abs(up - guess) <= np.abs(down - guess), up, down)
-
-
-def _last_seen(g: np.ndarray) -> np.ndarray:
-    """For each position the one before it that holds the same shingle, or -1."""
-    order = np.argsort(g, kind="stable")
-    out = np.full(len(g), -1)
-    same = np.flatnonzero(g[order[1:]] == g[order[:-1]])
-    out[order[same + 1]] = order[same]
-    return out
-
-
-def _stretch(g: np.ndarray, s: np.ndarray, x: int, y: int, p: int, q: int, least: int, similarity: float) -> tuple[int, int, float] | None:
-    """(x, y, similarity) of g[x:y] and s[p:q], moved out to ``least`` shingles at either end, if they are similar enough."""
-    short = max(least - (y - x), least - (q - p), 0)
-    for left in sorted({0, short // 2, short}):
-        x1, p1, y1, q1 = x - left, p - left, y + short - left, q + short - left
-        if min(x1, p1) >= 0 and y1 <= len(g) and q1 <= len(s):
-            like = _jaccard(g[x1:y1], s[p1:q1])
-            if like >= similarity:
-                return x1, y1, float(like)
-    return None
+class Pairs:
+    """Pairs of stretches (``g`` and ``s`` hold their shingles, one pair after the other), with equal shingles of a pair numbered alike.
 
+    All positions are places in ``g`` and ``s`` as a whole; a number belongs to one pair.
+    """
 
-def shared_stretches(g: np.ndarray, s: np.ndarray, shingle: int, least: int, similarity: float) -> list[tuple[int, int, float]]:
-    """Longest stretches (first, last + 1 shingle, similarity) of ``g`` that are near-duplicates of stretches of ``s``, both of at least ``least`` shingles.
+    def __init__(self, g: np.ndarray, g_ends: np.ndarray, s: np.ndarray, s_ends: np.ndarray) -> None:
+        self.g_ends, self.s_ends, self.pairs, n = g_ends, s_ends, len(g_ends) - 1, len(g)
+        self.of_g, self.of_s = (np.repeat(np.arange(self.pairs), np.diff(e)) for e in (g_ends, s_ends))
+        of = np.r_[self.of_g, self.of_s]
+        self.tagged = np.r_[g, s].view(np.uint64) ^ mix(of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(self.tagged, kind="stable")
+        ranked = self.tagged[order]
+        number = np.cumsum(np.r_[False, ranked[1:] != ranked[:-1]])
+        numbers = int(number[-1]) + 1 if len(number) else 0
+        every = np.empty(len(order), np.int64)
+        every[order] = number
+        self.number, other = every[:n], every[n:]
+        of_g, of_s = order < n, order >= n
+        self.before, self.earlier = _last_seen(order[of_g], number[of_g]), _last_seen(order[of_s] - n, number[of_s])
+        self.count = np.bincount(other, minlength=numbers)
+        self.low = np.cumsum(self.count) - self.count
+        self.room = len(s) + 1
+        self.places = np.r_[number[of_s] * self.room + (order[of_s] - n), np.iinfo(np.int64).max]  # no place is behind the last
+        self.hit, self.hit_s = self.count[self.number] > 0, np.bincount(self.number, minlength=numbers)[other] > 0
+        self.hits = np.r_[0, np.cumsum(self.hit)]
+        self.once = np.bincount(self.of_g[self.before >= 0], minlength=self.pairs) + np.bincount(self.of_s[self.earlier >= 0], minlength=self.pairs) == 0
+
+    def aligned(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of ``g`` whose shingle ``s`` has, and for each the place in ``s`` nearest to where the last shingle that ``s`` has once leads."""
+        where = np.flatnonzero(self.hit)
+        if not len(where):
+            return where, where
+        u, of = self.number[where], self.of_g[where]
+        low, count = self.low[u], self.count[u]
+        first = self.places[low] - u * self.room
+        is_sure = count == 1
+        head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        is_sure[head] |= np.bincount(of[is_sure], minlength=self.pairs)[of[head]] == 0
+        sure = np.flatnonzero(is_sure)
+        lead = np.searchsorted(sure, np.arange(len(where)), side="right") - 1
+        lead = sure[np.maximum(lead, np.searchsorted(of[sure], of))]  # what comes before the first one is led by it
+        guess = np.clip(first[lead] + where - where[lead], self.s_ends[of], self.s_ends[of + 1] - 1)
+        up = np.clip(np.searchsorted(self.places, u * self.room + guess), low, low + count - 1)
+        down = np.maximum(up - 1, low)
+        up, down = self.places[up] - u * self.room, self.places[down] - u * self.room
+        return where, np.where(np.abs(up - guess) <= np.abs(down - guess), up, down)
+
+    def likeness(self, x: int, y: int, p: int, q: int) -> float:
+        """Jaccard similarity of the sets of g[x:y] and s[p:q]."""
+        fresh = self.before[x:y] < x
+        u = self.number[x:y][fresh & self.hit[x:y]] * self.room
+        common = int(np.count_nonzero(self.places[np.searchsorted(self.places, u + p)] - u < q))
+        return common / (int(np.count_nonzero(fresh)) + int(np.count_nonzero(self.earlier[p:q] < p)) - common)
+
+    def stretch(self, i: int, x: int, y: int, p: int, q: int, least: int, similarity: float) -> tuple[int, int, float] | None:
+        """(x, y, similarity) of g[x:y] and s[p:q], moved out to ``least`` shingles at either end within pair ``i``, if they are similar enough."""
+        short = max(least - (y - x), least - (q - p), 0)
+        for left in sorted({0, short // 2, short}):
+            x1, p1, y1, q1 = x - left, p - left, y + short - left, q + short - left
+            if x1 >= self.g_ends[i] and p1 >= self.s_ends[i] and y1 <= self.g_ends[i + 1] and q1 <= self.s_ends[i + 1]:
+                like = self.likeness(x1, y1, p1, q1)
+                if like >= similarity:
+                    return x1, y1, like
+        return None
+
+
+#: Pairs of so many aligned runs at most are looked through together.
+RUNS_TOGETHER = 40
+
+
+def near_stretches(pairs: Pairs, least: int, similarity: float) -> list[tuple[int, int, int, float]]:
+    """Longest stretches (pair, first, last + 1 shingle, similarity) of ``g`` that are near-duplicates of stretches of their ``s``, both of at least ``least`` shingles.
 
     A stretch goes from the start of one aligned run of common shingles to the end of the same or a later one, whatever lies between; one
     that is too short takes in shingles at its ends. None lies in another.
     """
-    where, place = _aligned(g, s)
+    where, place = pairs.aligned()
     enough = int(np.ceil(2 * least * similarity / (1 + similarity) - 1e-9))  # common shingles of two stretches without repeats
-    before, earlier = _last_seen(g), _last_seen(s)
-    once = before.max(initial=-1) < 0 and earlier.max(initial=-1) < 0
-    if not len(where) or (len(where) < enough and once):
+    if not len(where):
         return []
-    step = np.flatnonzero((np.diff(where) != 1) | (np.diff(place) != 1))
+    of = pairs.of_g[where]
+    step = np.flatnonzero((np.diff(where) != 1) | (np.diff(place) != 1) | (np.diff(of) != 0))
     begin, end = np.r_[0, step + 1], np.r_[step, len(where) - 1]
-    x, y, p, q = where[begin], where[end] + 1, place[begin], place[end] + 1
-    last, hit = int(y.max()), np.zeros(len(g), bool)
-    hit[where] = True
-    out: list[tuple[int, int, float]] = []
-    reached = 0
-    for a in range(len(x)):
-        if reached == last or (once and len(where) - begin[a] < enough):
-            break
-        fresh = before[x[a] :] < x[a]
-        mine = np.cumsum(fresh)[y[a:] - 1 - x[a]]
-        common = np.cumsum(fresh & hit[x[a] :])[y[a:] - 1 - x[a]]
-        wide, other = y[a:] - x[a], q[a:] - p[a]
-        theirs = np.cumsum(earlier[p[a] :] < p[a])[np.maximum(other, 1) - 1]
-        may = (common >= similarity * (mine + theirs - common)) | (wide < least) | (other < least)  # common counts all of s
-        may &= (wide >= enough) & (other >= enough) & (y[a:] > reached)
-        for b in (np.flatnonzero(may)[::-1] + a).tolist():
-            found = _stretch(g, s, int(x[a]), int(y[b]), int(p[a]), int(q[b]), least, similarity)
+    x, y, p, q, of = where[begin], where[end] + 1, place[begin], place[end] + 1, of[begin]
+    runs = np.searchsorted(of, np.arange(pairs.pairs + 1))
+    left = pairs.hits[pairs.g_ends[of + 1]] - pairs.hits[x]  # common shingles from a run on
+    size, out = np.diff(runs), []
+
+    together = pairs.once & (size <= RUNS_TOGETHER)
+    a = np.flatnonzero(together[of] & (left >= enough))
+    later = runs[of[a] + 1] - a
+    a = np.repeat(a, later)
+    b = runs[of[a] + 1] - 1 - (np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later))  # of each run the last one first
+    wide, other, common = y[b] - x[a], q[b] - p[a], pairs.hits[y[b]] - pairs.hits[x[a]]
+    may = (common >= similarity * (wide + np.maximum(other, 1) - common)) | (wide < least) | (other < least)
+    may &= (wide >= enough) & (other >= enough)
+    a, b = a[may], b[may]
+    done, reached = -1, 0
+    for k, i, u, v, r, t in zip(*[c.tolist() for c in (a, of[a], x[a], y[b], p[a], q[b])]):
+        if k != done and v > reached:
+            found = pairs.stretch(i, u, v, r, t, least, similarity)
             if found:
+                done = k
                 if found[1] > reached:
-                    out.append(found)
+                    out.append((i, *found))
                     reached = found[1]
+
+    for i in np.flatnonzero(~together & (pairs.hits[pairs.g_ends[1:]] > pairs.hits[pairs.g_ends[:-1]])).tolist():
+        first, last, once = runs[i], runs[i + 1], pairs.once[i]
+        reached, most = pairs.g_ends[i], int(y[first:last].max())
+        before, hit, earlier = pairs.before[: pairs.g_ends[i + 1]], pairs.hit[: pairs.g_ends[i + 1]], pairs.earlier[: pairs.s_ends[i + 1]]
+        if most - x[first] < enough:
+            continue
+        for k in range(first, last):
+            if reached == most or (once and left[k] < enough) or most - x[k] < enough:
                 break
+            wide, other = y[k:last] - x[k], q[k:last] - p[k]
+            room = (wide >= enough) & (other >= enough) & (y[k:last] > reached)
+            if not room.any():
+                continue
+            fresh = before[x[k] :] < x[k]
+            mine = np.cumsum(fresh)[wide - 1]
+            common = np.cumsum(fresh & hit[x[k] :])[wide - 1]
+            theirs = np.cumsum(earlier[p[k] :] < p[k])[np.maximum(other, 1) - 1]
+            may = room & ((common >= similarity * (mine + theirs - common)) | (wide < least) | (other < least))  # common counts all of s
+            for v in (np.flatnonzero(may)[::-1] + k).tolist():
+                found = pairs.stretch(i, int(x[k]), int(y[v]), int(p[k]), int(q[v]), least, similarity)
+                if found:
+                    if found[1] > reached:
+                        out.append((i, *found))
+                        reached = found[1]
+                    break
+    return [(i, u - int(pairs.g_ends[i]), v - int(pairs.g_ends[i]), like) for i, u, v, like in out]
+
+
+def exact_stretches(pairs: Pairs, least: int) -> list[tuple[int, int, int]]:
+    """Stretches (pair, first, last + 1 shingle) of ``g`` of which each window of ``least`` shingles is one of their ``s``."""
+
+    def whole(hit: np.ndarray, of: np.ndarray) -> np.ndarray:
+        n = max(len(hit) - least + 1, 0)
+        so_far = np.r_[0, np.cumsum(hit)]
+        return np.flatnonzero((so_far[least : least + n] - so_far[:n] == least) & (of[:n] == of[least - 1 : least - 1 + n]))
+
+    mine, other = whole(pairs.hit, pairs.of_g), whole(pairs.hit_s, pairs.of_s)
+    shared = np.zeros(pairs.pairs, bool)
+    shared[pairs.of_s[other]] = True
+    mine = mine[shared[pairs.of_g[mine]]]
+    shared[:] = False
+    shared[pairs.of_g[mine]] = True
+    other = other[shared[pairs.of_s[other]]]
+    if not len(mine):
+        return []
+
+    def hashes(value: np.ndarray, p: np.ndarray) -> np.ndarray:
+        token = np.cumsum(np.bincount(p, minlength=len(value) + least) - np.bincount(p + least, minlength=len(value) + least))[: len(value)] > 0
+        return window_hashes(value[token], least)[(np.cumsum(token) - 1)[p]]
+
+    n = len(pairs.number)
+    hit = mine[np.isin(hashes(pairs.tagged[:n], mine), hashes(pairs.tagged[n:], other))]
+    if not len(hit):
+        return []
+    of = pairs.of_g[hit]
+    step = np.flatnonzero((np.diff(hit) > 1) | (np.diff(of) != 0))
+    begin, base = np.r_[0, step + 1], pairs.g_ends[of]
+    end = np.r_[step, len(hit) - 1]
+    return list(zip(of[begin].tolist(), (hit - base)[begin].tolist(), ((hit - base)[end] + least).tolist()))
+
+
+def _last_seen(at: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """For each position the one before it of the same number, or -1; ``at`` lists the positions by number, ascending within one."""
+    out = np.full(len(at), -1)
+    same = np.flatnonzero(number[1:] == number[:-1])
+    out[at[same + 1]] = at[same]
     return out
 
 
+def shared_stretches(g: np.ndarray, s: np.ndarray, shingle: int, least: int, similarity: float) -> list[tuple[int, int, float]]:
+    """``near_stretches`` (first, last + 1 shingle, similarity) of one pair."""
+    return [found[1:] for found in near_stretches(Pairs(g, np.array([0, len(g)]), s, np.array([0, len(s)])), least, similarity)]
+
+
+def _edges(word: np.ndarray, start: np.ndarray, words: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """First bytes of words of texts one after the other; where a text has no further word (``words``: of all texts up to it), its end."""
+    return np.where(word < words, np.r_[start, 0][word], stop - 1)
+
+
 def _covered(spans: pa.ListArray, ends: np.ndarray) -> np.ndarray:
     """Which positions of texts one after the other lie in one of their text's spans (low, high)."""
     row = np.repeat(np.arange(len(spans)), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
@@ -313,16 +400,17 @@ def exact_again(left: DataFrame, shingle: int, least: int) -> DataFrame:
     return runs.select("doc", "start_word", "stop_word", "source", F.lit(1.0).alias("likeness"))
 
 
-def near_again(left: DataFrame, least: int) -> DataFrame:
-    """Pairs of stretches (doc, source, a, b, sa, sb, bit) of open windows and the first window that shares a band's signature.
+def near_again(left: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of stretches (doc, source, a, b, sa, sb, bit) of open windows and the first window that shares a band's signature, and the table they are read from.
 
     A signature takes several hashes to agree, so windows that share only a frequent shingle are apart here.
     """
     left = left.where("band > 0")
-    groups = left.groupBy("band", "window").agg(F.min(F.struct("doc", "at")).alias("lead"), F.max("doc").alias("last"), F.bool_or("open").alias("any"))
-    groups = groups.where("any and lead.doc <> last").select("band", "window", F.col("lead.doc").alias("source"), F.col("lead.at").alias("sa"))
-    met = left.where("open").join(groups, ["band", "window"]).where("doc <> source")
-    return met.selectExpr("doc", "source", "at as a", f"at + {least - 1} as b", "sa", f"sa + {least - 1} as sb", "1L as bit").distinct()
+    groups = left.groupBy("band", "window").agg(F.min("doc").alias("source"), F.max("doc").alias("last"), F.bool_or("open").alias("any")).where("any and source <> last").drop("last", "any")
+    met = written(left.join(groups.hint("shuffle_hash"), ["band", "window"]).where("open or doc = source"), "met")
+    leads = met.where("doc = source").groupBy("band", "window").agg(F.min("at").alias("sa"))
+    pairs = met.where("open and doc <> source").join(leads.hint("shuffle_hash"), ["band", "window"])
+    return pairs.selectExpr("doc", "source", "at as a", f"at + {least - 1} as b", "sa", f"sa + {least - 1} as sb", "1L as bit").distinct(), met
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, shingle: int = SHINGLE, hashes: int = HASHES, needed: int = HASHES_NEEDED, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -352,10 +440,10 @@ def group_members(docs: DataFrame, key: str, text: str, shingle: int, least: int
     windows = window_rows(docs, key, text, shingle, least, hashes)
     groups = windows.groupBy("sig").agg(F.min("doc").alias("source"), F.max("doc").alias("last"), F.count("*").alias("windows")).where("source <> last").drop("last")
     groups = written(groups, "groups")
-    met = written(windows.join(groups, "sig"), "met")
+    met = written(windows.join(groups.hint("shuffle_hash"), "sig"), "met")
     leads = met.where("doc = source").groupBy("sig").agg(F.min(F.struct("at", "before", "after")).alias("lead"))
     leads = written(leads.select("sig", *[F.col(f"lead.{c}").alias(f"source_{c}") for c in ("at", "before", "after")]), "leads")
-    members = written(met.join(leads, "sig").where("doc <> source or (sig & 7 = 0 and at <> source_at)"), "members")
+    members = written(met.join(leads.hint("shuffle_hash"), "sig").where("doc <> source or (sig & 7 = 0 and at <> source_at)"), "members")
     discard(groups, met, leads)
     return members
 
@@ -376,28 +464,27 @@ def compared(body: DataFrame, near: DataFrame, similarity: float, shingle: int,
     asked = own.unionByName(other).join(body, "of").select("text", "doc", "source", "stretch", "a", "side", "start", "stop")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, data, edge = None, None, None
         for batch in batches:
-            found = []
-            for t, a, b in zip(*[batch.column(j).to_pylist() for j in (0, 6, 7)]):
-                if t != last:
-                    last, data = t, joined([t])[0]
-                    _, start, stop = word_spans(data)
-                    edge = np.r_[start, len(data) - 1]
-                found.append(data[edge[min(a, len(edge) - 1)] : edge[min(b + shingle, len(edge) - 1)]].tobytes().decode())
+            texts = batch.column(0).to_pylist()
+            own = [0, *accumulate(t != u for t, u in zip(texts[1:], texts))][: len(texts)]  # rows of one text follow each other
+            data, begin = joined([t for i, t in enumerate(texts) if not i or own[i] != own[i - 1]])
+            start, body = word_starts(data), data.tobytes()
+            before = np.searchsorted(start, begin)
+            own = np.array(own, np.int64)
+            low, high = (_edges(before[own] + np.minimum(batch.column(j).to_numpy() + more, before[own + 1] - before[own]), start, before[own + 1], begin[own + 1]) for j, more in ((6, 0), (7, shingle)))
+            found = [body[i:j].decode() for i, j in zip(low.tolist(), high.tolist())]
             yield pa.RecordBatch.from_arrays([*[batch.column(j) for j in range(1, 6)], pa.array(found, pa.string())], names=["doc", "source", "stretch", "a", "side", "piece"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple] = []
             doc, source, first = (batch.column(j).to_pylist() for j in range(3))
-            (g, g_ends), (s, s_ends) = (shingles(batch.column(j).to_pylist(), shingle) for j in (3, 4))
-            for i in np.flatnonzero(worth_comparing(g, g_ends, s, s_ends, least, similarity)).tolist():
-                mine, other = g[g_ends[i] : g_ends[i + 1]], s[s_ends[i] : s_ends[i + 1]]
-                near = shared_stretches(mine, other, shingle, least, similarity)
-                at = first[i]
-                found += [(doc[i], at + x, at + y + shingle - 1, source[i], like, 0) for x, y, like in near]
-                found += [(doc[i], at + x, at + y + shingle - 1, source[i], 1.0, 2 if any(u <= x and y <= v for u, v, _ in near) else 1) for x, y in exact_runs(mine, other, least)]
+            pairs = Pairs(*shingles(batch.column(3).to_pylist(), shingle), *shingles(batch.column(4).to_pylist(), shingle))
+            near, inner = near_stretches(pairs, least, similarity), {}
+            for i, x, y, _ in near:
+                inner.setdefault(i, []).append((x, y))
+            rows = [(i, x, y, like, 0) for i, x, y, like in near]
+            rows += [(i, x, y, 1.0, 2 if any(u <= x and y <= v for u, v in inner.get(i, ())) else 1) for i, x, y in exact_stretches(pairs, least)]
+            found = [(doc[i], first[i] + x, first[i] + y + shingle - 1, source[i], like, kind) for i, x, y, like, kind in rows]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) if found else [()] * 6, [pa.int64()] * 4 + [pa.float64(), pa.int64()])], names=["doc", "start_word", "stop_word", "source", "likeness", "kind"])
 
     pieces = written(asked.mapInArrow(cut, "doc bigint, source bigint, stretch bigint, a bigint, side int, piece string"), "pieces")
@@ -424,12 +511,15 @@ def _repeated(docs: DataFrame, min_words: int, similarity: float, shingle: int,
     body = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("of"), F.col(text).alias("text"))
     first = compared(body, near, similarity, shingle, least, needed)
     left = written(unmatched_windows(body, members, first.selectExpr("doc", "start_word", "stop_word", "kind > 0 as exact"), shingle, least), "unmatched")
-    second = compared(body, near_again(left, least), similarity, shingle, least, 1)
+    again, met = near_again(left, least)
+    second = compared(body, again, similarity, shingle, least, 1)
+    discard(met)
     spans = first.unionByName(second).where("kind < 2").drop("kind").unionByName(exact_again(left, shingle, least))
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(word_spans(joined([t])[0])[0]) for t in batch.column(1).to_pylist()]
+            data, begin = joined(batch.column(1).to_pylist())
+            n = np.diff(np.searchsorted(word_starts(data), begin))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2)], names=["doc", "stop_word", "source"])
 
     copies = body.withColumnRenamed("of", "doc").join(twins, "doc").select("doc", "text", "source").mapInArrow(lengths, "doc bigint, stop_word bigint, source bigint").where(F.col("stop_word") >= min_words)
@@ -453,7 +543,7 @@ def without_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id",
             for i, c in enumerate(cuts):
                 if c and texts[i]:
                     data, _ = joined([texts[i]])
-                    _, start, _ = word_spans(data)
+                    start = word_starts(data)
                     edge = np.r_[start, len(data) - 1]
                     keep = np.ones(len(data) - 1, bool)
                     for span in c:

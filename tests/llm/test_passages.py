@@ -9,9 +9,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from statloom.llm import passages
 from statloom.llm.common import small_batches
 from statloom.llm.passages import band_signatures, compact_windows, repeated_passages, shared_stretches, window_hashes, without_passages
-from statloom.llm.shingles import shingles, words
+from statloom.llm.shingles import joined, mix, place_weights, shingles, word_spans, word_starts, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -275,3 +276,56 @@ def test_many_passages_are_cut_over_several_blocks(spark):
     spans = docs.selectExpr("doc_id", "1L as start_word", "3L as stop_word", "0L as source", "1D as likeness").where("doc_id % 7 <> 0")
     got = {r.doc_id: r.text for r in without_passages(docs, spans).collect()}
     assert got == {i: f"a d {i}" if i % 7 else f"a b c d {i}" for i in range(700)}
+
+
+def pairs_of_all_kinds():
+    """Texts of pairs: equal, changed in places, with repeated words, of many runs, apart, short and empty."""
+    rng, out = random.Random(11), []
+    for i in range(120):
+        p = text(rng, rng.choice([0, 3, 30, 60, 90]))
+        c = [w if rng.random() > 0.02 * (i % 4) else f"c{rng.randint(0, 99)}" for w in p]
+        out.append((text(rng, i % 7) + c + text(rng, 5), text(rng, 9) + p + text(rng, i % 5)))
+        if i % 6 == 0:
+            again = (["a", "b", "c", "d"] * 40)[: 70 + i]
+            out += [(again + p, p + again[3:]), (p + p[:50], p[10:] + p), (text(rng, 60), text(rng, 60))]
+    long = text(rng, 700)
+    return out + [([w if k % 8 else f"k{k}" for k, w in enumerate(long)], long), ([w if k % 30 else f"k{k}" for k, w in enumerate(long * 2)], long)]
+
+
+def test_pairs_of_a_batch_are_compared_together_and_apart_alike(monkeypatch):
+    pairs = pairs_of_all_kinds()
+    joined_pairs = lambda j: shingles([" ".join(x[j]) for x in pairs], 5)
+    (g, g_ends), (s, s_ends) = joined_pairs(0), joined_pairs(1)
+    calls = []
+    monkeypatch.setattr(passages, "window_hashes", lambda *a: calls.append(1) or window_hashes(*a))
+    together = passages.Pairs(g, g_ends, s, s_ends)
+    for least in (12, 46):
+        calls.clear()
+        near, exact = passages.near_stretches(together, least, 0.8), passages.exact_stretches(together, least)
+        assert len(calls) == 2  # not two for each pair
+        alone, want = [], []
+        for i in range(len(pairs)):
+            mine, other = g[g_ends[i] : g_ends[i + 1]], s[s_ends[i] : s_ends[i + 1]]
+            alone += [(i, *x) for x in shared_stretches(mine, other, 5, least, 0.8)]
+            windows = {tuple(other[k : k + least].tolist()) for k in range(len(other) - least + 1)}
+            hit = [k for k in range(len(mine) - least + 1) if tuple(mine[k : k + least].tolist()) in windows]
+            want += [(i, k) for k in sorted({x for k in hit for x in range(k, k + least)})]
+        assert sorted(near) == alone and len({i for i, *_ in near}) > 40
+        assert sorted({(i, k) for i, x, y in exact for k in range(x, y)}) == want
+        for i, x, y, like in near:
+            mine, other = g[g_ends[i] + x : g_ends[i] + y], s[s_ends[i] : s_ends[i + 1]]
+            assert like >= 0.8 and y - x >= least and np.isin(np.unique(mine), other).mean() >= like - 1e-9
+
+
+def test_words_are_hashed_by_their_bytes_and_places():
+    rng = random.Random(12)
+    texts = ["", " ", "x" * 5000 + " y\t" + "Z" * 24 + " " + "q" * 25 + " " + "q" * 23, "\n\n", "é" * 300, *["".join(rng.choice("ab \tÉZ") for _ in range(300)) for _ in range(20)]]
+    data, _ = joined(texts)
+    value, start, stop = word_spans(data)
+    blob = data.tobytes()
+    assert [blob[a:b] for a, b in zip(start, stop)] == re.findall(rb"[^\x20\x09-\x0D]+", blob) and word_starts(data).tolist() == start.tolist()
+    of_byte, weight = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), place_weights(5000)
+    for v, a, b in zip(value, start, stop):
+        word = np.frombuffer(bytes(c + 32 if 65 <= c <= 90 else c for c in blob[a:b]), np.uint8)
+        with np.errstate(over="ignore"):
+            assert v == mix(np.array([(of_byte[word] * weight[: b - a]).sum() + np.uint64(b - a) * np.uint64(0x94D049BB133111EB)]))[0]
