@@ -400,17 +400,20 @@ def exact_again(left: DataFrame, shingle: int, least: int) -> DataFrame:
     return runs.select("doc", "start_word", "stop_word", "source", F.lit(1.0).alias("likeness"))
 
 
-def near_again(left: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of stretches (doc, source, a, b, sa, sb, bit) of open windows and the first window that shares a band's signature, and the table they are read from.
+def near_again(left: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of stretches (doc, source, a, b, sa, sb, bit) of open windows and the first window that shares a band's signature, and the tables they are read from.
 
-    A signature takes several hashes to agree, so windows that share only a frequent shingle are apart here.
+    A signature takes several hashes to agree, so windows that share only a frequent shingle are apart here. Groups and leads are
+    written first, so that AQE can split a join that a large group makes uneven.
     """
     left = left.where("band > 0")
-    groups = left.groupBy("band", "window").agg(F.min("doc").alias("source"), F.max("doc").alias("last"), F.bool_or("open").alias("any")).where("any and source <> last").drop("last", "any")
+    groups = left.groupBy("band", "window").agg(F.min("doc").alias("source"), F.max("doc").alias("last"), F.bool_or("open").alias("any"))
+    groups = written(groups.where("any and source <> last").drop("last", "any"), "groups")
     met = written(left.join(groups.hint("shuffle_hash"), ["band", "window"]).where("open or doc = source"), "met")
-    leads = met.where("doc = source").groupBy("band", "window").agg(F.min("at").alias("sa"))
+    leads = written(met.where("doc = source").groupBy("band", "window").agg(F.min("at").alias("sa")), "leads")
+    discard(groups)
     pairs = met.where("open and doc <> source").join(leads.hint("shuffle_hash"), ["band", "window"])
-    return pairs.selectExpr("doc", "source", "at as a", f"at + {least - 1} as b", "sa", f"sa + {least - 1} as sb", "1L as bit").distinct(), met
+    return pairs.selectExpr("doc", "source", "at as a", f"at + {least - 1} as b", "sa", f"sa + {least - 1} as sb", "1L as bit").distinct(), [met, leads]
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, shingle: int = SHINGLE, hashes: int = HASHES, needed: int = HASHES_NEEDED, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -511,9 +514,9 @@ def _repeated(docs: DataFrame, min_words: int, similarity: float, shingle: int,
     body = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("of"), F.col(text).alias("text"))
     first = compared(body, near, similarity, shingle, least, needed)
     left = written(unmatched_windows(body, members, first.selectExpr("doc", "start_word", "stop_word", "kind > 0 as exact"), shingle, least), "unmatched")
-    again, met = near_again(left, least)
+    again, tables = near_again(left, least)
     second = compared(body, again, similarity, shingle, least, 1)
-    discard(met)
+    discard(*tables)
     spans = first.unionByName(second).where("kind < 2").drop("kind").unionByName(exact_again(left, shingle, least))
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
