@@ -2,14 +2,16 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from statloom.llm import bpe
+from statloom.llm import bpe, packing
 from statloom.llm.bpe import default_path, loaded
 from statloom.llm.packing import hilbert_key, pack_documents
 from statloom.llm.sharding import shard_documents
@@ -118,6 +120,37 @@ def test_packing_covers_each_id_once(spark, odd, reference, length):
     assert pack_documents(odd.limit(0)).count() == 0
 
 
+def test_packing_takes_texts_a_few_megabytes_at_once(spark, odd, monkeypatch):
+    asked = []
+    monkeypatch.setattr(packing, "written", lambda df, name: asked.append(int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))) or df)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert pack_documents(odd).count() and asked == [packing.BATCH_BYTES] and packing.BATCH_BYTES <= 8 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_a_large_batch_is_cut_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    n = np.r_[rng.integers(1, 9000, 4000), 3_000_000, 1]
+    ids = rng.integers(0, 65536, n.sum()).astype("<u2")
+    ends = np.r_[0, np.cumsum(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n), pa.array([ids[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=["key", "n", "ids"])
+    tracemalloc.start()
+    pieces, most = [], 0
+    for columns in packing.cut_pieces([batch, batch.slice(0, 0), batch], 1024, np.dtype("<u2"), 7 << 40):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        pieces.append(np.column_stack([np.asarray(c) for c in columns]))
+    tracemalloc.stop()
+    assert most < ids.nbytes  # the whole batch in 32 bits alone would be twice that
+    key, start, length, crc, total, seq, offset = np.concatenate(pieces).T
+    at = np.cumsum(length) - length
+    np.testing.assert_array_equal((seq - (7 << 40)) * 1024 + offset, at)
+    both = np.r_[ids, ids].astype("<u4")
+    assert length.sum() == len(both) and (length <= 1024).all() and (offset + length <= 1024).all()
+    assert crc.tolist() == [zlib.crc32(both[a : a + b].tobytes()) for a, b in zip(at, length)]
+    np.testing.assert_array_equal(total, n[key])
+    np.testing.assert_array_equal(start, at % ends[-1] - ends[key])
+
+
 def test_hilbert_curve_visits_neighbours():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key = hilbert_key(grid, 3)
