@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.bpe import BYTE_HASH, pretoken_starts
+from statloom.llm.bpe import pretoken_starts
 from statloom.llm.common import discard, small_batches, written
 from statloom.llm.shingles import mix
 
@@ -31,8 +31,11 @@ BUCKETS = 1 << 13
 LONG_WORD = 256
 #: Characters of a block of texts, and its rows at most: what is put together at once.
 BLOCK_CHARS, BLOCK_ROWS = 8_000_000, 8192
-#: Weights of a byte's place in its word, and bytes that are hashed at once.
+#: Weights of the places of a word's pieces of eight bytes (of its size: the last), bytes of text that are hashed at once, and what is kept of a piece of so many bytes.
 WEIGHTS, HASH_BYTES = mix(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1), 1 << 20
+KEPT = np.array([2 ** (8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes of texts that are cut into words at once, and words whose ids are put in their places at once.
+CUT_BYTES, PLACED_WORDS = 1 << 20, 1 << 18
 #: No rank, and the mark of a pair that has been joined.
 NONE, GONE = 2**31 - 1, -1
 # Letters and numbers that Unicode has had since version 14, up to version 16; a JVM may know fewer.
@@ -41,13 +44,30 @@ NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x11
 
 
 def _cut(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """UTF-8 texts one after the other, where each of their words begins and the last ends, and how many each text has."""
+    """UTF-8 texts one after the other, where each of their words begins and the last ends, and how many each text has.
+
+    Texts of CUT_BYTES (or one text) are cut at once, as that takes many bytes a character.
+    """
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    edges = [*np.flatnonzero(np.diff((np.cumsum(size) - size) // CUT_BYTES, prepend=-1)).tolist(), len(texts)]
+    starts, counts, data, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
+    for i, j in zip(edges, edges[1:]):
+        body, start, count = _cut_together(texts[i:j])
+        data.append(body)
+        starts.append(start + at)
+        counts.append(count)
+        at += len(body)
+    return b"".join(data), np.concatenate([*starts, [at]]), np.concatenate(counts)
+
+
+def _cut_together(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The same of a few texts, without the end of the last word."""
     body = [t.decode("utf-8", "replace") for t in texts]
     chars = np.fromiter(map(len, body), np.int64, len(body))
     whole = "".join(body)
     cp = np.frombuffer(whole.encode("utf-32-le"), np.uint32).copy()
     if not len(cp):
-        return b"", np.zeros(1, np.int64), chars
+        return b"", np.zeros(0, np.int64), chars
     begin = np.cumsum(chars) - chars
     first = np.zeros(len(cp), bool)
     first[begin[chars > 0]] = True
@@ -58,11 +78,9 @@ def _cut(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     at = np.flatnonzero(pretoken_starts(cp, first))
     owner = np.searchsorted(at, np.r_[begin, len(cp)])
     data = whole.encode()
-    if len(data) != len(cp):
-        cp = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        size = 1 + (cp > 0x7F).astype(np.int64) + (cp > 0x7FF) + (cp > 0xFFFF)
-        at = (np.cumsum(size) - size)[at]
-    return data, np.r_[at, len(data)], np.diff(owner)
+    if len(data) != len(cp):  # a character begins at each byte but those of the form 10xxxxxx
+        at = np.flatnonzero(np.frombuffer(data, np.int8) >= -64)[at]
+    return data, at, np.diff(owner)
 
 
 def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -72,26 +90,43 @@ def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return [data[i:j] for i, j in zip(cuts, cuts[1:])], count
 
 
+def _pieces(data: bytes) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the last byte."""
+    return np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+
+
 def distinct_words(texts: list[bytes], weights: np.ndarray = WEIGHTS) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct words of UTF-8 texts, which of them each word is, one text after the other, and how many words each text has.
 
-    Words meet by a hash and are compared byte by byte; where two of one hash differ, all are told apart by a dictionary. Only distinct words become objects.
+    Words meet by a hash of their size and pieces of eight bytes and are compared piece by piece; where two of one hash differ, all are told apart by a
+    dictionary. Only distinct words become objects.
     """
     data, cuts, count = _cut(texts)
-    n, raw = len(cuts) - 1, np.frombuffer(data, np.uint8)
-    size, parts = np.diff(cuts), np.unique(np.r_[np.searchsorted(cuts, np.arange(0, len(data), HASH_BYTES)), n]) if len(data) else []
-    hashes = np.empty(n, np.uint64)
+    n, eight, at, size = len(cuts) - 1, _pieces(data), cuts[:-1], np.diff(cuts)
+    parts = np.unique(np.r_[np.searchsorted(cuts, np.arange(0, len(data), HASH_BYTES)), n]).tolist() if len(data) else []
+    hashes = size.astype(np.uint64) * weights[-1]
     for i, j in zip(parts, parts[1:]):
-        place = np.arange(cuts[j] - cuts[i]) - np.repeat(cuts[i:j] - cuts[i], size[i:j])
-        hashes[i:j] = np.add.reduceat(BYTE_HASH[raw[cuts[i] : cuts[j]]] * weights[place % len(weights)], cuts[i:j] - cuts[i])
-    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        k, rows = 0, np.arange(i, j)
+        while len(rows):
+            hashes[rows] += (eight[at[rows] + 8 * k] & KEPT[np.minimum(size[rows] - 8 * k, 8)]) * weights[k % len(weights)]
+            k += 1
+            rows = rows[size[rows] > 8 * k]
+    met = pa.array(mix(hashes)).dictionary_encode()
+    which = np.asarray(met.indices).astype(np.int64)
+    first = np.empty(len(met.dictionary), np.int64)
+    first[which[::-1]] = np.arange(n)[::-1]
     for i, j in zip(parts, parts[1:]):
-        lead = first[which[i:j]]
+        k, rows, lead = 0, np.arange(i, j), first[which[i:j]]
         same = np.array_equal(size[lead], size[i:j])
-        if not same or not np.array_equal(raw[np.repeat(cuts[lead] - cuts[i:j], size[i:j]) + np.arange(cuts[i], cuts[j])], raw[cuts[i] : cuts[j]]):
-            at = cuts.tolist()
+        while same and len(rows):
+            same = not ((eight[at[rows] + 8 * k] ^ eight[at[lead] + 8 * k]) & KEPT[np.minimum(size[rows] - 8 * k, 8)]).any()
+            k += 1
+            more = size[rows] > 8 * k
+            rows, lead = rows[more], lead[more]
+        if not same:
+            ends = cuts.tolist()
             number: dict[bytes, int] = {}
-            which = np.array([number.setdefault(data[a:b], len(number)) for a, b in zip(at, at[1:])], np.int64)
+            which = np.array([number.setdefault(data[a:b], len(number)) for a, b in zip(ends, ends[1:])], np.int64)
             return list(number), which, count
     return [data[a:b] for a, b in zip(cuts[first].tolist(), cuts[first + 1].tolist())], which, count
 
@@ -170,8 +205,9 @@ def packed_ids(ids: str) -> Column:
 
 def unpacked_ids(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of many words, one word after the other, and where each begins and the last ends."""
-    size = np.array([len(x) for x in packed.to_pylist()], np.int64) // ID_BYTES
-    raw = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(-1, ID_BYTES).astype(np.int32)
+    body = packed.to_pylist()
+    size = np.fromiter(map(len, body), np.int64, len(body)) // ID_BYTES
+    raw = np.frombuffer(b"".join(body), np.uint8).reshape(-1, ID_BYTES).astype(np.int32)
     return raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2], np.r_[0, np.cumsum(size)]
 
 
@@ -279,10 +315,11 @@ def fold_documents(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids
     kind = dict(docs.dtypes)[key]
 
     def put_together(bodies: pa.Table, words: pa.Table) -> pa.Table:
-        pieces, ranks = token_bytes(path), rank_of(path)
+        pieces, ranks = token_array(path), rank_of(path)
         flat, ends = unpacked_ids(words.column("ids"))
-        spelled, at = [pieces[i] for i in flat.tolist()], ends.tolist()
-        place = {b"".join(spelled[a:b]): k for k, (a, b) in enumerate(zip(at, at[1:]))}
+        spelled, at = spell(flat, pieces)
+        at = at[ends].tolist()
+        place = {spelled[a:b]: k for k, (a, b) in enumerate(zip(at, at[1:]))}
         made: list[pa.Table] = []
         for packed in bodies.column("body").to_pylist():
             rows = pa.ipc.open_stream(packed).read_all()
@@ -294,18 +331,22 @@ def fold_documents(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids
             flat = np.r_[flat, np.array([i for x in others.values() for i in x], np.int32)]
             ends = np.r_[ends, ends[-1] + np.cumsum(sizes)]
             which = np.array([place[w] for w in found], np.int64)[each]
-            n = ends[which + 1] - ends[which]
+            n = np.diff(ends)[which]
             total = np.r_[0, np.cumsum(n)]
-            ids = flat[np.repeat(ends[which] - total[:-1], n) + np.arange(total[-1])].astype("<u4")
+            ids = np.empty(total[-1], "<u4")
+            for i in range(0, len(which), PLACED_WORDS):
+                own = slice(i, i + PLACED_WORDS)
+                a, b = total[i], total[min(i + PLACED_WORDS, len(which))]
+                ids[a:b] = flat[np.repeat(ends[which[own]] - total[own][: len(which[own])], n[own]) + np.arange(a, b)]
             cuts = total[np.r_[0, np.cumsum(count)]].tolist()
             made.append(_columns(rows.column("key"), ids, cuts, pieces, outputs))
         return pa.concat_tables(made)
 
     blocks = packed_blocks(body).groupBy("block").cogroup(known.groupBy("block"))
-    return blocks.applyInArrow(lambda a, b: put_together(a, b) if a.num_rows else _columns(pa.array([], pa.int64()), np.zeros(0, "<u4"), [0], (), outputs), f"key {kind}, " + ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs)).withColumnRenamed("key", key)
+    return blocks.applyInArrow(lambda a, b: put_together(a, b) if a.num_rows else _columns(pa.array([], pa.int64()), np.zeros(0, "<u4"), [0], token_array(path), outputs), f"key {kind}, " + ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs)).withColumnRenamed("key", key)
 
 
-def _columns(keys, ids: np.ndarray, cuts: list[int], pieces: tuple[bytes, ...], outputs: tuple[str, ...]) -> pa.Table:
+def _columns(keys, ids: np.ndarray, cuts: list[int], pieces: pa.Array, outputs: tuple[str, ...]) -> pa.Table:
     """The asked columns of texts whose ids lie one after the other, cut at ``cuts``."""
     raw, spans = memoryview(ids.tobytes()), list(zip(cuts, cuts[1:]))
     made: dict = {"n_tokens": pa.array(np.diff(cuts).astype(np.int64))}
@@ -314,14 +355,24 @@ def _columns(keys, ids: np.ndarray, cuts: list[int], pieces: tuple[bytes, ...],
     if "ids_sha256" in outputs:
         made["ids_sha256"] = pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in spans], pa.string())
     if {"decoded", "decoded_sha256"} & set(outputs):
-        decoded = [decode(ids[a:b].tolist(), pieces) for a, b in spans]
+        whole, at = spell(ids, pieces)
+        at = at[cuts].tolist()
+        decoded = [whole[a:b] for a, b in zip(at, at[1:])]
         made |= {"decoded": pa.array(decoded, pa.binary()), "decoded_sha256": pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string())}
     return pa.table({"key": keys, **{o: made[o] for o in outputs}})
 
 
-def decode(ids: list[int], pieces: tuple[bytes, ...]) -> bytes:
-    """The bytes that ids stand for: their pieces, one after the other."""
-    return b"".join([pieces[i] for i in ids])
+def spell(ids: np.ndarray, pieces: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes that ids stand for: their pieces, one after the other; and where each begins and the last ends."""
+    taken = pieces.take(pa.array(ids, pa.int32()))
+    at = np.frombuffer(taken.buffers()[1], np.int64, len(ids) + 1)
+    return taken.buffers()[2].to_pybytes()[at[0] : at[-1]], at - at[0]
+
+
+@lru_cache(maxsize=2)
+def token_array(path: str) -> pa.Array:
+    """``token_bytes`` as an array that takes together as many bytes as there are."""
+    return pa.array(token_bytes(path), pa.large_binary())
 
 
 @lru_cache(maxsize=2)

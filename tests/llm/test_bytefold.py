@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -83,3 +85,40 @@ def test_distinct_words_are_those_of_the_texts(monkeypatch):
         np.testing.assert_array_equal(each, count)
     for none in ([], [b"", b""]):
         assert bytefold.distinct_words(none)[0] == []
+
+
+def test_words_that_share_pieces_or_hashes(monkeypatch):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("ab\0é"), int(n))) for n in rng.integers(1, 40, 400)] + ["x" * 8, "x" * 8 + "\0", "x" * 16, "x" * 7]
+    texts = [w.encode() for w in rng.choice(words, 3000)]
+    for weights in (bytefold.WEIGHTS, np.zeros(1, np.uint64), np.ones(2, np.uint64)):
+        found, which, count = bytefold.distinct_words(texts, weights)
+        assert len(set(found)) == len(found) and [found[i] for i in which] == bytefold.words_of(texts)[0]
+
+
+def test_cutting_in_parts_changes_nothing(monkeypatch):
+    texts = [t.encode() for t in HARD * 3]
+    usual = bytefold._cut(texts)
+    monkeypatch.setattr(bytefold, "CUT_BYTES", 100)
+    for a, b in zip(usual, bytefold._cut(texts)):
+        np.testing.assert_array_equal(a, b)
+
+
+def test_telling_words_apart_takes_few_bytes_a_character():
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdé"), int(n))) for n in rng.integers(3, 12, 3000)]
+    texts = [" ".join(rng.choice(words, 500)).encode() for _ in range(2000)]
+    bytefold.distinct_words(texts[:1])
+    tracemalloc.start()
+    bytefold.distinct_words(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 9 * sum(map(len, texts))
+
+
+def test_ids_are_spelled_together():
+    path = bytefold.default_path()
+    ids = np.random.default_rng(0).integers(0, len(bytefold.token_bytes(path)), 1000).astype("<u4")
+    whole, at = bytefold.spell(ids, bytefold.token_array(path))
+    assert [whole[a:b] for a, b in zip(at.tolist(), at[1:].tolist())] == [bytefold.token_bytes(path)[i] for i in ids]
+    assert bytefold.spell(ids[:0], bytefold.token_array(path))[0] == b"" == bytefold.spell(ids[:0], pa.array([], pa.large_binary()))[0]
